@@ -5,8 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .texts import mix
+
+FILTER_BITS = 23
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from spark.checkpoint.dir.
@@ -45,3 +51,54 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 def buckets(spark: SparkSession) -> int:
     """Number of hash buckets for blobs: as many as the session's shuffle partitions."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def picked(df: DataFrame, **wanted: str) -> DataFrame:
+    """The wanted columns under new names, found by exact name.
+
+    Other columns can have any names, even ones that differ in case alone or
+    repeat: the first exact match counts.
+    """
+    names = df.columns
+    for name in wanted.values():
+        if name not in names:
+            raise ValueError(f"no column {name!r} among {names}")
+    plain = df.toDF(*[f"c{i}" for i in range(len(names))])
+    return plain.select(*[plain[f"c{names.index(name)}"].alias(new) for new, name in wanted.items()])
+
+
+def _slots(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def _mark(batches):
+    marks = np.zeros(1 << FILTER_BITS, bool)
+    for batch in batches:
+        marks[_slots(batch.column(0).to_numpy(zero_copy_only=False))] = True
+    if marks.any():
+        packed = np.split(np.packbits(marks), 16)
+        yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([x.tobytes() for x in packed], pa.binary())], ["slice", "bits"])
+
+
+def _either(key, table):
+    bits = np.bitwise_or.reduce([np.frombuffer(x.as_py(), np.uint8) for x in table.column("bits")])
+    return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([bits.tobytes()], pa.binary())})
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A hash filter of fixed size (1 MiB) over a column of longs.
+
+    passes() is true for each id of the column and for few others as long as
+    there are some millions at most; beyond that it lets more pass, and the join
+    that follows it drops them. It never changes a result.
+    """
+    rows = ids.mapInArrow(_mark, "slice int, bits binary").groupBy("slice").applyInArrow(_either, "slice int, bits binary").collect()
+    bits = np.zeros((16, (1 << FILTER_BITS) // 128), np.uint8)
+    for r in rows:
+        bits[r["slice"]] = np.frombuffer(r["bits"], np.uint8)
+    return bits.ravel()
+
+
+def passes(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    at = _slots(ids)
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1

@@ -1,21 +1,23 @@
 """N-gram Jaccard self-join: pairs of documents whose sets of word n-grams overlap.
 
-The overlap counts are a sparse matrix product A A' of the document by n-gram
-incidence matrix A, computed in blocks:
+The overlap counts are a sparse matrix product A A' of the n-gram incidence
+matrix A, whose rows are the distinct sets of n-grams ("classes": documents with
+equal sets share one). It is computed in blocks, and rows and pairs that the
+sizes rule out are discarded before and during the product:
 
 1. A fixed-size table of n-gram counts over all documents fixes one global
-   order of n-grams, rare ones first.
-2. A document's *prefix* is the first n - ceil(t n) + 1 of its n n-grams in that
-   order; documents with a Jaccard index of t or more share an n-gram there.
-   Only prefixes are shuffled, as packed arrays by hash bucket.
-3. The lowest document number that has a prefix n-gram owns it. Documents go to
-   the row block of each owner they have; a block of more than `block_rows`
-   documents is split into squares of its matrix, so no task gets more.
-4. Within a block, columns of one document are dropped, then documents left
-   with fewer than ceil(t n) columns, until nothing changes. What is left is
-   multiplied slab by slab, rows sorted by size, skipping pairs whose sizes
-   differ by more than a factor t, and pairs below the bound
-   o >= t / (1 + t) (n_a + n_b) are discarded.
+   order of n-grams, common ones last.
+2. Of n n-grams, a set that reaches t with another misses n - ceil(t n) at most,
+   so of its first x in the order it shares x - (n - ceil(t n)) or more. Only the
+   first x = ceil((1 - t + 0.15) n) + 1 are shuffled, as packed arrays by hash
+   bucket, and classes that share fewer of them are dropped.
+3. For the classes left, the lowest class with an n-gram among the first
+   n - ceil(t n) + 1 owns it, and a class goes to the row block of each owner it
+   has; a block of more than `block_rows` is split into squares of its matrix.
+4. Within a block, columns of one row are dropped, then rows left with fewer
+   than ceil(t n) columns, until nothing changes. What is left is multiplied
+   slab by slab, rows sorted by size, skipping rows whose sizes differ by more
+   than the factor t, and pairs below o >= t / (1 + t) (n_a + n_b) are discarded.
 
 The result is exact but for collisions of 60-bit hashes.
 """
@@ -34,7 +36,8 @@ from . import jobs, texts
 U64 = np.uint64
 _SLOT_BITS = 17
 _SLICES = 16
-_EMIT_BYTES = 24 << 20
+_NONE = np.iinfo(np.int64).min
+_EMIT_KEYS = 2_000_000
 _FLUSH_GRAMS = 3_000_000
 
 
@@ -61,105 +64,204 @@ def _need(n: np.ndarray, t: float) -> np.ndarray:
     return np.ceil(t * n - 1e-9).astype(np.int64)
 
 
-def _count_slots(n: int):
+def _survey(n: int):
+    """n-gram counts by hash slot (slice >= 0), and ids, classes and sizes of documents (slice -1)."""
+    plain = np.zeros(1 << _SLOT_BITS, np.uint8)
+    names = ["slice", "data", "classes", "sizes"]
+    types = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << _SLOT_BITS, np.int64)
         for batch in batches:
-            for _, buf, off in texts.chunks(batch, "text"):
-                words = texts.Words(buf, off)
-                h, _ = texts.gram_hashes(words.hashed(), words.first, n)
-                counts += np.bincount((h >> U64(64 - _SLOT_BITS)).astype(np.int64), minlength=len(counts))
+            for part, buf, off in texts.chunks(batch, "text"):
+                keys, goff = _gram_sets(buf, off, n, plain)
+                counts += np.bincount((keys >> U64(60 - _SLOT_BITS)).astype(np.int64), minlength=len(counts))
+                size = np.diff(goff)
+                some = size > 0
+                row = (-1, part.column(0).to_numpy(zero_copy_only=False)[some].tobytes(), _class_of(keys, goff)[some].tobytes(), size[some].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], names)
         if counts.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array([x.tobytes() for x in np.split(counts, _SLICES)], pa.binary())], ["slice", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array([x.tobytes() for x in np.split(counts, _SLICES)], pa.binary()), pa.nulls(_SLICES, pa.binary()), pa.nulls(_SLICES, pa.binary())], names)
 
     return run
 
 
+def _class_of(keys: np.ndarray, goff: np.ndarray) -> np.ndarray:
+    """A 64-bit number for each set of keys; equal sets have equal numbers."""
+    total = np.zeros(len(keys) + 1, U64)
+    np.cumsum(texts.mix(keys & U64((1 << 60) - 1)), out=total[1:])
+    return texts.mix(total[goff[1:]] - total[goff[:-1]] + np.diff(goff).astype(U64)).view(np.int64)
+
+
+def _documents(batches):
+    """Unpacks the documents of _survey."""
+    for batch in batches:
+        ids, classes, sizes = ([np.frombuffer(x.as_py(), np.int64) for x in batch.column(c)] for c in (1, 2, 3))
+        if ids:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, classes, sizes)], ["id", "class", "n"])
+
+
 def _sum_slots(key, table):
-    total = sum(np.frombuffer(x.as_py(), np.int64) for x in table.column("counts"))
-    return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+    total = sum(np.frombuffer(x.as_py(), np.int64) for x in table.column("data"))
+    return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([total.tobytes()], pa.binary())})
 
 
-def _levels(base: DataFrame, n: int) -> np.ndarray:
+def _levels(survey: DataFrame) -> np.ndarray:
     """A level from 0 to 15 for each hash slot: how far its n-grams exceed the usual count.
 
     The table has the same size for any input (128 KiB as sent to the tasks).
     """
-    rows = base.mapInArrow(_count_slots(n), "slice int, counts binary").groupBy("slice").applyInArrow(_sum_slots, "slice int, counts binary").collect()
+    rows = survey.where("slice >= 0").select("slice", "data").groupBy("slice").applyInArrow(_sum_slots, "slice int, data binary").collect()
     counts = np.zeros((_SLICES, (1 << _SLOT_BITS) // _SLICES), np.int64)
     for r in rows:
-        counts[r["slice"]] = np.frombuffer(r["counts"], np.int64)
+        counts[r["slice"]] = np.frombuffer(r["data"], np.int64)
     counts = counts.ravel()
     usual = max(1.0, float(np.median(counts)))
     return np.clip(np.floor(2 * np.log2(np.maximum(counts / usual, 1))), 0, 15).astype(np.uint8)
 
 
-def _prefixes(n: int, t: float, levels: np.ndarray, n_buckets: int):
-    """Rows (bucket, keys: 32 bits each, ids, how many keys each id has)."""
+class _Packer:
+    """Collects (key, class, bound) and packs them into rows by bucket: keys of
+    32 bits, and once for each class its number, its count of keys and its bound."""
 
-    def run(batches):
-        pend_k, pend_d, size = [], [], 0
-
-        def flush():
-            keys, ids = np.concatenate(pend_k), np.concatenate(pend_d)
-            h = texts.mix(keys)
-            part = (h % U64(n_buckets)).astype(np.int64)
-            order = np.argsort(part.astype(np.uint16), kind="stable") if n_buckets < 1 << 16 else np.argsort(part, kind="stable")
-            short, ids, part = (h >> U64(32)).astype(np.uint32)[order], ids[order], part[order]
-            at = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-            rows = []
-            for a, b in zip(at.tolist(), [*at[1:].tolist(), len(part)]):
-                own = ids[a:b]
-                first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-                rows.append((int(part[a]), short[a:b].tobytes(), own[first].tobytes(), np.diff(np.append(first, b - a)).astype(np.uint32).tobytes()))
-            cols = list(zip(*rows))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["bucket", "keys", "ids", "counts"])
+    names = ["bucket", "keys", "classes", "counts", "bounds"]
+    schema = "bucket int, keys binary, classes binary, counts binary, bounds binary"
+
+    def __init__(self, n_buckets: int):
+        self.n_buckets, self.pend, self.size = n_buckets, [], 0
 
+    def put(self, keys: np.ndarray, classes: np.ndarray, bounds: np.ndarray) -> None:
+        if len(keys):
+            self.pend.append((keys, classes, bounds))
+            self.size += len(keys)
+
+    def batch(self) -> pa.RecordBatch:
+        keys, classes, bounds = (np.concatenate(x) for x in zip(*self.pend))
+        self.pend, self.size = [], 0
+        h = texts.mix(keys)
+        part = (h % U64(self.n_buckets)).astype(np.int64)
+        order = np.argsort(part.astype(np.uint16) if self.n_buckets < 1 << 16 else part, kind="stable")
+        short, classes, bounds, part = (h >> U64(32)).astype(np.uint32)[order], classes[order], bounds[order], part[order]
+        at = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+        rows = []
+        for a, b in zip(at.tolist(), [*at[1:].tolist(), len(part)]):
+            own = classes[a:b]
+            first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            rows.append((int(part[a]), short[a:b].tobytes(), own[first].tobytes(), np.diff(np.append(first, b - a)).astype(np.uint32).tobytes(), bounds[a:b][first].astype(np.uint32).tobytes()))
+        cols = list(zip(*rows))
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], self.names)
+
+
+def _heads(n: int, t: float, levels: np.ndarray, n_buckets: int):
+    """The first x keys of each set, packed."""
+
+    def run(batches):
+        packer = _Packer(n_buckets)
         for batch in batches:
-            for part, buf, off in texts.chunks(batch, "text"):
+            for _, buf, off in texts.chunks(batch, "text"):
                 keys, goff = _gram_sets(buf, off, n, levels)
                 count = np.diff(goff)
-                take = np.where(count > 0, count - _need(count, t) + 1, 0)
-                pend_k.append(keys[texts.ranges(goff[:-1], take)])
-                pend_d.append(np.repeat(part.column(0).to_numpy(zero_copy_only=False).astype(np.int64), take))
-                size += len(buf)
-                if size >= _EMIT_BYTES:
-                    if sum(map(len, pend_k)):
-                        yield flush()
-                    pend_k, pend_d, size = [], [], 0
-        if sum(map(len, pend_k)):
-            yield flush()
+                miss = count - _need(count, t)
+                take = np.minimum(count, miss + np.ceil(0.15 * count).astype(np.int64) + 1)
+                packer.put(keys[texts.ranges(goff[:-1], take)], np.repeat(_class_of(keys, goff), take), np.repeat(take - miss, take))
+                if packer.size >= _EMIT_KEYS:
+                    yield packer.batch()
+        if packer.size:
+            yield packer.batch()
 
     return run
 
 
-def _owners(key, table):
-    """Distinct (id, owner) of the keys that two documents or more of a bucket share."""
+def _prefixes(t: float, n_buckets: int):
+    """The first n - ceil(t n) + 1 keys of each class left, packed."""
+
+    def run(batches):
+        packer = _Packer(n_buckets)
+        for batch in batches:
+            for cls, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                keys = np.frombuffer(raw.as_buffer(), U64)
+                take = len(keys) - int(_need(np.int64(len(keys)), t)) + 1
+                packer.put(keys[:take], np.full(take, cls), np.ones(take, np.int64))
+                if packer.size >= _EMIT_KEYS:
+                    yield packer.batch()
+        if packer.size:
+            yield packer.batch()
+
+    return run
+
+
+def _shared(table):
+    """Keys that two classes or more of a bucket share: classes and bounds sorted by key, run starts, run lengths."""
     keys = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table.column("keys")])
-    ids = np.concatenate([np.repeat(np.frombuffer(i.as_py(), np.int64), np.frombuffer(c.as_py(), np.uint32)) for i, c in zip(table.column("ids"), table.column("counts"))])
-    del table
+    counts = [np.frombuffer(x.as_py(), np.uint32) for x in table.column("counts")]
+    classes = np.concatenate([np.repeat(np.frombuffer(i.as_py(), np.int64), c) for i, c in zip(table.column("classes"), counts)])
+    bounds = np.concatenate([np.repeat(np.frombuffer(i.as_py(), np.uint32), c) for i, c in zip(table.column("bounds"), counts)])
     packed = np.sort((keys.astype(U64) << U64(32)) | np.arange(len(keys), dtype=U64))
-    key, ids = packed >> U64(32), ids[(packed & U64(0xFFFFFFFF)).astype(np.int64)]
+    place = (packed & U64(0xFFFFFFFF)).astype(np.int64)
+    key, classes, bounds = packed >> U64(32), classes[place], bounds[place]
     at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     length = np.diff(np.append(at, len(key)))
-    least, most = np.minimum.reduceat(ids, at), np.maximum.reduceat(ids, at)
-    shared = least < most
-    rows = texts.ranges(at[shared], length[shared])
-    a, b = ids[rows], np.repeat(least[shared], length[shared])
+    least, most = np.minimum.reduceat(classes, at), np.maximum.reduceat(classes, at)
+    some = least < most
+    rows = texts.ranges(at[some], length[some])
+    return classes[rows], bounds[rows], key[rows], np.repeat(least[some], length[some])
+
+
+def _tally(n_parts: int):
+    """For each class of a bucket how many of its keys are shared, packed by class."""
+
+    def run(key, table):
+        classes, bounds, key, _ = _shared(table)
+        order = np.lexsort((key, classes))
+        classes, bounds, key = classes[order], bounds[order], key[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (classes[1:] != classes[:-1])
+        classes, bounds = classes[new], bounds[new]
+        first = np.flatnonzero(np.concatenate(([True], classes[1:] != classes[:-1]))) if len(classes) else np.zeros(0, np.int64)
+        count, classes, bounds = np.diff(np.append(first, len(classes))), classes[first], bounds[first]
+        part = (classes.view(U64) % U64(n_parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        count, classes, bounds, part = count[order].astype(np.uint32), classes[order], bounds[order], part[order]
+        edge = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))).tolist() if len(part) else []
+        rows = [(int(part[a]), classes[a:b].tobytes(), count[a:b].tobytes(), bounds[a:b].tobytes()) for a, b in zip(edge, [*edge[1:], len(part)])]
+        cols = list(zip(*rows)) or [[]] * 4
+        return pa.table({"part": pa.array(cols[0], pa.int32()), "classes": pa.array(cols[1], pa.binary()), "counts": pa.array(cols[2], pa.binary()), "bounds": pa.array(cols[3], pa.binary())})
+
+    return run
+
+
+def _enough(key, table):
+    """Classes that share as many keys as the bound asks."""
+    classes, counts, bounds = (np.concatenate([np.frombuffer(x.as_py(), t) for x in table.column(c)]) for c, t in (("classes", np.int64), ("counts", np.uint32), ("bounds", np.uint32)))
+    order = np.argsort(classes)
+    classes, counts, bounds = classes[order], counts[order], bounds[order]
+    first = np.flatnonzero(np.concatenate(([True], classes[1:] != classes[:-1])))
+    keep = np.add.reduceat(counts, first) >= bounds[first]
+    return pa.table({"class": classes[first][keep]})
+
+
+def _owners(key, table):
+    """Distinct (class, owner) of a bucket."""
+    a, _, _, b = _shared(table)
     order = np.lexsort((a, b))
     a, b = a[order], b[order]
     new = np.ones(len(a), bool)
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return pa.table({"id": a[new], "owner": b[new]})
+    return pa.table({"class": a[new], "owner": b[new]})
+
 
+def _sets(n: int, levels: np.ndarray, bits: np.ndarray):
+    """Sets of the documents that pass the filter."""
 
-def _sets(n: int, levels: np.ndarray):
     def run(batches):
         for batch in batches:
-            for part, buf, off in texts.chunks(batch, "text"):
+            some = jobs.passes(bits, batch.column(0).to_numpy(zero_copy_only=False))
+            if not some.any():
+                continue
+            for part, buf, off in texts.chunks(batch.filter(pa.array(some)), "text"):
                 keys, goff = _gram_sets(buf, off, n, levels)
                 grams = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(goff) - 1, [None, pa.py_buffer(goff * 8), pa.py_buffer(np.ascontiguousarray(keys))]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), grams], ["id", "owners", "blocks", "grams"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_class_of(keys, goff)), grams], ["id", "own", "grams"])
 
     return run
 
@@ -211,7 +313,7 @@ def _labels(m: int, a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray
 
 def _multiply(groups: np.ndarray, table: pa.Table, t: float, star: bool) -> list[np.ndarray]:
     """Pairs of all complete blocks in the table; groups: number of each row's block."""
-    ids = table.column("id").to_numpy()
+    ids = table.column("class").to_numpy()
     owner = table.column("owner").to_numpy()
     slab = table.column("slab").to_numpy()
     whole = table.column("lo").to_numpy() == table.column("hi").to_numpy()
@@ -221,6 +323,8 @@ def _multiply(groups: np.ndarray, table: pa.Table, t: float, star: bool) -> list
     keys = np.frombuffer(grams.buffers()[2], U64, int(n.sum()), start) if n.sum() else np.zeros(0, U64)
     lists = table.column("owners").combine_chunks()
     owners, owners_off = lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
+    lists = table.column("members").combine_chunks()
+    members, members_off = lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
     row = np.repeat(np.arange(len(ids), dtype=np.int64), n)
     h = texts.mix(keys ^ texts.mix(groups[row].astype(U64)))
     order = np.argsort(h)
@@ -259,21 +363,21 @@ def _multiply(groups: np.ndarray, table: pa.Table, t: float, star: bool) -> list
             continue
         i, j = own[rank[i]], own[rank[j]]
         jac = o / (n[i] + n[j] - o)
-        use = (jac >= t) & (ids[i] != ids[j])
+        use = jac >= t
         if not whole[own[0]]:
             use &= slab[i] != slab[j]
         i, j, o, jac = i[use], j[use], o[use], jac[use]
         if star:
             if len(i):
                 at, inv = np.unique(np.concatenate([i, j]), return_inverse=True)
-                root = _labels(len(at), inv[: len(i)], inv[len(i) :], ids[at])
-                out.append((ids[at], root))
+                lowest = members[members_off[at]]
+                out.append((lowest, _labels(len(at), inv[: len(i)], inv[len(i) :], lowest)))
             continue
         # of the blocks where both documents meet, the one of their lowest common owner reports them
         low = np.full(len(i), True)
         me = int(owner[own[0]])
         width = int(np.diff(owners_off)[own].max())
-        padded = np.full((len(own), width), -1, np.int64)
+        padded = np.full((len(own), width), _NONE, np.int64)
         for q in range(width):
             at = owners_off[own] + q
             ok = at < owners_off[own + 1]
@@ -281,18 +385,20 @@ def _multiply(groups: np.ndarray, table: pa.Table, t: float, star: bool) -> list
         pi, pj = np.searchsorted(own, i), np.searchsorted(own, j)
         for q in range(width):
             x = padded[pi, q]
-            earlier = (x >= 0) & (x < me) & low
+            earlier = (x != _NONE) & (x < me) & low
             if earlier.any():
                 e = np.flatnonzero(earlier)
                 low[e] &= ~(padded[pj[e]] == x[e, None]).any(1)
         i, j, o, jac = i[low], j[low], o[low], jac[low]
-        swap = ids[i] > ids[j]
-        i, j = np.where(swap, j, i), np.where(swap, i, j)
-        rows_out = np.lexsort((-jac, ids[j], ids[i]))
-        i, j, o, jac = i[rows_out], j[rows_out], o[rows_out], jac[rows_out]
-        new = np.ones(len(i), bool)
-        new[1:] = (ids[i][1:] != ids[i][:-1]) | (ids[j][1:] != ids[j][:-1])
-        out.append((ids[i][new], ids[j][new], o[new], n[i][new], n[j][new], jac[new]))
+        mi, mj = np.diff(members_off)[i], np.diff(members_off)[j]
+        pair = np.repeat(np.arange(len(i)), mi * mj)
+        q = texts.ranges(np.zeros(len(i), np.int64), mi * mj)
+        x, y = members[members_off[i][pair] + q // mj[pair]], members[members_off[j][pair] + q % mj[pair]]
+        i, j, o, jac = i[pair], j[pair], o[pair], jac[pair]
+        other = x != y
+        x, y, i, j, o, jac = x[other], y[other], i[other], j[other], o[other], jac[other]
+        swap = x > y
+        out.append((np.where(swap, y, x), np.where(swap, x, y), o, np.where(swap, n[j], n[i]), np.where(swap, n[i], n[j]), jac))
     return [np.concatenate(x) for x in zip(*out)] if out else []
 
 
@@ -351,25 +457,44 @@ def _blocked(docs: DataFrame, threshold: float, n: int, block_rows: int, id_col:
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be over 0 and at most 1")
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
-    levels = _levels(base, n)
+    base = jobs.picked(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null and text is not null")
     count = jobs.buckets(spark)
-    parts = base.mapInArrow(_prefixes(n, threshold, levels, count), "bucket int, keys binary, ids binary, counts binary")
-    owned = parts.groupBy("bucket").applyInArrow(_owners, "id long, owner long").distinct()
+    survey = jobs.saved(base.mapInArrow(_survey(n), "slice int, data binary, classes binary, sizes binary"), "survey")
+    levels = _levels(survey)
+    rows = survey.where("slice < 0").mapInArrow(_documents, "id long, class long, n long")
+    classes = jobs.saved(rows.groupBy("class", "n").agg(F.sort_array(F.collect_set("id")).alias("members")), "classes")
+
+    heads = base.mapInArrow(_heads(n, threshold, levels, count), _Packer.schema)
+    tallies = heads.groupBy("bucket").applyInArrow(_tally(count), "part int, classes binary, counts binary, bounds binary")
+    left = tallies.groupBy("part").applyInArrow(_enough, "class long")
+    left = jobs.saved(left.join(classes, "class").select("class", "members", F.col("members")[0].alias("id")), "left")
+    sets = base.mapInArrow(_sets(n, levels, jobs.id_filter(left.select("id"))), "id long, own long, grams binary")
+    sets = sets.join(left.select("id", "class"), "id").where("own = class").select("class", "grams").dropDuplicates(["class"])
+    sets = jobs.saved(sets, "sets")
+
+    owned = sets.mapInArrow(_prefixes(threshold, count), _Packer.schema).groupBy("bucket").applyInArrow(_owners, "class long, owner long").distinct()
     owned = jobs.saved(owned, "owners")
     wide = owned.groupBy("owner").count().where(F.col("count") > block_rows).select("owner", F.ceil(F.col("count") / block_rows).cast("int").alias("slabs"))
-    placed = owned.join(wide, "owner", "left").withColumn("slabs", F.coalesce("slabs", F.lit(1))).withColumn("slab", F.pmod(F.xxhash64("id"), F.col("slabs")).cast("int"))
+    placed = owned.join(wide, "owner", "left").withColumn("slabs", F.coalesce("slabs", F.lit(1))).withColumn("slab", F.pmod(F.xxhash64("class"), F.col("slabs")).cast("int"))
     block = F.transform(F.sequence(F.lit(0), F.col("slabs") - 1), lambda j: F.struct(F.col("owner"), F.least("slab", j).alias("lo"), F.greatest("slab", j).alias("hi"), F.col("slab")))
-    by_id = placed.groupBy("id").agg(F.sort_array(F.collect_set("owner")).alias("owners"), F.flatten(F.collect_list(block)).alias("blocks"))
-    sets = base.join(by_id, "id").select("id", "text", "owners", "blocks").mapInArrow(
-        _sets(n, levels), "id long, owners array<long>, blocks array<struct<owner:long,lo:int,hi:int,slab:int>>, grams binary"
-    )
-    rows = sets.select("id", "owners", F.explode("blocks").alias("b"), "grams").select("b.owner", "b.lo", "b.hi", "b.slab", "id", "owners", "grams")
-    rows = rows.repartition("owner", "lo", "hi").sortWithinPartitions("owner", "lo", "hi")
-    return rows.mapInArrow(_products(threshold, star), _STAR if star else _PAIR)
-
-
-def ngram_jaccard_join(docs: DataFrame, threshold: float = 0.7, n: int = 3, block_rows: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    placed = placed.groupBy("class").agg(F.sort_array(F.collect_set("owner")).alias("owners"), F.flatten(F.collect_list(block)).alias("blocks"))
+    blocks = sets.join(placed, "class").join(left.select("class", "members"), "class")
+    blocks = blocks.select("class", "owners", "members", F.explode("blocks").alias("b"), "grams").select("b.owner", "b.lo", "b.hi", "b.slab", "class", "owners", "members", "grams")
+    blocks = blocks.repartition("owner", "lo", "hi").sortWithinPartitions("owner", "lo", "hi")
+    near = blocks.mapInArrow(_products(threshold, star), _STAR if star else _PAIR)
+
+    copies = classes.where("size(members) > 1").select("members", "n")
+    if star:
+        return near.union(copies.select(F.explode("members").alias("id"), F.col("members")[0].alias("root")))
+    copies = copies.select("members", "n", F.posexplode("members").alias("at", "id_a")).select("id_a", F.explode(F.slice("members", F.col("at") + 2, F.size("members"))).alias("id_b"), "n")
+    pairs = near.union(copies.select("id_a", "id_b", "n", "n", "n", F.lit(1.0)))
+    if classes.select(F.explode("members").alias("id")).groupBy("id").count().where("count > 1").head(1):
+        pairs = pairs.groupBy("id_a", "id_b").agg(F.max(F.struct("jaccard", "overlap", "size_a", "size_b")).alias("best"))
+        pairs = pairs.select("id_a", "id_b", "best.overlap", "best.size_a", "best.size_b", "best.jaccard")
+    return pairs
+
+
+def ngram_jaccard_join(docs: DataFrame, threshold: float = 0.6, n: int = 5, block_rows: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All pairs of documents whose word n-gram sets have a Jaccard index >= threshold.
 
     Returns id_a < id_b, overlap, size_a, size_b, jaccard; each pair once. There
@@ -385,7 +510,7 @@ def ngram_jaccard_join(docs: DataFrame, threshold: float = 0.7, n: int = 3, bloc
     return _blocked(docs, threshold, n, block_rows, id_col, text_col, False)
 
 
-def duplicate_groups(docs: DataFrame, threshold: float = 0.7, n: int = 3, block_rows: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def duplicate_groups(docs: DataFrame, threshold: float = 0.6, n: int = 5, block_rows: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Connected groups of the pairs of ngram_jaccard_join: (id, group), group being the lowest id.
 
     Only documents in some pair are listed. Each block reports a star instead of
