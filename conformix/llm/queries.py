@@ -6,29 +6,75 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join
+from . import context_tree, ngram_join, packing, quality, substring_dedup, toxicity
+
+
+#: Documents are selected if they are good with at least this probability.
+KEEP_TAIL = 0.5
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, quality.grades(table(spark, sf_dir, "labels")))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", "expected_grade", "tail", (scored["tail"] >= KEEP_TAIL).alias("selected"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.tag(docs, model).select("doc_id", "toxic_score", "is_toxic", "toxic_spans")
+
+
+def op3_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.score(table(spark, sf_dir, "documents"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
+    "op2_toxicity": op2_toxicity,
+    "op3_context_tree": op3_context_tree,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op8_substring_dedup": op8_substring_dedup,
+    "op9_packing": op9_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_ngram_jaccard_join": r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\x00-/:-@\[-`{-\x7f]+') AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) WHEN len(ws) >= 1 THEN [array_to_string(ws, ' ')] ELSE [] END) AS gram FROM w),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) WHEN len(ws) >= 1 THEN [array_to_string(ws, ' ')] ELSE [] END) AS gram FROM w),
 s AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
 p AS (SELECT a.doc_id AS id_a, b.doc_id AS id_b, count(*) AS overlap FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2)
 SELECT id_a, id_b, overlap, x.n AS size_a, y.n AS size_b, overlap / (x.n + y.n - overlap) AS jaccard
 FROM p JOIN s x ON x.doc_id = id_a JOIN s y ON y.doc_id = id_b
-WHERE overlap / (x.n + y.n - overlap) >= 0.7
+WHERE overlap / (x.n + y.n - overlap) >= 0.6
+""",
+    "op8_substring_dedup": r"""
+WITH t AS (SELECT doc_id, text, lang, source, n_chars, regexp_extract_all(lower(text), '[^\x00-/:-@\[-`{-\x7f]+') AS ws,
+    regexp_extract(text, '^[\x00-/:-@\[-`{-\x7f]*') AS head, regexp_extract_all(text, '[^\x00-/:-@\[-`{-\x7f]+[\x00-/:-@\[-`{-\x7f]*') AS pieces FROM documents),
+w AS (SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM t WHERE len(ws) >= 50)),
+f AS (SELECT win, min(doc_id) AS owner FROM w GROUP BY win HAVING count(DISTINCT doc_id) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM w JOIN f USING (win) WHERE doc_id > owner),
+kept AS (SELECT u.doc_id, string_agg(u.piece, '' ORDER BY u.p) AS rest, count(*) AS n FROM (SELECT doc_id, unnest(pieces) AS piece, unnest(range(1, len(pieces) + 1)) AS p FROM t) u ANTI JOIN gone g ON u.doc_id = g.doc_id AND u.p = g.p GROUP BY u.doc_id),
+r AS (SELECT doc_id, count(*) AS removed FROM gone GROUP BY doc_id)
+SELECT t.doc_id, CASE WHEN r.removed IS NULL THEN t.text ELSE t.head || coalesce(k.rest, '') END AS text, t.lang, t.source,
+    CASE WHEN r.removed IS NULL THEN t.n_chars ELSE length(t.head || coalesce(k.rest, '')) END AS n_chars, coalesce(r.removed, 0) AS removed_words
+FROM t LEFT JOIN r ON t.doc_id = r.doc_id LEFT JOIN kept k ON t.doc_id = k.doc_id
 """,
 }
