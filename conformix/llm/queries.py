@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import context_tree, ngram_join, packing, quality, substring_dedup, toxicity
+from . import ann, archive, bpe, context_tree, jobs, media, ngram_join, packing, quality, substring_dedup, toxicity
 
 
+#: Ranks of a public byte-level tokenizer, on the driver.
+RANKS_PATH = os.environ.get("CONFORMIX_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: Documents are selected if they are good with at least this probability.
 KEEP_TAIL = 0.5
 
@@ -38,6 +41,23 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = jobs.scratch(spark, "media")
+    index = media.store(table(spark, sf_dir, "pages"), root)
+    return media.with_headers(index, root).withColumnRenamed("id", "page_id")
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = jobs.scratch(spark, "wacz")
+    packages = archive.write_packages(table(spark, sf_dir, "pages"), root)
+    records = archive.read_packages(packages, root)
+    return records.select(records["record_id"].alias("page_id"), "url", "n_bytes", "digest", "valid", records["body"].cast("string").alias("html"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
 
@@ -46,13 +66,23 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = bpe.decode(bpe.encode(docs, RANKS_PATH), RANKS_PATH)
+    return both.select("doc_id", "n_tokens", "token_ids", both["decoded_text"].eqNullSafe(both["text"]).alias("round_trip"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_toxicity": op2_toxicity,
     "op3_context_tree": op3_context_tree,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_ann": op5_ann,
+    "op6_media": op6_media,
+    "op7_warc": op7_warc,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_packing": op9_packing,
+    "op10_bpe": op10_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -64,6 +94,9 @@ p AS (SELECT a.doc_id AS id_a, b.doc_id AS id_b, count(*) AS overlap FROM g a JO
 SELECT id_a, id_b, overlap, x.n AS size_a, y.n AS size_b, overlap / (x.n + y.n - overlap) AS jaccard
 FROM p JOIN s x ON x.doc_id = id_a JOIN s y ON y.doc_id = id_b
 WHERE overlap / (x.n + y.n - overlap) >= 0.6
+""",
+    "op7_warc": r"""
+SELECT page_id, url, strlen(html) AS n_bytes, sha256(html) AS digest, TRUE AS valid, html FROM pages WHERE page_id IS NOT NULL AND url IS NOT NULL AND html IS NOT NULL
 """,
     "op8_substring_dedup": r"""
 WITH t AS (SELECT doc_id, text, lang, source, n_chars, regexp_extract_all(lower(text), '[^\x00-/:-@\[-`{-\x7f]+') AS ws,
