@@ -121,9 +121,9 @@ def _fit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             idx.append(i)
             size.append(np.diff(first))
             grade.append(part.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
-    if not grade:
+    grade = np.concatenate(grade) if grade else np.zeros(0, np.int64)
+    if len(grade) == 0 or grade.min() == grade.max():
         return
-    grade = np.concatenate(grade)
     model = fit_arrays(np.concatenate(idx), np.concatenate(([0], np.cumsum(np.concatenate(size)))), grade)
     yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bounds.tobytes()], pa.binary())], ["weights", "bounds"])
 
@@ -142,7 +142,7 @@ def fit(docs: DataFrame, ratings: DataFrame, max_rows: int = 6000, id_col: str =
     rows = texts_.join(F.broadcast(sample), "id").select("grade", "text", F.xxhash64("id", "text").alias("h"))
     model = rows.repartition(1).sortWithinPartitions("h").select("grade", "text").mapInArrow(_fit_rows, "weights binary, bounds binary").collect()
     if not model:
-        raise ValueError("no rated documents")
+        raise ValueError("fewer than two different ratings")
     return Model(np.frombuffer(model[0]["weights"], np.float32), np.frombuffer(model[0]["bounds"]))
 
 
