@@ -80,6 +80,17 @@ def _keys(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key, np.repeat(np.arange(n), size)
 
 
+def _pack(keys: np.ndarray) -> bytes:
+    """5 bytes for each key."""
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // 5, 8), np.uint8)
+    wide[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return wide.view("<u8")[:, 0]
+
+
 def _bucket(keys: np.ndarray, n_buckets: int) -> np.ndarray:
     return (texts.mix(keys >> U64(8 * (DEPTH - 1))) % U64(n_buckets)).astype(np.int64)
 
@@ -110,7 +121,7 @@ def _count_part(n_buckets: int):
         order = np.argsort(where, kind="stable")
         keys, counts, where = keys[order], counts[order], where[order]
         edge = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1]))).tolist()
-        rows = [(key[0].as_py(), int(where[a]), keys[a:b].tobytes(), counts[a:b].astype(np.int64).tobytes()) for a, b in zip(edge, [*edge[1:], len(where)])]
+        rows = [(key[0].as_py(), int(where[a]), _pack(keys[a:b]), counts[a:b].astype(np.uint32).tobytes()) for a, b in zip(edge, [*edge[1:], len(where)])]
         cols = list(zip(*rows))
         return pa.table({"part": pa.array(cols[0], pa.int32()), "bucket": pa.array(cols[1], pa.int32()), "grams": pa.array(cols[2], pa.binary()), "counts": pa.array(cols[3], pa.binary())})
 
@@ -165,7 +176,7 @@ def _subtree(keys: np.ndarray, counts: np.ndarray):
 
 
 def _merged(table) -> tuple[np.ndarray, np.ndarray]:
-    return _grouped(np.concatenate([np.frombuffer(x.as_py(), U64) for x in table.column("grams")]), np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column("counts")]))
+    return _grouped(np.concatenate([_unpack(x.as_py()) for x in table.column("grams")]), np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table.column("counts")]).astype(np.int64))
 
 
 def _summary(key, table):
@@ -237,7 +248,7 @@ def _answer(top: np.ndarray):
     def run(key, table):
         keys, counts = _merged(table)
         bits = code_lengths(keys, counts, top).astype(np.float32)
-        answers = [bits[np.searchsorted(keys, np.frombuffer(x.as_py(), U64))].tobytes() for x in table.column("grams")]
+        answers = [bits[np.searchsorted(keys, _unpack(x.as_py()))].tobytes() for x in table.column("grams")]
         return pa.table({"part": table.column("part"), "grams": table.column("grams"), "bits": pa.array(answers, pa.binary())})
 
     return run
@@ -247,7 +258,7 @@ def _add_up(key, docs, answers):
     buf, off = texts.text_buffer(docs.column("text"))
     total = np.zeros(len(off) - 1)
     if len(buf):
-        grams = np.concatenate([np.frombuffer(x.as_py(), U64) for x in answers.column("grams")])
+        grams = np.concatenate([_unpack(x.as_py()) for x in answers.column("grams")])
         bits = np.concatenate([np.frombuffer(x.as_py(), np.float32) for x in answers.column("bits")])
         order = np.argsort(grams)
         grams, bits = grams[order], bits[order].astype(np.float64)
