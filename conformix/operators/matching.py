@@ -124,7 +124,8 @@ def match_features(base: DataFrame, target: DataFrame, alpha: float = 0.8, weigh
         base = base.withColumn("pos", F.struct(F.lit(0).cast("long").alias("first"), "ord"))
     if "pos" not in target.columns:
         target = target.withColumn("pos", F.struct(F.lit(0).cast("long").alias("first"), "ord"))
-    left, right = (d.select("module", "pos", *_NEEDED) for d in (base, target))
+    # fresh column ids, as both sides may come from one table
+    left, right = (d.select(*[F.col(c).alias(c) for c in ("module", "pos", *_NEEDED)]) for d in (base, target))
     return left.groupBy("module").cogroup(right.groupBy("module")).applyInArrow(_match_module(alpha, weights), _OUT)
 
 
