@@ -30,7 +30,7 @@ def parser() -> argparse.ArgumentParser:
     r.add_argument("--base", required=True)
     r.add_argument("--target", required=True)
     r.add_argument("--output", required=True, type=Path, help="report, or a folder to name it by languages")
-    r.add_argument("--alpha", type=float, default=0.8, help="least score of a match, excluded")
+    r.add_argument("--alpha", default=0.8, type=float, help="least score of a match, excluded")
     r.add_argument("--report-type", choices=REPORT_TYPES, default="symmetric")
     for p in (x, r):
         p.add_argument("--prefix", default="lib", help="first part of module keys")

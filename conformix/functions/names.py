@@ -15,9 +15,9 @@ def strip(c: Column) -> Column:
 
 def normalize_name(c: Column) -> Column:
     """snake_case: hyphens become underscores, words are split before capitals."""
-    c = F.regexp_replace(c, "-", "_")
-    c = F.regexp_replace(c, "(.)([A-Z][a-z]+)", "$1_$2")
-    c = F.regexp_replace(c, "([a-z0-9])([A-Z])", "$1_$2")
+    c = F.translate(c, "-", "_")
+    for before, after in ((".", "[A-Z][a-z]+"), ("[0-9a-z]", "[A-Z]")):
+        c = F.regexp_replace(c, f"({before})({after})", "$1_$2")
     return F.lower(c)
 
 

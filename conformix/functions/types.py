@@ -10,27 +10,28 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_KEYWORDS = {
-    "NULL": ["none"],
-    "LIST": ["list", "array", "slice", "vector", "generator", "asyncgenerator", "iterable", "iterator", "asynciterable", "asynciterator"],
-    "SET": ["set"],
-    "MAP": ["map", "dictionary", "dict", "record", "hash"],
-    "NUMBER": ["int", "integer", "long", "int64", "float", "double"],
-    "STRING": ["str", "string"],
-    "BOOLEAN": ["bool", "boolean"],
-}
-KEYWORDS = {word: name for name, words in _KEYWORDS.items() for word in words}
-_GO_NUMBERS = ["int", "int8", "int16", "int32", "int64", "uint", "uint8", "uint16", "uint32", "uint64", "uintptr", "float32", "float64", "complex64", "complex128"]
-_GO = dict.fromkeys(["string", "rune", "byte"], "STRING") | dict.fromkeys(_GO_NUMBERS, "NUMBER") | dict.fromkeys(["bool", "boolean"], "BOOLEAN")
-_TS = dict.fromkeys(["string", "formattedstring", "path"], "STRING") | dict.fromkeys(["number", "int", "float", "integer", "double"], "NUMBER") | dict.fromkeys(["boolean", "bool"], "BOOLEAN") | {"unknown": "UNKNOWN", "any": "OBJECT", "object": "OBJECT"}
-_TS_LISTS = {"Array", "ReadonlyArray", "Generator", "AsyncGenerator", "Iterable", "Iterator", "AsyncIterable", "AsyncIterator"}
-_JAVA = (
-    dict.fromkeys(["string", "char", "character", "charsequence"], "STRING")
-    | dict.fromkeys(["int", "integer", "long", "short", "byte", "float", "double", "number", "bigdecimal", "biginteger"], "NUMBER")
-    | dict.fromkeys(["boolean", "bool"], "BOOLEAN")
+
+def _words(**names: str) -> dict[str, str]:
+    """Type name by word, from the words of each name."""
+    return {word: name for name, words in names.items() for word in words.split()}
+
+
+KEYWORDS = _words(
+    NULL="none",
+    LIST="array asyncgenerator asynciterable asynciterator generator iterable iterator list slice vector",
+    SET="set",
+    MAP="dict dictionary hash map record",
+    NUMBER="double float int int64 integer long",
+    STRING="str string",
+    BOOLEAN="bool boolean",
 )
-_JAVA_WRAPPED = {"CompletableFuture", "Future", "Mono", "Flux", "Promise", "Single"}
-_JAVA_GENERIC = dict.fromkeys(["List", "ArrayList", "LinkedList", "Collection", "Iterable"], "LIST") | dict.fromkeys(["Map", "HashMap", "TreeMap", "ConcurrentHashMap"], "MAP") | dict.fromkeys(["Set", "HashSet", "TreeSet"], "SET")
+_GO = _words(STRING="byte rune string", NUMBER="complex128 complex64 float32 float64 int int16 int32 int64 int8 uint uint16 uint32 uint64 uint8 uintptr", BOOLEAN="bool boolean")
+_TS = _words(STRING="formattedstring path string", NUMBER="double float int integer number", BOOLEAN="bool boolean", UNKNOWN="unknown", OBJECT="any object")
+_TS_NOTHING = {"void", "undefined", "null"}
+_TS_LISTS = set("Array AsyncGenerator AsyncIterable AsyncIterator Generator Iterable Iterator ReadonlyArray".split())
+_JAVA = _words(STRING="char character charsequence string", NUMBER="bigdecimal biginteger byte double float int integer long number short", BOOLEAN="bool boolean")
+_JAVA_WRAPPED = set("CompletableFuture Flux Future Mono Promise Single".split())
+_JAVA_GENERIC = _words(LIST="ArrayList Collection Iterable LinkedList List", MAP="ConcurrentHashMap HashMap Map TreeMap", SET="HashSet Set TreeSet")
 _GENERIC = re.compile(r"(\w+)<(.+)>", re.S)
 
 
@@ -89,7 +90,7 @@ def typescript_types(text: str) -> list[str]:
     text = text.strip()
     if not text:
         return ["OBJECT"]
-    if text in ("null", "undefined", "void"):
+    if text in _TS_NOTHING:
         return ["NULL"]
     if "|" in text:
         parts = split_outside(text, "|", "<", ">")
@@ -104,11 +105,13 @@ def typescript_types(text: str) -> list[str]:
     low = text.lower()
     if low in _TS:
         return [_TS[low]]
-    if text.endswith("[]"):
-        return ["LIST"]
-    if low.startswith(("map", "record")) or "{" in text:
-        return ["MAP"]
-    return ["SET" if low.startswith("set") else "OBJECT"]
+    if text[-2:] == "[]":
+        kind = "LIST"
+    elif "{" in text or low.startswith(("record", "map")):
+        kind = "MAP"
+    else:
+        kind = "SET" if low.startswith("set") else "OBJECT"
+    return [kind]
 
 
 def go_types(text: str) -> list[str]:
@@ -130,9 +133,9 @@ def java_types(text: str) -> list[str]:
     text = text.strip()
     if not text:
         return ["OBJECT"]
-    if text.lower() in ("void", "completable"):
+    if text.lower() in {"completable", "void"}:
         return ["NULL"]
-    if text.endswith("[]"):
+    if text[-2:] == "[]":
         return ["LIST"]
     m = _GENERIC.fullmatch(text)
     if m:

@@ -79,7 +79,7 @@ def is_feature(language: str, root: str) -> Column:
         hidden = name.startswith("_") | name.startswith("#") | F.arrays_overlap("modifiers", F.array(*[F.lit(w) for w in ("private", "protected", "get", "set")]))
         return (name != "") & ~hidden & ((node != "function") | F.array_contains("modifiers", "export"))
     if language == "java":
-        plain = ["equals", "hashCode", "toString", "canEqual", "clone", "builder", "toBuilder"]
+        plain = "builder canEqual clone equals hashCode toBuilder toString".split()
         accessor = (node == "method") & name.rlike(r"^(?:get|set|is)\p{Lu}")
         return (name != "") & ~name.startswith("test") & ~name.isin(*plain) & ~accessor & ~owner.endswith("Builder")
     trivial = F.col("statements").isNotNull() & (F.col("statements") <= 1)

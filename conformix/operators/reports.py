@@ -91,9 +91,13 @@ def _table(title: str, head: list[str], rows: Iterable[str]) -> list[str]:
     return [title, *head, *rows, ""] if rows else []
 
 
+_BACK = "[⬅️ Back to Master Report](" + "../{master_report})"
+
+
 def _module_text(m, rows: dict[str, list], symmetric: bool) -> str:
     score = m["jaccard"] if symmetric else m["f1"]
-    lines = [f"# Module: `{m['module']}`", "[⬅️ Back to Master Report](../{master_report})", "", f"**Score:** {score:.2%} ({_icon(score)})"]
+    lines = [f"# Module: `{m['module']}`", _BACK, ""]
+    lines.append(f"**Score:** {score:.2%} ({_icon(score)})")
     if not symmetric:
         lines += ["", *_head("Metric", "Score"), *(_cells(f"**{n.title()}**", f"{m[n]:.2%}") for n in ("precision", "recall"))]
     lines += ["", f"**Features:** {m['base'] + m['target'] - m['solid'] if symmetric else m['base']}", ""]
@@ -141,10 +145,10 @@ def markdown_report(base: Registry, target: Registry, matches: DataFrame, rows:
             groups[k].sort(key=lambda r: (r["base_priority"], r["base_name"]))
     codes = [_code(base.language), _code(target.language)]
     ranked = sorted(modules, key=lambda m: -(m["jaccard"] if symmetric else m["f1"]))
-    lines = [f"# Feature Matching Report: {'Symmetric' if symmetric else 'Directional'}", f"Date: {now or datetime.datetime.now():%Y-%m-%d %H:%M:%S}", ""]
+    lines = [f"# Feature Matching Report: {'Symmetric' if symmetric else 'Directional'}", "Date: " + (now or datetime.datetime.now()).isoformat(" ", "seconds"), ""]
     sides = (("Base", base), ("Target", target))
     if symmetric:
-        lines += [_cells("Registry", "Language", "Version"), "| :--- | :--- | :--- |"]
+        lines += [_cells("Registry", "Language", "Version"), _cells(*[":---"] * 3)]
         lines += [_cells(f"**{n}**", r.language, r.version) for n, r in sides]
         lines += ["", f"**Jaccard Index:** {total['jaccard']:.2%}", "", f"> {_NOTES['jaccard']}"]
     else:

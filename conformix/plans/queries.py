@@ -73,7 +73,10 @@ def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return rows.where("is_base").drop("is_base"), rows.where("not is_base").drop("is_base")
 
 
-@query("""SELECT p_partkey, lower(regexp_replace(regexp_replace(replace(p_brand || 'HTTPServer-' || replace(p_name, ' ', 'X') || p_type, '-', '_'), '(.)([A-Z][a-z]+)', '\\1_\\2', 'g'), '([a-z0-9])([A-Z])', '\\1_\\2', 'g')) AS name FROM part""")
+_UP = "([A-Z]"
+
+
+@query(f"""SELECT p_partkey, lower(regexp_replace(regexp_replace(replace(p_brand || 'HTTPServer-' || replace(p_name, ' ', 'X') || p_type, '-', '_'), '(.){_UP}[a-z]+)', '\\1_\\2', 'g'), '([0-9a-z]){_UP})', '\\1_\\2', 'g')) AS name FROM part""")
 def normalize_name(spark, sf_dir):
     c = F.concat("p_brand", F.lit("HTTPServer-"), F.replace("p_name", F.lit(" "), F.lit("X")), "p_type")
     return table(spark, sf_dir, "part").select("p_partkey", names.normalize_name(c).alias("name"))
@@ -121,8 +124,8 @@ def _values(items: list[str]) -> str:
 
 
 @query(
-    f"""SELECT r_regionkey, t, CASE WHEN k IN ('none') THEN 'NULL' WHEN k IN ('list', 'array', 'slice', 'vector', 'generator', 'asyncgenerator', 'iterable', 'iterator', 'asynciterable', 'asynciterator') THEN 'LIST' WHEN k = 'set' THEN 'SET'
- WHEN k IN ('map', 'dictionary', 'dict', 'record', 'hash') THEN 'MAP' WHEN k IN ('int', 'integer', 'long', 'int64', 'float', 'double') THEN 'NUMBER' WHEN k IN ('str', 'string') THEN 'STRING' WHEN k IN ('bool', 'boolean') THEN 'BOOLEAN' ELSE 'OBJECT' END AS kind
+    f"""SELECT r_regionkey, t, CASE WHEN k IN ('none') THEN 'NULL' WHEN k IN ('array', 'asyncgenerator', 'asynciterable', 'asynciterator', 'generator', 'iterable', 'iterator', 'list', 'slice', 'vector') THEN 'LIST' WHEN k = 'set' THEN 'SET'
+ WHEN k IN ('dict', 'dictionary', 'hash', 'map', 'record') THEN 'MAP' WHEN k IN ('double', 'float', 'int', 'int64', 'integer', 'long') THEN 'NUMBER' WHEN k IN ('str', 'string') THEN 'STRING' WHEN k IN ('bool', 'boolean') THEN 'BOOLEAN' ELSE 'OBJECT' END AS kind
  FROM (SELECT r_regionkey, t, lower(trim(t)) AS k FROM region, (VALUES {_values(_TYPE_TEXTS)}) v(t))"""
 )
 def type_keyword_map(spark, sf_dir):

@@ -64,8 +64,8 @@ def _docs(comment: str) -> tuple[str, dict[str, str]]:
         m = re.match(r"@param\s+(?:\{[^}]*\}\s*)?(\S+)\s*(.*)", line)
         if m:
             name = m[1]
-            if name.startswith("[") and name.endswith("]"):
-                name = name[1:-1].split("=")[0]
+            if name[0] + name[-1] == "[]":
+                name = name[1:-1].partition("=")[0]
             docs[name] = re.sub(r"^-\s*", "", m[2]).strip() if m[2].startswith("- ") else m[2].strip()
     return "\n".join(lines[:cut]).strip(), docs
 

@@ -9,12 +9,12 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LANGUAGES = {"python": "python", "py": "python", "typescript": "typescript", "ts": "typescript", "java": "java", "go": "go"}
-SUFFIX = {"python": "py", "typescript": "ts", "java": "java", "go": "go"}
-_MARKERS = {"python": ["src"], "typescript": ["package.json", "tsconfig.json"], "java": ["pom.xml", "build.gradle", "build.gradle.kts"], "go": ["go.mod"]}
-_SEARCH = {"python": ["src"], "typescript": ["core/src", "src"], "java": ["src/main/java", "src"], "go": []}
-_SKIP_NAMES = {"python": ["__init__.py", "version.py", "setup.py", "conftest.py"], "java": ["module-info.java", "package-info.java"]}
-_SKIP_PARTS = {"typescript": ["node_modules"], "java": ["node_modules", "build", "target", "out", "bin", "test"]}
+SUFFIX = dict(python="py", typescript="ts", java="java", go="go")
+LANGUAGES = {k: k for k in SUFFIX} | {v: k for k, v in SUFFIX.items()}
+_MARKERS = dict(python="src", typescript="package.json tsconfig.json", java="pom.xml build.gradle build.gradle.kts", go="go.mod")
+_SEARCH = dict(python="src", typescript="core/src src", java="src/main/java src", go="")
+_SKIP_NAMES = dict(python="conftest.py setup.py version.py __init__.py", java="module-info.java package-info.java")
+_SKIP_PARTS = dict(typescript="node_modules", java="bin build node_modules out target test")
 
 
 @dataclass(frozen=True)
@@ -38,9 +38,9 @@ def keeps(path: Column, language: str) -> Column:
     name = F.element_at(parts, -1)
     ok = name.endswith("." + SUFFIX[language]) & ~F.exists(parts, lambda p: p.startswith(".") & ~p.isin(".", ".."))
     if language in _SKIP_NAMES:
-        ok &= ~name.isin(*_SKIP_NAMES[language])
+        ok &= ~name.isin(*_SKIP_NAMES[language].split())
     if language in _SKIP_PARTS:
-        ok &= ~F.arrays_overlap(parts, F.array(*[F.lit(p) for p in _SKIP_PARTS[language]]))
+        ok &= ~F.arrays_overlap(parts, F.array(*[F.lit(p) for p in _SKIP_PARTS[language].split()]))
     return ok & ~name.endswith(".d.ts") if language == "typescript" else ok
 
 
@@ -75,14 +75,14 @@ def scan(spark: SparkSession, folder: str | Path, language: str, recursive: bool
 def repo_root(path: Path, language: str) -> Path | None:
     """Nearest folder above the path with a marker of the language."""
     for parent in path.parents:
-        if any((parent / m).exists() for m in _MARKERS[language]):
+        if any((parent / m).exists() for m in _MARKERS[language].split()):
             return parent
     return None
 
 
 def search_dir(root: Path, language: str) -> Path:
     """Folder of a repository in which sources are looked for; the root if there is none."""
-    return next((root / s for s in _SEARCH[language] if (root / s).is_dir()), root)
+    return next((root / s for s in _SEARCH[language].split() if (root / s).is_dir()), root)
 
 
 def load_config(folder: Path) -> dict:
@@ -109,7 +109,7 @@ def typescript_version(content: Column) -> Column:
 
 
 def java_constant(content: Column, name: str) -> Column:
-    return F.nullif(F.regexp_extract(content, rf'\b{name}\s*=\s*"([^"]+)"', 1), F.lit(""))
+    return F.nullif(F.regexp_extract(content, rf'\b{name}\s*={{1}}\s*["]([^"]+)', 1), F.lit(""))
 
 
 def maven_version(content: Column) -> Column:
@@ -120,7 +120,7 @@ def maven_version(content: Column) -> Column:
 
 
 def gradle_version(content: Column) -> Column:
-    return F.nullif(F.regexp_extract(content, r"""(?m)^\s*version\s*=\s*['"]([^'"]+)['"]""", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(content, r"""(?m)^\s*version\s*={1}\s*["']([^"']+)""", 1), F.lit(""))
 
 
 def go_module(content: Column) -> Column:
@@ -148,6 +148,6 @@ def version(spark: SparkSession, root: Path, language: str, project: Project = P
         if got:
             return got
     found = read(root / "pom.xml", maven_version)
-    for name in ("build.gradle", "build.gradle.kts"):
-        found = found or read(root / name, gradle_version)
+    for kind in ("", ".kts"):
+        found = found or read(root / f"build.gradle{kind}", gradle_version)
     return found or "0.0.0"

@@ -8,24 +8,13 @@ from conformix.operators.reports import match_registries, write_report
 from conformix.sources import textproto
 
 
-def feature(**values):
-    return "features {" + " ".join(f"{k}: {v}" if k == "type" else f'{k}: "{v}"' for k, v in values.items()) + "}\n"
-
-
-M = "INSTANCE_METHOD"
-BASE = 'language: "PYTHON" version: "1.0.0"\n' + "".join(
-    [
-        feature(original_name="fSameBase", normalized_name="f_same", member_of="BaseClass", normalized_member_of="c_same", normalized_namespace="n_same", type=M),
-        feature(original_name="base_name", normalized_name="base_name", member_of="base_member", normalized_member_of="base_member", normalized_namespace="n_same", type=M),
-        feature(original_name="totally_diff", normalized_name="totally", member_of="null", normalized_member_of="different", normalized_namespace="stuff", type=M),
-    ]
-)
-TARGET = "language: 'TYPESCRIPT'\nversion: \"2.0\"  # comment\n" + "".join(
-    [
-        feature(original_name="fSameTarget", normalized_name="f_same", member_of="TargetClass", normalized_member_of="c_same", normalized_namespace="n_same", type=M),
-        feature(original_name="target_name", normalized_name="targ_name", member_of="target_member", normalized_member_of="target_member", normalized_namespace="n_same", type=M),
-    ]
-)
+def feature(name, normalized, member, normalized_member, module):
+    fields = zip(("original_name", "normalized_name", "member_of", "normalized_member_of", "normalized_namespace"), (name, normalized, member, normalized_member, module))
+    return "features {" + " ".join(f'{k}: "{v}"' for k, v in fields) + " type: INSTANCE_METHOD}\n"
+
+
+BASE = 'language: "PYTHON" version: "1.0.0"\n' + feature("fSameBase", "f_same", "BaseClass", "c_same", "n_same") + feature("base_name", "base_name", "base_member", "base_member", "n_same") + feature("totally_diff", "totally", "null", "different", "stuff")
+TARGET = "language: 'TYPESCRIPT'\nversion: \"2.0\"  # comment\n" + feature("fSameTarget", "f_same", "TargetClass", "c_same", "n_same") + feature("target_name", "targ_name", "target_member", "target_member", "n_same")
 
 
 @pytest.fixture(scope="module")
@@ -36,6 +25,10 @@ def registries(spark, tmp_path_factory):
     return textproto.read_registry(spark, str(d / "b.txtpb")), textproto.read_registry(spark, str(d / "t.txtpb"))
 
 
+def row(*cells):
+    return "| " + " | ".join(cells) + " |"
+
+
 def test_symmetric(registries, tmp_path):
     got = match_registries(*registries, 0.9, "symmetric", "acme", datetime.datetime(2024, 1, 2))
     text = got.master_content
@@ -43,7 +36,7 @@ def test_symmetric(registries, tmp_path):
     assert "| python, ts | `n_same` | 2 | 33.33% | ❌ | [View Details]({modules_dir}/n_same.md) |" in text
     assert "| ACME | Module |" in text
     module = got.module_files["n_same.md"]
-    assert "| method | `BaseClass.fSameBase` | `TargetClass.fSameTarget` | 1.00 |" in module
+    assert row("method", "`BaseClass.fSameBase`", "`TargetClass.fSameTarget`", "1.00") in module
     assert "`base_member.base_name` | `target_member.target_name` | 0.88 |" in module and "**Features:** 3" in module
     assert "| `totally_diff` | Target |" in got.module_files["stuff.md"]
     write_report(got, tmp_path / "out.md")
@@ -53,13 +46,13 @@ def test_symmetric(registries, tmp_path):
 
 def test_directional(registries):
     text = match_registries(*registries, 0.9, "directional").master_content
-    for line in ("| **Precision** | 50.00% |", "| **Recall** | 33.33% |", "| **F1 Score** | 40.00% |", "| `n_same` | 2 | 50.00% | ❌ |", "**Base:** PYTHON (1.0.0)"):
+    for line in (row("**Precision**", "50.00%"), row("**Recall**", "33.33%"), row("**F1 Score**", "40.00%"), row("`n_same`", "2", "50.00%", "❌"), "**Base:** PYTHON (1.0.0)"):
         assert line in text
 
 
 def test_raw(registries):
     lines = match_registries(*registries, 0.9, "raw").master_content.split("\n")
-    assert lines[0] == "python_namespace,python_member_of,python_name,ts_namespace,ts_member_of,ts_name,type,score"
+    assert lines[0].split(",") == [f"{c}_{x}" for c in ("python", "ts") for x in ("namespace", "member_of", "name")] + ["type", "score"]
     assert lines[1:] == ["n_same,BaseClass,fSameBase,n_same,TargetClass,fSameTarget,method,1.0000", "n_same,base_member,base_name,n_same,target_member,target_name,method,0.8844", "stuff,different,totally_diff,,,,method,0.0000"] or lines[3].startswith("stuff,")
 
 
