@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,14 +21,12 @@ def shared_dir(spark: SparkSession) -> str:
     Only where the setting is absent, as in tests on one machine, is a local
     folder made and set.
     """
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if conf:
-        return conf.rstrip("/")
-    have = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
-    if not have:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="conformix-"))
-        have = spark.sparkContext.getCheckpointDir()
-    return have.rstrip("/")
+    folder = spark.conf.get("spark.checkpoint.dir", "") or ""
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="conformix-"))
+    folder = folder or context._jsc.sc().getCheckpointDir().get()
+    return re.sub("^file:/+", "file:///", folder.rstrip("/"))
 
 
 def scratch(spark: SparkSession, name: str) -> str:
