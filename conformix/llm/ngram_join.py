@@ -10,10 +10,12 @@ sizes rule out are discarded before and during the product:
 2. Of n n-grams, a set that reaches t with another misses n - ceil(t n) at most,
    so of its first x in the order it shares x - (n - ceil(t n)) or more. Only the
    first x = ceil((1 - t + 0.15) n) + 1 are shuffled, as packed arrays by hash
-   bucket, and classes that share fewer of them are dropped.
-3. For the classes left, the lowest class with an n-gram among the first
-   n - ceil(t n) + 1 owns it, and a class goes to the row block of each owner it
-   has; a block of more than `block_rows` is split into squares of its matrix.
+   bucket, and classes that share fewer of them with classes of sizes within the
+   factor t are dropped.
+3. For the classes left, the lowest class of a size range with an n-gram among
+   the first n - ceil(t n) + 1 owns it there. Owners with mostly the same classes are merged, and
+   a class goes to the row block of each owner it then has; a block of more than
+   `block_rows` is split into squares of its matrix.
 4. Within a block, columns of one row are dropped, then rows left with fewer
    than ceil(t n) columns, until nothing changes. What is left is multiplied
    slab by slab, rows sorted by size, skipping rows whose sizes differ by more
@@ -32,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import jobs, texts
+from .components import components
 
 U64 = np.uint64
 _SLOT_BITS = 17
@@ -121,37 +124,44 @@ def _levels(survey: DataFrame) -> np.ndarray:
 
 
 class _Packer:
-    """Collects (key, class, bound) and packs them into rows by bucket: keys of
-    32 bits, and once for each class its number, its count of keys and its bound."""
+    """Collects (key, class, size of the set) and packs them into rows by bucket: keys
+    of 32 bits, and once for each class its number, its count of keys and its size."""
 
-    names = ["bucket", "keys", "classes", "counts", "bounds"]
-    schema = "bucket int, keys binary, classes binary, counts binary, bounds binary"
+    names = ["bucket", "keys", "classes", "counts", "sizes"]
+    schema = "bucket int, keys binary, classes binary, counts binary, sizes binary"
 
     def __init__(self, n_buckets: int):
         self.n_buckets, self.pend, self.size = n_buckets, [], 0
 
-    def put(self, keys: np.ndarray, classes: np.ndarray, bounds: np.ndarray) -> None:
+    def put(self, keys: np.ndarray, classes: np.ndarray, sizes: np.ndarray) -> None:
         if len(keys):
-            self.pend.append((keys, classes, bounds))
+            self.pend.append((keys, classes, sizes))
             self.size += len(keys)
 
     def batch(self) -> pa.RecordBatch:
-        keys, classes, bounds = (np.concatenate(x) for x in zip(*self.pend))
+        keys, classes, sizes = (np.concatenate(x) for x in zip(*self.pend))
         self.pend, self.size = [], 0
         h = texts.mix(keys)
         part = (h % U64(self.n_buckets)).astype(np.int64)
         order = np.argsort(part.astype(np.uint16) if self.n_buckets < 1 << 16 else part, kind="stable")
-        short, classes, bounds, part = (h >> U64(32)).astype(np.uint32)[order], classes[order], bounds[order], part[order]
+        short, classes, sizes, part = (h >> U64(32)).astype(np.uint32)[order], classes[order], sizes[order], part[order]
         at = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
         rows = []
         for a, b in zip(at.tolist(), [*at[1:].tolist(), len(part)]):
             own = classes[a:b]
             first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-            rows.append((int(part[a]), short[a:b].tobytes(), own[first].tobytes(), np.diff(np.append(first, b - a)).astype(np.uint32).tobytes(), bounds[a:b][first].astype(np.uint32).tobytes()))
+            rows.append((int(part[a]), short[a:b].tobytes(), own[first].tobytes(), np.diff(np.append(first, b - a)).astype(np.uint32).tobytes(), sizes[a:b][first].astype(np.uint32).tobytes()))
         cols = list(zip(*rows))
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], self.names)
 
 
+def _head(n: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """How many of the first keys of a set of n are sent, and how many of them must be shared."""
+    miss = n - _need(n, t)
+    take = np.minimum(n, miss + np.ceil(0.15 * n).astype(np.int64) + 1)
+    return take, take - miss
+
+
 def _heads(n: int, t: float, levels: np.ndarray, n_buckets: int):
     """The first x keys of each set, packed."""
 
@@ -161,9 +171,8 @@ def _heads(n: int, t: float, levels: np.ndarray, n_buckets: int):
             for _, buf, off in texts.chunks(batch, "text"):
                 keys, goff = _gram_sets(buf, off, n, levels)
                 count = np.diff(goff)
-                miss = count - _need(count, t)
-                take = np.minimum(count, miss + np.ceil(0.15 * count).astype(np.int64) + 1)
-                packer.put(keys[texts.ranges(goff[:-1], take)], np.repeat(_class_of(keys, goff), take), np.repeat(take - miss, take))
+                take, _ = _head(count, t)
+                packer.put(keys[texts.ranges(goff[:-1], take)], np.repeat(_class_of(keys, goff), take), np.repeat(count, take))
                 if packer.size >= _EMIT_KEYS:
                     yield packer.batch()
         if packer.size:
@@ -181,7 +190,7 @@ def _prefixes(t: float, n_buckets: int):
             for cls, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
                 keys = np.frombuffer(raw.as_buffer(), U64)
                 take = len(keys) - int(_need(np.int64(len(keys)), t)) + 1
-                packer.put(keys[:take], np.full(take, cls), np.ones(take, np.int64))
+                packer.put(keys[:take], np.full(take, cls), np.full(take, len(keys)))
                 if packer.size >= _EMIT_KEYS:
                     yield packer.batch()
         if packer.size:
@@ -190,64 +199,78 @@ def _prefixes(t: float, n_buckets: int):
     return run
 
 
-def _shared(table):
-    """Keys that two classes or more of a bucket share: classes and bounds sorted by key, run starts, run lengths."""
-    keys = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table.column("keys")])
+def _shared(table, t: float):
+    """Keys that classes of sizes within the factor t share: class, its size, number of
+    the run and lowest class of the run, for each member of each run.
+
+    The classes with a key are sorted by size and cut where the next is more than
+    1 / t times as large, as no pair across such a gap can reach t.
+    """
+    keys = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table.column("keys")]).astype(U64)
     counts = [np.frombuffer(x.as_py(), np.uint32) for x in table.column("counts")]
     classes = np.concatenate([np.repeat(np.frombuffer(i.as_py(), np.int64), c) for i, c in zip(table.column("classes"), counts)])
-    bounds = np.concatenate([np.repeat(np.frombuffer(i.as_py(), np.uint32), c) for i, c in zip(table.column("bounds"), counts)])
-    packed = np.sort((keys.astype(U64) << U64(32)) | np.arange(len(keys), dtype=U64))
-    place = (packed & U64(0xFFFFFFFF)).astype(np.int64)
-    key, classes, bounds = packed >> U64(32), classes[place], bounds[place]
-    at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    length = np.diff(np.append(at, len(key)))
+    sizes = np.concatenate([np.repeat(np.frombuffer(i.as_py(), np.uint32), c) for i, c in zip(table.column("sizes"), counts)])
+    order = np.argsort((keys << U64(32)) | sizes)
+    keys, classes, sizes = keys[order], classes[order], sizes[order].astype(np.int64)
+    cut = np.ones(len(keys), bool)
+    cut[1:] = (keys[1:] != keys[:-1]) | (sizes[1:] * t > sizes[:-1] + 1e-6)
+    at = np.flatnonzero(cut)
+    length = np.diff(np.append(at, len(keys)))
     least, most = np.minimum.reduceat(classes, at), np.maximum.reduceat(classes, at)
     some = least < most
     rows = texts.ranges(at[some], length[some])
-    return classes[rows], bounds[rows], key[rows], np.repeat(least[some], length[some])
+    return classes[rows], sizes[rows], np.repeat(np.flatnonzero(some), length[some]), np.repeat(least[some], length[some])
 
 
-def _tally(n_parts: int):
+def _tally(n_parts: int, t: float):
     """For each class of a bucket how many of its keys are shared, packed by class."""
 
     def run(key, table):
-        classes, bounds, key, _ = _shared(table)
+        classes, sizes, key, _ = _shared(table, t)
         order = np.lexsort((key, classes))
-        classes, bounds, key = classes[order], bounds[order], key[order]
+        classes, sizes, key = classes[order], sizes[order], key[order]
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (classes[1:] != classes[:-1])
-        classes, bounds = classes[new], bounds[new]
+        classes, sizes = classes[new], sizes[new]
         first = np.flatnonzero(np.concatenate(([True], classes[1:] != classes[:-1]))) if len(classes) else np.zeros(0, np.int64)
-        count, classes, bounds = np.diff(np.append(first, len(classes))), classes[first], bounds[first]
+        count, classes, sizes = np.diff(np.append(first, len(classes))), classes[first], sizes[first]
         part = (classes.view(U64) % U64(n_parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
-        count, classes, bounds, part = count[order].astype(np.uint32), classes[order], bounds[order], part[order]
+        count, classes, sizes, part = count[order].astype(np.uint32), classes[order], sizes[order].astype(np.uint32), part[order]
         edge = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))).tolist() if len(part) else []
-        rows = [(int(part[a]), classes[a:b].tobytes(), count[a:b].tobytes(), bounds[a:b].tobytes()) for a, b in zip(edge, [*edge[1:], len(part)])]
+        rows = [(int(part[a]), classes[a:b].tobytes(), count[a:b].tobytes(), sizes[a:b].tobytes()) for a, b in zip(edge, [*edge[1:], len(part)])]
         cols = list(zip(*rows)) or [[]] * 4
-        return pa.table({"part": pa.array(cols[0], pa.int32()), "classes": pa.array(cols[1], pa.binary()), "counts": pa.array(cols[2], pa.binary()), "bounds": pa.array(cols[3], pa.binary())})
+        return pa.table({"part": pa.array(cols[0], pa.int32()), "classes": pa.array(cols[1], pa.binary()), "counts": pa.array(cols[2], pa.binary()), "sizes": pa.array(cols[3], pa.binary())})
 
     return run
 
 
-def _enough(key, table):
+def _enough(t: float):
     """Classes that share as many keys as the bound asks."""
-    classes, counts, bounds = (np.concatenate([np.frombuffer(x.as_py(), t) for x in table.column(c)]) for c, t in (("classes", np.int64), ("counts", np.uint32), ("bounds", np.uint32)))
-    order = np.argsort(classes)
-    classes, counts, bounds = classes[order], counts[order], bounds[order]
-    first = np.flatnonzero(np.concatenate(([True], classes[1:] != classes[:-1])))
-    keep = np.add.reduceat(counts, first) >= bounds[first]
-    return pa.table({"class": classes[first][keep]})
 
+    def run(key, table):
+        classes, counts, sizes = (np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column(c)]) for c, kind in (("classes", np.int64), ("counts", np.uint32), ("sizes", np.uint32)))
+        order = np.argsort(classes)
+        classes, counts, sizes = classes[order], counts[order], sizes[order].astype(np.int64)
+        first = np.flatnonzero(np.concatenate(([True], classes[1:] != classes[:-1])))
+        keep = np.add.reduceat(counts, first) >= _head(sizes[first], t)[1]
+        return pa.table({"class": classes[first][keep]})
 
-def _owners(key, table):
+    return run
+
+
+def _owners(t: float):
     """Distinct (class, owner) of a bucket."""
-    a, _, _, b = _shared(table)
-    order = np.lexsort((a, b))
-    a, b = a[order], b[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return pa.table({"class": a[new], "owner": b[new]})
+
+    def run(key, table):
+        a, _, _, b = _shared(table, t)
+        order = np.lexsort((a, b))
+        a, b = a[order], b[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        return pa.table({"class": a[new], "owner": b[new]})
+
+    return run
 
 
 def _sets(n: int, levels: np.ndarray, bits: np.ndarray):
@@ -453,6 +476,29 @@ def _products(t: float, star: bool):
     return run
 
 
+def _merged_owners(owned: DataFrame, block_rows: int) -> DataFrame:
+    """The same (class, owner) with owners merged whose classes are mostly the same.
+
+    Classes that share an owner share what it is merged into, so any merging is
+    right. An owner joins the lower owner that most of its classes have too, if
+    that is half of them at least; chains are followed to their end. Where more
+    than `block_rows` classes would meet, owners stay apart.
+    """
+    size = owned.groupBy("owner").count()
+    both = owned.join(owned.select("class", F.col("owner").alias("lower")), "class").where("lower < owner").groupBy("owner", "lower").agg(F.count("*").alias("n"))
+    best = both.groupBy("owner").agg(F.max(F.struct("n", F.negate("lower"), "lower")).alias("best")).join(size, "owner").where(F.col("best.n") * 2 >= F.col("count"))
+    label = jobs.cut(size.select("owner").join(best.select("owner", F.col("best.lower").alias("root")), "owner", "left").select("owner", F.coalesce("root", "owner").alias("root")))
+    while True:
+        over = label.select(F.col("owner").alias("root"), F.col("root").alias("next"))
+        new = jobs.cut(label.join(over, "root").select("owner", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
+        label = new.select("owner", "root")
+        if not new.where("moved").head(1):
+            break
+    placed = owned.join(label, "owner").select("class", "owner", "root")
+    fits = placed.select("class", "root").distinct().groupBy("root").count().where(F.col("count") <= block_rows).select("root", F.lit(True).alias("fits"))
+    return placed.join(fits, "root", "left").select("class", F.when(F.col("fits"), F.col("root")).otherwise(F.col("owner")).alias("owner")).distinct()
+
+
 def _blocked(docs: DataFrame, threshold: float, n: int, block_rows: int, id_col: str, text_col: str, star: bool) -> DataFrame:
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be over 0 and at most 1")
@@ -465,15 +511,16 @@ def _blocked(docs: DataFrame, threshold: float, n: int, block_rows: int, id_col:
     classes = jobs.saved(rows.groupBy("class", "n").agg(F.sort_array(F.collect_set("id")).alias("members")), "classes")
 
     heads = base.mapInArrow(_heads(n, threshold, levels, count), _Packer.schema)
-    tallies = heads.groupBy("bucket").applyInArrow(_tally(count), "part int, classes binary, counts binary, bounds binary")
-    left = tallies.groupBy("part").applyInArrow(_enough, "class long")
+    tallies = heads.groupBy("bucket").applyInArrow(_tally(count, threshold), "part int, classes binary, counts binary, sizes binary")
+    left = tallies.groupBy("part").applyInArrow(_enough(threshold), "class long")
     left = jobs.saved(left.join(classes, "class").select("class", "members", F.col("members")[0].alias("id")), "left")
     sets = base.mapInArrow(_sets(n, levels, jobs.id_filter(left.select("id"))), "id long, own long, grams binary")
-    sets = sets.join(left.select("id", "class"), "id").where("own = class").select("class", "grams").dropDuplicates(["class"])
+    sets = sets.join(left.select("id", "class"), "id").where("own = class").dropDuplicates(["id", "class"]).select("class", "grams")
     sets = jobs.saved(sets, "sets")
 
-    owned = sets.mapInArrow(_prefixes(threshold, count), _Packer.schema).groupBy("bucket").applyInArrow(_owners, "class long, owner long").distinct()
+    owned = sets.mapInArrow(_prefixes(threshold, count), _Packer.schema).groupBy("bucket").applyInArrow(_owners(threshold), "class long, owner long").distinct()
     owned = jobs.saved(owned, "owners")
+    owned = jobs.saved(_merged_owners(owned, block_rows), "blocks")
     wide = owned.groupBy("owner").count().where(F.col("count") > block_rows).select("owner", F.ceil(F.col("count") / block_rows).cast("int").alias("slabs"))
     placed = owned.join(wide, "owner", "left").withColumn("slabs", F.coalesce("slabs", F.lit(1))).withColumn("slab", F.pmod(F.xxhash64("class"), F.col("slabs")).cast("int"))
     block = F.transform(F.sequence(F.lit(0), F.col("slabs") - 1), lambda j: F.struct(F.col("owner"), F.least("slab", j).alias("lo"), F.greatest("slab", j).alias("hi"), F.col("slab")))
@@ -516,16 +563,5 @@ def duplicate_groups(docs: DataFrame, threshold: float = 0.6, n: int = 5, block_
     Only documents in some pair are listed. Each block reports a star instead of
     its pairs, so the work after the product grows with documents, not pairs.
     """
-    edges = _blocked(docs, threshold, n, block_rows, id_col, text_col, True).where("id != root").distinct()
-    edges = jobs.cut(edges)
-    both = edges.select(F.col("id").alias("a"), F.col("root").alias("b")).union(edges.select(F.col("root").alias("a"), F.col("id").alias("b")))
-    both = jobs.cut(both)
-    label = jobs.cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("group")))
-    while True:
-        near = both.join(label.select(F.col("id").alias("b"), "group"), "b").groupBy("a").agg(F.min("group").alias("seen"))
-        jump = label.select(F.col("id").alias("group"), F.col("group").alias("over"))
-        new = label.join(near, label["id"] == near["a"]).join(jump, "group", "left")
-        new = jobs.cut(new.select("id", F.least("group", "seen", "over").alias("group"), (F.least("group", "seen", "over") < F.col("group")).alias("moved")))
-        if not new.where("moved").head(1):
-            return new.select("id", "group")
-        label = new.select("id", "group")
+    edges = _blocked(docs, threshold, n, block_rows, id_col, text_col, True).where("id != root")
+    return components(edges.select(F.col("id").alias("a"), F.col("root").alias("b")))
