@@ -284,7 +284,7 @@ def _sets(n: int, levels: np.ndarray, bits: np.ndarray):
             for part, buf, off in texts.chunks(batch.filter(pa.array(some)), "text"):
                 keys, goff = _gram_sets(buf, off, n, levels)
                 grams = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(goff) - 1, [None, pa.py_buffer(goff * 8), pa.py_buffer(np.ascontiguousarray(keys))]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_class_of(keys, goff)), grams], ["id", "own", "grams"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_class_of(keys, goff)), grams], ["id", "class", "grams"])
 
     return run
 
@@ -448,7 +448,16 @@ def _products(t: float, star: bool):
         def work(table: pa.Table):
             o, lo, hi = (table.column(c).to_numpy() for c in ("owner", "lo", "hi"))
             change = (o[1:] != o[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
-            got = _multiply(np.concatenate(([0], np.cumsum(change))), table, t, star)
+            groups = np.concatenate(([0], np.cumsum(change)))
+            # repeated rows of one document come more than once
+            classes = table.column("class").to_numpy()
+            order = np.lexsort((classes, groups))
+            same = (groups[order[1:]] == groups[order[:-1]]) & (classes[order[1:]] == classes[order[:-1]])
+            if same.any():
+                keep = np.ones(len(groups), bool)
+                keep[order[1:][same]] = False
+                table, groups = table.filter(pa.array(keep)).combine_chunks(), groups[keep]
+            got = _multiply(groups, table, t, star)
             return pa.RecordBatch.from_arrays([pa.array(x) for x in got], names) if got else None
 
         for batch in batches:
@@ -514,18 +523,19 @@ def _blocked(docs: DataFrame, threshold: float, n: int, block_rows: int, id_col:
     tallies = heads.groupBy("bucket").applyInArrow(_tally(count, threshold), "part int, classes binary, counts binary, sizes binary")
     left = tallies.groupBy("part").applyInArrow(_enough(threshold), "class long")
     left = jobs.saved(left.join(classes, "class").select("class", "members", F.col("members")[0].alias("id")), "left")
-    sets = base.mapInArrow(_sets(n, levels, jobs.id_filter(left.select("id"))), "id long, own long, grams binary")
-    sets = sets.join(left.select("id", "class"), "id").where("own = class").dropDuplicates(["id", "class"]).select("class", "grams")
+    # few others pass the filter; they fall out of the join with `left` below
+    sets = base.mapInArrow(_sets(n, levels, jobs.id_filter(left.select("id"))), "id long, class long, grams binary")
     sets = jobs.saved(sets, "sets")
 
-    owned = sets.mapInArrow(_prefixes(threshold, count), _Packer.schema).groupBy("bucket").applyInArrow(_owners(threshold), "class long, owner long").distinct()
+    owned = sets.select("class", "grams").mapInArrow(_prefixes(threshold, count), _Packer.schema).groupBy("bucket").applyInArrow(_owners(threshold), "class long, owner long").distinct()
     owned = jobs.saved(owned, "owners")
     owned = jobs.saved(_merged_owners(owned, block_rows), "blocks")
     wide = owned.groupBy("owner").count().where(F.col("count") > block_rows).select("owner", F.ceil(F.col("count") / block_rows).cast("int").alias("slabs"))
     placed = owned.join(wide, "owner", "left").withColumn("slabs", F.coalesce("slabs", F.lit(1))).withColumn("slab", F.pmod(F.xxhash64("class"), F.col("slabs")).cast("int"))
     block = F.transform(F.sequence(F.lit(0), F.col("slabs") - 1), lambda j: F.struct(F.col("owner"), F.least("slab", j).alias("lo"), F.greatest("slab", j).alias("hi"), F.col("slab")))
     placed = placed.groupBy("class").agg(F.sort_array(F.collect_set("owner")).alias("owners"), F.flatten(F.collect_list(block)).alias("blocks"))
-    blocks = sets.join(placed, "class").join(left.select("class", "members"), "class")
+    about = left.select("class", "members", F.col("id").alias("first")).join(placed, "class")
+    blocks = sets.join(about, "class").where("id = first")
     blocks = blocks.select("class", "owners", "members", F.explode("blocks").alias("b"), "grams").select("b.owner", "b.lo", "b.hi", "b.slab", "class", "owners", "members", "grams")
     blocks = blocks.repartition("owner", "lo", "hi").sortWithinPartitions("owner", "lo", "hi")
     near = blocks.mapInArrow(_products(threshold, star), _STAR if star else _PAIR)
