@@ -7,7 +7,8 @@ afterwards from headers: a reader fetches only the first bytes of each member,
 in one range read, and inflates just what it needs.
 
 Shards are written under a temporary name and then renamed; a task that is run
-again writes the same bytes to the same name, as members are ordered by digest.
+again writes the same bytes to the same name. Payloads that one row alone has are
+stored where they are read; only those of several rows are brought together.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import tarfile
 import uuid
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
@@ -67,58 +69,92 @@ def header_fields(head: bytes) -> dict:
     return out
 
 
-def _deflate(batches):
+def _digests(batches):
     for batch in batches:
-        digests, raw, size = [], [], []
-        for x in batch.column(1):
-            data = x.as_py()
-            digests.append(hashlib.sha256(data).hexdigest())
-            gz = zlib.compressobj(6, zlib.DEFLATED, 31)
-            raw.append(gz.compress(data) + gz.flush())
-            size.append(len(data))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.string()), pa.array(size, pa.int64()), pa.array(raw, pa.binary())], ["id", "digest", "n_bytes", "payload"])
+        yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in batch.column(1)], pa.string())], ["digest"])
 
 
-def _write_shards(root: str):
-    """Writes the payloads of a partition, sorted by digest, and gives each row its place."""
+def _number(digest: str) -> int:
+    """63 bits of a digest."""
+    return int(digest[:16], 16) >> 1
+
+
+class _Shards:
+    """Writes members to tar shards; a shard is named after its first member and renamed when complete."""
+
+    def __init__(self, root: str):
+        self.where, self.base = fs.FileSystem.from_uri(root)
+        self.where.create_dir(self.base, recursive=True)
+        self.tar = None
+
+    def add(self, digest: str, data: bytes) -> tuple[str, int, int]:
+        """Shard, offset and length of a new member."""
+        if self.tar is not None and self.tar.offset >= _SHARD_BYTES:
+            self.close()
+        if self.tar is None:
+            self.name = f"{digest}.tar"
+            self.part = f"{self.base}/{self.name}.{uuid.uuid4().hex}.part"
+            self.out = self.where.open_output_stream(self.part)
+            self.tar = tarfile.open(fileobj=self.out, mode="w|", format=tarfile.USTAR_FORMAT)
+        info = tarfile.TarInfo(f"{digest}.gz")
+        info.size = len(data)
+        offset = self.tar.offset + 512
+        self.tar.addfile(info, io.BytesIO(data))
+        return self.name, offset, len(data)
+
+    def close(self) -> None:
+        if self.tar is not None:
+            self.tar.close()
+            self.out.close()
+            self.where.move(self.part, f"{self.base}/{self.name}")
+            self.tar = None
+
+
+_NAMES = ["id", "digest", "n_bytes", "shard", "offset", "length", "payload"]
+_TYPES = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
+_PLACED = "id long, digest string, n_bytes long, shard string, offset long, length long, payload binary"
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) or [[]] * len(_NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _TYPES)], _NAMES)
+
+
+def _write_single(root: str, shared: np.ndarray):
+    """Stores payloads that no other row has; others go on, compressed, to be stored once."""
 
     def run(batches):
-        where, base = fs.FileSystem.from_uri(root)
-        where.create_dir(base, recursive=True)
-        rows: list[tuple] = []
-        tar, out, part, name, known = None, None, "", "", ("", 0, 0)
-
-        def close():
-            tar.close()
-            out.close()
-            where.move(part, f"{base}/{name}")
-
-        def batch():
-            cols = list(zip(*rows))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], ["id", "digest", "n_bytes", "shard", "offset", "length"])
-
-        for got in batches:
-            for id_, digest, size, payload in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), got.column(2).to_pylist(), got.column(3)):
-                if digest != known[0]:
-                    if tar is not None and out.tell() >= _SHARD_BYTES:
-                        close()
-                        yield batch()
-                        tar, rows = None, []
-                    if tar is None:
-                        name = f"{digest}.tar"  # the first member names the shard
-                        part = f"{base}/{name}.{uuid.uuid4().hex}.part"
-                        out = where.open_output_stream(part)
-                        tar = tarfile.open(fileobj=out, mode="w|", format=tarfile.USTAR_FORMAT)
-                    data = payload.as_py()
-                    info = tarfile.TarInfo(f"{digest}.gz")
-                    info.size = len(data)
-                    offset = tar.offset + 512
-                    tar.addfile(info, io.BytesIO(data))
-                    known = (digest, offset, len(data))
-                rows.append((id_, digest, size, name, known[1], known[2]))
-        if tar is not None:
-            close()
-            yield batch()
+        shards = _Shards(root)
+        for batch in batches:
+            rows = []
+            for id_, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+                data = x.as_py()
+                digest = hashlib.sha256(data).hexdigest()
+                gz = zlib.compressobj(6, zlib.DEFLATED, 31)
+                raw = gz.compress(data) + gz.flush()
+                if jobs.passes(shared, np.array([_number(digest)]))[0]:
+                    rows.append((id_, digest, len(data), None, None, None, raw))
+                else:
+                    rows.append((id_, digest, len(data), *shards.add(digest, raw), None))
+            yield _batch(rows)
+        shards.close()
+
+    return run
+
+
+def _write_shared(root: str):
+    """Stores each payload of a partition once; rows come sorted by digest."""
+
+    def run(batches):
+        shards, known, place = _Shards(root), None, None
+        for batch in batches:
+            rows = []
+            for id_, digest, size, payload in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2)), batch.column(6)):
+                if digest != known:
+                    known, place = digest, shards.add(digest, payload.as_py())
+                rows.append((id_, digest, size, *place, None))
+            yield _batch(rows)
+        shards.close()
 
     return run
 
@@ -132,10 +168,13 @@ def store(rows: DataFrame, root: str, id_col: str = "page_id", payload_col: str
     like others. Repeated rows each get a row. Other columns are ignored.
     """
     base = jobs.picked(rows, id=id_col, payload=payload_col).select(F.col("id").cast("long").alias("id"), F.col("payload").cast("binary").alias("payload")).where("id is not null and payload is not null")
-    packed = base.mapInArrow(_deflate, "id long, digest string, n_bytes long, payload binary")
-    packed = packed.repartition("digest").sortWithinPartitions("digest", "id")
-    index = packed.mapInArrow(_write_shards(root), "id long, digest string, n_bytes long, shard string, offset long, length long")
-    return jobs.saved(index, "media-index")
+    # only payloads that several rows have are shuffled, and the filter's few others with them
+    digests = base.select("id", "payload").mapInArrow(_digests, "digest string").groupBy("digest").count().where("count > 1")
+    shared = jobs.id_filter(digests.select(F.conv(F.substring("digest", 1, 16), 16, 10).cast("decimal(20,0)").alias("n")).select(F.floor(F.col("n") / 2).cast("long")))
+    first = jobs.saved(base.mapInArrow(_write_single(root, shared), _PLACED), "media-single")
+    rest = first.where("payload is not null").repartition("digest").sortWithinPartitions("digest", "id").mapInArrow(_write_shared(root), _PLACED)
+    rest = jobs.saved(rest, "media-shared")
+    return first.where("payload is null").union(rest).drop("payload")
 
 
 def inflate_head(data: bytes, most: int) -> bytes:
