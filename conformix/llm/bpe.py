@@ -26,12 +26,11 @@ U64 = np.uint64
 _NONE = np.int32(2**31 - 1)
 _LONG = 48
 _LETTER, _DIGIT, _SPACE = 1, 2, 3
-_CHUNK = 4 << 20
+_CHUNK = 1 << 20
 
 
 def _char_classes() -> np.ndarray:
-    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    text = "".join(every)
+    text = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
     out = np.zeros(0x110000, np.uint8)
     for name, value in ((r"\p{L}+", _LETTER), (r"\p{N}+", _DIGIT), (r"\s+", _SPACE)):
         for m in regex.finditer(name, text):
@@ -294,8 +293,8 @@ def _decode(raw: bytes, ids_at: int):
     def run(batches):
         vocab = _vocabulary(raw)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
                 lists = part.column(ids_at)
                 missing = pa.compute.is_null(lists)
                 size = np.where(missing.to_numpy(zero_copy_only=False), 0, lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64)
