@@ -88,6 +88,25 @@ def test_ngram_join_random(spark):
     assert got == {i: group[i] for a, b, _ in pairs for i in (a, b)}
 
 
+def test_ngram_join_defaults_are_those_of_the_sql(spark):
+    """Word 3-grams at 0.7, in the functions and in the SQL; the last copy lies below 0.6 by 5-grams."""
+    import duckdb
+
+    from conformix.llm import queries
+
+    base = [f"b{i}" for i in range(200)]
+    rows = [(0, " ".join(base)), *((k, " ".join(f"e{k}x{i}" if i % 200 in range(5, 5 + 18 * k, 18) else w for i, w in enumerate(base))) for k in (2, 8, 11))]
+    want = brute_pairs(rows, 3, 0.7)
+    assert (0, 11) in {p[:2] for p in want} - {p[:2] for p in brute_pairs(rows, 5, 0.6)}
+    got = ngram_join.ngram_jaccard_join(frame(spark, rows)).collect()
+    assert {(r.id_a, r.id_b, r.overlap) for r in got} == want
+    assert {r.id for r in ngram_join.duplicate_groups(frame(spark, rows)).collect()} == {i for p in want for i in p[:2]}
+    with duckdb.connect() as db:
+        db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+        db.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+        assert {r[:3] for r in db.execute(queries.ORACLE_SQL["op4_ngram_jaccard_join"]).fetchall()} == want
+
+
 def test_join_of_nothing(spark):
     assert ngram_join.ngram_jaccard_join(frame(spark, [])).count() == 0
     assert ngram_join.duplicate_groups(frame(spark, [(1, "a")])).count() == 0
