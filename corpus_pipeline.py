@@ -14,6 +14,12 @@ from pyspark.sql import functions as F
 
 from conformix.llm import jobs, ngram_join, packing, quality, queries, substring_dedup, toxicity
 
+#: A copy with up to 10 % of its words replaced, put in or left out is a near copy. Each
+#: such edit costs a set of N word n-grams n of them at most and gives it n new ones at
+#: most, so k edits leave a Jaccard index of (N - n k) / (N + n k) or more. By 3-grams this
+#: is least for a text of 10 words with one replaced, 5/11; 0.45 lies just below it.
+NEAR_WORDS, NEAR_JACCARD = 3, 0.45
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that are poor by the quality classifier (op 1); all columns stay.
@@ -44,9 +50,12 @@ def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (op 4) only the document of the lowest id stays.
 
-    Rows that repeat an id share one decision; rows without id or text stay.
+    Copies with up to 10 % of their words edited are near duplicates, wherever the
+    edits are (see NEAR_JACCARD); in texts that repeat themselves, whose sets are
+    smaller than their length says, a few may stay. Rows that repeat an id share one
+    decision; rows without id or text stay.
     """
-    groups = ngram_join.duplicate_groups(docs)
+    groups = ngram_join.duplicate_groups(docs, NEAR_JACCARD, NEAR_WORDS)
     drop = groups.where("id != group").select(F.col("id").alias("doc_id"))
     return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
 

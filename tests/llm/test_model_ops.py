@@ -263,6 +263,41 @@ def test_pipeline(spark, tmp_path):
     assert {p.doc_id for r in windows.collect() for p in r.pieces} == before
 
 
+def test_near_copies_of_edited_texts(spark):
+    """Copies with 5 to 10 % of their words edited go; unrelated texts and texts with a half in common stay."""
+    import corpus_pipeline
+
+    rng = np.random.RandomState(6)
+    prose = lambda n: [f"w{int(x)}" for x in 2000 * rng.rand(n) ** 2]
+    rows, stay = [], set()
+
+    def add(own, kept):
+        rows.append((len(rows), " ".join(own)))
+        if kept:
+            stay.add(len(rows) - 1)
+
+    for n in (10, 20, 47, 120, 400):
+        for rate in (0.05, 0.075, 0.1):
+            base = prose(n)
+            add(base, True)
+            for even in (True, False):
+                for kind in ("replaced", "put in", "left out"):
+                    own, k = list(base), int(rate * n + 1e-9)
+                    at = [int((i + 0.5) * n / k) for i in range(k)] if even else rng.choice(n, k, False).tolist()
+                    for i in sorted(at, reverse=True):
+                        own[i : i + (kind != "put in")] = [] if kind == "left out" else [f"new{rng.randint(1 << 30)}"]
+                    add(own, False)
+    for n in (10, 47, 120, 400):
+        for _ in range(10):
+            add(prose(n), True)
+        half = prose(n // 2)
+        add(half + prose(n // 2), True)
+        add(half + prose(n // 2), True)
+    docs = spark.createDataFrame([*rows, (None, rows[0][1]), (9999, None)], "doc_id long, text string")
+    got = [r.doc_id for r in corpus_pipeline.keep_one_of_each(spark, docs, SF).collect()]
+    assert len(got) == len(set(got)) and set(got) == stay | {None, 9999}
+
+
 def test_pipeline_of_nothing(spark):
     import corpus_pipeline
 
