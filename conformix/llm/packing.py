@@ -1,8 +1,9 @@
 """Packing of documents into windows of fixed size, in order.
 
 The tokens of consecutive documents form one sequence per shard. Windows may end
-at the end of a document or of a sentence; where they do is chosen by dynamic
-programming, so that the sum over windows of
+at the end of a document or of a sentence, and after any word of a sentence that is
+longer than a window; where they do is chosen by dynamic programming, so that the
+sum over windows of
 
     pad_cost * (window - length)   if the window isn't full
     trunc_cost * (length - window) if it overflows and its tail is dropped
@@ -90,6 +91,10 @@ def _pack(window: int, pad_cost: float, trunc_cost: float, cut_cost: float):
         stops = (breaks[after] > breaks[words.end]) if len(words) else np.zeros(0, bool)
         stops[words.first[1:][count > 0] - 1] = True
         unit_end = np.flatnonzero(stops) + 1
+        # one longer than the window may be cut after any of its words
+        size = np.diff(unit_end, prepend=0)
+        stops[texts.ranges((unit_end - size)[size > window], size[size > window])] = True
+        unit_end = np.flatnonzero(stops) + 1
         unit_row = np.searchsorted(words.first, unit_end - 1, "right") - 1
         empty = np.flatnonzero(count == 0)
         unit_end, unit_row = np.concatenate([unit_end, words.first[empty]]), np.concatenate([unit_row, empty])
@@ -142,9 +147,9 @@ def pack(docs: DataFrame, window: int = 2048, shard_span: int = 512, pad_cost: f
 
     Rows without id form a shard of their own, first. Rows that repeat an id are
     ordered by text and all packed. NULL and empty texts have a piece of length
-    0. A sentence longer than the window overflows, and what is beyond is
-    dropped and counted; longer documents are cut at sentences. Ties: see
-    choose_cuts. Other columns are ignored. No documents: no windows.
+    0. Longer documents are cut at sentences, and a sentence longer than the
+    window at words. Words are dropped, and counted, only where that costs less
+    than to pad or to cut. Ties: see choose_cuts. Other columns are ignored. No documents: no windows.
     """
     if window < 1 or shard_span < 1 or min(pad_cost, trunc_cost, cut_cost) < 0:
         raise ValueError("window and shard_span must be positive, costs not negative")

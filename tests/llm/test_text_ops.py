@@ -262,6 +262,17 @@ def test_pack(spark):
     assert packing.pack(frame(spark, [])).count() == 0
 
 
+def test_pack_keeps_text_without_marks(spark):
+    """Both end half a window past a full one, where to pad costs less than to drop."""
+    rows = [(0, " ".join(f"u{i}" for i in range(20_050))), (600, "A short one. " * 3 + " ".join(f"v{i}" for i in range(1_041)))]
+    got = packing.pack(frame(spark, rows), window=100, shard_span=8).orderBy("shard", "window_no").collect()
+    assert all(r.n_tokens <= 100 and r.n_truncated == 0 for r in got)
+    assert words(" ".join(r.text for r in got)) == [w for _, t in rows for w in words(t)]
+    for i, t in rows:
+        spans = [(p.start, p.end) for r in got for p in r.pieces if p.doc_id == i]
+        assert "".join(t[a:b] for a, b in spans) == t
+
+
 def test_pack_brute_force_small(spark):
     rows = [(i, " ".join(["w."] * n)) for i, n in enumerate([5, 3, 9, 1, 7, 2])]
     got = packing.pack(frame(spark, rows), 8, 100, 1, 4, 2).collect()
