@@ -3,8 +3,9 @@
 Payloads leave the table: each distinct payload is stored once, gzip-compressed,
 as a member of a tar shard in a folder that all executors share, and rows keep
 its SHA-256 digest, shard, offset and stored length. Metadata columns are filled
-afterwards from headers: a reader fetches only the first bytes of each member,
-in one range read, and inflates just what it needs.
+afterwards from headers: a reader fetches the first bytes of each member in one
+range read, inflates just what it needs, and reads on by further ranges only where
+the header isn't complete.
 
 Shards are written under a temporary name and then renamed; a task that is run
 again writes the same bytes to the same name. Payloads that one row alone has are
@@ -34,13 +35,39 @@ _SHARD_BYTES = 64 << 20
 _CHARSET = re.compile(rb"<meta[^>]*charset=[\"']?([\w-]+)", re.I)
 _LANG = re.compile(rb"<html[^>]*\blang=[\"']?([\w-]+)", re.I)
 _TITLE = re.compile(rb"<title[^>]*>(.*?)</title", re.I | re.S)
+# scripts, styles and comments, whose contents aren't markup, and titles
+_OPAQUE = re.compile(rb"<!--(?:-?>|.*?(?:-->|\Z))|<(script|style|title)\b[^>]*>.*?(?:</\1|\Z)", re.I | re.S)
+_HEAD_END = re.compile(rb"</head\s*>|<body\b", re.I)
 _META = ["media_type", "width", "height", "lang", "charset", "title"]
 _META_SCHEMA = "media_type string, width int, height int, lang string, charset string, title string"
 
 
+def _html_head(data: bytes) -> tuple[bytes, bool]:
+    """A page up to the end of its head, without scripts, styles and comments; and whether that end is there."""
+    kept, at = [], 0
+    for m in _OPAQUE.finditer(data):
+        end = _HEAD_END.search(data, at, m.start())
+        if end:
+            break
+        kept.append(data[at : m.start()])
+        if m[1] and m[1].lower() == b"title":
+            kept.append(m[0])
+        at = m.end()
+    else:
+        end = _HEAD_END.search(data, at)
+    kept.append(data[at : end.start()] if end else data[at:])
+    return b" ".join(kept), end is not None
+
+
 def header_fields(head: bytes) -> dict:
     """What the first bytes of a payload say: type, size of an image, and an HTML page's language, charset and title."""
+    return _header(head)[0]
+
+
+def _header(head: bytes) -> tuple[dict, bool]:
+    """header_fields, and whether more bytes can't change them."""
     out: dict = dict.fromkeys(_META)
+    done = bool(head.strip())
     if head[:8] == b"\x89PNG\r\n\x1a\n" and len(head) >= 24:
         out["media_type"] = "image/png"
         out["width"], out["height"] = struct.unpack(">II", head[16:24])
@@ -49,10 +76,17 @@ def header_fields(head: bytes) -> dict:
         out["width"], out["height"] = struct.unpack("<HH", head[6:10])
     elif head[:2] == b"\xff\xd8":
         out["media_type"] = "image/jpeg"
-        at = 2
-        while at + 9 < len(head) and head[at] == 0xFF:
+        at, done = 2, False
+        while at + 9 < len(head):
+            if head[at] != 0xFF or head[at + 1] in (0xD9, 0xDA):  # damaged, or the image's data begin without a frame header
+                done = True
+                break
+            if head[at + 1] == 0xFF:  # fill byte
+                at += 1
+                continue
             if 0xC0 <= head[at + 1] <= 0xCF and head[at + 1] not in (0xC4, 0xC8, 0xCC):
                 out["height"], out["width"] = struct.unpack(">HH", head[at + 5 : at + 9])
+                done = True
                 break
             at += 2 + struct.unpack(">H", head[at + 2 : at + 4])[0]
     elif head[:4] == b"RIFF" and head[8:12] == b"WAVE":
@@ -61,12 +95,14 @@ def header_fields(head: bytes) -> dict:
         out["media_type"] = "application/pdf"
     elif re.match(rb"\s*(<!doctype html|<html)", head, re.I):
         out["media_type"] = "text/html"
-        for name, pattern in (("charset", _CHARSET), ("lang", _LANG), ("title", _TITLE)):
-            m = pattern.search(head)
-            out[name] = m[1].decode("utf-8", "replace").strip() if m else None
+        head, done = _html_head(head)
+        found = {name: pattern.search(head) for name, pattern in (("charset", _CHARSET), ("lang", _LANG), ("title", _TITLE))}
+        out |= {name: m[1].decode("utf-8", "replace").strip() for name, m in found.items() if m}
+        # one that ends where the bytes do may go on
+        done |= all(m and m.end() < len(head) for m in found.values())
     else:
         out["media_type"] = "text/plain" if head and b"\0" not in head else "application/octet-stream"
-    return out
+    return out, done
 
 
 def _digests(batches):
@@ -177,9 +213,24 @@ def store(rows: DataFrame, root: str, id_col: str = "page_id", payload_col: str
     return first.where("payload is null").union(rest).drop("payload")
 
 
-def inflate_head(data: bytes, most: int) -> bytes:
-    """At most `most` bytes of what a beginning of a gzip stream holds."""
-    return zlib.decompressobj(31).decompress(data, most)
+def read_header(read, length: int, head_bytes: int) -> dict:
+    """header_fields of a gzip member of `length` bytes; read(n, at) gives n of them from `at` on.
+
+    Reads and inflates twice as much each time until the header is complete or the
+    member ends.
+    """
+    stream, data, at, step = zlib.decompressobj(31), b"", 0, head_bytes
+    while True:
+        raw = stream.unconsumed_tail
+        if not raw and at < length:
+            raw = read(min(step, length - at), at)
+            at = at + len(raw) if raw else length
+        got = stream.decompress(raw, 4 * step)
+        data += got
+        fields, done = _header(data)
+        if done or stream.eof or (at >= length and not stream.unconsumed_tail and len(got) < 4 * step):
+            return fields
+        step *= 2
 
 
 def _read_headers(root: str, head_bytes: int):
@@ -193,7 +244,7 @@ def _read_headers(root: str, head_bytes: int):
                     if f is not None:
                         f.close()
                     name, f = shard, where.open_input_file(f"{base}/{shard}")
-                found.append(header_fields(inflate_head(f.read_at(min(length, head_bytes), offset), 4 * head_bytes)))
+                found.append(read_header(lambda n, at, f=f, offset=offset: f.read_at(n, offset + at), length, head_bytes))
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([x[c] for x in found], pa.int32() if c in ("width", "height") else pa.string()) for c in _META)], [*batch.schema.names, *_META])
         if f is not None:
             f.close()
@@ -202,10 +253,11 @@ def _read_headers(root: str, head_bytes: int):
 
 
 def with_headers(index: DataFrame, root: str, head_bytes: int = 2048) -> DataFrame:
-    """The index with metadata columns, from the first `head_bytes` stored bytes of each payload.
+    """The index with metadata columns, from the header of each payload.
 
-    What lies beyond them isn't found: its columns are NULL. The range is read
-    once per row, in the order of shards and offsets.
+    The first `head_bytes` stored bytes are read, and further ranges where a page's
+    head or an image's frame header goes on beyond them: NULL means that the payload
+    doesn't have it. Rows are read in the order of shards and offsets.
     """
     schema = T.StructType([*index.schema.fields, *T._parse_datatype_string(_META_SCHEMA).fields])
     return index.sortWithinPartitions("shard", "offset").mapInArrow(_read_headers(root, head_bytes), schema)

@@ -185,6 +185,20 @@ def test_media(spark, tmp_path):
     assert media.store(df.limit(0), root).count() == 0
 
 
+def test_headers_beyond_the_first_range(spark, tmp_path):
+    """Heads that begin with long scripts or metadata, compressible or not, are read to their end."""
+    noise = np.random.RandomState(1).bytes(60_000)
+    page = "<html lang=fr><head><script>var a = '<title>no</title></head>%s'</script><style>%s</style><!-- </head> --><meta charset=utf-8><title>Late</title></head><body><svg><title>no</title></svg>"
+    none = "<html><head><style>%s</style></head><body><svg><title>no</title></svg>" % noise.hex()
+    jpg = b"\xff\xd8" + b"".join(b"\xff\xe1" + (30_002).to_bytes(2, "big") + noise[i : i + 30_000] for i in (0, 30_000)) + b"\xff\xff\xc0\x00\x11\x08\x00\x10\x00\x20\x03\x01"
+    rows = [(1, (page % (noise.hex(), "b")).encode()), (2, (page % ("x" * 500_000, "y" * 9000)).encode()), (3, none.encode()), (4, jpg), (5, jpg[:40_000])]
+    root = tmp_path.as_uri()
+    index = media.store(spark.createDataFrame(rows, "page_id long, html binary"), root)
+    got = {r.id: (r.lang, r.charset, r.title, r.width, r.height) for r in media.with_headers(index, root).collect()}
+    late, nothing = ("fr", "utf-8", "Late", None, None), (None,) * 5
+    assert got == {1: late, 2: late, 3: nothing, 4: (None, None, None, 32, 16), 5: nothing}
+
+
 def test_header_fields():
     png = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + (640).to_bytes(4, "big") + (480).to_bytes(4, "big")
     assert media.header_fields(png)["width"] == 640 and media.header_fields(png)["height"] == 480
