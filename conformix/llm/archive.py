@@ -203,7 +203,7 @@ def _list_records(root: str):
         types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
         for batch in batches:
             for package in batch.column(0).to_pylist():
-                rows = []
+                rows, covered = [], set()
                 with where.open_input_file(f"{base}/{package}") as f:
                     members = {m.name: m for m in central_directory(f, f.size())}
                     archives = {name: data_offset(f, m) for name, m in members.items() if name.startswith("archive/")}
@@ -220,7 +220,11 @@ def _list_records(root: str):
                             own = "archive/" + x.get("filename", _ARCHIVE[8:])
                             if members[own].method:
                                 raise ValueError(f"{package}: {own} isn't stored, so it can't be read by ranges")
+                            covered.add(own)
                             rows.append((package, x["id"], x["url"], archives[own] + int(x["offset"]), int(x["length"]), x["digest"].partition(":")[2]))
+                    for name in archives:
+                        if members[name].size and name not in covered:
+                            raise ValueError(f"{package}: no index line names {name}, so its records can't be found")
                 cols = list(zip(*rows)) or [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
@@ -256,7 +260,8 @@ def read_packages(packages: DataFrame, root: str) -> DataFrame:
 
     Returns record_id, url, package, n_bytes, digest, valid (digest and url agree
     with the index) and body. The index lines are spread over all tasks before
-    records are read, so one large package doesn't keep one task busy.
+    records are read, so one large package doesn't keep one task busy. An archive
+    member that no index line names is an error.
     """
     listed = packages.select("package").distinct().mapInArrow(_list_records(root), "package string, record_id long, url string, offset long, length long, digest string")
     spread = listed.repartition("package", (F.col("offset") / F.lit(4 << 20)).cast("long")).sortWithinPartitions("package", "offset")

@@ -251,6 +251,26 @@ def test_archive_round_trip(spark, tmp_path):
     assert archive.read_packages(archive.write_packages(df.limit(0), root), root).count() == 0
 
 
+@pytest.mark.parametrize("indexed", [False, True])
+def test_archive_members_without_index(tmp_path, indexed):
+    record = archive.warc_record("http://a/1", 1, b"x")
+    line = b'{"url": "http://a/1", "id": 1, "offset": 0, "length": %d, "digest": "sha256:0"}\n' % len(record)
+    with open(tmp_path / "p.wacz", "wb") as out:
+        p = archive.Package(out)
+        p.add(archive._ARCHIVE, [record])
+        p.add(archive._INDEX, [line] * indexed)
+        if not indexed:
+            p.add("archive/other.warc", [record])
+        p.close()
+    batch = pa.RecordBatch.from_arrays([pa.array(["p.wacz"])], ["package"])
+    listed = archive._list_records(tmp_path.as_uri())([batch])
+    if indexed:
+        assert [b.num_rows for b in listed] == [1]
+    else:
+        with pytest.raises(ValueError, match="no index line"):
+            list(listed)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
