@@ -9,21 +9,27 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .texts import mix
 
-FILTER_BITS = 23
+#: Largest hash filter over ids: 2^27 bits.
+FILTER_BITS = 27
+#: Paths of saved tables by application.
+_kept: dict[str, set[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from spark.checkpoint.dir.
 
-    Only where the setting is absent, as in tests on one machine, is a local
-    folder made and set.
+    Only on one machine (a local master, as in tests) is a folder made and set where
+    the setting is absent; elsewhere executors wouldn't share it, so that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", "") or ""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not folder and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="conformix-"))
     folder = folder or context._jsc.sc().getCheckpointDir().get()
     return re.sub("^file:/+", "file:///", folder.rstrip("/"))
@@ -41,10 +47,35 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, written as a Parquet table in the shared folder and read again."""
-    path = scratch(df.sparkSession, name)
+    """The same rows, written as a Parquet table in the shared folder and read again.
+
+    discard() deletes such a table when nothing reads it any more, clear() all of a session.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    _kept.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that saved() wrote. What was computed from them must be stored already."""
+    for df in tables:
+        _delete(df.sparkSession, df._saved_at)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that this application's operators saved and didn't discard; call it when their results are stored."""
+    for path in sorted(_kept.get(spark.sparkContext.applicationId, ())):
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _kept.get(spark.sparkContext.applicationId, set()).discard(path)
 
 
 def buckets(spark: SparkSession) -> int:
@@ -52,52 +83,107 @@ def buckets(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+class NotEnoughLabels(ValueError):
+    """There is nothing to learn from: fewer than two different labels."""
+
+
+def numbered(df: DataFrame, *wanted: str) -> tuple[DataFrame, list[str]]:
+    """The same columns as c0, c1, ... by position, and which of them the wanted ones are.
+
+    Names can then neither clash nor be ambiguous; toDF(*names) gives them back.
+    """
+    names = df.columns
+    for name in wanted:
+        if name not in names:
+            raise ValueError(f"no column {name!r} among {names}")
+    return df.toDF(*[f"c{i}" for i in range(len(names))]), [f"c{names.index(name)}" for name in wanted]
+
+
 def picked(df: DataFrame, **wanted: str) -> DataFrame:
     """The wanted columns under new names, found by exact name.
 
     Other columns can have any names, even ones that differ in case alone or
     repeat: the first exact match counts.
     """
-    names = df.columns
-    for name in wanted.values():
-        if name not in names:
-            raise ValueError(f"no column {name!r} among {names}")
-    plain = df.toDF(*[f"c{i}" for i in range(len(names))])
-    return plain.select(*[plain[f"c{names.index(name)}"].alias(new) for new, name in wanted.items()])
+    plain, found = numbered(df, *wanted.values())
+    return plain.select(*[plain[c].alias(new) for new, c in zip(wanted, found)])
+
+
+def add_longs(parts: list[bytes]) -> bytes:
+    """Sum of packed 64-bit vectors."""
+    total = np.frombuffer(parts[0], np.int64).copy()
+    for x in parts[1:]:
+        total += np.frombuffer(x, np.int64)
+    return total.tobytes()
+
+
+def _any(parts: list[bytes]) -> bytes:
+    total = np.frombuffer(parts[0], np.uint8).copy()
+    for x in parts[1:]:
+        total |= np.frombuffer(x, np.uint8)
+    return total.tobytes()
+
+
+def folded(vectors: DataFrame, add, width: int = 64) -> DataFrame:
+    """Packed vectors (slice, data) combined by slice, in a tree: one from each task is too much for one group."""
 
+    def run(key, table):
+        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([add([x.as_py() for x in table.column("data")])], pa.binary())})
 
-def _slots(ids: np.ndarray) -> np.ndarray:
-    return (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+    parts = vectors.select("slice", "data", F.pmod(F.xxhash64(F.spark_partition_id()), F.lit(width)).alias("part"))
+    return parts.groupBy("slice", "part").applyInArrow(run, "slice int, data binary").groupBy("slice").applyInArrow(run, "slice int, data binary")
 
 
-def _mark(batches):
-    marks = np.zeros(1 << FILTER_BITS, bool)
-    for batch in batches:
-        marks[_slots(batch.column(0).to_numpy(zero_copy_only=False))] = True
-    if marks.any():
-        packed = np.split(np.packbits(marks), 16)
-        yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([x.tobytes() for x in packed], pa.binary())], ["slice", "bits"])
+def _slots(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _either(key, table):
-    bits = np.bitwise_or.reduce([np.frombuffer(x.as_py(), np.uint8) for x in table.column("bits")])
-    return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([bits.tobytes()], pa.binary())})
+def _mark(bits: int):
+    def run(batches):
+        marks = np.zeros(1 << bits, bool)
+        for batch in batches:
+            marks[_slots(batch.column(0).to_numpy(zero_copy_only=False), bits)] = True
+        if marks.any():
+            packed = np.split(np.packbits(marks), 16)
+            yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([x.tobytes() for x in packed], pa.binary())], ["slice", "data"])
 
+    return run
 
-def id_filter(ids: DataFrame) -> np.ndarray:
-    """A hash filter of fixed size (1 MiB) over a column of longs.
 
-    passes() is true for each id of the column and for few others as long as
-    there are some millions at most; beyond that it lets more pass, and the join
-    that follows it drops them. It never changes a result.
+def id_filter(ids: DataFrame, n: int) -> np.ndarray:
+    """A hash filter over a column of n longs, of 8 to 16 bits each.
+
+    passes() is true for each id of the column and for few others.
     """
-    rows = ids.mapInArrow(_mark, "slice int, bits binary").groupBy("slice").applyInArrow(_either, "slice int, bits binary").collect()
-    bits = np.zeros((16, (1 << FILTER_BITS) // 128), np.uint8)
-    for r in rows:
-        bits[r["slice"]] = np.frombuffer(r["bits"], np.uint8)
+    size = min(max(16, (8 * n).bit_length()), FILTER_BITS)
+    bits = np.zeros((16, (1 << size) // 128), np.uint8)
+    for r in folded(ids.mapInArrow(_mark(size), "slice int, data binary"), _any).collect():
+        bits[r["slice"]] = np.frombuffer(r["data"], np.uint8)
     return bits.ravel()
 
 
 def passes(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    at = _slots(ids)
+    at = _slots(ids, (8 * len(bits)).bit_length() - 1)
     return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+
+
+def _passing(bits: np.ndarray):
+    def run(batches):
+        for batch in batches:
+            some = passes(bits, batch.column(0).to_numpy(zero_copy_only=False))
+            if some.any():
+                yield batch.filter(pa.array(some))
+
+    return run
+
+
+def only(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of df (whose column id comes first) that may have one of the ids: all that have, and few others.
+
+    Up to 2^FILTER_BITS / 8 ids, a filter of 16 MiB at most goes to the tasks and
+    nothing is shuffled; more are joined.
+    """
+    n = ids.count()
+    if 8 * n > 1 << FILTER_BITS:
+        return df.join(ids.select("id").distinct(), "id", "left_semi").select(*df.columns)
+    return df.mapInArrow(_passing(id_filter(ids, n)), df.schema)

@@ -206,7 +206,9 @@ def store(rows: DataFrame, root: str, id_col: str = "page_id", payload_col: str
     base = jobs.picked(rows, id=id_col, payload=payload_col).select(F.col("id").cast("long").alias("id"), F.col("payload").cast("binary").alias("payload")).where("id is not null and payload is not null")
     # only payloads that several rows have are shuffled, and the filter's few others with them
     digests = base.select("id", "payload").mapInArrow(_digests, "digest string").groupBy("digest").count().where("count > 1")
-    shared = jobs.id_filter(digests.select(F.conv(F.substring("digest", 1, 16), 16, 10).cast("decimal(20,0)").alias("n")).select(F.floor(F.col("n") / 2).cast("long")))
+    numbers = jobs.saved(digests.select(F.conv(F.substring("digest", 1, 16), 16, 10).cast("decimal(20,0)").alias("n")).select(F.floor(F.col("n") / 2).cast("long").alias("n")), "media-digests")
+    shared = jobs.id_filter(numbers, numbers.count())
+    jobs.discard(numbers)
     first = jobs.saved(base.mapInArrow(_write_single(root, shared), _PLACED), "media-single")
     rest = first.where("payload is not null").repartition("digest").sortWithinPartitions("digest", "id").mapInArrow(_write_shared(root), _PLACED)
     rest = jobs.saved(rest, "media-shared")

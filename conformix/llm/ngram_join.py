@@ -37,7 +37,8 @@ from . import jobs, texts
 from .components import components
 
 U64 = np.uint64
-_SLOT_BITS = 17
+#: Slots of n-gram counts: 2^17 up to 1 GB of text, and 2^21 (2 MiB of levels) at most.
+_SLOT_BITS = (17, 21)
 _SLICES = 16
 _NONE = np.iinfo(np.int64).min
 _EMIT_KEYS = 2_000_000
@@ -48,7 +49,7 @@ def _gram_sets(buf: np.ndarray, off: np.ndarray, n: int, levels: np.ndarray) ->
     """Distinct keys of each row in the global order, and offsets by row."""
     words = texts.Words(buf, off)
     h, goff = texts.gram_hashes(words.hashed(), words.first, n)
-    keys = (levels[h >> U64(64 - _SLOT_BITS)].astype(U64) << U64(60)) | (h >> U64(4))
+    keys = (levels[h >> U64(65 - len(levels).bit_length())].astype(U64) << U64(60)) | (h >> U64(4))
     for a, b in zip(goff[:-1].tolist(), goff[1:].tolist()):
         if b - a > 1:
             keys[a:b].sort()
@@ -67,21 +68,19 @@ def _need(n: np.ndarray, t: float) -> np.ndarray:
     return np.ceil(t * n - 1e-9).astype(np.int64)
 
 
-def _survey(n: int):
+def _survey(n: int, bits: int):
     """n-gram counts by hash slot (slice >= 0), and ids, classes and sizes of documents (slice -1)."""
-    plain = np.zeros(1 << _SLOT_BITS, np.uint8)
+    plain = np.zeros(1 << bits, np.uint8)
     names = ["slice", "data", "classes", "sizes"]
     types = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << _SLOT_BITS, np.int64)
+        counts = np.zeros(1 << bits, np.int64)
         for batch in batches:
             for part, buf, off in texts.chunks(batch, "text"):
                 keys, goff = _gram_sets(buf, off, n, plain)
-                counts += np.bincount((keys >> U64(60 - _SLOT_BITS)).astype(np.int64), minlength=len(counts))
-                size = np.diff(goff)
-                some = size > 0
-                row = (-1, part.column(0).to_numpy(zero_copy_only=False)[some].tobytes(), _class_of(keys, goff)[some].tobytes(), size[some].tobytes())
+                counts += np.bincount((keys >> U64(60 - bits)).astype(np.int64), minlength=len(counts))
+                row = (-1, part.column(0).to_numpy(zero_copy_only=False).tobytes(), _class_of(keys, goff).tobytes(), np.diff(goff).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], names)
         if counts.any():
             yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array([x.tobytes() for x in np.split(counts, _SLICES)], pa.binary()), pa.nulls(_SLICES, pa.binary()), pa.nulls(_SLICES, pa.binary())], names)
@@ -104,18 +103,13 @@ def _documents(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, classes, sizes)], ["id", "class", "n"])
 
 
-def _sum_slots(key, table):
-    total = sum(np.frombuffer(x.as_py(), np.int64) for x in table.column("data"))
-    return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([total.tobytes()], pa.binary())})
-
-
-def _levels(survey: DataFrame) -> np.ndarray:
+def _levels(survey: DataFrame, bits: int) -> np.ndarray:
     """A level from 0 to 15 for each hash slot: how far its n-grams exceed the usual count.
 
-    The table has the same size for any input (128 KiB as sent to the tasks).
+    Sent to the tasks, it has one byte for each of the 2^bits slots.
     """
-    rows = survey.where("slice >= 0").select("slice", "data").groupBy("slice").applyInArrow(_sum_slots, "slice int, data binary").collect()
-    counts = np.zeros((_SLICES, (1 << _SLOT_BITS) // _SLICES), np.int64)
+    rows = jobs.folded(survey.where("slice >= 0").select("slice", "data"), jobs.add_longs).collect()
+    counts = np.zeros((_SLICES, (1 << bits) // _SLICES), np.int64)
     for r in rows:
         counts[r["slice"]] = np.frombuffer(r["data"], np.int64)
     counts = counts.ravel()
@@ -273,15 +267,12 @@ def _owners(t: float):
     return run
 
 
-def _sets(n: int, levels: np.ndarray, bits: np.ndarray):
-    """Sets of the documents that pass the filter."""
+def _sets(n: int, levels: np.ndarray):
+    """Packed sets of documents."""
 
     def run(batches):
         for batch in batches:
-            some = jobs.passes(bits, batch.column(0).to_numpy(zero_copy_only=False))
-            if not some.any():
-                continue
-            for part, buf, off in texts.chunks(batch.filter(pa.array(some)), "text"):
+            for part, buf, off in texts.chunks(batch, "text"):
                 keys, goff = _gram_sets(buf, off, n, levels)
                 grams = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(goff) - 1, [None, pa.py_buffer(goff * 8), pa.py_buffer(np.ascontiguousarray(keys))]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_class_of(keys, goff)), grams], ["id", "class", "grams"])
@@ -335,7 +326,9 @@ def _labels(m: int, a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray
 
 
 def _multiply(groups: np.ndarray, table: pa.Table, t: float, star: bool) -> list[np.ndarray]:
-    """Pairs of all complete blocks in the table; groups: number of each row's block."""
+    """Pairs of all complete blocks in the table, or with `star` for each class its links
+    that no other block counts and the lowest document that it is connected to;
+    groups: number of each row's block."""
     ids = table.column("class").to_numpy()
     owner = table.column("owner").to_numpy()
     slab = table.column("slab").to_numpy()
@@ -346,8 +339,7 @@ def _multiply(groups: np.ndarray, table: pa.Table, t: float, star: bool) -> list
     keys = np.frombuffer(grams.buffers()[2], U64, int(n.sum()), start) if n.sum() else np.zeros(0, U64)
     lists = table.column("owners").combine_chunks()
     owners, owners_off = lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
-    lists = table.column("members").combine_chunks()
-    members, members_off = lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
+    lowest = table.column("first").to_numpy()
     row = np.repeat(np.arange(len(ids), dtype=np.int64), n)
     h = texts.mix(keys ^ texts.mix(groups[row].astype(U64)))
     order = np.argsort(h)
@@ -390,12 +382,6 @@ def _multiply(groups: np.ndarray, table: pa.Table, t: float, star: bool) -> list
         if not whole[own[0]]:
             use &= slab[i] != slab[j]
         i, j, o, jac = i[use], j[use], o[use], jac[use]
-        if star:
-            if len(i):
-                at, inv = np.unique(np.concatenate([i, j]), return_inverse=True)
-                lowest = members[members_off[at]]
-                out.append((lowest, _labels(len(at), inv[: len(i)], inv[len(i) :], lowest)))
-            continue
         # of the blocks where both documents meet, the one of their lowest common owner reports them
         low = np.full(len(i), True)
         me = int(owner[own[0]])
@@ -412,16 +398,16 @@ def _multiply(groups: np.ndarray, table: pa.Table, t: float, star: bool) -> list
             if earlier.any():
                 e = np.flatnonzero(earlier)
                 low[e] &= ~(padded[pj[e]] == x[e, None]).any(1)
+        if star:
+            if len(i):
+                at, inv = np.unique(np.concatenate([i, j]), return_inverse=True)
+                links = np.bincount(inv[np.concatenate([low, low])], minlength=len(at))
+                out.append((ids[at], links, _labels(len(at), inv[: len(i)], inv[len(i) :], lowest[at])))
+            continue
         i, j, o, jac = i[low], j[low], o[low], jac[low]
-        mi, mj = np.diff(members_off)[i], np.diff(members_off)[j]
-        pair = np.repeat(np.arange(len(i)), mi * mj)
-        q = texts.ranges(np.zeros(len(i), np.int64), mi * mj)
-        x, y = members[members_off[i][pair] + q // mj[pair]], members[members_off[j][pair] + q % mj[pair]]
-        i, j, o, jac = i[pair], j[pair], o[pair], jac[pair]
-        other = x != y
-        x, y, i, j, o, jac = x[other], y[other], i[other], j[other], o[other], jac[other]
-        swap = x > y
-        out.append((np.where(swap, y, x), np.where(swap, x, y), o, np.where(swap, n[j], n[i]), np.where(swap, n[i], n[j]), jac))
+        swap = lowest[i] > lowest[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        out.append((lowest[i], lowest[j], o, n[i], n[j], jac))
     return [np.concatenate(x) for x in zip(*out)] if out else []
 
 
@@ -435,11 +421,11 @@ def _compact(x: np.ndarray) -> np.ndarray:
 
 
 _PAIR = "id_a long, id_b long, overlap long, size_a long, size_b long, jaccard double"
-_STAR = "id long, root long"
+_STAR = "class long, links long, root long"
 
 
 def _products(t: float, star: bool):
-    names = ["id", "root"] if star else ["id_a", "id_b", "overlap", "size_a", "size_b", "jaccard"]
+    names = ["class", "links", "root"] if star else ["id_a", "id_b", "overlap", "size_a", "size_b", "jaccard"]
 
     def run(batches):
         pend: list[pa.Table] = []
@@ -489,12 +475,12 @@ def _merged_owners(owned: DataFrame, block_rows: int) -> DataFrame:
     """The same (class, owner) with owners merged whose classes are mostly the same.
 
     Classes that share an owner share what it is merged into, so any merging is
-    right. An owner joins the lower owner that most of its classes have too, if
-    that is half of them at least; chains are followed to their end. Where more
-    than `block_rows` classes would meet, owners stay apart.
+    right. Of the lowest owners of its classes, an owner joins the one that most of
+    them have, if that is half of them at least; chains are followed to their end.
+    Where more than `block_rows` classes would meet, owners stay apart.
     """
     size = owned.groupBy("owner").count()
-    both = owned.join(owned.select("class", F.col("owner").alias("lower")), "class").where("lower < owner").groupBy("owner", "lower").agg(F.count("*").alias("n"))
+    both = owned.join(owned.groupBy("class").agg(F.min("owner").alias("lower")), "class").where("lower < owner").groupBy("owner", "lower").agg(F.count("*").alias("n"))
     best = both.groupBy("owner").agg(F.max(F.struct("n", F.negate("lower"), "lower")).alias("best")).join(size, "owner").where(F.col("best.n") * 2 >= F.col("count"))
     label = jobs.cut(size.select("owner").join(best.select("owner", F.col("best.lower").alias("root")), "owner", "left").select("owner", F.coalesce("root", "owner").alias("root")))
     while True:
@@ -508,70 +494,82 @@ def _merged_owners(owned: DataFrame, block_rows: int) -> DataFrame:
     return placed.join(fits, "root", "left").select("class", F.when(F.col("fits"), F.col("root")).otherwise(F.col("owner")).alias("owner")).distinct()
 
 
-def _blocked(docs: DataFrame, threshold: float, n: int, block_rows: int, id_col: str, text_col: str, star: bool) -> DataFrame:
+def _blocked(docs: DataFrame, threshold: float, n: int, block_rows: int, id_col: str, text_col: str, star: bool) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:
+    """(id, class, n) of each document, (class, first, size) of each class, the blocks' results, and the tables those are read from."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be over 0 and at most 1")
     spark = docs.sparkSession
-    base = jobs.picked(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null and text is not null")
+    base = jobs.picked(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null")
     count = jobs.buckets(spark)
-    survey = jobs.saved(base.mapInArrow(_survey(n), "slice int, data binary, classes binary, sizes binary"), "survey")
-    levels = _levels(survey)
-    rows = survey.where("slice < 0").mapInArrow(_documents, "id long, class long, n long")
-    classes = jobs.saved(rows.groupBy("class", "n").agg(F.sort_array(F.collect_set("id")).alias("members")), "classes")
+    volume = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(max(_SLOT_BITS[0], (volume >> 13).bit_length()), _SLOT_BITS[1])
+    survey = jobs.saved(base.mapInArrow(_survey(n, bits), "slice int, data binary, classes binary, sizes binary"), "survey")
+    levels = _levels(survey, bits)
+    entries = jobs.saved(survey.where("slice < 0").mapInArrow(_documents, "id long, class long, n long").distinct(), "entries")
+    jobs.discard(survey)
+    classes = jobs.saved(entries.where("n > 0").groupBy("class").agg(F.min("id").alias("first"), F.count("*").alias("size")), "classes")
 
     heads = base.mapInArrow(_heads(n, threshold, levels, count), _Packer.schema)
     tallies = heads.groupBy("bucket").applyInArrow(_tally(count, threshold), "part int, classes binary, counts binary, sizes binary")
     left = tallies.groupBy("part").applyInArrow(_enough(threshold), "class long")
-    left = jobs.saved(left.join(classes, "class").select("class", "members", F.col("members")[0].alias("id")), "left")
+    left = jobs.saved(left.join(classes, "class").select("class", "first"), "left")
     # few others pass the filter; they fall out of the join with `left` below
-    sets = base.mapInArrow(_sets(n, levels, jobs.id_filter(left.select("id"))), "id long, class long, grams binary")
-    sets = jobs.saved(sets, "sets")
+    own = jobs.only(base, left.select(F.col("first").alias("id")))
+    sets = jobs.saved(own.mapInArrow(_sets(n, levels), "id long, class long, grams binary"), "sets")
 
     owned = sets.select("class", "grams").mapInArrow(_prefixes(threshold, count), _Packer.schema).groupBy("bucket").applyInArrow(_owners(threshold), "class long, owner long").distinct()
-    owned = jobs.saved(owned, "owners")
-    owned = jobs.saved(_merged_owners(owned, block_rows), "blocks")
+    first = jobs.saved(owned, "owners")
+    owned = jobs.saved(_merged_owners(first, block_rows), "blocks")
+    jobs.discard(first)
     wide = owned.groupBy("owner").count().where(F.col("count") > block_rows).select("owner", F.ceil(F.col("count") / block_rows).cast("int").alias("slabs"))
     placed = owned.join(wide, "owner", "left").withColumn("slabs", F.coalesce("slabs", F.lit(1))).withColumn("slab", F.pmod(F.xxhash64("class"), F.col("slabs")).cast("int"))
     block = F.transform(F.sequence(F.lit(0), F.col("slabs") - 1), lambda j: F.struct(F.col("owner"), F.least("slab", j).alias("lo"), F.greatest("slab", j).alias("hi"), F.col("slab")))
     placed = placed.groupBy("class").agg(F.sort_array(F.collect_set("owner")).alias("owners"), F.flatten(F.collect_list(block)).alias("blocks"))
-    about = left.select("class", "members", F.col("id").alias("first")).join(placed, "class")
+    about = left.select("class", "first").join(placed, "class")
     blocks = sets.join(about, "class").where("id = first")
-    blocks = blocks.select("class", "owners", "members", F.explode("blocks").alias("b"), "grams").select("b.owner", "b.lo", "b.hi", "b.slab", "class", "owners", "members", "grams")
+    blocks = blocks.select("class", "owners", "first", F.explode("blocks").alias("b"), "grams").select("b.owner", "b.lo", "b.hi", "b.slab", "class", "owners", "first", "grams")
     blocks = blocks.repartition("owner", "lo", "hi").sortWithinPartitions("owner", "lo", "hi")
-    near = blocks.mapInArrow(_products(threshold, star), _STAR if star else _PAIR)
+    return entries, classes, blocks.mapInArrow(_products(threshold, star), _STAR if star else _PAIR), [left, sets, owned]
 
-    copies = classes.where("size(members) > 1").select("members", "n")
-    if star:
-        return near.union(copies.select(F.explode("members").alias("id"), F.col("members")[0].alias("root")))
-    copies = copies.select("members", "n", F.posexplode("members").alias("at", "id_a")).select("id_a", F.explode(F.slice("members", F.col("at") + 2, F.size("members"))).alias("id_b"), "n")
-    pairs = near.union(copies.select("id_a", "id_b", "n", "n", "n", F.lit(1.0)))
-    if classes.select(F.explode("members").alias("id")).groupBy("id").count().where("count > 1").head(1):
-        pairs = pairs.groupBy("id_a", "id_b").agg(F.max(F.struct("jaccard", "overlap", "size_a", "size_b")).alias("best"))
-        pairs = pairs.select("id_a", "id_b", "best.overlap", "best.size_a", "best.size_b", "best.jaccard")
-    return pairs
 
+def class_pairs(docs: DataFrame, threshold: float = 0.7, n: int = 3, block_rows: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All links between classes, documents of equal n-gram sets being one class.
 
-def ngram_jaccard_join(docs: DataFrame, threshold: float = 0.7, n: int = 3, block_rows: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All pairs of documents whose word n-gram sets have a Jaccard index >= threshold.
+    Returns id_a < id_b, the lowest documents of two classes whose sets have a
+    Jaccard index >= threshold, with overlap, size_a, size_b and jaccard. Rows as
+    in ngram_jaccard_join.
+    """
+    return _blocked(docs, threshold, n, block_rows, id_col, text_col, False)[2]
 
-    Returns id_a < id_b, overlap, size_a, size_b, jaccard; each pair once. There
-    is no cap on partners.
 
-    Words are those of `texts`. A text of fewer than n words, but one at least,
-    has the one n-gram of all its words; a text without words has none and joins
-    nothing. Rows with NULL id or text are left out. Rows that repeat an id are
-    one document: they make no pair with one another, and with others the pair
-    of the highest index counts. Very long texts and ties need no special case.
-    Other columns are ignored, whatever their names. No documents: no pairs.
-    """
-    return _blocked(docs, threshold, n, block_rows, id_col, text_col, False)
+def ngram_jaccard_join(docs: DataFrame, threshold: float = 0.7, n: int = 3, block_rows: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Each document with its class, its links and its group under the word n-gram Jaccard join.
 
+    Documents of equal n-gram sets are one class. Two classes are linked if the
+    Jaccard index of their sets is >= threshold; all links are found and counted,
+    with no cap on partners, and classes connected by links are one group. Returns
 
-def duplicate_groups(docs: DataFrame, threshold: float = 0.7, n: int = 3, block_rows: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Connected groups of the pairs of ngram_jaccard_join: (id, group), group being the lowest id.
+        id, class_id    the lowest document of its class
+        n_copies        other documents of the class
+        n_links         other classes that its class is linked to
+        group_id        the lowest document of its group
 
-    Only documents in some pair are listed. Each block reports a star instead of
-    its pairs, so the work after the product grows with documents, not pairs.
+    so the result grows with documents, however large groups of copies are. The
+    links themselves are class_pairs.
+
+    Words are those of `texts`. A text of fewer than n words, but one at least,
+    has the one n-gram of all its words. A NULL or empty text, or one without
+    words, has none: it is alone in its class. Rows with NULL id are left out. Of
+    rows that repeat an id, those of equal sets are one document, and the others
+    each have a row. Very long texts and ties need no special case. Other columns
+    are ignored, whatever their names. No documents: no rows.
     """
-    edges = _blocked(docs, threshold, n, block_rows, id_col, text_col, True).where("id != root")
-    return components(edges.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    entries, classes, found, used = _blocked(docs, threshold, n, block_rows, id_col, text_col, True)
+    found = jobs.saved(found.groupBy("class").agg(F.sum("links").alias("links"), F.collect_set("root").alias("roots")).join(classes, "class"), "links")
+    jobs.discard(*used)
+    groups = components(found.select(F.col("first").alias("a"), F.explode("roots").alias("b")))
+    about = classes.join(found.select("class", "links"), "class", "left").join(groups.withColumnRenamed("id", "first"), "first", "left")
+    out = entries.where("n > 0").join(about, "class")
+    out = out.select("id", F.col("first").alias("class_id"), (F.col("size") - 1).alias("n_copies"), F.coalesce("links", F.lit(0)).alias("n_links"), F.coalesce("group", "first").alias("group_id"))
+    alone = entries.where("n = 0").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long"), F.lit(0).cast("long"), F.col("id").alias("group_id"))
+    return out.union(alone).withColumnRenamed("id", id_col)

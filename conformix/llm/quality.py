@@ -77,7 +77,7 @@ def fit_arrays(idx: np.ndarray, first: np.ndarray, grade: np.ndarray, steps: int
     """Maximum likelihood by Adam over all rows at once; deterministic."""
     top = int(grade.max()) if len(grade) else 0
     if top < 1:
-        raise ValueError("two different grades are needed at least")
+        raise jobs.NotEnoughLabels("two different grades are needed at least")
     count = np.diff(first)
     row = np.repeat(np.arange(len(grade)), count)
     # distinct features of each document with their mean
@@ -133,7 +133,7 @@ def fit(docs: DataFrame, ratings: DataFrame, max_rows: int = 6000, id_col: str =
 
     At most `max_rows` rated documents are used, those whose ids hash lowest, so
     the sample is the same in each run. Rows with NULL id, text or rating are
-    left out. Raises ValueError where fewer than two grades are left.
+    left out. Raises NotEnoughLabels where fewer than two grades are left.
     """
     rated = jobs.picked(ratings, id=id_col, grade=grade_col).where("id is not null and grade is not null")
     rated = rated.select(F.col("id").cast("long").alias("id"), F.col("grade").cast("int").alias("grade"))
@@ -142,7 +142,7 @@ def fit(docs: DataFrame, ratings: DataFrame, max_rows: int = 6000, id_col: str =
     rows = texts_.join(F.broadcast(sample), "id").select("grade", "text", F.xxhash64("id", "text").alias("h"))
     model = rows.repartition(1).sortWithinPartitions("h").select("grade", "text").mapInArrow(_fit_rows, "weights binary, bounds binary").collect()
     if not model:
-        raise ValueError("fewer than two different ratings")
+        raise jobs.NotEnoughLabels("fewer than two different ratings")
     return Model(np.frombuffer(model[0]["weights"], np.float32), np.frombuffer(model[0]["bounds"]))
 
 

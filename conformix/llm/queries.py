@@ -6,6 +6,7 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import ann, archive, bpe, context_tree, jobs, media, ngram_join, packing, quality, substring_dedup, toxicity
 
@@ -42,7 +43,10 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ann.neighbours(table(spark, sf_dir, "embeddings"))
+    vectors = table(spark, sf_dir, "embeddings")
+    found = ann.neighbours(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+    found = found.select("vec_id", F.posexplode("neighbours").alias("rank", "n"))
+    return found.select("vec_id", (F.col("rank") + 1).alias("rank"), F.col("n.id").alias("neighbour"), F.col("n.distance").alias("distance"))
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,12 +76,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_tokens", "token_ids", both["decoded_text"].eqNullSafe(both["text"]).alias("round_trip"))
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_toxicity": op2_toxicity,
@@ -89,18 +87,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_packing": op9_packing,
     "op10_bpe": op10_bpe,
-    "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_ngram_jaccard_join": r"""
-WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\x00-/:-@\[-`{-\x7f]+') AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-/:-@\[-`{-\x7f]+') AS ws FROM documents WHERE doc_id IS NOT NULL),
 g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) WHEN len(ws) >= 1 THEN [array_to_string(ws, ' ')] ELSE [] END) AS gram FROM w),
-s AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
-p AS (SELECT a.doc_id AS id_a, b.doc_id AS id_b, count(*) AS overlap FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2)
-SELECT id_a, id_b, overlap, x.n AS size_a, y.n AS size_b, overlap / (x.n + y.n - overlap) AS jaccard
-FROM p JOIN s x ON x.doc_id = id_a JOIN s y ON y.doc_id = id_b
-WHERE overlap / (x.n + y.n - overlap) >= 0.7
+s AS (SELECT doc_id, string_agg(gram, '|' ORDER BY gram) AS grams, count(*) AS n FROM g GROUP BY doc_id),
+c AS (SELECT grams, n, min(doc_id) AS class_id, count(*) - 1 AS n_copies FROM s GROUP BY grams, n),
+r AS (SELECT class_id, n, gram FROM c JOIN g ON g.doc_id = class_id),
+p AS (SELECT a.class_id AS a, b.class_id AS b FROM r a JOIN r b ON a.gram = b.gram AND a.class_id <> b.class_id GROUP BY a.class_id, b.class_id, a.n, b.n HAVING count(*) / (a.n + b.n - count(*)) >= 0.7),
+l AS (SELECT a AS class_id, count(*) AS n_links FROM p GROUP BY a),
+reach AS (SELECT DISTINCT a, a AS b FROM p UNION SELECT reach.a, p.b FROM reach JOIN p ON reach.b = p.a),
+k AS (SELECT a AS class_id, min(b) AS group_id FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(c.class_id, d.doc_id) AS class_id, coalesce(n_copies, 0) AS n_copies, coalesce(n_links, 0) AS n_links, coalesce(group_id, c.class_id, d.doc_id) AS group_id
+FROM (SELECT DISTINCT doc_id FROM w) d LEFT JOIN s ON s.doc_id = d.doc_id LEFT JOIN c ON c.grams = s.grams LEFT JOIN l ON l.class_id = c.class_id LEFT JOIN k ON k.class_id = c.class_id
+""",
+    # with one list, as at this size, the search is exact
+    "op5_ann": r"""
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+d AS (SELECT a.vec_id, b.vec_id AS neighbour, round(list_distance(a.v, b.v), 6) AS distance FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbour)::INTEGER AS rank FROM d)
+SELECT vec_id, rank, neighbour, distance FROM k WHERE rank <= 10
 """,
     "op7_warc": r"""
 SELECT page_id, url, strlen(html) AS n_bytes, sha256(html) AS digest, TRUE AS valid, html FROM pages WHERE page_id IS NOT NULL AND url IS NOT NULL AND html IS NOT NULL

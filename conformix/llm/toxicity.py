@@ -231,7 +231,7 @@ def _fit_rows(batches):
             idx.append(i)
             size.append(np.diff(words.first))
             toxic.append(part.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
-    if not toxic:
+    if not toxic or len(np.unique(np.concatenate(toxic))) < 2:
         return
     m = fit_documents(np.concatenate(idx), np.concatenate(([0], np.cumsum(np.concatenate(size)))), np.concatenate(toxic))
     yield pa.RecordBatch.from_arrays([pa.array([m.weights.tobytes()], pa.binary()), pa.array([np.concatenate([m.start, m.trans.ravel(), [m.cut]]).tobytes()], pa.binary())], ["weights", "rest"])
@@ -241,7 +241,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, id_col: str =
     """Fits the field to documents labelled 0 or 1 as a whole.
 
     At most `max_rows` labelled documents are used, those whose ids hash lowest.
-    Rows with NULL id, text or label are left out; without any, ValueError.
+    Rows with NULL id, text or label are left out. Raises NotEnoughLabels unless
+    both labels are among the rest.
     """
     rated = jobs.picked(labels, id=id_col, toxic=toxic_col).where("id is not null and toxic is not null")
     rated = rated.select(F.col("id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic"))
@@ -250,7 +251,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, id_col: str =
     rows = own.join(F.broadcast(sample), "id").select("toxic", "text", F.xxhash64("id", "text").alias("h"))
     got = rows.repartition(1).sortWithinPartitions("h").select("toxic", "text").mapInArrow(_fit_rows, "weights binary, rest binary").collect()
     if not got:
-        raise ValueError("no labelled documents")
+        raise jobs.NotEnoughLabels("toxic and other documents are needed")
     rest = np.frombuffer(got[0]["rest"])
     return Model(np.frombuffer(got[0]["weights"], np.float32), rest[:2], rest[2:6].reshape(2, 2), float(rest[6]))
 

@@ -1,4 +1,4 @@
-"""Fitted and approximate operators, archives, media and the pipeline."""
+"""Fitted and approximate operators, archives and media."""
 
 import io
 import itertools
@@ -132,20 +132,68 @@ def test_toxicity_edges(spark, split):
         toxicity.fit(docs, train.limit(0))
 
 
+def brute_neighbours(ids, v, asked, k=10):
+    d = ann._square_distances(v[asked].astype(np.float64), v.astype(np.float64))
+    d[np.arange(len(asked)), asked] = np.inf
+    return {int(ids[i]): set(ids[t].tolist()) for i, t in zip(asked, np.argpartition(d, k, 1)[:, :k])}
+
+
 def test_ann_recall(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    got = {r.vec_id: [n.id for n in r.neighbours] for r in ann.neighbours(df, list_rows=128).collect()}
+    got = {r.vec_id: [n.id for n in r.neighbours] for r in ann.neighbours(df, df.where("vec_id % 100 = 0"), list_rows=128).collect()}
     rows = df.collect()
     ids, v = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
-    d = ann._square_distances(v, v)
-    np.fill_diagonal(d, np.inf)
-    hits = [len(set(ids[t]) & set(got[i])) for i, t in zip(ids, np.argsort(d, 1)[:, :10])]
-    assert len(got) == len(rows) and np.mean(hits) >= 9
+    want = brute_neighbours(ids, v, np.flatnonzero(ids % 100 == 0))
+    assert set(got) == set(want) and np.mean([len(want[i] & set(got[i])) for i in want]) >= 9
+
+
+@pytest.fixture(scope="module")
+def clusters():
+    """150,000 vectors in 1,500 clusters."""
+    rng = np.random.RandomState(3)
+    return (rng.randn(1500, 32)[rng.randint(0, 1500, 150_000)] + 0.35 * rng.randn(150_000, 32)).astype(np.float32)
+
+
+def test_ratio_prunes_lists(clusters):
+    """The ratio alone selects a few of hundreds of lists, the walk finds them, and nearly all near vectors are there."""
+    lists = ann.fit_lists(clusters[:60_000], 293)
+    row, home = ann.closures(clusters, lists, 0.1, 4)
+    asked = np.arange(0, 150_000, 100)
+    ask, at = ann.within_ratio(clusters[asked], lists, 0.15)
+    probes = np.bincount(ask, minlength=len(asked))
+    assert probes.min() >= 1 and probes.mean() < 0.03 * len(lists.centroids)
+    near, dist = ann.search_graph(clusters[asked], lists, 16)
+    true = np.sqrt(ann._square_distances(clusters[asked], lists.centroids)).min(1)
+    assert np.mean(np.isclose(dist[:, 0], true, atol=1e-3)) > 0.97
+    there = np.zeros((len(clusters), len(lists.centroids)), bool)
+    there[row, home] = True
+    hit = np.zeros((len(asked), len(lists.centroids)), bool)
+    hit[ask, at] = True
+    want = brute_neighbours(np.arange(150_000), clusters, asked)
+    assert np.mean([(there[sorted(want[i])] & hit[r]).any(1).mean() for r, i in enumerate(asked.tolist())]) > 0.93
+
+
+def test_ann_of_many_vectors(spark, clusters, tmp_path):
+    """Lists that are spread over blocks, which make lists of their own; a third of the rows are copies of one vector."""
+    import pyarrow.parquet as pq
+
+    v = np.concatenate([clusters, np.tile(clusters[7], (75_000, 1))])
+    table = pa.table({"vec_id": np.arange(len(v)), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), 32).cast(pa.list_(pa.float32()))})
+    pq.write_table(table, tmp_path / "v.parquet")
+    df = spark.read.parquet(str(tmp_path / "v.parquet"))
+    got = {r.vec_id: [(n.distance, n.id) for n in r.neighbours] for r in ann.neighbours(df, df.where("vec_id % 1000 = 0"), list_rows=256, sample_rows=2048, block_rows=4000).collect()}
+    asked = np.arange(0, len(v), 1000)
+    assert set(got) == set(asked.tolist())
+    hits = []
+    for i, want in brute_neighbours(np.arange(150_000), clusters, asked[:150]).items():
+        hits.append(len(want & {n for _, n in got[i]}))
+    assert np.mean(hits) >= 9 and all(x == sorted(x) for x in got.values())
+    assert all(got[i] == [(0.0, n) for n in [7, *range(150_000, 150_010)] if n != i][:10] for i in asked[150:].tolist())
 
 
 def test_graph_search_finds_near_centroids():
     rng = np.random.RandomState(2)
-    c, q = rng.randn(3000, 8), rng.randn(200, 8)
+    c, q = rng.randn(3000, 8).astype(np.float32), rng.randn(200, 8).astype(np.float32)
     ids, dist = ann.search_graph(q, ann.build_graph(c), 16)
     true = np.argsort(ann._square_distances(q, c), 1)[:, :16]
     assert np.mean([len(set(a) & set(b)) for a, b in zip(ids, true)]) > 15 and (np.diff(dist, axis=1) >= 0).all()
@@ -154,10 +202,14 @@ def test_graph_search_finds_near_centroids():
 def test_ann_edges(spark):
     rows = [(1, [0.0, 0.0]), (2, [0.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0, 0.0]), (4, None), (5, []), (6, [float("nan"), 1.0]), (7, [1.0]), (None, [1.0, 1.0]), (8, [1.0, None])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("list", F.lit(1)).withColumn("ID", F.lit(2))
-    got = {r.vec_id: [(n.id, n.distance) for n in r.neighbours] for r in ann.neighbours(df, k=5).collect()}
+    got = {r.vec_id: [(n.id, n.distance) for n in r.neighbours] for r in ann.neighbours(df, df, k=5).collect()}
     assert got == {1: [(2, 0.0), (3, 1.0)], 2: [(1, 0.0), (3, 1.0)], 3: [(1, 1.0), (2, 1.0)]}
-    assert ann.neighbours(df.limit(0)).count() == 0
-    assert [len(r.neighbours) for r in ann.neighbours(df.where("vec_id = 3")).collect()] == [0]
+    assert {r.vec_id: [n.id for n in r.neighbours] for r in ann.neighbours(df, df.where("vec_id = 3"), k=1).collect()} == {3: [1]}
+    other = spark.createDataFrame([(50, [2.0, 0.0])], "vec_id long, embedding array<float>")
+    assert [[(n.id, n.distance) for n in r.neighbours] for r in ann.neighbours(df, other, k=2).collect()] == [[(3, 1.0), (1, 2.0)]]
+    assert ann.neighbours(df.limit(0), df).count() == 0 and ann.neighbours(df, df.limit(0)).count() == 0
+    one = df.where("vec_id = 3")
+    assert [len(r.neighbours) for r in ann.neighbours(one, one).collect()] == [0]
 
 
 def test_components(spark):
@@ -269,72 +321,3 @@ def test_archive_members_without_index(tmp_path, indexed):
     else:
         with pytest.raises(ValueError, match="no index line"):
             list(listed)
-
-
-def test_pipeline(spark, tmp_path):
-    import corpus_pipeline
-
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "toxicity", "near_duplicates", "substring_dedup", "packing"]
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    labels = {r.doc_id: (r.quality, r.toxic) for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
-    before = {r.doc_id for r in docs.select("doc_id").collect()}
-    for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
-        out = stage(spark, docs, SF)
-        assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
-        path = str(tmp_path / str(i))
-        out.write.parquet(path)
-        docs = spark.read.parquet(path)
-        now = {r.doc_id for r in docs.select("doc_id").collect()}
-        gone = before - now
-        if i == 0:
-            assert np.mean([labels[d][0] == 0 for d in gone if d in labels]) > 0.95
-        if i == 1:
-            assert gone and np.mean([labels[d][1] == 1 for d in gone if d in labels]) > 0.9
-        if i == 3:
-            assert not gone
-        before = now
-    windows = corpus_pipeline.pack_windows(spark, docs, SF)
-    assert {p.doc_id for r in windows.collect() for p in r.pieces} == before
-
-
-def test_near_copies_of_edited_texts(spark):
-    """Copies with 5 to 10 % of their words edited go; unrelated texts and texts with a half in common stay."""
-    import corpus_pipeline
-
-    rng = np.random.RandomState(6)
-    prose = lambda n: [f"w{int(x)}" for x in 2000 * rng.rand(n) ** 2]
-    rows, stay = [], set()
-
-    def add(own, kept):
-        rows.append((len(rows), " ".join(own)))
-        if kept:
-            stay.add(len(rows) - 1)
-
-    for n in (10, 20, 47, 120, 400):
-        for rate in (0.05, 0.075, 0.1):
-            base = prose(n)
-            add(base, True)
-            for even in (True, False):
-                for kind in ("replaced", "put in", "left out"):
-                    own, k = list(base), int(rate * n + 1e-9)
-                    at = [int((i + 0.5) * n / k) for i in range(k)] if even else rng.choice(n, k, False).tolist()
-                    for i in sorted(at, reverse=True):
-                        own[i : i + (kind != "put in")] = [] if kind == "left out" else [f"new{rng.randint(1 << 30)}"]
-                    add(own, False)
-    for n in (10, 47, 120, 400):
-        for _ in range(10):
-            add(prose(n), True)
-        half = prose(n // 2)
-        add(half + prose(n // 2), True)
-        add(half + prose(n // 2), True)
-    docs = spark.createDataFrame([*rows, (None, rows[0][1]), (9999, None)], "doc_id long, text string")
-    got = [r.doc_id for r in corpus_pipeline.keep_one_of_each(spark, docs, SF).collect()]
-    assert len(got) == len(set(got)) and set(got) == stay | {None, 9999}
-
-
-def test_pipeline_of_nothing(spark):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
-    for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, docs, SF).count() == 0

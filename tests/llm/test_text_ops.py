@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from conformix.llm import bpe, context_tree, ngram_join, packing, substring_dedup, texts
+from conformix.llm import bpe, context_tree, jobs, ngram_join, packing, substring_dedup, texts
 
 WORD = re.compile(r"[^\x00-/:-@\[-`{-\x7f]+")
 # NULLs, empty and blank texts, ties and repeated rows, a very long text, clashing extra columns
@@ -59,11 +59,36 @@ def brute_pairs(rows, n, t):
     return {(a, b, len(sets[a] & sets[b])) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= t * len(sets[a] | sets[b])}
 
 
+def brute_join(rows, n, t):
+    """(id, class_id, n_copies, n_links, group_id) by comparing all sets."""
+    entries = set()
+    for i, x in rows:
+        if i is not None:
+            w = words(x)
+            entries.add((i, frozenset(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])))
+    sets = {s: [i for i, own in entries if own == s] for _, s in entries if s}
+    links = {s: [o for o in sets if o != s and len(s & o) >= t * len(s | o)] for s in sets}
+    group = {s: min(ids) for s, ids in sets.items()}
+    first = dict(group)
+    for _ in sets:
+        for s in sets:
+            # classes with the same lowest document are of one group too
+            group[s] = min([group[s], *(group[o] for o in links[s]), *(group[o] for o in sets if first[o] == first[s])])
+    return {(i, first[s], len(sets[s]) - 1, len(links[s]), group[s]) if s else (i, i, 0, 0, i) for i, s in entries}
+
+
+def joined(spark, rows, t, n, block_rows=4096, form=lambda df: df):
+    got = ngram_join.ngram_jaccard_join(form(frame(spark, rows)), t, n, block_rows)
+    assert got.columns == ["doc_id", "class_id", "n_copies", "n_links", "group_id"]
+    got = [tuple(r) for r in got.collect()]
+    assert len(got) == len(set(got))
+    return set(got)
+
+
 @pytest.mark.parametrize("block_rows", [4096, 2])
 def test_ngram_join(spark, block_rows):
-    got = ngram_join.ngram_jaccard_join(clash(frame(spark)), 0.6, 5, block_rows).collect()
-    assert len(got) == len({(r.id_a, r.id_b) for r in got})
-    assert {(r.id_a, r.id_b, r.overlap) for r in got} == brute_pairs(DOCS, 5, 0.6)
+    rows = [*DOCS, (2, "a second text of a document"), (3, "a second text of a document"), (1, BASE.upper())]
+    assert joined(spark, rows, 0.6, 5, block_rows, clash) == brute_join(rows, 5, 0.6)
 
 
 def test_ngram_join_random(spark):
@@ -77,15 +102,10 @@ def test_ngram_join_random(spark):
                 own[rng.randint(len(own))] = f"v{rng.randint(0, 60)}"
             rows.append((len(rows), " ".join(own)))
     for t, n in ((0.5, 2), (0.8, 3), (1.0, 1)):
-        got = ngram_join.ngram_jaccard_join(frame(spark, rows), t, n, 5).collect()
-        assert {(r.id_a, r.id_b, r.overlap) for r in got} == brute_pairs(rows, n, t)
-    pairs = brute_pairs(rows, 3, 0.5)
-    group = {i: i for i, _ in rows}
-    for _ in rows:
-        for a, b, _ in pairs:
-            group[a] = group[b] = min(group[a], group[b])
-    got = {r.id: r.group for r in ngram_join.duplicate_groups(frame(spark, rows), 0.5, 3, 5).collect()}
-    assert got == {i: group[i] for a, b, _ in pairs for i in (a, b)}
+        assert joined(spark, rows, t, n, 5) == brute_join(rows, n, t)
+    pairs = {(r.id_a, r.id_b, r.overlap) for r in ngram_join.class_pairs(frame(spark, rows), 0.5, 3, 5).collect()}
+    first = {r[0] for r in brute_join(rows, 3, 0.5) if r[0] == r[1]}
+    assert pairs == {p for p in brute_pairs(rows, 3, 0.5) if p[0] in first and p[1] in first}
 
 
 def test_ngram_join_defaults_are_those_of_the_sql(spark):
@@ -95,21 +115,28 @@ def test_ngram_join_defaults_are_those_of_the_sql(spark):
     from conformix.llm import queries
 
     base = [f"b{i}" for i in range(200)]
-    rows = [(0, " ".join(base)), *((k, " ".join(f"e{k}x{i}" if i % 200 in range(5, 5 + 18 * k, 18) else w for i, w in enumerate(base))) for k in (2, 8, 11))]
-    want = brute_pairs(rows, 3, 0.7)
-    assert (0, 11) in {p[:2] for p in want} - {p[:2] for p in brute_pairs(rows, 5, 0.6)}
-    got = ngram_join.ngram_jaccard_join(frame(spark, rows)).collect()
-    assert {(r.id_a, r.id_b, r.overlap) for r in got} == want
-    assert {r.id for r in ngram_join.duplicate_groups(frame(spark, rows)).collect()} == {i for p in want for i in p[:2]}
+    rows = [(0, " ".join(base)), *((k, " ".join(f"e{k}x{i}" if i % 200 in range(5, 5 + 18 * k, 18) else w for i, w in enumerate(base))) for k in (2, 8, 11)), (12, " ".join(base)), (13, None), (14, "")]
+    want = brute_join(rows, 3, 0.7)
+    assert (11, 11, 0, 3, 0) in want - brute_join(rows, 5, 0.6)
+    assert {tuple(r) for r in ngram_join.ngram_jaccard_join(frame(spark, rows)).collect()} == want
     with duckdb.connect() as db:
         db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
         db.executemany("INSERT INTO documents VALUES (?, ?)", rows)
-        assert {r[:3] for r in db.execute(queries.ORACLE_SQL["op4_ngram_jaccard_join"]).fetchall()} == want
+        assert set(db.execute(queries.ORACLE_SQL["op4_ngram_jaccard_join"]).fetchall()) == want
 
 
 def test_join_of_nothing(spark):
     assert ngram_join.ngram_jaccard_join(frame(spark, [])).count() == 0
-    assert ngram_join.duplicate_groups(frame(spark, [(1, "a")])).count() == 0
+    assert ngram_join.class_pairs(frame(spark, [(1, "a")])).count() == 0
+
+
+@pytest.mark.parametrize("bits", [27, 4])
+def test_rows_of_some_ids(spark, monkeypatch, bits):
+    """By the filter, and by the join that stands in for it where there are too many ids."""
+    monkeypatch.setattr(jobs, "FILTER_BITS", bits)
+    df, ids = spark.range(1000).selectExpr("id", "cast(id as string) as text"), spark.range(0, 1000, 50)
+    got = {r.id for r in jobs.only(df, ids).collect()}
+    assert set(range(0, 1000, 50)) <= got and len(got) < 60
 
 
 def brute_removal(rows, least):
