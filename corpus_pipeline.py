@@ -22,29 +22,32 @@ NEAR_WORDS, NEAR_JACCARD = 3, 0.45
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that are poor by the quality classifier (op 1); all columns stay.
+    """Drops documents that are poor by the quality classifier (op 1); all columns stay as they are.
 
     The classifier is fitted to the ratings of this stage's own documents. Where
     these have fewer than two grades, nothing can be learnt and all rows stay.
     """
+    plain, (text,) = jobs.numbered(docs, "text")
     try:
         model = quality.fit(docs, quality.grades(queries.table(spark, sf_dir, "labels")))
-    except ValueError:
+    except jobs.NotEnoughLabels:
         return docs
-    scored = quality.score(docs, model)
-    return scored.where(F.col("tail") >= queries.KEEP_TAIL).select(*docs.columns)
+    scored = quality.score(plain, model, text_col=text)
+    return scored.where(F.col("tail") >= queries.KEEP_TAIL).select(*plain.columns).toDF(*docs.columns)
 
 
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the random field (op 2) finds toxic; all columns stay.
+    """Drops documents that the random field (op 2) finds toxic; all columns stay as they are.
 
-    Without labels for these documents, or without a toxic one, all rows stay.
+    Unless both toxic and other documents are labelled, all rows stay.
     """
+    plain, (text,) = jobs.numbered(docs, "text")
     try:
         model = toxicity.fit(docs, queries.table(spark, sf_dir, "labels"))
-    except ValueError:
+    except jobs.NotEnoughLabels:
         return docs
-    return toxicity.tag(docs, model).where(~F.col("is_toxic")).select(*docs.columns)
+    tagged = toxicity.tag(plain, model, text_col=text)
+    return tagged.where(~F.col("is_toxic")).select(*plain.columns).toDF(*docs.columns)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,16 +56,24 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Copies with up to 10 % of their words edited are near duplicates, wherever the
     edits are (see NEAR_JACCARD); in texts that repeat themselves, whose sets are
     smaller than their length says, a few may stay. Rows that repeat an id share one
-    decision; rows without id or text stay.
+    decision: they stay if one of them leads its group. Rows without id or text
+    stay. All columns stay as they are.
     """
-    groups = ngram_join.duplicate_groups(docs, NEAR_JACCARD, NEAR_WORDS)
-    drop = groups.where("id != group").select(F.col("id").alias("doc_id"))
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    plain, (own, _) = jobs.numbered(docs, "doc_id", "text")
+    found = ngram_join.ngram_jaccard_join(docs, NEAR_JACCARD, NEAR_WORDS)
+    drop = found.groupBy("doc_id").agg(F.max("group_id").alias("group_id")).where("group_id < doc_id").select(F.col("doc_id").alias("drop"))
+    return plain.join(drop, plain[own].cast("long") == drop["drop"], "left_anti").toDF(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes passages of 50 words or more that an earlier document has (op 8)."""
-    return substring_dedup.substring_dedup(docs).select(*docs.columns)
+    """Removes passages of 50 words or more that an earlier document has (op 8).
+
+    Only `text` changes, and with it `n_chars` where there is such a column.
+    """
+    plain, (own, text) = jobs.numbered(docs, "doc_id", "text")
+    chars = jobs.numbered(docs, "n_chars")[1][0] if "n_chars" in docs.columns else ""
+    out = substring_dedup.substring_dedup(plain, id_col=own, text_col=text, chars_col=chars, removed_col="removed")
+    return out.select(*plain.columns).toDF(*docs.columns)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
