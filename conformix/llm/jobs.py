@@ -151,11 +151,11 @@ def _mark(bits: int):
 
 
 def id_filter(ids: DataFrame, n: int) -> np.ndarray:
-    """A hash filter over a column of n longs, of 8 to 16 bits each.
+    """A hash filter over a column of n longs, of 64 to 128 bits each up to 2^FILTER_BITS.
 
     passes() is true for each id of the column and for few others.
     """
-    size = min(max(16, (8 * n).bit_length()), FILTER_BITS)
+    size = min(max(16, (64 * n).bit_length()), FILTER_BITS)
     bits = np.zeros((16, (1 << size) // 128), np.uint8)
     for r in folded(ids.mapInArrow(_mark(size), "slice int, data binary"), _any).collect():
         bits[r["slice"]] = np.frombuffer(r["data"], np.uint8)

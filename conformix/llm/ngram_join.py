@@ -5,17 +5,18 @@ matrix A, whose rows are the distinct sets of n-grams ("classes": documents with
 equal sets share one). It is computed in blocks, and rows and pairs that the
 sizes rule out are discarded before and during the product:
 
-1. A fixed-size table of n-gram counts over all documents fixes one global
+1. A table of n-gram counts by hash slot, over all documents, fixes one global
    order of n-grams, common ones last.
 2. Of n n-grams, a set that reaches t with another misses n - ceil(t n) at most,
    so of its first x in the order it shares x - (n - ceil(t n)) or more. Only the
-   first x = ceil((1 - t + 0.15) n) + 1 are shuffled, as packed arrays by hash
-   bucket, and classes that share fewer of them with classes of sizes within the
-   factor t are dropped.
-3. For the classes left, the lowest class of a size range with an n-gram among
-   the first n - ceil(t n) + 1 owns it there. Owners with mostly the same classes are merged, and
-   a class goes to the row block of each owner it then has; a block of more than
-   `block_rows` is split into squares of its matrix.
+   first x = n - ceil(t n) + ceil((1 - t) n / 2) + 1 are shuffled, as packed arrays
+   by hash bucket. The lowest class of a size range with an n-gram owns it there.
+3. Classes that share fewer of them with classes of sizes within the factor t are
+   dropped. The others visit the blocks of some of their owners: as a linked pair
+   shares (1 - t) n / 2 + 1 or more, each may leave out owners of less than half as many
+   (see _choose). Copies of one text mostly have one owner in common, so most
+   classes are in one block. A block of more than `block_rows` is split into
+   squares of its matrix.
 4. Within a block, columns of one row are dropped, then rows left with fewer
    than ceil(t n) columns, until nothing changes. What is left is multiplied
    slab by slab, rows sorted by size, skipping rows whose sizes differ by more
@@ -42,7 +43,7 @@ _SLOT_BITS = (17, 21)
 _SLICES = 16
 _NONE = np.iinfo(np.int64).min
 _EMIT_KEYS = 2_000_000
-_FLUSH_GRAMS = 3_000_000
+_FLUSH_GRAMS = 2_000_000
 
 
 def _gram_sets(buf: np.ndarray, off: np.ndarray, n: int, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,10 +151,14 @@ class _Packer:
 
 
 def _head(n: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
-    """How many of the first keys of a set of n are sent, and how many of them must be shared."""
-    miss = n - _need(n, t)
-    take = np.minimum(n, miss + np.ceil(0.15 * n).astype(np.int64) + 1)
-    return take, take - miss
+    """How many of the first keys of a set of n are sent, and how many of them a pair that reaches t shares at least.
+
+    Half as many as the set may miss are sent beyond those. Two sets share as many as the larger of both asks, whatever their sizes:
+    where the head that ends first in the global order ends, the other has all
+    shared keys up to there, and what one misses of the other is bounded by both sizes.
+    """
+    spare = np.ceil((1 - t) / 2 * n - 1e-9).astype(np.int64) + 1
+    return np.minimum(n, n - _need(n, t) + spare), np.minimum(spare, _need(n, t))
 
 
 def _heads(n: int, t: float, levels: np.ndarray, n_buckets: int):
@@ -175,24 +180,6 @@ def _heads(n: int, t: float, levels: np.ndarray, n_buckets: int):
     return run
 
 
-def _prefixes(t: float, n_buckets: int):
-    """The first n - ceil(t n) + 1 keys of each class left, packed."""
-
-    def run(batches):
-        packer = _Packer(n_buckets)
-        for batch in batches:
-            for cls, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                keys = np.frombuffer(raw.as_buffer(), U64)
-                take = len(keys) - int(_need(np.int64(len(keys)), t)) + 1
-                packer.put(keys[:take], np.full(take, cls), np.full(take, len(keys)))
-                if packer.size >= _EMIT_KEYS:
-                    yield packer.batch()
-        if packer.size:
-            yield packer.batch()
-
-    return run
-
-
 def _shared(table, t: float):
     """Keys that classes of sizes within the factor t share: class, its size, number of
     the run and lowest class of the run, for each member of each run.
@@ -217,52 +204,54 @@ def _shared(table, t: float):
 
 
 def _tally(n_parts: int, t: float):
-    """For each class of a bucket how many of its keys are shared, packed by class."""
+    """For each class of a bucket how many of its keys each owner has, packed by class."""
 
     def run(key, table):
-        classes, sizes, key, _ = _shared(table, t)
-        order = np.lexsort((key, classes))
-        classes, sizes, key = classes[order], sizes[order], key[order]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (classes[1:] != classes[:-1])
-        classes, sizes = classes[new], sizes[new]
-        first = np.flatnonzero(np.concatenate(([True], classes[1:] != classes[:-1]))) if len(classes) else np.zeros(0, np.int64)
-        count, classes, sizes = np.diff(np.append(first, len(classes))), classes[first], sizes[first]
+        classes, sizes, run_, owners = _shared(table, t)
+        order = np.lexsort((run_, owners, classes))
+        classes, sizes, run_, owners = classes[order], sizes[order], run_[order], owners[order]
+        new = np.ones(len(run_), bool)  # copies of a document send the same keys
+        new[1:] = (run_[1:] != run_[:-1]) | (owners[1:] != owners[:-1]) | (classes[1:] != classes[:-1])
+        classes, sizes, owners = classes[new], sizes[new], owners[new]
+        first = np.flatnonzero(np.concatenate(([True], (classes[1:] != classes[:-1]) | (owners[1:] != owners[:-1])))) if len(classes) else np.zeros(0, np.int64)
+        count, classes, owners, sizes = np.diff(np.append(first, len(classes))), classes[first], owners[first], sizes[first]
         part = (classes.view(U64) % U64(n_parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
-        count, classes, sizes, part = count[order].astype(np.uint32), classes[order], sizes[order].astype(np.uint32), part[order]
+        part = part[order]
         edge = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))).tolist() if len(part) else []
-        rows = [(int(part[a]), classes[a:b].tobytes(), count[a:b].tobytes(), sizes[a:b].tobytes()) for a, b in zip(edge, [*edge[1:], len(part)])]
-        cols = list(zip(*rows)) or [[]] * 4
-        return pa.table({"part": pa.array(cols[0], pa.int32()), "classes": pa.array(cols[1], pa.binary()), "counts": pa.array(cols[2], pa.binary()), "sizes": pa.array(cols[3], pa.binary())})
+        columns = (classes[order], owners[order], count[order].astype(np.uint32), sizes[order].astype(np.uint32))
+        rows = [(int(part[a]), *(x[a:b].tobytes() for x in columns)) for a, b in zip(edge, [*edge[1:], len(part)])]
+        cols = list(zip(*rows)) or [[]] * 5
+        return pa.table([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["part", "classes", "owners", "counts", "sizes"])
 
     return run
 
 
-def _enough(t: float):
-    """Classes that share as many keys as the bound asks."""
+def _choose(t: float):
+    """(class, owner): the owners at which a class meets all that it can be linked to.
 
-    def run(key, table):
-        classes, counts, sizes = (np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column(c)]) for c, kind in (("classes", np.int64), ("counts", np.uint32), ("sizes", np.uint32)))
-        order = np.argsort(classes)
-        classes, counts, sizes = classes[order], counts[order], sizes[order].astype(np.int64)
-        first = np.flatnonzero(np.concatenate(([True], classes[1:] != classes[:-1])))
-        keep = np.add.reduceat(counts, first) >= _head(sizes[first], t)[1]
-        return pa.table({"class": classes[first][keep]})
-
-    return run
-
-
-def _owners(t: float):
-    """Distinct (class, owner) of a bucket."""
+    A class that shares fewer keys than the bound asks has no link. Any linked
+    pair shares `need` keys or more, so if each class leaves less than half of
+    its own `need` to owners that it doesn't visit, one shared key's owner is
+    visited by both. The owners of most keys are taken until no more are left.
+    """
 
     def run(key, table):
-        a, _, _, b = _shared(table, t)
-        order = np.lexsort((a, b))
-        a, b = a[order], b[order]
-        new = np.ones(len(a), bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        return pa.table({"class": a[new], "owner": b[new]})
+        classes, owners, counts, sizes = (np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column(c)]) for c, kind in (("classes", np.int64), ("owners", np.int64), ("counts", np.uint32), ("sizes", np.uint32)))
+        order = np.lexsort((owners, classes))
+        classes, owners, counts, sizes = classes[order], owners[order], counts[order].astype(np.int64), sizes[order].astype(np.int64)
+        first = np.flatnonzero(np.concatenate(([True], (classes[1:] != classes[:-1]) | (owners[1:] != owners[:-1]))))
+        counts, classes, owners, sizes = np.add.reduceat(counts, first), classes[first], owners[first], sizes[first]
+        order = np.lexsort((owners, -counts, classes))
+        counts, classes, owners, sizes = counts[order], classes[order], owners[order], sizes[order]
+        first = np.flatnonzero(np.concatenate(([True], classes[1:] != classes[:-1])))
+        length = np.diff(np.append(first, len(classes)))
+        before = np.cumsum(counts) - counts
+        before -= np.repeat(before[first], length)
+        total = np.repeat(np.add.reduceat(counts, first), length)
+        need = _head(sizes, t)[1]
+        keep = (total >= need) & (before < total - (need - 1) // 2)
+        return pa.table({"class": classes[keep], "owner": owners[keep]})
 
     return run
 
@@ -471,29 +460,6 @@ def _products(t: float, star: bool):
     return run
 
 
-def _merged_owners(owned: DataFrame, block_rows: int) -> DataFrame:
-    """The same (class, owner) with owners merged whose classes are mostly the same.
-
-    Classes that share an owner share what it is merged into, so any merging is
-    right. Of the lowest owners of its classes, an owner joins the one that most of
-    them have, if that is half of them at least; chains are followed to their end.
-    Where more than `block_rows` classes would meet, owners stay apart.
-    """
-    size = owned.groupBy("owner").count()
-    both = owned.join(owned.groupBy("class").agg(F.min("owner").alias("lower")), "class").where("lower < owner").groupBy("owner", "lower").agg(F.count("*").alias("n"))
-    best = both.groupBy("owner").agg(F.max(F.struct("n", F.negate("lower"), "lower")).alias("best")).join(size, "owner").where(F.col("best.n") * 2 >= F.col("count"))
-    label = jobs.cut(size.select("owner").join(best.select("owner", F.col("best.lower").alias("root")), "owner", "left").select("owner", F.coalesce("root", "owner").alias("root")))
-    while True:
-        over = label.select(F.col("owner").alias("root"), F.col("root").alias("next"))
-        new = jobs.cut(label.join(over, "root").select("owner", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
-        label = new.select("owner", "root")
-        if not new.where("moved").head(1):
-            break
-    placed = owned.join(label, "owner").select("class", "owner", "root")
-    fits = placed.select("class", "root").distinct().groupBy("root").count().where(F.col("count") <= block_rows).select("root", F.lit(True).alias("fits"))
-    return placed.join(fits, "root", "left").select("class", F.when(F.col("fits"), F.col("root")).otherwise(F.col("owner")).alias("owner")).distinct()
-
-
 def _blocked(docs: DataFrame, threshold: float, n: int, block_rows: int, id_col: str, text_col: str, star: bool) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:
     """(id, class, n) of each document, (class, first, size) of each class, the blocks' results, and the tables those are read from."""
     if not 0 < threshold <= 1:
@@ -510,26 +476,20 @@ def _blocked(docs: DataFrame, threshold: float, n: int, block_rows: int, id_col:
     classes = jobs.saved(entries.where("n > 0").groupBy("class").agg(F.min("id").alias("first"), F.count("*").alias("size")), "classes")
 
     heads = base.mapInArrow(_heads(n, threshold, levels, count), _Packer.schema)
-    tallies = heads.groupBy("bucket").applyInArrow(_tally(count, threshold), "part int, classes binary, counts binary, sizes binary")
-    left = tallies.groupBy("part").applyInArrow(_enough(threshold), "class long")
-    left = jobs.saved(left.join(classes, "class").select("class", "first"), "left")
-    # few others pass the filter; they fall out of the join with `left` below
-    own = jobs.only(base, left.select(F.col("first").alias("id")))
-    sets = jobs.saved(own.mapInArrow(_sets(n, levels), "id long, class long, grams binary"), "sets")
-
-    owned = sets.select("class", "grams").mapInArrow(_prefixes(threshold, count), _Packer.schema).groupBy("bucket").applyInArrow(_owners(threshold), "class long, owner long").distinct()
-    first = jobs.saved(owned, "owners")
-    owned = jobs.saved(_merged_owners(first, block_rows), "blocks")
-    jobs.discard(first)
-    wide = owned.groupBy("owner").count().where(F.col("count") > block_rows).select("owner", F.ceil(F.col("count") / block_rows).cast("int").alias("slabs"))
-    placed = owned.join(wide, "owner", "left").withColumn("slabs", F.coalesce("slabs", F.lit(1))).withColumn("slab", F.pmod(F.xxhash64("class"), F.col("slabs")).cast("int"))
+    tallies = heads.groupBy("bucket").applyInArrow(_tally(count, threshold), "part int, classes binary, owners binary, counts binary, sizes binary")
+    owned = jobs.saved(tallies.groupBy("part").applyInArrow(_choose(threshold), "class long, owner long"), "owners")
+    several = owned.groupBy("owner").count().where("count > 1").select("owner", F.ceil(F.col("count") / block_rows).cast("int").alias("slabs"))
+    placed = owned.join(several, "owner").withColumn("slab", F.pmod(F.xxhash64("class"), F.col("slabs")).cast("int"))
     block = F.transform(F.sequence(F.lit(0), F.col("slabs") - 1), lambda j: F.struct(F.col("owner"), F.least("slab", j).alias("lo"), F.greatest("slab", j).alias("hi"), F.col("slab")))
     placed = placed.groupBy("class").agg(F.sort_array(F.collect_set("owner")).alias("owners"), F.flatten(F.collect_list(block)).alias("blocks"))
-    about = left.select("class", "first").join(placed, "class")
+    about = jobs.saved(placed.join(classes.select("class", "first"), "class"), "blocks")
+    # few others pass the filter; they fall out of the join with `about`
+    own = jobs.only(base, about.select(F.col("first").alias("id")))
+    sets = own.mapInArrow(_sets(n, levels), "id long, class long, grams binary")
     blocks = sets.join(about, "class").where("id = first")
     blocks = blocks.select("class", "owners", "first", F.explode("blocks").alias("b"), "grams").select("b.owner", "b.lo", "b.hi", "b.slab", "class", "owners", "first", "grams")
     blocks = blocks.repartition("owner", "lo", "hi").sortWithinPartitions("owner", "lo", "hi")
-    return entries, classes, blocks.mapInArrow(_products(threshold, star), _STAR if star else _PAIR), [left, sets, owned]
+    return entries, classes, blocks.mapInArrow(_products(threshold, star), _STAR if star else _PAIR), [owned, about]
 
 
 def class_pairs(docs: DataFrame, threshold: float = 0.7, n: int = 3, block_rows: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -130,6 +130,18 @@ def test_join_of_nothing(spark):
     assert ngram_join.class_pairs(frame(spark, [(1, "a")])).count() == 0
 
 
+@pytest.mark.parametrize("t", [0.3, 0.45, 0.6, 0.7, 0.9, 1.0])
+def test_linked_pairs_meet(t):
+    """For all sizes, the heads of a linked pair share more keys than both classes leave out together."""
+    for a in range(1, 300):
+        b = np.arange(max(1, math.ceil(t * a - 1e-9)), a + 1)
+        o = np.minimum(np.ceil(t / (1 + t) * (a + b) - 1e-9).astype(int), b)
+        b, o = b[o >= t * (a + b - o) - 1e-9], o[o >= t * (a + b - o) - 1e-9]
+        (x_a, need_a), (x_b, need_b) = ngram_join._head(np.full(len(b), a), t), ngram_join._head(b, t)
+        shared = np.minimum(np.where(x_a == a, o, x_a - (a - o)), np.where(x_b == b, o, x_b - (b - o)))
+        assert (shared >= np.maximum(need_a, need_b)).all() and (shared > (need_a - 1) // 2 + (need_b - 1) // 2).all()
+
+
 @pytest.mark.parametrize("bits", [27, 4])
 def test_rows_of_some_ids(spark, monkeypatch, bits):
     """By the filter, and by the join that stands in for it where there are too many ids."""
