@@ -42,7 +42,7 @@ U64 = np.uint64
 _SLOT_BITS = (17, 21)
 _SLICES = 16
 _NONE = np.iinfo(np.int64).min
-_EMIT_KEYS = 2_000_000
+_EMIT_KEYS = 1_000_000
 _FLUSH_GRAMS = 2_000_000
 
 
@@ -466,7 +466,7 @@ def _blocked(docs: DataFrame, threshold: float, n: int, block_rows: int, id_col:
         raise ValueError("threshold must be over 0 and at most 1")
     spark = docs.sparkSession
     base = jobs.picked(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null")
-    count = jobs.buckets(spark)
+    count = 4 * jobs.buckets(spark)  # groups of a few megabytes
     volume = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(max(_SLOT_BITS[0], (volume >> 13).bit_length()), _SLOT_BITS[1])
     survey = jobs.saved(base.mapInArrow(_survey(n, bits), "slice int, data binary, classes binary, sizes binary"), "survey")

@@ -19,7 +19,6 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -129,8 +128,21 @@ def marginals(gain: np.ndarray, begins: np.ndarray, start: np.ndarray, trans: np
     return toxic, logs
 
 
-def fit_arrays(idx: np.ndarray, first: np.ndarray, tags: np.ndarray, steps: int = 60, rate: float = 0.3, decay: float = 0.05) -> Model:
-    """Maximum likelihood of labelled words by Adam over all of them; the cut is 0."""
+def compact(idx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows of features, and the number of each word's row among them."""
+    key = np.zeros(len(idx), U64)
+    for k in range(idx.shape[1]):
+        key = texts.mix(key + idx[:, k].astype(U64) + U64(k << 40))
+    _, at, word = np.unique(key, return_index=True, return_inverse=True)
+    return idx[at], word.astype(np.int32)
+
+
+def fit_arrays(kinds: np.ndarray, word: np.ndarray, first: np.ndarray, tags: np.ndarray, steps: int = 60, rate: float = 0.3, decay: float = 0.05, enough: float = 1e-3) -> Model:
+    """Maximum likelihood of labelled words by Adam over all of them; the cut is 0.
+
+    kinds: features of each distinct word; word: which one each word is. Ends
+    before `steps` when five steps gained less than `enough` of the loss.
+    """
     n = len(tags)
     begins = np.zeros(n + 1, bool)
     begins[first[:-1]] = True
@@ -139,24 +151,34 @@ def fit_arrays(idx: np.ndarray, first: np.ndarray, tags: np.ndarray, steps: int
     had_start = np.bincount(tags[begins], minlength=2)
     follow = np.flatnonzero(~begins)
     had_trans = np.bincount(tags[follow - 1] * 2 + tags[follow], minlength=4).reshape(2, 2)
-    on = tags == 1
-    had = np.bincount(idx[on].ravel(), minlength=len(w)).astype(float)
+    on = np.flatnonzero(tags == 1)
+    flat = kinds.ravel()
+
+    def spread(x: np.ndarray) -> np.ndarray:
+        """Sums over words as sums over features."""
+        return np.bincount(flat, np.repeat(np.bincount(word, x, len(kinds)), KINDS), len(w))
+
+    had = spread((tags == 1).astype(float))
     moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (w, start, trans)]
-    flat = idx.ravel()
+    losses = []
     for t in range(1, steps + 1):
-        p, _, moved, begun = marginals(w[idx].sum(1), begins, start, trans, pairs=True)
-        g_w = np.bincount(flat, np.repeat(p, KINDS), len(w)) - had + decay * w
+        gain = w[kinds].sum(1)[word]
+        p, logs, moved, begun = marginals(gain, begins, start, trans, pairs=True)
+        losses.append(logs - gain[on].sum() - (had_start * start).sum() - (had_trans * trans).sum() + decay / 2 * (w @ w))
+        if t > 6 and losses[-6] - losses[-1] < enough * abs(losses[-1]):
+            break
+        g_w = spread(p) - had + decay * w
         g_w[0] = 0
         grads = (g_w, begun - had_start + decay * start, moved - had_trans + decay * trans)
         for x, g, (m, v) in zip((w, start, trans), grads, moments):
-            g = g / max(1, on.sum())
+            g = g / max(1, len(on))
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             x -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     return Model(w.astype(np.float32), start, trans, 0.0)
 
 
-def label_words(idx: np.ndarray, first: np.ndarray, toxic: np.ndarray, odds: float = 2.5, support: int = 4) -> np.ndarray:
+def label_words(kinds: np.ndarray, word: np.ndarray, first: np.ndarray, toxic: np.ndarray, odds: float = 2.5, support: int = 4) -> np.ndarray:
     """Tags for the words of documents that are labelled as a whole.
 
     A word of a toxic document counts as toxic if one of its features is found
@@ -164,7 +186,8 @@ def label_words(idx: np.ndarray, first: np.ndarray, toxic: np.ndarray, odds: flo
     more common in toxic documents than in others.
     """
     row = np.repeat(np.arange(len(toxic)), np.diff(first))
-    key, _ = texts.distinct((row[:, None].astype(np.int64) << BITS | idx).ravel())
+    pair, _ = texts.distinct(row.astype(np.int64) * len(kinds) + word)
+    key, _ = texts.distinct((((pair // max(1, len(kinds)))[:, None] << BITS) | kinds[pair % max(1, len(kinds))]).ravel())
     doc, col = key >> BITS, key & ((1 << BITS) - 1)
     bad = np.bincount(col[toxic[doc] == 1], minlength=1 << BITS)
     good = np.bincount(col[toxic[doc] == 0], minlength=1 << BITS)
@@ -172,15 +195,14 @@ def label_words(idx: np.ndarray, first: np.ndarray, toxic: np.ndarray, odds: flo
     value = np.log((bad + 0.1) / n_bad) - np.log((good + 0.5) / n_good)
     strong = (value >= odds) & (bad >= support)
     strong[0] = False
-    return (strong[idx].any(1) & (toxic[row] == 1)).astype(np.int64)
+    return (strong[kinds].any(1)[word] & (toxic[row] == 1)).astype(np.int64)
 
 
-def unlike(idx: np.ndarray, first: np.ndarray, share: float = 0.3) -> np.ndarray:
-    """True for documents of which at most `share` of the 4-word sequences is in one before.
+def unlike(h: np.ndarray, first: np.ndarray, share: float = 0.3) -> np.ndarray:
+    """True for documents of which at most `share` of the 4-word sequences is in one before; h: hashes of words.
 
     Copies in the sample would make their rare words look like evidence.
     """
-    h = texts.mix(idx[:, 0].astype(U64))
     grams, off = texts.gram_hashes(h, first, 4)
     seen: set[int] = set()
     keep = np.zeros(len(first) - 1, bool)
@@ -205,17 +227,16 @@ def document_scores(p: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.where(count > 0, (total[first[1:]] - total[first[:-1]]) / np.maximum(count, 1), 0.0)
 
 
-def fit_documents(idx: np.ndarray, first: np.ndarray, toxic: np.ndarray) -> Model:
+def fit_documents(kinds: np.ndarray, word: np.ndarray, first: np.ndarray, toxic: np.ndarray) -> Model:
     """Labels words, fits the field, and sets the cut where documents' scores divide best."""
-    keep = unlike(idx, first)
+    keep = unlike(texts.mix(kinds[:, 0].astype(U64))[word], first)
     count = np.diff(first)
-    rows = texts.ranges(first[:-1][keep], count[keep])
-    own_idx, own_first, own = idx[rows], np.concatenate(([0], np.cumsum(count[keep]))), toxic[keep]
-    model = fit_arrays(own_idx, own_first, label_words(own_idx, own_first, own))
-    begins = np.zeros(len(own_idx) + 1, bool)
-    begins[own_first] = True
-    p, _ = marginals(model.weights[own_idx].sum(1, dtype=np.float64), begins[: len(own_idx)], model.start, model.trans)
-    s = document_scores(p, own_first)
+    word, first, own = word[texts.ranges(first[:-1][keep], count[keep])], np.concatenate(([0], np.cumsum(count[keep]))), toxic[keep]
+    model = fit_arrays(kinds, word, first, label_words(kinds, word, first, own))
+    begins = np.zeros(len(word) + 1, bool)
+    begins[first] = True
+    p, _ = marginals(model.weights[kinds].sum(1, dtype=np.float64)[word], begins[: len(word)], model.start, model.trans)
+    s = document_scores(p, first)
     order = np.argsort(s, kind="stable")
     wrong = np.concatenate(([0], np.cumsum(own[order] == 1))) + np.concatenate((np.cumsum((own[order] == 0)[::-1])[::-1], [0]))
     edges = np.concatenate(([0.0], (s[order][1:] + s[order][:-1]) / 2, [1.0]))
@@ -224,16 +245,20 @@ def fit_documents(idx: np.ndarray, first: np.ndarray, toxic: np.ndarray) -> Mode
 
 
 def _fit_rows(batches):
-    idx, size, toxic = [], [], []
+    kinds, word, size, toxic, n = [], [], [], [], 0
     for batch in batches:
         for part, buf, off in texts.chunks(batch, "text"):
             i, words = features(buf, off)
-            idx.append(i)
+            own, at = compact(i)
+            kinds.append(own)
+            word.append(at + n)
+            n += len(own)
             size.append(np.diff(words.first))
             toxic.append(part.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
     if not toxic or len(np.unique(np.concatenate(toxic))) < 2:
         return
-    m = fit_documents(np.concatenate(idx), np.concatenate(([0], np.cumsum(np.concatenate(size)))), np.concatenate(toxic))
+    kinds, same = compact(np.concatenate(kinds))
+    m = fit_documents(kinds, same[np.concatenate(word)], np.concatenate(([0], np.cumsum(np.concatenate(size)))), np.concatenate(toxic))
     yield pa.RecordBatch.from_arrays([pa.array([m.weights.tobytes()], pa.binary()), pa.array([np.concatenate([m.start, m.trans.ravel(), [m.cut]]).tobytes()], pa.binary())], ["weights", "rest"])
 
 
