@@ -57,7 +57,10 @@ def main(argv: list[str] | None = None) -> int:
             config = scan.load_config(Path(".")) or None if mode == "repo" else None
             project = scan.Project(args.prefix, args.python_package, args.java_package, args.java_version)
             found = extract(spark, getattr(args, f"input_{mode}"), args.language, mode, config, project)
+            log.info("%d files", found.files.count())
             found.features = found.features.persist()
+            for r in found.features.groupBy("file_path").count().orderBy("file_path").toLocalIterator():
+                log.info("%s: %d features", r["file_path"], r["count"])
             args.output.mkdir(parents=True, exist_ok=True)
             stem = args.output / scan.SUFFIX[scan.LANGUAGES[args.language]]
             for form in args.format:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,12 +61,23 @@ def type_priority(kind: Column) -> Column:
     return F.when(kind == "CONSTRUCTOR", 0).when(kind.isin("FUNCTION", "CLASS_METHOD"), 1).when(kind == "INSTANCE_METHOD", 2).otherwise(3)
 
 
+def kind_class(kind: Column) -> Column:
+    """C, F or M for kinds that can be compared with each other; else the kind itself."""
+    return F.when(kind == "CONSTRUCTOR", "C").when(kind.isin("FUNCTION", "CLASS_METHOD"), "F").when(kind == "INSTANCE_METHOD", "M").otherwise(kind)
+
+
 def language_code(language: Column) -> Column:
     """Short code of a language name; Python keeps its long one."""
     name = F.upper(language)
     return F.when(name.isin("TYPESCRIPT", "TS"), "ts").when(name == "JAVA", "java").when(name.isin("GOLANG", "GO"), "go").otherwise(F.lower(name))
 
 
+def code(language: str) -> str:
+    """language_code of a plain string."""
+    name = language.upper()
+    return {"TYPESCRIPT": "ts", "TS": "ts", "JAVA": "java", "GOLANG": "go", "GO": "go"}.get(name, name.lower())
+
+
 def csv_cell(c: Column) -> Column:
     """Quoted only if it has a comma, a quote or a line feed; NULL is empty."""
     c = F.coalesce(c, F.lit(""))
@@ -88,8 +97,3 @@ def module_file(module: Column) -> Column:
 
 def status_icon(score: Column) -> Column:
     return F.when(score == 1.0, "✅").when(score >= F.lit(0.8), "⚠️").otherwise("❌")
-
-
-def absolute(path: str) -> str:
-    """Absolute path without resolving links."""
-    return os.path.abspath(path)

@@ -12,7 +12,6 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -102,31 +101,6 @@ def type_set_score(a: frozenset[str], b: frozenset[str]) -> float:
     return 0.2 if "OBJECT" in both else 0.0
 
 
-def type_set_match(a: Column, b: Column) -> Column:
-    """type_set_score of two arrays of strings, as a Column expression."""
-    a, b = F.transform(a, F.upper), F.transform(b, F.upper)
-
-    def has(c: Column, *names: str) -> Column:
-        return F.arrays_overlap(c, F.array(*[F.lit(n) for n in names]))
-
-    none_a, none_b = F.size(a) == 0, F.size(b) == 0
-    return (
-        F.when(none_a & none_b, 1.0)
-        .when(none_a | none_b, 0.0)
-        .when(F.arrays_overlap(a, b), 1.0)
-        .when((has(a, "MAP") & has(b, "OBJECT", "ANY")) | (has(b, "MAP") & has(a, "OBJECT", "ANY")), 0.4)
-        .when(has(a, "UNKNOWN", "ANY") | has(b, "UNKNOWN", "ANY"), 0.3)
-        .when(has(a, "OBJECT") | has(b, "OBJECT"), 0.2)
-        .otherwise(0.0)
-    )
-
-
-def return_match(types_a: Column, async_a: Column, types_b: Column, async_b: Column) -> Column:
-    """Score of return types and of being asynchronous; unset counts as false."""
-    same = F.coalesce(async_a, F.lit(False)) == F.coalesce(async_b, F.lit(False))
-    return type_set_match(types_a, types_b) * F.lit(0.7) + F.when(same, F.lit(1.0)).otherwise(F.lit(0.0)) * F.lit(0.3)
-
-
 Param = tuple[str, frozenset[str], bool]
 
 
@@ -188,45 +162,42 @@ def _table(a: list, b: list, score) -> np.ndarray:
     return grid[i][:, j]
 
 
-def score_matrix(base: list[Side], target: list[Side], weights: Weights = Weights(), both_empty: float = 0.0) -> np.ndarray:
-    """Scores of all pairs of features.
+def name_scores(base: list[Side], target: list[Side], kind: str, weights: Weights = Weights(), both_empty: float = 0.0) -> np.ndarray:
+    """Weighted sums of the similarities of names, classes and namespaces, for pairs of one class of kinds."""
+    w_name, w_member, w_space = weights.for_class(kind)
+    jw = lambda x, y: jaro_winkler(x, y, both_empty)
+    score = _table([f.name for f in base], [f.name for f in target], jw) * w_name
+    score += _table([f.member_of for f in base], [f.member_of for f in target], jw) * w_member
+    score += _table([f.namespace for f in base], [f.namespace for f in target], jw) * w_space
+    return score
+
+
+def class_scores(base: list[Side], target: list[Side], kind: str, weights: Weights = Weights(), both_empty: float = 0.0) -> np.ndarray:
+    """Scores of all pairs of features of one class of kinds: C, F or M.
 
-    Kinds of different classes score 0. Where the weighted names, classes and
-    namespaces stay below 0.8 of their weights, that sum is the score; only the
-    other pairs have parameters and return types compared.
+    Where the weighted names, classes and namespaces stay below 0.8 of their
+    weights, that sum is the score; only the other pairs have parameters and
+    return types compared.
     """
-    out = np.zeros((len(base), len(target)))
-    by_class: dict[str, tuple[list[int], list[int]]] = {}
-    for side, which in ((base, 0), (target, 1)):
-        for i, f in enumerate(side):
-            by_class.setdefault(kind_class(f.kind), ([], []))[which].append(i)
-    for kind in "CFM":
-        rows, cols = by_class.get(kind, ([], []))
-        if not rows or not cols:
-            continue
-        a, b = [base[i] for i in rows], [target[j] for j in cols]
-        w_name, w_member, w_space = weights.for_class(kind)
-        jw = lambda x, y: jaro_winkler(x, y, both_empty)
-        name = _table([f.name for f in a], [f.name for f in b], jw) * w_name
-        member = _table([f.member_of for f in a], [f.member_of for f in b], jw) * w_member
-        space = _table([f.namespace for f in a], [f.namespace for f in b], jw) * w_space
-        score = name + member + space
-        full = score >= EARLY_EXIT * (w_name + w_member + w_space)
-        if full.any():
-            i, j = np.nonzero(full)
-            pa, pi = _codes([f.params for f in a])
-            pb, pj = _codes([f.params for f in b])
-            ra, ri = _codes([(f.returns, f.is_async) for f in a])
-            rb, rj = _codes([(f.returns, f.is_async) for f in b])
-            pair, at = np.unique(pi[i] * len(pb) + pj[j], return_inverse=True)
-            params = np.array([params_score(pa[p // len(pb)], pb[p % len(pb)]) for p in pair])[at]
-            pair, at = np.unique(ri[i] * len(rb) + rj[j], return_inverse=True)
-            returns = np.array([return_score(*ra[p // len(rb)], *rb[p % len(rb)]) for p in pair])[at]
-            score[i, j] = score[i, j] + params * weights.parameters + returns * weights.return_type
-        out[np.ix_(rows, cols)] = score
-    return out
+    score = name_scores(base, target, kind, weights, both_empty)
+    i, j = np.nonzero(score >= EARLY_EXIT * sum(weights.for_class(kind)))
+    if not len(i):
+        return score
+    pa, pi = _codes([f.params for f in base])
+    pb, pj = _codes([f.params for f in target])
+    ra, ri = _codes([(f.returns, f.is_async) for f in base])
+    rb, rj = _codes([(f.returns, f.is_async) for f in target])
+    pair, at = np.unique(pi[i] * len(pb) + pj[j], return_inverse=True)
+    params = np.array([params_score(pa[p // len(pb)], pb[p % len(pb)]) for p in pair])[at]
+    pair, at = np.unique(ri[i] * len(rb) + rj[j], return_inverse=True)
+    returns = np.array([return_score(*ra[p // len(rb)], *rb[p % len(rb)]) for p in pair])[at]
+    score[i, j] += params * weights.parameters + returns * weights.return_type
+    return score
 
 
 def feature_score(base: Side, target: Side, weights: Weights = Weights(), both_empty: float = 0.0) -> float:
-    """Score of one pair of features."""
-    return float(score_matrix([base], [target], weights, both_empty)[0, 0])
+    """Score of one pair of features; 0 for kinds of different classes."""
+    kind = kind_class(base.kind)
+    if kind != kind_class(target.kind) or kind not in ("C", "F", "M"):
+        return 0.0
+    return float(class_scores([base], [target], kind, weights, both_empty)[0, 0])

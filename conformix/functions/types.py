@@ -170,31 +170,3 @@ def _normalize_types(text: pd.Series, language: pd.Series) -> pd.Series:
 def normalized_types(text: Column, language: Column | str) -> Column:
     """The grammars that recurse, as an Arrow function; NULL stays NULL."""
     return _normalize_types(text, F.lit(language) if isinstance(language, str) else language)
-
-
-def _lookup(c: Column, table: dict[str, str]) -> Column:
-    out = None
-    for name in sorted(set(table.values())):
-        test = c.isin(*[w for w, n in table.items() if n == name])
-        out = F.when(test, name) if out is None else out.when(test, name)
-    return out.otherwise("OBJECT")
-
-
-def keyword_type(text: Column) -> Column:
-    """The keyword table as a Column expression."""
-    from .names import strip
-
-    return _lookup(F.lower(strip(text)), KEYWORDS)
-
-
-def go_type(text: Column) -> Column:
-    """Go's rules as a Column expression: leading stars count only after the other rules."""
-    from .names import strip
-
-    def rules(c: Column, last: Column) -> Column:
-        close, blank = F.instr(c, "]"), F.instr(c, " ")
-        is_list = c.startswith("[") & (close > 0) & ((blank == 0) | c.startswith("[]") | (close < blank))
-        return F.when(c.startswith("map["), "MAP").when(is_list, "LIST").otherwise(last)
-
-    bare = strip(F.regexp_replace(strip(text), r"(?U)^(\*\s*)+", ""))
-    return F.when(bare == "", "OBJECT").otherwise(rules(bare, _lookup(F.lower(bare), _GO)))

@@ -1,7 +1,9 @@
 """From source trees to feature tables: parse, filter, derive.
 
-Files are read and parsed in one pass without a shuffle. Parsers only give raw
-rows; which of them are features, and every derived column, are expressions here.
+Files are read and parsed in one pass; only TypeScript's named types meet the files
+that mention them in a join. Parsers only give raw rows; which of them are features,
+and every derived column, are expressions here. The order of rows takes one shuffle,
+by ranges of paths.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pathlib import Path
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names
@@ -21,48 +23,68 @@ from ..schema import FEATURE, Registry
 from ..sources import scan as files
 from ..sources.parsers import RAW, go, java, python, typescript
 from ..sources.scan import Project
+from .ordering import boundaries, ordered
 
 _PARSERS = {"python": python.parse, "java": java.parse, "go": go.parse}
 
 
-def type_map(sources: DataFrame) -> typescript.TypeMap:
-    """Properties of the named object types of a tree; the last definition by path and position wins.
+_PROPS = "array<struct<prop:string,type:string,optional:boolean>>"
 
-    It goes to every task, like the vocabulary of a language: its size follows
-    the number of declared types, not of files or uses.
+
+def type_map(sources: DataFrame) -> DataFrame:
+    """(name, props) of the named object types of a tree.
+
+    Of several definitions the last by path counts; within a file aliases come
+    after interfaces, then the later one counts.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [(p, *x) for p, c in zip(batch["path"], batch["content"]) for x in typescript.type_map(bytes(c).decode("utf-8", "replace"))]
-            yield pd.DataFrame(rows, columns=["path", "name", "at", "prop", "type", "optional"])
+            yield pd.DataFrame(rows, columns=["path", "name", "alias", "at", "prop", "type", "optional"])
 
-    rows = sources.mapInPandas(run, "path string, name string, at int, prop string, type string, optional boolean")
-    last = rows.groupBy("name").agg(F.max(F.struct("path", "at")).alias("last"))
-    kept = rows.join(last, "name").where(F.struct("path", "at") == F.col("last"))
-    out: typescript.TypeMap = {}
-    for r in kept.select("name", "prop", "type", "optional").toLocalIterator():
-        own = out.setdefault(r["name"], {})
-        if r["prop"]:
-            own[r["prop"]] = (r["type"], r["optional"])
-    return out
+    rows = sources.mapInPandas(run, "path string, name string, alias boolean, at int, prop string, type string, optional boolean")
+    place = F.struct("path", "alias", "at")
+    one = rows.groupBy("name", place.alias("place")).agg(F.filter(F.collect_list(F.struct("prop", "type", "optional")), lambda p: p["prop"] != "").alias("props"))
+    return one.groupBy("name").agg(F.max_by("props", "place").alias("props"))
 
 
-def parse(sources: DataFrame, language: str, types: typescript.TypeMap | None = None) -> DataFrame:
-    """Raw rows of all files."""
-    rule = _PARSERS.get(language) or (lambda path, text: typescript.parse(path, text, types or {}))
+def with_types(sources: DataFrame, types: DataFrame) -> DataFrame:
+    """Sources with `types`: name and properties of those named types that the file mentions.
+
+    Types meet files by name, so neither side is held by the driver or a task.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(p, w) for p, c in zip(batch["path"], batch["content"]) for w in sorted(typescript.mentioned(bytes(c).decode("utf-8", "replace")))]
+            yield pd.DataFrame(rows, columns=["path", "name"])
+
+    found = sources.mapInPandas(run, "path string, name string").join(types, "name")
+    found = found.groupBy("path").agg(F.collect_list(F.struct("name", "props")).alias("types"))
+    return sources.select("path", "content").join(found, "path", "left")
+
+
+def parse(sources: DataFrame, language: str) -> DataFrame:
+    """Raw rows of all files; for TypeScript `types` holds the named types of with_types, if there is such a column."""
+    has_types = "types" in sources.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         schema = to_arrow_schema(RAW)
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows = rule(path, content.as_py().decode("utf-8", "replace"))
+            lists = batch.column(2).to_pylist() if has_types else [None] * batch.num_rows
+            for path, content, types in zip(batch.column(0).to_pylist(), batch.column(1), lists):
+                text = content.as_py().decode("utf-8", "replace")
+                if language == "typescript":
+                    rows = typescript.parse(path, text, {t["name"]: {p["prop"]: (p["type"], p["optional"]) for p in t["props"]} for t in types or []})
+                else:
+                    rows = _PARSERS[language](path, text)
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return sources.select("path", "content").mapInArrow(run, RAW)
+    return sources.select("path", "content", *(["types"] if has_types else [])).mapInArrow(run, RAW)
 
 
 def is_feature(language: str, root: str) -> Column:
@@ -201,8 +223,11 @@ def _types_of(language: str):
     return run
 
 
-def to_features(raw: DataFrame, language: str, root: str, source_root: str = ".", project: Project = Project()) -> DataFrame:
-    """Feature table of raw rows; `ord` follows file path, order of node kinds, and position."""
+def to_features(raw: DataFrame, language: str, root: str, source_root: str = ".", project: Project = Project(), edges: list[str] | None = None) -> DataFrame:
+    """Feature table of raw rows; `ord` follows file path, order of node kinds, and position.
+
+    edges: paths that divide the files in ranges (see ordering.boundaries).
+    """
     base = os.path.abspath(os.path.join(root, source_root))
     rows = raw.where(is_feature(language, root))
     if language == "go":
@@ -225,7 +250,6 @@ def to_features(raw: DataFrame, language: str, root: str, source_root: str = "."
         ),
     )
     free = F.lit("") if language == "go" else F.lit("null")
-    order = Window.orderBy("path", "stage", "at")
     out = rows.select(
         F.col("name").alias("original_name"),
         names.normalize_name(F.col("name")).alias("normalized_name"),
@@ -241,8 +265,10 @@ def to_features(raw: DataFrame, language: str, root: str, source_root: str = "."
         F.col("returns").alias("original_return_types"),
         F.col("types.returns").alias("normalized_return_types"),
         is_async(language).alias("async"),
-        (F.row_number().over(order) - 1).cast("long").alias("ord"),
+        "stage",
+        "at",
     )
+    out = ordered(out, "file_path", ["stage", "at"], edges or [])
     return out.select(*[f.name for f in FEATURE.fields])
 
 
@@ -270,6 +296,9 @@ def extract(spark: SparkSession, source: str | Path, language: str, mode: str =
             sources = spark.createDataFrame([(str(source), source.read_bytes())], "path string, content binary")
     else:
         raise ValueError(f"unknown mode {mode!r}")
-    types = type_map(files.scan(spark, root, language)) if language == "typescript" else None
-    features = to_features(parse(sources, language, types), language, str(root), own.get("source_root", "."), project)
-    return Registry(language.upper(), files.version(spark, Path(root), language, project), features)
+    listed = sources.select("path")
+    edges = boundaries(listed)
+    if language == "typescript":
+        sources = with_types(sources, type_map(files.scan(spark, root, language)))
+    features = to_features(parse(sources, language), language, str(root), own.get("source_root", "."), project, edges)
+    return Registry(language.upper(), files.version(spark, Path(root), language, project), features, listed)

@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..functions.similarity import Side, Weights, jaro_winkler_udf, kind_class, score_matrix
+from ..functions.similarity import Side, Weights, class_scores, jaro_winkler
 from .assignment import best_assignment
 
 NEAR_MISS = 0.15
 REMAP_ABOVE = 0.8
-#: Largest score matrix of one class of kinds within a module, in cells.
-MATRIX_CELLS = 400_000_000
+#: Largest score matrix of one class of kinds within a module, in cells of 8 bytes; two are held at a time.
+MATRIX_CELLS = 50_000_000
 
 _NEEDED = ["ord", "type", "normalized_name", "normalized_member_of", "normalized_namespace", "parameters", "normalized_return_types", "async"]
 
@@ -26,25 +24,80 @@ def with_module(features: DataFrame) -> DataFrame:
     return features.withColumn("module", names.module_key(F.col("namespace"), F.col("normalized_namespace")))
 
 
+def _letters(names: list[str], alphabet: dict[str, int]) -> np.ndarray:
+    """How often each name has each character, rarer ones together as one."""
+    out = np.zeros((len(names), len(alphabet) + 1), np.int16)
+    for i, name in enumerate(names):
+        for c in name:
+            out[i, alphabet.get(c, len(alphabet))] += 1
+    return out
+
+
+def most_similar(names: list[str], others: list[str], above: float) -> list[tuple[str, str, float]]:
+    """(name, other, score) for each name that has a similarity over `above` with some other: the best, the first by name among equals.
+
+    Common characters bound the similarity from above, so only pairs whose bound
+    exceeds the best score so far are compared.
+    """
+    others = sorted(others)
+    alphabet = {c: i for i, c in enumerate(sorted({c for x in others for c in x})[:63])}
+    b, m = _letters(others, alphabet), np.array([len(x) for x in others])
+    heads = [np.array([x[p : p + 1] for x in others]) for p in range(4)]
+    found = []
+    for name, own in zip(names, _letters(names, alphabet)):
+        n = len(name)
+        common = np.minimum(b, own).sum(1)
+        bound = np.where(common > 0, (common / max(n, 1) + common / np.maximum(m, 1) + 1) / 3, 0.0)
+        same, prefix = np.ones(len(others), bool), np.zeros(len(others))
+        for p in range(min(4, n)):
+            same &= heads[p] == name[p]
+            prefix += same
+        bound = bound + np.where(bound > 0.7, 0.1 * prefix * (1 - bound), 0.0) + 1e-9
+        best, at = above, -1
+        for j in np.argsort(-bound, kind="stable"):
+            if bound[j] < best:
+                break
+            score = jaro_winkler(name, others[j])
+            if score > best or (score == best and 0 <= at and j < at):
+                best, at = score, int(j)
+        if at >= 0:
+            found.append((name, others[at], best))
+    return found
+
+
+_BLOCK = 2048
+
+
 def remap_namespaces(base_keys: DataFrame, target_keys: DataFrame, above: float = REMAP_ABOVE) -> DataFrame:
     """(module, base_module) for target modules: themselves if base has them, else the
     most similar base module if its score exceeds `above`, the first by name among
     equals. Other target modules are missing. With no base modules all map to themselves.
 
-    Both inputs are distinct values of a column `module`; only modules without an
-    equal are compared, all with all.
+    Both inputs are distinct values of a column `module`. Modules without an equal
+    are compared in blocks of about 2,048 names of either side; a block gives the
+    best of each of its target modules.
     """
     base = base_keys.select(F.col("module").alias("base_module"))
     same = target_keys.join(base, F.col("module") == F.col("base_module"), "left")
     exact = same.where("base_module is not null").select("module", "base_module")
     rest = same.where("base_module is null").select("module")
-    pairs = rest.crossJoin(base).withColumn("score", jaro_winkler_udf("module", "base_module"))
-    best = pairs.groupBy("module").agg(F.max("score").alias("top"))
-    near = pairs.join(best, "module").where((F.col("score") == F.col("top")) & (F.col("top") > F.lit(float(above))))
-    near = near.groupBy("module").agg(F.min("base_module").alias("base_module"))
-    any_base = base.limit(1).select(F.lit(1).alias("one"))
-    alone = target_keys.join(any_base, F.lit(True), "left_anti").select("module", F.col("module").alias("base_module"))
-    return exact.unionByName(near).unionByName(alone)
+    n_base, n_rest = base.count(), rest.count()
+    if not n_base:
+        return target_keys.select("module", F.col("module").alias("base_module"))
+    rows, cols = max(1, -(-n_rest // _BLOCK)), max(1, -(-n_base // _BLOCK))
+
+    def spread(df: DataFrame, name: str, own: str, parts: int, other: str, others: int) -> DataFrame:
+        placed = df.withColumn(own, F.pmod(F.xxhash64(name), F.lit(parts)).cast("int"))
+        return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+    def compare(key, left, right):
+        got = most_similar(left.column("module").to_pylist(), right.column("base_module").to_pylist(), above) if len(left) and len(right) else []
+        return pa.table([pa.array([x[i] for x in got], t) for i, t in enumerate((pa.string(), pa.string(), pa.float64()))], names=["module", "base_module", "score"])
+
+    left, right = spread(rest, "module", "r", rows, "c", cols), spread(base, "base_module", "c", cols, "r", rows)
+    near = left.groupBy("r", "c").cogroup(right.groupBy("r", "c")).applyInArrow(compare, "module string, base_module string, score double")
+    near = near.groupBy("module").agg(F.min_by("base_module", F.struct(-F.col("score"), F.col("base_module"))).alias("base_module"))
+    return exact.unionByName(near)
 
 
 def remap_target(base: DataFrame, target: DataFrame, above: float = REMAP_ABOVE) -> DataFrame:
@@ -53,7 +106,7 @@ def remap_target(base: DataFrame, target: DataFrame, above: float = REMAP_ABOVE)
     has no counterpart are dropped."""
     mapped = remap_namespaces(base.select("module").distinct(), target.select("module").distinct(), above)
     first = target.groupBy("module").agg(F.min("ord").alias("first"))
-    placed = target.join(F.broadcast(mapped.join(first, "module")), "module")
+    placed = target.join(mapped.join(first, "module"), "module")
     return placed.withColumn("pos", F.struct("first", "ord")).drop("module").withColumnRenamed("base_module", "module")
 
 
@@ -61,54 +114,42 @@ def _rows(table: pa.Table) -> list[dict]:
     return sorted(table.to_pylist(), key=lambda r: (r["pos"]["first"], r["pos"]["ord"]))
 
 
-def _assigned(matrix: np.ndarray, classes: tuple[np.ndarray, np.ndarray], rows: np.ndarray, cols: np.ndarray) -> Iterator[tuple[int, int, float]]:
-    """Pairs of the best assignment among the rows and columns left.
-
-    Kinds of different classes score 0, so solving each class by itself gives the
-    same pairs of positive score.
-    """
-    for kind in "CFM":
-        i, j = rows[classes[0][rows] == kind], cols[classes[1][cols] == kind]
-        part = matrix[np.ix_(i, j)]
-        for x, y in zip(*best_assignment(part)):
-            yield int(i[x]), int(j[y]), float(part[x, y])
-
-
-def match_lists(base: list[Side], target: list[Side], alpha: float, weights: Weights = Weights()) -> tuple[list[tuple[int, int, float]], list[tuple[int, int, float]], list[int], list[int]]:
-    """Solid pairs (score > alpha), then of the rest potential pairs (score > alpha - 0.15),
-    and what is left on both sides. Pairs are ordered by base row. The matrix is
-    scored once for both passes and isn't pruned, as pairs below the threshold
-    compete in the assignment too."""
-    classes = tuple(np.array([kind_class(f.kind) for f in side], object) for side in (base, target))
-    for kind in "CFM":
-        cells = int((classes[0] == kind).sum()) * int((classes[1] == kind).sum()) if base and target else 0
-        if cells > MATRIX_CELLS:
-            raise ValueError(f"a module has {cells} pairs of one kind, more than the limit of {MATRIX_CELLS}")
-    matrix = score_matrix(base, target, weights)
+def match_lists(base: list[Side], target: list[Side], kind: str, alpha: float, weights: Weights = Weights()) -> tuple[list[tuple[int, int, float]], list[tuple[int, int, float]], list[int], list[int]]:
+    """For features of one class of kinds: solid pairs (score > alpha), then of the rest
+    potential pairs (score > alpha - 0.15), and what is left on both sides. Pairs are
+    ordered by base row. The matrix is scored once for both passes and isn't pruned, as
+    pairs below the threshold compete in the assignment too."""
     rows, cols = np.arange(len(base)), np.arange(len(target))
+    if kind not in ("C", "F", "M") or not len(rows) or not len(cols):
+        return [], [], rows.tolist(), cols.tolist()
+    if len(rows) * len(cols) > MATRIX_CELLS:
+        raise ValueError(f"a module has {len(rows) * len(cols)} pairs of one kind, more than the limit of {MATRIX_CELLS}")
+    matrix = class_scores(base, target, kind, weights)
     found = []
     for threshold in (alpha, max(0.0, alpha - NEAR_MISS)):
-        pairs = sorted(p for p in _assigned(matrix, classes, rows, cols) if p[2] > threshold) if len(rows) and len(cols) else []
+        part = matrix[np.ix_(rows, cols)]
+        at = zip(*best_assignment(part)) if part.size else ()
+        pairs = [(int(rows[x]), int(cols[y]), float(part[x, y])) for x, y in at if part[x, y] > threshold]
         found.append(pairs)
         rows = np.setdiff1d(rows, [p[0] for p in pairs], assume_unique=True)
         cols = np.setdiff1d(cols, [p[1] for p in pairs], assume_unique=True)
     return found[0], found[1], rows.tolist(), cols.tolist()
 
 
-_OUT = "module string, kind string, base_ord long, target_ord long, score double, place long"
+_OUT = "module string, kind string, base_ord long, target_ord long, score double, first long, at long"
 
 
 def _match_module(alpha: float, weights: Weights):
     def run(key, base, target):
         b, t = _rows(base), _rows(target)
-        module = key[0].as_py()
-        solid, potential, only_b, only_t = match_lists([Side.of(r) for r in b], [Side.of(r) for r in t], alpha, weights)
-        out = [(module, kind, b[i]["ord"], t[j]["ord"], s, n) for kind, pairs in (("solid", solid), ("potential", potential)) for n, (i, j, s) in enumerate(pairs)]
-        out += [(module, "base_only", b[i]["ord"], None, 0.0, n) for n, i in enumerate(only_b)]
-        out += [(module, "target_only", None, t[j]["ord"], 0.0, n) for n, j in enumerate(only_t)]
-        cols = list(zip(*out)) or [[]] * 6
-        types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
-        return pa.table([pa.array(c, ty) for c, ty in zip(cols, types)], names=["module", "kind", "base_ord", "target_ord", "score", "place"])
+        module, cls = (x.as_py() for x in key)
+        solid, potential, only_b, only_t = match_lists([Side.of(r) for r in b], [Side.of(r) for r in t], cls, alpha, weights)
+        out = [(module, kind, b[i]["ord"], t[j]["ord"], s, *b[i]["pos"].values()) for kind, pairs in (("solid", solid), ("potential", potential)) for i, j, s in pairs]
+        out += [(module, "base_only", b[i]["ord"], None, 0.0, *b[i]["pos"].values()) for i in only_b]
+        out += [(module, "target_only", None, t[j]["ord"], 0.0, *t[j]["pos"].values()) for j in only_t]
+        cols = list(zip(*out)) or [[]] * 7
+        types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+        return pa.table([pa.array(c, ty) for c, ty in zip(cols, types)], names=["module", "kind", "base_ord", "target_ord", "score", "first", "at"])
 
     return run
 
@@ -118,23 +159,15 @@ def match_features(base: DataFrame, target: DataFrame, alpha: float = 0.8, weigh
 
     Returns module, kind (solid, potential, base_only, target_only), base_ord,
     target_ord, score, and place, the order within module and kind. One shuffle
-    per side, on the module; a module is one task.
+    per side, on the module and the class of kinds: kinds of different classes
+    score 0, so each class is solved by itself, in a task of its own.
     """
     if "pos" not in base.columns:
         base = base.withColumn("pos", F.struct(F.lit(0).cast("long").alias("first"), "ord"))
     if "pos" not in target.columns:
         target = target.withColumn("pos", F.struct(F.lit(0).cast("long").alias("first"), "ord"))
     # fresh column ids, as both sides may come from one table
-    left, right = (d.select(*[F.col(c).alias(c) for c in ("module", "pos", *_NEEDED)]) for d in (base, target))
-    return left.groupBy("module").cogroup(right.groupBy("module")).applyInArrow(_match_module(alpha, weights), _OUT)
-
-
-def residual(rows: DataFrame, matched: DataFrame, on: list[str]) -> DataFrame:
-    """Rows without a counterpart in the matched ones."""
-    return rows.join(matched.select(*on), on, "left_anti")
-
-
-def arg_best(pairs: DataFrame, key: str, score: str, candidate: str) -> DataFrame:
-    """For each key the candidate of the highest score, the first by name among equals."""
-    w = Window.partitionBy(key).orderBy(F.desc(score), candidate)
-    return pairs.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
+    left, right = (d.select(*[F.col(c).alias(c) for c in ("module", "pos", *_NEEDED)], names.kind_class(F.col("type")).alias("cls")) for d in (base, target))
+    found = left.groupBy("module", "cls").cogroup(right.groupBy("module", "cls")).applyInArrow(_match_module(alpha, weights), _OUT)
+    order = Window.partitionBy("module", "kind").orderBy("first", "at")
+    return found.select("module", "kind", "base_ord", "target_ord", "score", (F.row_number().over(order) - 1).cast("long").alias("place"))

@@ -12,8 +12,10 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import names
 from ..functions.similarity import Weights
@@ -25,6 +27,11 @@ REPORT_TYPES = ("symmetric", "directional", "raw")
 _KINDS = ["solid", "potential", "base_only", "target_only"]
 
 
+@F.pandas_udf(T.StringType())
+def _four_digits(score: pd.Series) -> pd.Series:
+    return score.map("{:.4f}".format)
+
+
 @dataclass
 class MatchResult:
     """Text of the main report, and of the module reports by file name."""
@@ -33,11 +40,6 @@ class MatchResult:
     module_files: dict[str, str] = field(default_factory=dict)
 
 
-def _code(language: str) -> str:
-    name = language.upper()
-    return {"TYPESCRIPT": "ts", "TS": "ts", "JAVA": "java", "GOLANG": "go", "GO": "go"}.get(name, name.lower())
-
-
 def matched_rows(base: DataFrame, target: DataFrame, alpha: float, weights: Weights = Weights()) -> tuple[DataFrame, DataFrame]:
     """Matches, and the same with what reports show of both features."""
     base = with_module(base)
@@ -61,21 +63,42 @@ def matched_rows(base: DataFrame, target: DataFrame, alpha: float, weights: Weig
 
 
 def raw_lines(rows: DataFrame) -> DataFrame:
-    """CSV line without the score, and the score, in the order of the report."""
+    """Lines of the CSV report: module, rank and place give their order, `line` is the text."""
     cell = lambda c: names.csv_cell(F.col(c))
     kind = F.when(F.col("kind") == "target_only", F.col("target_type")).otherwise(F.col("base_type"))
     line = F.concat_ws(",", *[cell(f"{p}_{c}") for p in ("base", "target") for c in ("ns", "member", "raw")], names.csv_cell(kind))
-    return rows.select(line.alias("line"), "score", "module", F.array_position(F.array(*[F.lit(k) for k in _KINDS]), F.col("kind")).alias("rank"), "place").orderBy("module", "rank", "place")
+    line = F.concat(line, F.lit(","), _four_digits("score"))
+    return rows.select("module", F.array_position(F.array(*[F.lit(k) for k in _KINDS]), F.col("kind")).alias("rank"), "place", line.alias("line"))
+
+
+def raw_header(base_language: str, target_language: str) -> str:
+    return ",".join([f"{names.code(c)}_{x}" for c in (base_language, target_language) for x in ("namespace", "member_of", "name")] + ["type", "score"])
+
+
+def write_raw(rows: DataFrame, base_language: str, target_language: str, output: Path) -> None:
+    """The CSV report as a file, streamed line by line."""
+    with open(output, "w", encoding="utf-8") as out:
+        out.write(raw_header(base_language, target_language))
+        for r in raw_lines(rows).orderBy("module", "rank", "place").toLocalIterator():
+            out.write("\n" + r["line"])
 
 
 def raw_report(rows: DataFrame, base_language: str, target_language: str) -> MatchResult:
-    codes = [_code(base_language), _code(target_language)]
-    header = ",".join([f"{c}_{x}" for c in codes for x in ("namespace", "member_of", "name")] + ["type", "score"])
-    return MatchResult("\n".join([header, *(f"{r['line']},{r['score']:.4f}" for r in raw_lines(rows).toLocalIterator())]))
+    lines = raw_lines(rows).orderBy("module", "rank", "place").toLocalIterator()
+    return MatchResult("\n".join([raw_header(base_language, target_language), *(r["line"] for r in lines)]))
 
 
-def _icon(score: float) -> str:
-    return "✅" if score == 1.0 else "⚠️" if score >= 0.8 else "❌"
+def ranked_modules(summary: DataFrame, base_language: str, target_language: str, symmetric: bool) -> DataFrame:
+    """Module summaries with what reports show of them: score, icon, file, languages and number of features.
+
+    The symmetric report has the Jaccard index, the directional one F1 and only
+    modules of the base. Modules come by falling score, then by name.
+    """
+    rows = summary if symmetric else summary.where("base > 0")
+    score = F.col("jaccard" if symmetric else "f1")
+    codes = F.array_join(F.array_compact(F.array(*[F.when(F.col(n) > 0, names.language_code(F.lit(x))) for n, x in (("base", base_language), ("target", target_language))])), ", ")
+    size = F.col("base") + F.col("target") - F.col("solid") if symmetric else F.col("base")
+    return rows.select("*", score.alias("score"), names.status_icon(score).alias("icon"), names.module_file(F.col("module")).alias("file"), codes.alias("languages"), size.alias("features")).orderBy(F.desc("score"), "module")
 
 
 def _cells(*values: str) -> str:
@@ -95,12 +118,12 @@ _BACK = "[⬅️ Back to Master Report](" + "../{master_report})"
 
 
 def _module_text(m, rows: dict[str, list], symmetric: bool) -> str:
-    score = m["jaccard"] if symmetric else m["f1"]
+    score = m["score"]
     lines = [f"# Module: `{m['module']}`", _BACK, ""]
-    lines.append(f"**Score:** {score:.2%} ({_icon(score)})")
+    lines.append(f"**Score:** {score:.2%} ({m['icon']})")
     if not symmetric:
         lines += ["", *_head("Metric", "Score"), *(_cells(f"**{n.title()}**", f"{m[n]:.2%}") for n in ("precision", "recall"))]
-    lines += ["", f"**Features:** {m['base'] + m['target'] - m['solid'] if symmetric else m['base']}", ""]
+    lines += ["", f"**Features:** {m['features']}", ""]
     pair = lambda r: _cells(r["base_type"], f"`{r['base_display']}`", f"`{r['target_display']}`", f"{r['score']:.2f}")
     lines += _table(f"### ✅ {'Solid' if symmetric else 'Matched'} Features", _head("Type", "Base Feature", "Target Feature", "Similarity Score"), map(pair, rows["solid"]))
     lines += _table("### ⚠️ Potential Matches", _head("Type", "Base Feature", "Closest Target Candidate", "Similarity"), map(pair, rows["potential"]))
@@ -113,12 +136,11 @@ def _module_text(m, rows: dict[str, list], symmetric: bool) -> str:
     return "\n".join(lines).strip()
 
 
-def _row(m, symmetric: bool, codes: list[str]) -> str:
-    score = m["jaccard"] if symmetric else m["f1"]
-    link = f"[View Details]({{modules_dir}}/{m['module'].replace('.', '_')}.md)"
-    cells = [f"`{m['module']}`", str(m["base"]), f"{score:.2%}", _icon(score), link]
+def _row(m, symmetric: bool) -> str:
+    link = f"[View Details]({{modules_dir}}/{m['file']})"
+    cells = [f"`{m['module']}`", str(m["base"]), f"{m['score']:.2%}", m["icon"], link]
     if symmetric:
-        cells.insert(0, ", ".join(c for c, n in zip(codes, (m["base"], m["target"])) if n))
+        cells.insert(0, m["languages"])
     return _cells(*cells)
 
 
@@ -132,9 +154,7 @@ _NOTES = {
 
 def markdown_report(base: Registry, target: Registry, matches: DataFrame, rows: DataFrame, symmetric: bool, product: str, now: datetime.datetime | None = None) -> MatchResult:
     summary = module_summary(matches)
-    if not symmetric:
-        summary = summary.where("base > 0")
-    modules = summary.orderBy("module").collect()
+    modules = ranked_modules(summary, base.language, target.language, symmetric).collect()
     total = global_summary(summary, base.features.count(), target.features.count()).first()
     shown: dict[str, dict[str, list]] = {m["module"]: {k: [] for k in _KINDS} for m in modules}
     for r in rows.orderBy("module", "place").toLocalIterator():
@@ -143,8 +163,6 @@ def markdown_report(base: Registry, target: Registry, matches: DataFrame, rows:
     for groups in shown.values():
         for k in ("solid", "potential"):
             groups[k].sort(key=lambda r: (r["base_priority"], r["base_name"]))
-    codes = [_code(base.language), _code(target.language)]
-    ranked = sorted(modules, key=lambda m: -(m["jaccard"] if symmetric else m["f1"]))
     lines = [f"# Feature Matching Report: {'Symmetric' if symmetric else 'Directional'}", "Date: " + (now or datetime.datetime.now()).isoformat(" ", "seconds"), ""]
     sides = (("Base", base), ("Target", target))
     if symmetric:
@@ -158,8 +176,8 @@ def markdown_report(base: Registry, target: Registry, matches: DataFrame, rows:
             lines += ["", f"> {_NOTES[n]}"]
     columns = ["Module", "Features (Base)", "Score", "Status", "Details"]
     lines += ["", "## Module Summary", *_head(*([product.upper()] if symmetric else []), *columns)]
-    lines += [_row(m, symmetric, codes) for m in ranked]
-    files = {f"{m['module'].replace('.', '_')}.md": _module_text(m, shown[m["module"]], symmetric) for m in modules}
+    lines += [_row(m, symmetric) for m in modules]
+    files = {m["file"]: _module_text(m, shown[m["module"]], symmetric) for m in modules}
     return MatchResult("\n".join(lines).strip(), files)
 
 

@@ -50,11 +50,12 @@ _PARAM_SQL = "struct<original_name:string,normalized_name:string,original_types:
 
 @dataclass
 class Registry:
-    """Language (upper case), version and features with their order in `ord`."""
+    """Language (upper case), version and features with their order in `ord`; `files` lists what they were read from, if known."""
 
     language: str
     version: str
     features: DataFrame
+    files: DataFrame | None = None
 
 
 def with_defaults(df: DataFrame) -> DataFrame:
@@ -80,8 +81,8 @@ def with_defaults(df: DataFrame) -> DataFrame:
         cols.append(c.alias(f.name))
     if "ord" in have:
         return df.select(*cols, F.col("ord").cast("long").alias("ord"))
-    from pyspark.sql import Window
+    from .operators.ordering import boundaries, ordered
 
     out = df.select(*cols)
-    key = ["file_path", "normalized_namespace", "normalized_member_of", "normalized_name", "type"]
-    return out.withColumn("ord", F.row_number().over(Window.orderBy(*key)).cast("long"))
+    rest = ["normalized_namespace", "normalized_member_of", "normalized_name", "type"]
+    return ordered(out, "file_path", rest, boundaries(out.select("file_path")))

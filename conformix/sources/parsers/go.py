@@ -51,8 +51,8 @@ def _statements(src: Source, a: int, b: int) -> int:
 
 def parse(path: str, content: str) -> list[dict]:
     src = Source(content, "\"'", raw_quotes="`")
-    if not re.search(r"^\s*package\s+\w+", src.mask, re.M):
-        return []
+    if not re.search(r"^\s*package\s+\w+", src.mask, re.M) or not src.balanced():
+        return []  # a file with errors has no features
     rows = []
     for m in _FUNC.finditer(src.mask):
         at, owner, node = m.end(), "", "function"

@@ -54,6 +54,11 @@ def _params(src: Source, a: int, b: int) -> list[dict]:
 def _body(src: Source, path: str, package: str, owner: str, kind: str, a: int, b: int, rows: list) -> None:
     if kind == "enum":
         stop = src.find_outside(a, b, ";")
+        end = b if stop < 0 else stop
+        for x, y in src.parts(a, end):
+            brace = src.find_outside(x, y, "{")
+            if brace >= 0:  # methods of a constant's body belong to the enum
+                _body(src, path, package, owner, "class", brace + 1, src.close(brace), rows)
         a = b if stop < 0 else stop + 1
     for begin, head, end in src.members(a, b):
         marks, words, at = _annotations(src, begin, head)

@@ -1,4 +1,8 @@
-"""Python, by the standard library's parser. Files that it rejects give no rows."""
+"""Python, by the standard library's parser.
+
+What it rejects is blanked, a line or else a block at a time, so that one error
+doesn't hide the other definitions of a file.
+"""
 
 from __future__ import annotations
 
@@ -37,10 +41,42 @@ def _fields(node: ast.ClassDef, text) -> tuple[list[dict], bool]:
     return [f for f in found if not f["name"].startswith("_")], False
 
 
+_ATTEMPTS = 200
+
+
+def _tree(content: str) -> tuple[ast.AST | None, str]:
+    """Syntax tree of the text, and the text with what had to be blanked."""
+    lines = content.split("\n")
+    for attempt in range(_ATTEMPTS):
+        try:
+            return ast.parse("\n".join(lines)), "\n".join(lines)
+        except SyntaxError as e:
+            at = min(max(1, e.lineno or 1), len(lines)) - 1
+            while at > 0 and not lines[at].strip():
+                at -= 1
+        except (ValueError, RecursionError):
+            return None, content
+        if not lines[at].strip():  # an error before any text: what follows it
+            at = next((i for i, line in enumerate(lines) if line.strip()), at)
+        end = at + 1
+        if attempt >= _ATTEMPTS // 2:  # many errors: the rest of the block at once
+            depth = len(lines[at]) - len(lines[at].lstrip())
+            while end < len(lines) and (not lines[end].strip() or len(lines[end]) - len(lines[end].lstrip()) > depth):
+                end += 1
+        for i in range(at, end):
+            # a definition that can't be read keeps its block valid
+            lines[i] = ""
+        before = next((lines[i] for i in range(at - 1, -1, -1) if lines[i].strip()), "")
+        after = next((lines[i] for i in range(end, len(lines)) if lines[i].strip()), "")
+        depth = len(before) - len(before.lstrip())
+        if before.rstrip().endswith(":") and len(after) - len(after.lstrip()) <= depth:
+            lines[at] = " " * (depth + 1) + "pass"
+    return None, content
+
+
 def parse(path: str, content: str) -> list[dict]:
-    try:
-        tree = ast.parse(content)
-    except (SyntaxError, ValueError, RecursionError):
+    tree, content = _tree(content)
+    if tree is None:
         return []
     lines = content.split("\n")
     begin = [0]

@@ -62,6 +62,16 @@ class Source:
                 return at + m.start()
         return len(self.mask)
 
+    def balanced(self) -> bool:
+        """Whether round, square and curly brackets pair up outside strings and comments."""
+        open_: list[str] = []
+        for m in re.finditer(r"[()\[\]{}]", self.mask):
+            if m[0] in "([{":
+                open_.append(_PAIRS[m[0]])
+            elif not open_ or open_.pop() != m[0]:
+                return False
+        return not open_
+
     def parts(self, a: int, b: int, separator: str = ",") -> list[tuple[int, int]]:
         """Ranges between separators outside brackets, without white space; empty ones are left out."""
         found, depth, begin = [], 0, a

@@ -31,9 +31,14 @@ def _members_of_type(src: Source, a: int, b: int) -> dict[str, tuple[str, bool]]
     return found
 
 
-def type_map(content: str) -> list[tuple[str, int, str, str, bool]]:
-    """(name, position, property, type, optional) of a file's interfaces and object
-    aliases; an empty property stands for a name without any."""
+def mentioned(content: str) -> set[str]:
+    """Identifiers that may name a type."""
+    return set(re.findall(r"[A-Za-z_$][\w$]*", Source(content, "\"'`").mask))
+
+
+def type_map(content: str) -> list[tuple[str, bool, int, str, str, bool]]:
+    """(name, whether an alias, position, property, type, optional) of a file's interfaces
+    and object aliases; an empty property stands for a name without any."""
     src = Source(content, "\"'`")
     found = []
     for m in _NAMED.finditer(src.mask):
@@ -41,7 +46,8 @@ def type_map(content: str) -> list[tuple[str, int, str, str, bool]]:
         brace = src.mask.find("{", at) if m[1] else at + len(src.mask[at:]) - len(src.mask[at:].lstrip())
         ok = 0 <= brace < len(src.mask) and src.mask[brace] == "{"
         props = _members_of_type(src, brace + 1, src.close(brace)) if ok else {}
-        found += [(name, m.start(), p, t, o) for p, (t, o) in props.items()] or [(name, m.start(), "", "", False)]
+        head = (name, m[2] is not None, m.start())
+        found += [(*head, p, t, o) for p, (t, o) in props.items()] or [(*head, "", "", False)]
     return found
 
 

@@ -159,7 +159,7 @@ def test_go(spark, trees):
 
 def test_modes(spark, trees, tmp_path):
     one = extract(spark, trees / "py/src/pkg/a.py", "py", "file", {})
-    assert one.features.count() == 6
+    assert one.features.count() == 6 and one.files.count() == 1
     assert extract(spark, trees / "py/src/pkg", "python", "dir", {}).features.count() == 6
     (tmp_path / "empty").mkdir()
     assert extract(spark, tmp_path / "empty", "python", "dir", {}).features.count() == 0
@@ -177,6 +177,28 @@ def test_parsers_survive_bad_text():
         assert isinstance(typescript.parse("p", text, {}), list)
 
 
+def test_python_recovers_from_errors():
+    """One error hides what it is in, not the other definitions of the file."""
+    names = lambda text: sorted(r["name"] for r in python.parse("p", text) if r["node"] == "function")
+    assert names("def a(): pass\ndef (\n    return 1\ndef b(): pass\n") == ["a", "b"]
+    assert names("class A:\n    def x(self):\n        return 1 +\n    def y(self): pass\nprint 'old'\ndef z(): pass") == ["x", "y", "z"]
+    assert names("def a():\n    x = (1,\n\ndef b(): pass\n") in (["a", "b"], ["b"])
+    assert names("\n".join(["?? ?? ??"] * 150 + ["def a(): pass"])) == ["a"] and names("?\n" * 500) == []
+
+
+def test_go_files_with_errors_have_no_features():
+    assert [r["name"] for r in go.parse("p", GO)] and go.parse("p", GO + "}\n") == [] and go.parse("p", GO.replace("package agent", "")) == []
+
+
+def test_later_types_win():
+    """Within a file aliases come after interfaces; then the later definition counts."""
+    rows = typescript.type_map("type A = { x: string };\ninterface A { y: number }\ninterface B { a: string }\ninterface B { b: string }")
+    last = {}
+    for r in sorted(rows, key=lambda r: r[1:3]):
+        last[r[0]] = r[3]
+    assert last == {"A": "x", "B": "b"}
+
+
 def test_roots(trees, tmp_path):
     assert scan.repo_root(trees / "go/agent/a.go", "go") == trees / "go"
     assert scan.search_dir(trees / "java", "java") == trees / "java/src/main/java"

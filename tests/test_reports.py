@@ -1,10 +1,13 @@
 import datetime
+import random
 
 import pytest
-from pyspark.sql import functions as F
 
+from conformix.functions.similarity import jaro_winkler
 from conformix.operators import matching, metrics
+from conformix.operators.ordering import boundaries, ordered
 from conformix.operators.reports import match_registries, write_report
+from conformix.schema import with_defaults
 from conformix.sources import textproto
 
 
@@ -95,7 +98,36 @@ def test_metrics(spark):
     assert [tuple(r) for r in got] == [(1.0, 0.5, pytest.approx(2 / 3), 0.5), (0.0, 0.0, 0.0, 0.0), (1.0, 1.0, 1.0, 1.0), (1.0, 0.0, 0.0, 0.0)]
 
 
-def test_residual(spark):
-    a, b = spark.range(5).toDF("k"), spark.createDataFrame([(1,), (3,)], "k long")
-    assert sorted(r["k"] for r in matching.residual(a, b, ["k"]).collect()) == [0, 2, 4]
-    assert a.select(F.max("k")).first()[0] == 4
+def test_most_similar_is_the_maximum():
+    """With the bound, the same as comparing all; ties go to the first by name."""
+    rng = random.Random(4)
+    word = lambda: "lib_" * rng.randint(0, 1) + "".join(rng.choice("abc_é") for _ in range(rng.randint(0, 8)))
+    names, others = sorted({word() for _ in range(120)}), sorted({word() for _ in range(150)})
+    want = []
+    for n in names:
+        best = max(jaro_winkler(n, o) for o in others)
+        if best > 0.8:
+            want.append((n, next(o for o in others if jaro_winkler(n, o) == best), best))
+    assert matching.most_similar(names, others, 0.8) == want and len(want) > 20
+
+
+def test_remap_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(matching, "_BLOCK", 3)
+    keys = lambda names: spark.createDataFrame([(x,) for x in names], "module string")
+    base, target = [f"alpha.beta{i}" for i in range(0, 20, 2)], [f"alpha.beta{i}" for i in range(20)] + ["qqq"]
+    got = {r["module"]: r["base_module"] for r in matching.remap_namespaces(keys(base), keys(target)).collect()}
+    best = lambda t: min(base, key=lambda b: (-jaro_winkler(t, b), b))
+    assert got == {t: t if t in base else best(t) for t in target if t != "qqq"}
+
+
+def test_order_of_rows(spark):
+    """Numbers follow (key, rest), over ranges of keys, with NULL keys first."""
+    rows = [(f"p{i % 37:02d}" if i % 11 else None, i * 7919 % 1000) for i in range(500)]
+    df = spark.createDataFrame(rows, "file string, at int")
+    edges = boundaries(df.select("file"), 8)
+    assert 3 < len(edges) < 8
+    got = [(r["file"], r["at"]) for r in ordered(df, "file", ["at"], edges).orderBy("ord").collect()]
+    assert got == sorted(rows, key=lambda r: (r[0] or "", r[1]))
+    assert boundaries(df.limit(0).select("file")) == []
+    free = with_defaults(spark.createDataFrame([("b",), ("a",)], "normalized_name string"))
+    assert [r["normalized_name"] for r in free.orderBy("ord").collect()] == ["a", "b"]
