@@ -18,7 +18,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text handled at once by the kernels.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 _R = 0x9E3779B97F4A7C15 | 1
 _R_INV = pow(_R, -1, 1 << 64)
 _rng = np.random.RandomState(20240229)

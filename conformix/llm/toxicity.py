@@ -137,6 +137,21 @@ def compact(idx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return idx[at], word.astype(np.int32)
 
 
+#: Words of whole documents that the fit's recursions hold at once.
+_BLOCK_WORDS = 500_000
+
+
+def _all_marginals(gain: np.ndarray, begins: np.ndarray, first: np.ndarray, start: np.ndarray, trans: np.ndarray):
+    """marginals() with pairs, over blocks of documents."""
+    p, logs, moved, begun, lo = np.empty(len(gain)), 0.0, np.zeros((2, 2)), np.zeros(2), 0
+    while lo < len(first) - 1:
+        hi = max(int(np.searchsorted(first, first[lo] + _BLOCK_WORDS, "right")) - 1, lo + 1)
+        a, b = first[lo], first[hi]
+        own = marginals(gain[a:b], begins[a:b], start, trans, pairs=True)
+        p[a:b], logs, moved, begun, lo = own[0], logs + own[1], moved + own[2], begun + own[3], hi
+    return p, logs, moved, begun
+
+
 def fit_arrays(kinds: np.ndarray, word: np.ndarray, first: np.ndarray, tags: np.ndarray, steps: int = 60, rate: float = 0.3, decay: float = 0.05, enough: float = 1e-3) -> Model:
     """Maximum likelihood of labelled words by Adam over all of them; the cut is 0.
 
@@ -163,7 +178,7 @@ def fit_arrays(kinds: np.ndarray, word: np.ndarray, first: np.ndarray, tags: np.
     losses = []
     for t in range(1, steps + 1):
         gain = w[kinds].sum(1)[word]
-        p, logs, moved, begun = marginals(gain, begins, start, trans, pairs=True)
+        p, logs, moved, begun = _all_marginals(gain, begins, first, start, trans)
         losses.append(logs - gain[on].sum() - (had_start * start).sum() - (had_trans * trans).sum() + decay / 2 * (w @ w))
         if t > 6 and losses[-6] - losses[-1] < enough * abs(losses[-1]):
             break
@@ -201,16 +216,17 @@ def label_words(kinds: np.ndarray, word: np.ndarray, first: np.ndarray, toxic: n
 def unlike(h: np.ndarray, first: np.ndarray, share: float = 0.3) -> np.ndarray:
     """True for documents of which at most `share` of the 4-word sequences is in one before; h: hashes of words.
 
-    Copies in the sample would make their rare words look like evidence.
+    Copies in the sample would make their rare words look like evidence. Sequences
+    are known by a hash of 26 bits.
     """
     grams, off = texts.gram_hashes(h, first, 4)
-    seen: set[int] = set()
+    grams = (grams >> U64(38)).astype(np.int32)
+    seen = np.zeros(1 << 26, bool)
     keep = np.zeros(len(first) - 1, bool)
     for r, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist())):
-        own = set(grams[a:b].tolist())
-        keep[r] = not own or len(own & seen) <= share * len(own)
+        keep[r] = seen[grams[a:b]].sum() <= share * (b - a)
         if keep[r]:
-            seen |= own
+            seen[grams[a:b]] = True
     return keep
 
 
@@ -235,7 +251,7 @@ def fit_documents(kinds: np.ndarray, word: np.ndarray, first: np.ndarray, toxic:
     model = fit_arrays(kinds, word, first, label_words(kinds, word, first, own))
     begins = np.zeros(len(word) + 1, bool)
     begins[first] = True
-    p, _ = marginals(model.weights[kinds].sum(1, dtype=np.float64)[word], begins[: len(word)], model.start, model.trans)
+    p = _all_marginals(model.weights[kinds].sum(1, dtype=np.float64)[word], begins[: len(word)], first, model.start, model.trans)[0]
     s = document_scores(p, first)
     order = np.argsort(s, kind="stable")
     wrong = np.concatenate(([0], np.cumsum(own[order] == 1))) + np.concatenate((np.cumsum((own[order] == 0)[::-1])[::-1], [0]))
