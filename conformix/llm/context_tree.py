@@ -1,24 +1,33 @@
 """Code length of documents under a context tree of the corpus.
 
 Context-tree weighting over bytes: each byte is coded as 8 binary decisions, each
-of which has a context tree of its own whose contexts are the last 0 to 4 bytes.
-A node with counts (a, b) has the Krichevsky-Trofimov probability
+of which has a context tree of its own whose contexts are the last 0 to `depth`
+bytes. A node with counts (a, b) has the Krichevsky-Trofimov probability
 
     P_e = G(a + 1/2) G(b + 1/2) / (pi G(a + b + 1))
 
 and the weighted probability P_w = P_e / 2 + (product of the children's P_w) / 2;
-P_w = P_e at the depth limit. With the tree of all documents in place, a bit's
-predictive probability mixes the estimates of all depths on its context's path:
-q_d = v_d kt_d + (1 - v_d) q_(d+1), v_d = P_e / (P_e + product of children).
-
-As P_w depends on counts alone, the tree needs no sequential pass:
-
-1. Documents are spread over parts; a part counts its byte 5-grams.
-2. The counts go to buckets by the two latest bytes of the context, so that
-   whole subtrees below depth 2 meet in one bucket. A table of fixed size, at
-   most 256 x 255 nodes, holds depths 0 and 1.
-3. Each bucket answers each part with the code lengths of the part's 5-grams, and
-   the part adds them up by document. Nothing that grows is broadcast.
+P_w = P_e at the depth limit. Both depend on counts alone, not on their order. So
+the probability of a bit given all the other bits of the corpus is P_w with it over
+P_w without it, at the root: a document isn't predicted from itself as a whole, each
+of its bytes is predicted from everything but that very occurrence. On the path of
+the bit, from the deepest context up, with n of its node's counts, of which n_x are
+of its value,
+
+    1 / q = v n / (n_x - 1/2) + (1 - v) / q',   v = P_e / (P_e + product of children)
+
+where q' is what the child on the path gives; at the depth limit v = 1. This is the
+exact mixture of all depths, and depends on the byte and its context alone, so it is
+computed once for each distinct (depth + 1)-gram of bytes:
+
+1. Documents are spread over parts; a part counts its byte n-grams.
+2. Equal n-grams of all parts are brought together by hash, however common they
+   are, and their sums go to homes by the two latest bytes of the context, where
+   whole subtrees meet. A home works through slices of about `_SLICE` n-grams. A
+   table of fixed size, 256 x 255 nodes, holds depths 0 and 1.
+3. Homes answer with the code lengths of n-grams, which go back to the parts'
+   requests and to the parts, where they are added up by document. Nothing that
+   grows is broadcast.
 """
 
 from __future__ import annotations
@@ -33,8 +42,10 @@ from pyspark.sql import functions as F
 from . import jobs, texts
 
 U64 = np.uint64
-DEPTH = 4
-_PART_BYTES = 16 << 20
+#: Bytes of context. Seven at most, as an n-gram is held in 64 bits.
+DEPTH = 6
+_PART_BYTES = 32 << 20
+_SLICE = 200_000
 _TABLE = 1 << 14
 
 
@@ -56,43 +67,47 @@ def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
     def at(table, n, shift):
         big = n >= _TABLE
+        if not big.any():
+            return table[n]
         out = table[np.where(big, 0, n)]
-        if big.any():
-            out[big] = _stirling(n[big] + shift)
+        out[big] = _stirling(n[big] + shift)
         return out
 
     return at(_HALF, a, 0.5) + at(_HALF, b, 0.5) - at(_WHOLE, a + b, 1.0) - math.log(math.pi)
 
 
-def _keys(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte its context, latest byte first, then itself, as 40 bits; and its document's number.
+def _keys(buf: np.ndarray, off: np.ndarray, depth: int) -> np.ndarray:
+    """For each byte its context, latest byte first, then itself, as 8 (depth + 1) bits.
 
-    Before a document there are DEPTH zero bytes.
+    Before a document there are `depth` zero bytes.
     """
     n = len(off) - 1
     size = np.diff(off)
-    wide = np.zeros(len(buf) + DEPTH * n + DEPTH, U64)
-    at = np.arange(len(buf)) + np.repeat(DEPTH * np.arange(1, n + 1), size)
+    wide = np.zeros(len(buf) + depth * n + depth, U64)
+    at = np.arange(len(buf)) + np.repeat(depth * np.arange(1, n + 1), size)
     wide[at] = buf
     key = wide[at]
-    for d in range(1, DEPTH + 1):
-        key |= wide[at - d] << U64(8 * (DEPTH - d + 1))
-    return key, np.repeat(np.arange(n), size)
+    for d in range(1, depth + 1):
+        key |= wide[at - d] << U64(8 * (depth - d + 1))
+    return key
 
 
-def _pack(keys: np.ndarray) -> bytes:
-    """5 bytes for each key."""
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+def _pack(values: np.ndarray) -> bytes:
+    """Ascending 64-bit keys, or counts: differences of keys, and the bytes of one place together, which compress well."""
+    return np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T).tobytes()
 
 
-def _unpack(raw: bytes) -> np.ndarray:
-    wide = np.zeros((len(raw) // 5, 8), np.uint8)
-    wide[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    return wide.view("<u8")[:, 0]
+def _pack_keys(keys: np.ndarray) -> bytes:
+    return _pack(np.diff(keys, prepend=U64(0)))
 
 
-def _bucket(keys: np.ndarray, n_buckets: int) -> np.ndarray:
-    return (texts.mix(keys >> U64(8 * (DEPTH - 1))) % U64(n_buckets)).astype(np.int64)
+def _unpack(raw: bytes, kind) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
+def _unpack_keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(raw, U64), dtype=U64)
 
 
 def _grouped(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,201 +118,319 @@ def _grouped(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return keys[at], np.add.reduceat(counts, at)
 
 
-def _count_part(n_buckets: int):
+def _chunks(off: np.ndarray):
+    lo, n = 0, len(off) - 1
+    while lo < n:
+        hi = min(max(int(np.searchsorted(off, off[lo] + texts.CHUNK_BYTES, "right")) - 1, lo + 1), n)
+        yield lo, hi
+        lo = hi
+
+
+def _by_bucket(keys: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of sorted keys by bucket, and the bucket of each place."""
+    bucket = (texts.mix(keys) % U64(n_buckets)).astype(np.int64)
+    order = np.argsort(bucket.astype(np.uint16) if n_buckets < 1 << 16 else bucket, kind="stable")
+    return order, bucket[order]
+
+
+def _part_counts(buf: np.ndarray, off: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys of a part and their counts."""
+    keys, counts = np.zeros(0, U64), np.zeros(0, np.int64)
+    found, size = [], 0
+    for lo, hi in _chunks(off):
+        own = _keys(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], depth)
+        if len(own):
+            found.append(texts.distinct(own))
+            size += len(found[-1][0])
+        if size > max(2_000_000, len(keys)):
+            keys, counts = _grouped(np.concatenate([keys, *(x[0] for x in found)]), np.concatenate([counts, *(x[1] for x in found)]))
+            found, size = [], 0
+    if found:
+        keys, counts = _grouped(np.concatenate([keys, *(x[0] for x in found)]), np.concatenate([counts, *(x[1] for x in found)]))
+    return keys, counts
+
+
+def _edges(x: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of equal neighbours."""
+    if not len(x):
+        return []
+    at = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1], [True]))).tolist()
+    return list(zip(at[:-1], at[1:]))
+
+
+def _table(columns: list, names: list[str], kinds: list) -> pa.Table:
+    return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+
+
+def _count_part(depth: int, n_buckets: int):
+    def run(key, table):
+        keys, counts = _part_counts(*texts.text_buffer(table.column("text")), depth)
+        order, bucket = _by_bucket(keys, n_buckets)
+        keys, counts = keys[order], counts[order]
+        rows = [(key[0].as_py(), int(bucket[a]), _pack_keys(keys[a:b]), _pack(counts[a:b].astype(np.uint32))) for a, b in _edges(bucket)]
+        return _table(list(zip(*rows)) or [[]] * 4, ["part", "bucket", "grams", "counts"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()])
+
+    return run
+
+
+def _combine(depth: int, n_homes: int):
+    """Sums of a bucket over all parts, by home: that of the two latest bytes of the context."""
+
     def run(key, table):
-        buf, off = texts.text_buffer(table.column("text"))
-        found = []
-        lo, n = 0, len(off) - 1
-        while lo < n:
-            hi = min(max(int(np.searchsorted(off, off[lo] + texts.CHUNK_BYTES, "right")) - 1, lo + 1), n)
-            keys, _ = _keys(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-            if len(keys):
-                found.append(texts.distinct(keys))
-            lo = hi
-        if not found:
-            return pa.table({"part": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), "grams": pa.array([], pa.binary()), "counts": pa.array([], pa.binary())})
-        keys, counts = _grouped(*(np.concatenate(x) for x in zip(*found)))
-        where = _bucket(keys, n_buckets)
-        order = np.argsort(where, kind="stable")
-        keys, counts, where = keys[order], counts[order], where[order]
-        edge = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1]))).tolist()
-        rows = [(key[0].as_py(), int(where[a]), _pack(keys[a:b]), counts[a:b].astype(np.uint32).tobytes()) for a, b in zip(edge, [*edge[1:], len(where)])]
-        cols = list(zip(*rows))
-        return pa.table({"part": pa.array(cols[0], pa.int32()), "bucket": pa.array(cols[1], pa.int32()), "grams": pa.array(cols[2], pa.binary()), "counts": pa.array(cols[3], pa.binary())})
+        keys, counts = np.zeros(0, U64), np.zeros(0, np.int64)
+        found, size = [], 0
+        rows = list(zip(table.column("grams"), table.column("counts")))
+        for i, (g, c) in enumerate(rows):
+            found.append((_unpack_keys(g.as_py()), _unpack(c.as_py(), np.uint32).astype(np.int64)))
+            size += len(found[-1][0])
+            if size > max(1_000_000, len(keys)) or i == len(rows) - 1:
+                keys, counts = _grouped(np.concatenate([keys, *(x[0] for x in found)]), np.concatenate([counts, *(x[1] for x in found)]))
+                found, size = [], 0
+        order, home = _by_bucket_of(keys >> U64(8 * (depth - 1)), n_homes)
+        keys, counts = keys[order], counts[order]
+        rows = [(int(home[a]), key[0].as_py(), _pack_keys(keys[a:b]), _pack(counts[a:b])) for a, b in _edges(home)]
+        return _table(list(zip(*rows)) or [[]] * 4, ["home", "bucket", "grams", "counts"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()])
 
     return run
 
 
+_by_bucket_of = _by_bucket
+
+
 class _Level:
     """The nodes of one depth: for each number of known bits their keys, counts and estimates."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        self.node, self.zeros, self.ones, self.log_pe = [], [], [], []
-        for b in range(8):
-            child = keys >> U64(7 - b)  # context, known bits, next bit
-            at = np.flatnonzero(np.concatenate(([True], child[1:] != child[:-1])))
-            total, child = np.add.reduceat(counts, at), child[at]
+        self.node, self.zeros, self.ones, self.log_pe = [None] * 8, [None] * 8, [None] * 8, [None] * 8
+        # from the most known bits to the fewest, so that each sums what the one before has
+        child, total = keys, counts
+        for b in range(7, -1, -1):
             node = child >> U64(1)
             new = np.concatenate(([True], node[1:] != node[:-1]))
             place = np.cumsum(new) - 1
             bit = (child & U64(1)).astype(bool)
-            zeros, ones = np.zeros(int(new.sum()), np.int64), np.zeros(int(new.sum()), np.int64)
+            n = int(place[-1]) + 1
+            zeros, ones = np.zeros(n, np.int64), np.zeros(n, np.int64)
             zeros[place[~bit]] = total[~bit]
             ones[place[bit]] = total[bit]
-            self.node.append(node[new])
-            self.zeros.append(zeros)
-            self.ones.append(ones)
-            self.log_pe.append(log_kt(zeros, ones))
+            self.node[b], self.zeros[b], self.ones[b], self.log_pe[b] = node[new], zeros, ones, log_kt(zeros, ones)
+            child, total = self.node[b], zeros + ones
 
     def parent(self, b: int) -> np.ndarray:
         """Key of the node one depth up, with the same known bits."""
-        known = U64((1 << b) - 1)
-        return ((self.node[b] >> U64(b + 8)) << U64(b)) | (self.node[b] & known)
-
-
-def _subtree(keys: np.ndarray, counts: np.ndarray):
-    """Levels of depths 2 to DEPTH of a bucket, weights of the own estimate, and log P_w at depth 2."""
-    levels = {DEPTH: _Level(keys, counts)}
-    for d in range(DEPTH - 1, 1, -1):
-        cut = ((keys >> U64(8 * (DEPTH - d + 1))) << U64(8)) | (keys & U64(255))
-        levels[d] = _Level(*_grouped(cut, counts))
-    weight = {}
-    log_pw = levels[DEPTH].log_pe
-    for d in range(DEPTH - 1, 1, -1):
-        own, below = levels[d], levels[d + 1]
-        next_pw, weight[d] = [], []
+        return ((self.node[b] >> U64(b + 8)) << U64(b)) | (self.node[b] & U64((1 << b) - 1))
+
+
+class _Subtree:
+    """Depths 3 to `depth` of some whole contexts of three bytes: levels, each node's place one depth up, weights of its own estimate, and log P_w at depth 3."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, depth: int):
+        self.depth, self.levels, self.up, self.weight = depth, {depth: _Level(keys, counts)}, {}, {}
+        for d in range(depth - 1, 2, -1):
+            self.levels[d] = _Level(*_grouped(((keys >> U64(8 * (depth - d + 1))) << U64(8)) | (keys & U64(255)), counts))
+        log_pw = self.levels[depth].log_pe
+        for d in range(depth - 1, 2, -1):
+            own, below = self.levels[d], self.levels[d + 1]
+            next_pw, self.weight[d], self.up[d + 1] = [], [], []
+            for b in range(8):
+                place = np.searchsorted(own.node[b], below.parent(b))
+                children = np.bincount(place, log_pw[b], len(own.node[b]))
+                next_pw.append(np.logaddexp(own.log_pe[b], children) - math.log(2))
+                self.weight[d].append(1 / (1 + np.exp(np.clip(children - own.log_pe[b], -700, 700))))
+                self.up[d + 1].append(place)
+            log_pw = next_pw
+        self.log_pw = log_pw
+
+
+def _slices(keys: np.ndarray, depth: int):
+    """Ranges of about _SLICE keys that hold whole contexts of three bytes."""
+    three = keys >> U64(8 * (depth - 2))
+    edge = np.append(np.flatnonzero(np.concatenate(([True], three[1:] != three[:-1]))), len(keys))
+    lo = 0
+    while lo < len(edge) - 1:
+        hi = max(int(np.searchsorted(edge, edge[lo] + _SLICE, "right")) - 1, lo + 1)
+        yield int(edge[lo]), int(edge[hi])
+        lo = hi
+
+
+def _second(keys: np.ndarray, counts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts of two bytes, and for each its nodes in heap order: sum of the children's log P_w, zeros, ones."""
+    context = np.unique(keys >> U64(8 * (depth - 1)))
+    sums = np.zeros((len(context), 3, 256))
+    for lo, hi in _slices(keys, depth):
+        tree = _Subtree(keys[lo:hi], counts[lo:hi], depth)
+        own = tree.levels[3]
         for b in range(8):
-            place = np.searchsorted(own.node[b], below.parent(b))
-            children = np.bincount(place, log_pw[b], len(own.node[b]))
-            next_pw.append(np.logaddexp(own.log_pe[b], children) - math.log(2))
-            weight[d].append(1 / (1 + np.exp(np.clip(children - own.log_pe[b], -700, 700))))
-        log_pw = next_pw
-    return levels, weight, log_pw
+            at = np.searchsorted(context, own.node[b] >> U64(b + 8))
+            heap = (own.node[b] & U64((1 << b) - 1)).astype(np.int64) + (1 << b)
+            for k, x in enumerate((tree.log_pw[b], own.zeros[b], own.ones[b])):
+                np.add.at(sums[:, k], (at, heap), x)
+    return context, sums
+
+
+def _mixed(children: np.ndarray, zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of nodes' own estimates, and their log P_w (0 where nothing was counted)."""
+    log_pe = log_kt(zeros.astype(np.int64).ravel(), ones.astype(np.int64).ravel()).reshape(zeros.shape)
+    v = 1 / (1 + np.exp(np.clip(children - log_pe, -700, 700)))
+    return v, np.where(zeros + ones > 0, np.logaddexp(log_pe, children) - math.log(2), 0.0)
+
+
+def _inverse(zeros: np.ndarray, ones: np.ndarray) -> list[np.ndarray]:
+    """1 / (estimate of a zero, and of a one, from the counts without it); anything where there is none."""
+    return [(zeros + ones) / (np.maximum(x, 1) - 0.5) for x in (zeros, ones)]
 
 
 def _merged(table) -> tuple[np.ndarray, np.ndarray]:
-    return _grouped(np.concatenate([_unpack(x.as_py()) for x in table.column("grams")]), np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table.column("counts")]).astype(np.int64))
+    return _grouped(np.concatenate([_unpack_keys(x.as_py()) for x in table.column("grams")]), np.concatenate([_unpack(x.as_py(), np.int64) for x in table.column("counts")]))
 
 
-def _summary(key, table):
-    """By latest byte: for each node (heap order) the sum of log P_w over depth 2, and the counts."""
-    levels, _, log_pw = _subtree(*_merged(table))
-    own = levels[2]
-    total = np.zeros((256, 3, 256))
-    for b in range(8):
-        latest = (own.node[b] >> U64(b + 8)).astype(np.int64)
-        heap = (own.node[b] & U64((1 << b) - 1)).astype(np.int64) + (1 << b)
-        np.add.at(total[:, 0], (latest, heap), log_pw[b])
-        np.add.at(total[:, 1], (latest, heap), own.zeros[b])
-        np.add.at(total[:, 2], (latest, heap), own.ones[b])
-    some = np.flatnonzero(total[:, 1:].any((1, 2)))
-    return pa.table({"latest": pa.array(some.astype(np.int32)), "sums": pa.array([total[i].tobytes() for i in some], pa.binary())})
+def _summary(depth: int):
+    """Of a home: its contexts of two bytes with their sums, and by latest byte the sums over those of log P_w and the counts."""
 
+    def run(key, table):
+        context, sums = _second(*_merged(table), depth)
+        _, log_pw = _mixed(*(sums[:, k] for k in range(3)))
+        latest = (context >> U64(8)).astype(np.int64)
+        total = np.zeros((256, 3, 256))
+        for k, x in enumerate((log_pw, sums[:, 1], sums[:, 2])):
+            np.add.at(total[:, k], latest, x)
+        some = np.unique(latest)
+        home = key[0].as_py()
+        rows = [(home, -1, context.tobytes(), sums.tobytes()), *((home, int(i), None, total[i].tobytes()) for i in some)]
+        return _table(list(zip(*rows)), ["home", "latest", "contexts", "sums"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()])
 
-def _add_sums(key, table):
-    total = sum(np.frombuffer(x.as_py()) for x in table.column("sums"))
-    return pa.table({"latest": pa.array([key[0].as_py()], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
+    return run
 
 
 def _top(rows) -> np.ndarray:
-    """For depths 1 and 0 how much of a prediction is their own and what it is: [256, 256, 2] by latest byte and heap order.
+    """What depths 0 and 1 make of 1 / q of depth 2: [256, 256, 3] by latest byte and heap order.
 
-    A prediction of depth 2 or more, q, becomes base + rest * q.
+    It becomes base + rest times it; base for a zero, base for a one, rest.
     """
     sums = np.zeros((256, 3, 256))
     for r in rows:
-        sums[r["latest"]] = np.frombuffer(r["sums"]).reshape(3, 256)
+        sums[r["latest"]] += np.frombuffer(r["sums"]).reshape(3, 256)
     children, zeros, ones = sums[:, 0], sums[:, 1], sums[:, 2]
-    log_pe = log_kt(zeros.astype(np.int64).ravel(), ones.astype(np.int64).ravel()).reshape(256, 256)
-    v1 = 1 / (1 + np.exp(np.clip(children - log_pe, -700, 700)))
-    kt1 = (ones + 0.5) / (zeros + ones + 1)
-    seen = (zeros + ones) > 0
-    log_pw = np.where(seen, np.logaddexp(log_pe, children) - math.log(2), 0.0)
-    zeros0, ones0, children0 = zeros.sum(0), ones.sum(0), log_pw.sum(0)
-    v0 = 1 / (1 + np.exp(np.clip(children0 - log_kt(zeros0.astype(np.int64), ones0.astype(np.int64)), -700, 700)))
-    kt0 = (ones0 + 0.5) / (zeros0 + ones0 + 1)
-    base = v0[None] * kt0[None] + (1 - v0[None]) * v1 * kt1
-    return np.stack([base, (1 - v0[None]) * (1 - v1)], 2)
-
-
-def code_lengths(keys: np.ndarray, counts: np.ndarray, top: np.ndarray) -> np.ndarray:
-    """Bits for the last byte of each key, given its context; keys and counts are all of a bucket."""
-    levels, weight, _ = _subtree(keys, counts)
+    v1, log_pw = _mixed(children, zeros, ones)
+    v0, _ = _mixed(log_pw.sum(0), zeros.sum(0), ones.sum(0))
+    out = np.empty((256, 256, 3))
+    for k, (first, root) in enumerate(zip(_inverse(zeros, ones), _inverse(zeros.sum(0), ones.sum(0)))):
+        out[:, :, k] = v0 * root + (1 - v0) * v1 * first
+    out[:, :, 2] = (1 - v0) * (1 - v1)
+    return out
+
+
+def code_lengths(keys: np.ndarray, counts: np.ndarray, context: np.ndarray, sums: np.ndarray, top: np.ndarray, depth: int) -> np.ndarray:
+    """Bits for the last byte of each key, given its context and all other occurrences; keys, counts and sums are all of a home."""
     bits = np.zeros(len(keys))
-    leaf = levels[DEPTH]
-    for b in range(8):
-        q = (leaf.ones[b] + 0.5) / (leaf.zeros[b] + leaf.ones[b] + 1)
-        known = U64((1 << b) - 1)
-        context = leaf.node[b] >> U64(b)
-        for d in range(DEPTH - 1, 1, -1):
-            own = levels[d]
-            up = ((context >> U64(8 * (DEPTH - d))) << U64(b)) | (leaf.node[b] & known)
-            place = np.searchsorted(own.node[b], up)
-            v = weight[d][b][place]
-            q = v * (own.ones[b][place] + 0.5) / (own.zeros[b][place] + own.ones[b][place] + 1) + (1 - v) * q
-        latest = (context >> U64(8 * (DEPTH - 1))).astype(np.int64)
-        heap = (leaf.node[b] & known).astype(np.int64) + (1 << b)
-        q = top[latest, heap, 0] + top[latest, heap, 1] * q
-        place = np.searchsorted(leaf.node[b], keys >> U64(8 - b))
-        one = (keys >> U64(7 - b)) & U64(1) == 1
-        bits -= np.log2(np.where(one, q[place], 1 - q[place]))
+    v2, _ = _mixed(*(sums[:, k] for k in range(3)))
+    second = _inverse(sums[:, 1], sums[:, 2])
+    for lo, hi in _slices(keys, depth):
+        tree = _Subtree(keys[lo:hi], counts[lo:hi], depth)
+        own = keys[lo:hi]
+        for b in range(8):
+            leaf = tree.levels[depth]
+            inverse = [None, None]
+            known = (leaf.node[b] & U64((1 << b) - 1)).astype(np.int64)
+            heap = known + (1 << b)
+            two = leaf.node[b] >> U64(b + 8 * (depth - 2))
+            at, latest = np.searchsorted(context, two), (two >> U64(8)).astype(np.int64)
+            for k, x in enumerate(_inverse(leaf.zeros[b], leaf.ones[b])):
+                place = np.arange(len(x))
+                for d in range(depth - 1, 2, -1):
+                    place = tree.up[d + 1][b][place]
+                    v = tree.weight[d][b][place]
+                    x = v * _inverse(tree.levels[d].zeros[b], tree.levels[d].ones[b])[k][place] + (1 - v) * x
+                x = v2[at, heap] * second[k][at, heap] + (1 - v2[at, heap]) * x
+                inverse[k] = np.log2(top[latest, heap, k] + top[latest, heap, 2] * x)
+            place = np.searchsorted(leaf.node[b], own >> U64(8 - b))
+            one = (own >> U64(7 - b)) & U64(1) == 1
+            bits[lo:hi] += np.where(one, inverse[1][place], inverse[0][place])
     return bits
 
 
-def _answer(top: np.ndarray):
-    def run(key, table):
+def _answer(top: np.ndarray, depth: int):
+    """Code lengths of the n-grams of a home, by the bucket that they came from."""
+
+    def run(key, table, about):
         keys, counts = _merged(table)
-        bits = code_lengths(keys, counts, top).astype(np.float32)
-        answers = [bits[np.searchsorted(keys, _unpack(x.as_py()))].tobytes() for x in table.column("grams")]
-        return pa.table({"part": table.column("part"), "grams": table.column("grams"), "bits": pa.array(answers, pa.binary())})
+        context = np.frombuffer(about.column("contexts")[0].as_py(), U64)
+        sums = np.frombuffer(about.column("sums")[0].as_py()).reshape(-1, 3, 256)
+        bits = code_lengths(keys, counts, context, sums, top, depth).astype(np.float32)
+        answers = [_pack(bits[np.searchsorted(keys, _unpack_keys(x.as_py()))]) for x in table.column("grams")]
+        return _table([table.column("bucket").combine_chunks(), table.column("grams").combine_chunks(), answers], ["bucket", "grams", "bits"], [pa.int32(), pa.binary(), pa.binary()])
 
     return run
 
 
-def _add_up(key, docs, answers):
-    buf, off = texts.text_buffer(docs.column("text"))
-    total = np.zeros(len(off) - 1)
-    if len(buf):
-        grams = np.concatenate([_unpack(x.as_py()) for x in answers.column("grams")])
-        bits = np.concatenate([np.frombuffer(x.as_py(), np.float32) for x in answers.column("bits")])
-        order = np.argsort(grams)
-        grams, bits = grams[order], bits[order].astype(np.float64)
-        lo, n = 0, len(off) - 1
-        while lo < n:
-            hi = min(max(int(np.searchsorted(off, off[lo] + texts.CHUNK_BYTES, "right")) - 1, lo + 1), n)
-            keys, row = _keys(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-            # 40 bits of key, 24 of document: a chunk has far fewer documents
-            packed = np.sort((keys << U64(24)) | row.astype(U64))
-            keys, row = packed >> U64(24), (packed & U64(0xFFFFFF)).astype(np.int64)
-            if len(keys):
-                at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-                each = np.repeat(bits[np.searchsorted(grams, keys[at])], np.diff(np.append(at, len(keys))))
-                total[lo:hi] = np.bincount(row, each, hi - lo)
-            lo = hi
-    size = np.diff(off)
-    per = np.round(total / np.maximum(size, 1), 6)
-    return pa.table({"id": docs.column("id"), "n_bytes": pa.array(size), "code_bits": pa.array(np.round(total, 3)), "bits_per_byte": pa.array(per, mask=size == 0)})
+def _reply(key, asked, answers):
+    """Code lengths for each request of a bucket, in the order of its n-grams."""
+    keys = np.concatenate([_unpack_keys(x.as_py()) for x in answers.column("grams")])
+    bits = np.concatenate([_unpack(x.as_py(), np.float32) for x in answers.column("bits")])
+    order = np.argsort(keys)
+    keys, bits = keys[order], bits[order]
+    replies = [_pack(bits[np.searchsorted(keys, _unpack_keys(x.as_py()))]) for x in asked.column("grams")]
+    return _table([asked.column("part").combine_chunks(), asked.column("bucket").combine_chunks(), replies], ["part", "bucket", "bits"], [pa.int32(), pa.int32(), pa.binary()])
+
+
+def _add_up(depth: int, n_buckets: int):
+    """Sums by document. The part's n-grams are those that it asked for, in the same order."""
+
+    def run(key, docs, replies):
+        buf, off = texts.text_buffer(docs.column("text"))
+        total = np.zeros(len(off) - 1)
+        if len(buf):
+            keys, _ = _part_counts(buf, off, depth)
+            order, _ = _by_bucket(keys, n_buckets)
+            row = np.argsort(replies.column("bucket").to_numpy())
+            raw = replies.column("bits").combine_chunks()
+            bits = np.empty(len(keys), np.float32)
+            bits[order] = np.concatenate([_unpack(raw[int(i)].as_py(), np.float32) for i in row])
+            for lo, hi in _chunks(off):
+                own = _keys(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], depth)
+                order = np.argsort(own)
+                own = own[order]
+                at = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else np.zeros(0, np.int64)
+                each = np.empty(len(own))
+                each[order] = np.repeat(bits[np.searchsorted(keys, own[at])], np.diff(np.append(at, len(own))))
+                upto = np.concatenate(([0.0], np.cumsum(each)))[off[lo : hi + 1] - off[lo]]
+                total[lo:hi] = np.diff(upto)
+        size = np.diff(off)
+        per = np.round(total / np.maximum(size, 1), 6)
+        return pa.table({"id": docs.column("id"), "n_bytes": pa.array(size), "code_bits": pa.array(np.round(total, 3)), "bits_per_byte": pa.array(per, mask=size == 0)})
+
+    return run
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, code_bits, bits_per_byte) of each row under the tree of all rows.
 
-    NULL and empty texts have 0 bytes, 0 bits and NULL bits per byte. Rows
-    without id are scored too; repeated rows each count in the tree and are each
-    scored. Text bytes are those of UTF-8. Other columns are ignored. No
-    documents: no rows.
+    A byte's code length is that given all other bytes of all rows, itself left
+    out (see above). So text that nothing else resembles is long, and a document
+    that occurs twice is short, as each of the two predicts the other.
+
+    depth: bytes of context, from 3 to 7. NULL and empty texts have 0 bytes, 0
+    bits and NULL bits per byte. Rows without id are scored too; repeated rows
+    each count in the tree and are each scored. Text bytes are those of UTF-8.
+    Other columns are ignored. No documents: no rows.
     """
+    if not 3 <= depth <= 7:
+        raise ValueError("depth must be from 3 to 7")
     spark = docs.sparkSession
     base = jobs.picked(docs, id=id_col, text=text_col).select("id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-size // _PART_BYTES))
-    count = min(jobs.buckets(spark), 4096)
+    parts, count = max(1, -(-size // _PART_BYTES)), jobs.buckets(spark)
     base = base.withColumn("part", F.pmod(F.xxhash64("id", "text"), F.lit(parts)).cast("int"))
-    grams = base.select("part", "text").groupBy("part").applyInArrow(_count_part(count), "part int, bucket int, grams binary, counts binary")
-    grams = jobs.saved(grams, "grams")
-    sums = grams.groupBy("bucket").applyInArrow(_summary, "latest int, sums binary").groupBy("latest").applyInArrow(_add_sums, "latest int, sums binary")
-    top = _top(sums.collect())
-    answers = grams.groupBy("bucket").applyInArrow(_answer(top), "part int, grams binary, bits binary")
+    asked = base.select("part", "text").groupBy("part").applyInArrow(_count_part(depth, count), "part int, bucket int, grams binary, counts binary")
+    asked = jobs.saved(asked, "grams")
+    sums = asked.select("bucket", "grams", "counts").groupBy("bucket").applyInArrow(_combine(depth, count), "home int, bucket int, grams binary, counts binary")
+    sums = jobs.saved(sums, "gram-sums")
+    about = jobs.saved(sums.select("home", "grams", "counts").groupBy("home").applyInArrow(_summary(depth), "home int, latest int, contexts binary, sums binary"), "gram-contexts")
+    # of each latest byte one row for each home
+    top = _top(about.where("latest >= 0").select("latest", "sums").toLocalIterator())
+    contexts = about.where("latest < 0").select("home", "contexts", "sums")
+    answers = sums.groupBy("home").cogroup(contexts.groupBy("home")).applyInArrow(_answer(top, depth), "bucket int, grams binary, bits binary")
+    replies = asked.select("part", "bucket", "grams").groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_reply, "part int, bucket int, bits binary")
     kind = base.schema["id"].dataType.simpleString()
-    out = base.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_add_up, f"id {kind}, n_bytes long, code_bits double, bits_per_byte double")
+    out = base.groupBy("part").cogroup(replies.groupBy("part")).applyInArrow(_add_up(depth, count), f"id {kind}, n_bytes long, code_bits double, bits_per_byte double")
     return out.withColumnRenamed("id", id_col)
