@@ -19,10 +19,12 @@ from __future__ import annotations
 from collections import deque
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import jobs, texts
 
@@ -79,7 +81,7 @@ def choose_cuts(ends: list[int], is_doc_end: list[bool], window: int, pad_cost:
 
 def _pack(window: int, pad_cost: float, trunc_cost: float, cut_cost: float):
     def run(key, table):
-        table = table.take(pc.sort_indices(table, [("id", "ascending"), ("text", "ascending")])).combine_chunks()
+        table = table.take(pc.sort_indices(table, [("id", "ascending"), ("h", "ascending"), ("text", "ascending")], null_placement="at_start")).combine_chunks()
         ids = table.column("id").to_pylist()
         text = table.column("text").combine_chunks()
         buf, off = texts.text_buffer(text)
@@ -133,7 +135,68 @@ def _pack(window: int, pad_cost: float, trunc_cost: float, cut_cost: float):
     return run
 
 
-def pack(docs: DataFrame, window: int = 2048, shard_span: int = 512, pad_cost: float = 1.0, trunc_cost: float = 4.0, cut_cost: float = 8.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: What a document counts towards its shard besides its bytes.
+_ROW_BYTES = 64
+#: Starts of shards that are sent to the tasks (16 bytes each); if there are more, they are joined.
+_MOST_STARTS = 1 << 18
+
+
+def _ordinal(id_: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Strings of 16 bytes that sort as (id, h) do."""
+    wide = np.stack([id_, h], 1).astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
+    return np.ascontiguousarray(wide.astype(">u8")).view("S16").ravel()
+
+
+def _placed(starts: np.ndarray):
+    """Number of the range that (id, h) falls in; rows that begin several ranges are spread over them by their number."""
+
+    @F.pandas_udf(T.LongType())
+    def place(id_: pd.Series, h: pd.Series, row: pd.Series) -> pd.Series:
+        key = _ordinal(id_.to_numpy(), h.to_numpy())
+        lo, hi = np.searchsorted(starts, key, "left"), np.searchsorted(starts, key, "right")
+        wide = np.maximum(hi - lo, 1)
+        return pd.Series(np.maximum(hi - 1 - row.to_numpy() % wide, 0))
+
+    return place
+
+
+def _sharded(base: DataFrame, shard_bytes: int) -> DataFrame:
+    """base (id, text, h) with `shard`: documents in the order of id, then h, cut where their bytes pass a multiple of shard_bytes.
+
+    Only ids, hashes and sizes are sorted, in ranges that a sample divides; the
+    ranges' totals are added up by the driver. So shards depend on the order of
+    documents alone, not on the values of ids or on partitions.
+    """
+    key = F.coalesce("id", F.lit(-(1 << 63))).alias("o")
+    sizes = jobs.saved(base.select(key, "h", (F.octet_length("text") + _ROW_BYTES).alias("n"), F.monotonically_increasing_id().alias("row")), "sizes")
+    n = sizes.count()
+    parts = min(max(1, n >> 18), 1 << 14)
+    sample = sizes.orderBy(F.xxhash64("o", "h")).limit(8 * parts).select("o", "h").toPandas()
+    edges = np.sort(_ordinal(sample["o"].to_numpy(), sample["h"].to_numpy()))[:: max(1, len(sample) // parts)]
+    ranged = sizes.withColumn("range", _placed(edges)("o", "h", "row"))
+    before, at = {}, 0
+    for r in sorted(ranged.groupBy("range").agg(F.sum("n").alias("n")).collect()):
+        before[r["range"]] = at
+        at += r["n"]
+    table = base.sparkSession.createDataFrame(list(before.items()), "range long, before long")
+    inside = F.sum("n").over(Window.partitionBy("range").orderBy("o", "h", "row").rowsBetween(Window.unboundedPreceding, -1))
+    offset = F.coalesce(inside, F.lit(0)) + F.col("before")
+    placed = jobs.saved(ranged.join(table, "range").select("o", "h", F.floor(offset / F.lit(shard_bytes)).cast("long").alias("shard")), "shards")
+    jobs.discard(sizes)
+    row = F.monotonically_increasing_id()
+    begins = placed.groupBy("shard").agg(F.min(F.struct("o", "h")).alias("first"))
+    if at // shard_bytes < _MOST_STARTS:
+        starts = begins.select("first.o", "first.h").toPandas()
+        starts = np.sort(_ordinal(starts["o"].to_numpy(), starts["h"].to_numpy()))
+        return base.withColumn("shard", _placed(starts)(key, F.col("h"), row))
+    # rows of one key that fill several shards are spread over those that they begin, as above
+    spread = placed.groupBy("o", "h").agg(F.min("shard").alias("lo")).join(begins.groupBy("first.o", "first.h").agg(F.min("shard").alias("from"), F.count("*").alias("wide")), ["o", "h"], "left")
+    spread = spread.select("o", "h", F.coalesce("from", "lo").alias("lo"), F.coalesce("wide", F.lit(1)).alias("wide"))
+    joined = base.withColumn("o", key).withColumn("row", row).join(spread, ["o", "h"])
+    return joined.select(*base.columns, (F.col("lo") + F.col("wide") - 1 - F.pmod("row", "wide")).alias("shard"))
+
+
+def pack(docs: DataFrame, window: int = 2048, shard_bytes: int = 4 << 20, pad_cost: float = 1.0, trunc_cost: float = 4.0, cut_cost: float = 8.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Windows of at most `window` words, in the order of document ids.
 
     Returns shard, window_no, n_tokens kept, n_padding, n_truncated, pieces (the
@@ -141,18 +204,19 @@ def pack(docs: DataFrame, window: int = 2048, shard_span: int = 512, pad_cost: f
     their text, documents separated by a blank line.
 
     Words are those of `texts`; a sentence ends where a full stop, question or
-    exclamation mark or a line break follows a word. A shard is the range of
-    `shard_span` ids that a document falls in, so shards are packed in parallel
-    and one window per shard is cut short; ids should be about dense.
+    exclamation mark or a line break follows a word. Documents in the order of
+    their ids are cut into shards of about `shard_bytes` of text, which are packed
+    in parallel; one window of a shard is cut short. Only the order of ids matters.
 
-    Rows without id form a shard of their own, first. Rows that repeat an id are
-    ordered by text and all packed. NULL and empty texts have a piece of length
+    Rows without id come first. Rows that repeat an id are ordered by a hash of
+    their text and all packed; of rows that repeat id and text, any that fill more
+    than one shard are spread evenly. NULL and empty texts have a piece of length
     0. Longer documents are cut at sentences, and a sentence longer than the
     window at words. Words are dropped, and counted, only where that costs less
     than to pad or to cut. Ties: see choose_cuts. Other columns are ignored. No documents: no windows.
     """
-    if window < 1 or shard_span < 1 or min(pad_cost, trunc_cost, cut_cost) < 0:
-        raise ValueError("window and shard_span must be positive, costs not negative")
+    if window < 1 or shard_bytes < 1 or min(pad_cost, trunc_cost, cut_cost) < 0:
+        raise ValueError("window and shard_bytes must be positive, costs not negative")
     base = jobs.picked(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    base = base.withColumn("shard", F.floor(F.col("id") / F.lit(shard_span)).cast("long"))
+    base = _sharded(base.withColumn("h", F.xxhash64("text")), shard_bytes)
     return base.groupBy("shard").applyInArrow(_pack(window, pad_cost, trunc_cost, cut_cost), SCHEMA)
