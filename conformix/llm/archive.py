@@ -1,16 +1,22 @@
 """Web archives packed as ZIP files: writing them, and reading records by ranges.
 
 A package is a ZIP file with stored (uncompressed) members archive/data.warc.gz,
-in which each record is a gzip member of its own, and indexes/index.cdxj, one JSON
-line for each record with its offset and length in the archive member.
+in which each record is a gzip member of its own, and indexes/index.cdxj, one line
+for each record: key, timestamp, and JSON with its offset and length in the archive
+member.
 
 The reader never extracts: it parses the end record, the ZIP64 end record where
 there is one, the central directory with ZIP64 extra fields and the local headers,
-and then reads index lines and single records with range reads.
+and then reads index lines and single records with range reads. It takes packages of
+other writers: plain or gzip-compressed indexes (.cdxj, .cdx), numbers as strings,
+several archive members, records that aren't compressed, HTTP responses. What is
+damaged becomes a row that isn't valid.
 """
 
 from __future__ import annotations
 
+import base64
+import gzip
 import hashlib
 import json
 import struct
@@ -136,8 +142,17 @@ def warc_record(url: str, record_id: int, body: bytes) -> bytes:
 
 
 def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers (names in lower case) and payload of a gzip member with one record."""
-    data = zlib.decompress(raw, 31)
+    """Headers (names in lower case) and payload of one record, plain or a gzip member.
+
+    The payload of an HTTP response is what follows its headers.
+    """
+    if raw[:2] == b"\x1f\x8b":
+        stream = zlib.decompressobj(31)
+        data = stream.decompress(raw) + stream.flush()
+        if not stream.eof:
+            raise ValueError("a gzip member is cut short")
+    else:
+        data = raw
     head, sep, rest = data.partition(b"\r\n\r\n")
     lines = head.decode("utf-8", "replace").split("\r\n")
     if not sep or not lines[0].startswith("WARC/"):
@@ -146,7 +161,20 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
     size = int(fields.get("content-length", -1))
     if not 0 <= size <= len(rest):
         raise ValueError("a WARC record is cut short")
-    return fields, rest[:size]
+    body = rest[:size]
+    if fields.get("warc-type") == "response" and body[:5] == b"HTTP/":
+        body = body.partition(b"\r\n\r\n")[2]
+    return fields, body
+
+
+def _same_digest(body: bytes, want: str | None) -> bool:
+    """Whether an index's digest (algorithm:value, hexadecimal or base 32) is the payload's; true for none and for unknown algorithms."""
+    kind, _, value = (want or "").rpartition(":")
+    kind = kind.lower().replace("-", "") or ("sha1" if len(value) == 32 else "")
+    if kind not in ("md5", "sha1", "sha256", "sha512"):
+        return True
+    own = hashlib.new(kind, body).digest()
+    return value.lower() == own.hex() or value.upper().rstrip("=") == base64.b32encode(own).decode().rstrip("=")
 
 
 def _write(root: str, package_bytes: int):
@@ -173,7 +201,7 @@ def _write(root: str, package_bytes: int):
         for batch in batches:
             for id_, url, body in zip(*(c.to_pylist() for c in batch.columns)):
                 raw = warc_record(url, id_, body)
-                lines.append(json.dumps({"url": url, "id": id_, "offset": size, "length": len(raw), "digest": "sha256:" + hashlib.sha256(body).hexdigest()}).encode() + b"\n")
+                lines.append(f"{url.replace(' ', '%20')} 20240101000000 ".encode() + json.dumps({"url": url, "offset": str(size), "length": str(len(raw)), "filename": _ARCHIVE[8:], "digest": "sha256:" + hashlib.sha256(body).hexdigest()}).encode() + b"\n")
                 records.append(raw)
                 size += len(raw)
                 if size >= package_bytes:
@@ -196,37 +224,65 @@ def write_packages(pages: DataFrame, root: str, package_bytes: int = 32 << 20, i
     return jobs.saved(base.mapInArrow(_write(root, package_bytes), "package string, n_bytes long"), "packages")
 
 
+_LISTED = "package string, url string, offset long, length long, digest string, error string"
+
+
+def _index_lines(f, member: Member) -> list[bytes]:
+    """Lines of an index member, which may be deflated in the package, compressed by itself, or both."""
+    raw = f.read_at(member.stored, data_offset(f, member))
+    if member.method == 8:
+        raw = zlib.decompress(raw, -15)
+    if zlib.crc32(raw) != member.crc:
+        raise ValueError(f"{member.name} is damaged")
+    if raw[:2] == b"\x1f\x8b":
+        raw = gzip.decompress(raw)  # all members
+    return raw.splitlines()
+
+
+def _package_records(f, package: str) -> list[tuple]:
+    """Rows of _LISTED for one package."""
+    members = {m.name: m for m in central_directory(f, f.size())}
+    archives = {name: data_offset(f, m) for name, m in members.items() if name.startswith("archive/") and m.size}
+    rows, covered = [], set()
+    for name, m in sorted(members.items()):
+        if not name.startswith("indexes/") or not name.removesuffix(".gz").endswith((".cdxj", ".cdx")):
+            continue
+        for line in _index_lines(f, m):
+            if b"{" not in line:
+                continue  # a header
+            try:
+                x = json.loads(line[line.index(b"{") :])
+                own, url = "archive/" + x["filename"].removeprefix("archive/") if x.get("filename") else _ARCHIVE, x.get("url")
+                offset, length = int(x["offset"]), int(x["length"])
+                if own not in archives:
+                    raise ValueError(f"no member {own}")
+                if offset < 0 or length < 0 or offset + length > members[own].stored:
+                    raise ValueError(f"a range beyond {own}")
+                covered.add(own)
+                if members[own].method:
+                    raise ValueError(f"{own} isn't stored, so it can't be read by ranges")
+                rows.append((package, url, archives[own] + offset, length, x.get("digest"), None))
+            except (ValueError, KeyError, TypeError, AttributeError) as e:
+                rows.append((package, None, None, None, None, f"index line: {e}"))
+    for name in archives:
+        if name not in covered:
+            raise ValueError(f"no index line names {name}, so its records can't be found")
+    return rows
+
+
 def _list_records(root: str):
     def run(batches):
         where, base = fs.FileSystem.from_uri(root)
-        names = ["package", "record_id", "url", "offset", "length", "digest"]
-        types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+        types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         for batch in batches:
             for package in batch.column(0).to_pylist():
-                rows, covered = [], set()
-                with where.open_input_file(f"{base}/{package}") as f:
-                    members = {m.name: m for m in central_directory(f, f.size())}
-                    archives = {name: data_offset(f, m) for name, m in members.items() if name.startswith("archive/")}
-                    for name, m in members.items():
-                        if not name.startswith("indexes/"):
-                            continue
-                        raw = f.read_at(m.stored, data_offset(f, m))
-                        if m.method == 8:
-                            raw = zlib.decompress(raw, -15)
-                        if zlib.crc32(raw) != m.crc:
-                            raise ValueError(f"{package}: {name} is damaged")
-                        for line in raw.splitlines():
-                            x = json.loads(line[line.index(b"{") :])
-                            own = "archive/" + x.get("filename", _ARCHIVE[8:])
-                            if members[own].method:
-                                raise ValueError(f"{package}: {own} isn't stored, so it can't be read by ranges")
-                            covered.add(own)
-                            rows.append((package, x["id"], x["url"], archives[own] + int(x["offset"]), int(x["length"]), x["digest"].partition(":")[2]))
-                    for name in archives:
-                        if members[name].size and name not in covered:
-                            raise ValueError(f"{package}: no index line names {name}, so its records can't be found")
+                try:
+                    with where.open_input_file(f"{base}/{package}") as f:
+                        rows = _package_records(f, package)
+                except (ValueError, struct.error, zlib.error, EOFError) as e:
+                    rows = [(package, None, None, None, None, str(e))]
                 cols = list(zip(*rows)) or [[]] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["package", "url", "offset", "length", "digest", "error"])
 
     return run
 
@@ -234,20 +290,28 @@ def _list_records(root: str):
 def _read_records(root: str):
     def run(batches):
         where, base = fs.FileSystem.from_uri(root)
-        names = ["record_id", "url", "package", "n_bytes", "digest", "valid", "body"]
-        types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.binary()]
+        names = ["record_id", "url", "package", "n_bytes", "digest", "valid", "body", "error"]
+        types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.binary(), pa.string()]
         name, f = None, None
         for batch in batches:
             rows = []
-            for package, id_, url, offset, length, digest in zip(*(batch.column(c).to_pylist() for c in range(6))):
-                if package != name:
-                    if f is not None:
-                        f.close()
-                    name, f = package, where.open_input_file(f"{base}/{package}")
-                fields, body = parse_record(f.read_at(length, offset))
-                own = hashlib.sha256(body).hexdigest()
-                rows.append((id_, fields.get("warc-target-uri"), package, len(body), own, own == digest and fields.get("warc-target-uri") == url, body))
-            cols = list(zip(*rows)) or [[]] * 7
+            for package, url, offset, length, digest, error in zip(*(batch.column(c).to_pylist() for c in range(6))):
+                if error is None:
+                    if package != name:
+                        if f is not None:
+                            f.close()
+                        name, f = package, where.open_input_file(f"{base}/{package}")
+                    try:
+                        fields, body = parse_record(f.read_at(length, offset))
+                        own = hashlib.sha256(body).hexdigest()
+                        at = fields.get("warc-target-uri")
+                        wrong = "digest" if not _same_digest(body, digest) else "url" if url is not None and at != url else None
+                        rows.append((fields.get("warc-record-id", "").strip("<>"), at, package, len(body), own, wrong is None, body, wrong and f"the index has another {wrong}"))
+                        continue
+                    except (ValueError, zlib.error) as e:
+                        error = str(e)
+                rows.append((None, url, package, None, None, False, None, error))
+            cols = list(zip(*rows)) or [[]] * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
         if f is not None:
             f.close()
@@ -258,11 +322,15 @@ def _read_records(root: str):
 def read_packages(packages: DataFrame, root: str) -> DataFrame:
     """All records of the packages (column `package`: names under `root`).
 
-    Returns record_id, url, package, n_bytes, digest, valid (digest and url agree
-    with the index) and body. The index lines are spread over all tasks before
-    records are read, so one large package doesn't keep one task busy. An archive
-    member that no index line names is an error.
+    Returns record_id (of the record's header), url, package, n_bytes, digest
+    (SHA-256 of the payload), valid (the payload has the index's digest and url),
+    body and error. The index lines are spread over all tasks before records are
+    read, so one large package doesn't keep one task busy.
+
+    A record or index line that can't be read is a row that isn't valid, with what
+    is known of it and the error; so is a package that isn't a ZIP file, or has an
+    archive member that no index line names. Missing packages fail.
     """
-    listed = packages.select("package").distinct().mapInArrow(_list_records(root), "package string, record_id long, url string, offset long, length long, digest string")
+    listed = packages.select("package").distinct().mapInArrow(_list_records(root), _LISTED)
     spread = listed.repartition("package", (F.col("offset") / F.lit(4 << 20)).cast("long")).sortWithinPartitions("package", "offset")
-    return spread.mapInArrow(_read_records(root), "record_id long, url string, package string, n_bytes long, digest string, valid boolean, body binary")
+    return spread.mapInArrow(_read_records(root), "record_id string, url string, package string, n_bytes long, digest string, valid boolean, body binary, error string")

@@ -59,7 +59,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = jobs.scratch(spark, "wacz")
     packages = archive.write_packages(table(spark, sf_dir, "pages"), root)
     records = archive.read_packages(packages, root)
-    return records.select(records["record_id"].alias("page_id"), "url", "n_bytes", "digest", "valid", records["body"].cast("string").alias("html"))
+    return records.select(F.regexp_extract("record_id", r"(\d+)$", 1).cast("long").alias("page_id"), "url", "n_bytes", "digest", "valid", records["body"].cast("string").alias("html"))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,11 @@
 """Fitted and approximate operators, archives and media."""
 
+import base64
+import gzip
+import hashlib
 import io
 import itertools
+import json
 import zipfile
 
 import numpy as np
@@ -296,28 +300,48 @@ def test_archive_round_trip(spark, tmp_path):
     root = tmp_path.as_uri()
     packages = archive.write_packages(df, root, package_bytes=200)
     got = archive.read_packages(packages, root).collect()
-    assert sorted((r.record_id, r.url, bytes(r.body).decode()) for r in got) == sorted([(1, "http://a/1", "<p>é"), (2, "http://a/2 X: y", ""), (3, "http://a/3", "z" * 200_000), (3, "http://a/3", "again")])
+    assert sorted((int(r.record_id.rpartition(":")[2]), r.url, bytes(r.body).decode()) for r in got) == sorted([(1, "http://a/1", "<p>é"), (2, "http://a/2 X: y", ""), (3, "http://a/3", "z" * 200_000), (3, "http://a/3", "again")])
     assert all(r.valid for r in got)
     for p in tmp_path.glob("*.wacz"):
         assert set(zipfile.ZipFile(p).namelist()) == {"datapackage.json", archive._ARCHIVE, archive._INDEX}
     assert archive.read_packages(archive.write_packages(df.limit(0), root), root).count() == 0
 
 
-@pytest.mark.parametrize("indexed", [False, True])
-def test_archive_members_without_index(tmp_path, indexed):
-    record = archive.warc_record("http://a/1", 1, b"x")
-    line = b'{"url": "http://a/1", "id": 1, "offset": 0, "length": %d, "digest": "sha256:0"}\n' % len(record)
-    with open(tmp_path / "p.wacz", "wb") as out:
-        p = archive.Package(out)
-        p.add(archive._ARCHIVE, [record])
-        p.add(archive._INDEX, [line] * indexed)
-        if not indexed:
-            p.add("archive/other.warc", [record])
-        p.close()
-    batch = pa.RecordBatch.from_arrays([pa.array(["p.wacz"])], ["package"])
-    listed = archive._list_records(tmp_path.as_uri())([batch])
-    if indexed:
-        assert [b.num_rows for b in listed] == [1]
-    else:
-        with pytest.raises(ValueError, match="no index line"):
-            list(listed)
+def foreign(path, records, index="indexes/index.cdx.gz", compressed=True, response=False, spoil=None):
+    """A package as other writers make them, by the standard library; spoil changes the archive's bytes."""
+    data, lines = b"", []
+    for n, (url, body) in enumerate(records):
+        block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + body if response else body
+        head = f"WARC/1.0\r\nWARC-Type: {'response' if response else 'resource'}\r\nWARC-Record-ID: <urn:uuid:0000-{n}>\r\nWARC-Target-URI: {url}\r\nContent-Length: {len(block)}\r\n\r\n".encode()
+        raw = head + block + b"\r\n\r\n"
+        raw = gzip.compress(raw) if compressed else raw
+        digest = "sha1:" + base64.b32encode(hashlib.sha1(body).digest()).decode()
+        lines.append(f"com,example)/{n} 20240101 " + json.dumps({"url": url, "mime": "text/html", "status": "200", "digest": digest, "length": str(len(raw)), "offset": str(len(data)), "filename": "d.warc.gz"}))
+        data += raw
+    raw = "\n".join(["!meta 0 {}"[:7], *lines]).encode()
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("archive/d.warc.gz", spoil(data) if spoil else data)
+        z.writestr(zipfile.ZipInfo(index), gzip.compress(raw) if index.endswith(".gz") else raw, zipfile.ZIP_DEFLATED)
+        z.writestr("indexes/index.idx", "!meta 0 {}")
+        z.writestr("datapackage.json", "{}")
+
+
+def test_packages_of_other_writers(spark, tmp_path):
+    pages = [(f"http://example/{i}", f"<p>é{i}".encode() * (i + 1)) for i in range(5)]
+    foreign(tmp_path / "a.wacz", pages)
+    foreign(tmp_path / "b.wacz", pages, "indexes/index.cdxj", compressed=False, response=True)
+    foreign(tmp_path / "c.wacz", pages, spoil=lambda x: x[:40] + b"\0\0\0" + x[43:])
+    foreign(tmp_path / "d.wacz", pages, spoil=lambda x: x[:-30])
+    (tmp_path / "e.wacz").write_bytes(b"no package")
+    with zipfile.ZipFile(tmp_path / "f.wacz", "w") as z:
+        z.writestr("archive/d.warc.gz", b"x")
+    names = spark.createDataFrame([(f"{c}.wacz",) for c in "abcdef"], "package string")
+    got = {}
+    for r in archive.read_packages(names, tmp_path.as_uri()).collect():
+        got.setdefault(r.package[0], []).append(r)
+    for c in "ab":
+        assert sorted((r.url, bytes(r.body)) for r in got[c]) == pages and all(r.valid and r.error is None and r.record_id.startswith("urn:uuid:") and r.digest == hashlib.sha256(r.body).hexdigest() for r in got[c])
+    assert len(got["c"]) == 5 and sum(not r.valid for r in got["c"]) == 1 and all((r.body is None) == (not r.valid) and (r.error is None) == r.valid for r in got["c"])
+    assert len(got["d"]) == 5 and [r.valid for r in sorted(got["d"], key=lambda r: (not r.valid))] == [True] * 4 + [False]
+    assert [(r.valid, r.url) for r in got["e"]] == [(False, None)] and [r.valid for r in got["f"]] == [False] and "no index line" in got["f"][0].error
+

@@ -205,63 +205,67 @@ def test_suffix_automaton():
         assert [i for x, y in a.matches(q, 3) for i in range(x, y)] == want
 
 
-def brute_code_lengths(docs, depth=4):
+def brute_code_lengths(docs, depth):
+    """Each bit by P_w of the root with all counts over P_w of the root without its own."""
     count = defaultdict(lambda: [0, 0])
 
     def path(t, i):
         h = b"\0" * depth + t[:i]
         return [h[len(h) - d :] if d else b"" for d in range(depth + 1)]
 
+    def decisions(x):
+        node = 1
+        for k in range(7, -1, -1):
+            yield node, x >> k & 1
+            node = 2 * node + (x >> k & 1)
+
     for t in docs:
         for i, x in enumerate(t):
             for c in path(t, i):
-                node = 1
-                for k in range(7, -1, -1):
-                    count[c, node][x >> k & 1] += 1
-                    node = 2 * node + (x >> k & 1)
+                for node, bit in decisions(x):
+                    count[c, node][bit] += 1
     kids = defaultdict(list)
     for c, node in count:
         if c:
             kids[c[1:], node].append((c, node))
     known = {}
 
-    def weighted(key):
-        if key not in known:
-            a, b = count[key]
-            e = math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
-            if len(key[0]) == depth:
-                known[key] = e, 1.0
-            else:
-                s = sum(weighted(k)[0] for k in kids[key])
-                known[key] = float(np.logaddexp(e, s)) - math.log(2), 1 / (1 + math.exp(min(700, s - e)))
-        return known[key]
-
-    out = []
-    for t in docs:
-        bits = 0.0
-        for i, x in enumerate(t):
-            node = 1
-            for k in range(7, -1, -1):
-                q = 0.5
-                for c in reversed(path(t, i)):
-                    a, b = count[c, node]
-                    v = weighted((c, node))[1]
-                    q = v * (b + 0.5) / (a + b + 1) + (1 - v) * q
-                bits -= math.log2(q if x >> k & 1 else 1 - q)
-                node = 2 * node + (x >> k & 1)
-        out.append(bits)
-    return out
-
-
-def test_context_tree(spark):
+    def weighted(key, gone=(), bit=0):
+        """log P_w, without one of the bit in the nodes `gone`."""
+        if key not in gone and key in known:
+            return known[key]
+        a, b = count[key]
+        if key in gone:
+            a, b = a - (1 - bit), b - bit
+        e = math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+        w = e if len(key[0]) == depth else float(np.logaddexp(e, sum(weighted(k, gone, bit) for k in kids[key]))) - math.log(2)
+        if key not in gone:
+            known[key] = w
+        return w
+
+    return [sum((weighted((b"", node), {(c, node) for c in path(t, i)}, bit) - weighted((b"", node))) / math.log(2) for i, x in enumerate(t) for node, bit in decisions(x)) for t in docs]
+
+
+@pytest.mark.parametrize("depth", [3, 6, 7])
+def test_context_tree(spark, monkeypatch, depth):
+    """With parts of a few n-grams."""
+    monkeypatch.setattr(context_tree, "_PART_BYTES", 40)
     rows = [(i, t) for i, t in enumerate(["the cat sat on the mat", "the cat sat on the hat", "äöü ñandú", "", "zzzzzzzzzzzz", "a", "the cat sat on the mat"])] + [(None, "no id"), (99, None)]
-    got = sorted(context_tree.score(clash(frame(spark, rows))).collect(), key=repr)
-    want = brute_code_lengths([(t or "").encode() for _, t in rows])
+    got = sorted(context_tree.score(clash(frame(spark, rows)), depth).collect(), key=repr)
+    want = brute_code_lengths([(t or "").encode() for _, t in rows], depth)
     assert len(got) == len(rows)
     for (i, t), bits in zip(rows, want):
         r = next(r for r in got if r.doc_id == i)
-        assert r.code_bits == pytest.approx(bits, abs=2e-3) and r.n_bytes == len((t or "").encode()) and (r.bits_per_byte is None) == (not t)
-    assert context_tree.score(frame(spark, [])).count() == 0
+        assert r.code_bits == pytest.approx(bits, abs=2e-3)
+        assert r.n_bytes == len((t or "").encode()) and (r.bits_per_byte is None) == (not t)
+    by = {r.doc_id: r.bits_per_byte for r in got}
+    assert by[0] == by[6] < by[1] < by[2]
+    assert context_tree.score(frame(spark, []), depth).count() == 0
+
+
+def test_context_tree_depth(spark):
+    with pytest.raises(ValueError):
+        context_tree.score(frame(spark, []), 8)
 
 
 def test_kt_tables():
@@ -289,7 +293,7 @@ def test_packing_is_optimal(units, window, trunc, cut):
 
 
 def test_pack(spark):
-    got = packing.pack(clash(frame(spark)), window=100, shard_span=8).orderBy("shard", "window_no").collect()
+    got = packing.pack(clash(frame(spark)), window=100, shard_bytes=1000).orderBy("shard", "window_no").collect()
     assert all(r.n_tokens <= 100 and r.n_padding == 100 - r.n_tokens for r in got)
     assert sum(r.n_tokens + r.n_truncated for r in got) == sum(len(words(t)) for _, t in DOCS)
     by_text = defaultdict(list)
@@ -304,7 +308,7 @@ def test_pack(spark):
 def test_pack_keeps_text_without_marks(spark):
     """Both end half a window past a full one, where to pad costs less than to drop."""
     rows = [(0, " ".join(f"u{i}" for i in range(20_050))), (600, "A short one. " * 3 + " ".join(f"v{i}" for i in range(1_041)))]
-    got = packing.pack(frame(spark, rows), window=100, shard_span=8).orderBy("shard", "window_no").collect()
+    got = packing.pack(frame(spark, rows), window=100, shard_bytes=1000).orderBy("shard", "window_no").collect()
     assert all(r.n_tokens <= 100 and r.n_truncated == 0 for r in got)
     assert words(" ".join(r.text for r in got)) == [w for _, t in rows for w in words(t)]
     for i, t in rows:
@@ -314,7 +318,7 @@ def test_pack_keeps_text_without_marks(spark):
 
 def test_pack_brute_force_small(spark):
     rows = [(i, " ".join(["w."] * n)) for i, n in enumerate([5, 3, 9, 1, 7, 2])]
-    got = packing.pack(frame(spark, rows), 8, 100, 1, 4, 2).collect()
+    got = packing.pack(frame(spark, rows), 8, 1 << 20, 1, 4, 2).collect()
     ends, docs = list(range(1, 28)), [False] * 27
     for n in np.cumsum([5, 3, 9, 1, 7, 2]):
         docs[n - 1] = True
@@ -323,6 +327,69 @@ def test_pack_brute_force_small(spark):
     assert total == sum(r.n_padding + 4 * r.n_truncated for r in got) + 2 * sum(not docs[c - 1] for c in cuts)
 
 
+def windows(df, renumbered=lambda i: i):
+    return sorted((r.shard, r.window_no, r.n_tokens, r.n_padding, r.n_truncated, [(renumbered(p.doc_id), p.start, p.end) for p in r.pieces], r.text) for r in df.collect())
+
+
+@pytest.mark.parametrize("most", [1 << 18, 0])
+def test_pack_depends_on_order_alone(spark, monkeypatch, most):
+    """Sparse ids in the same order give the same windows, in whatever partitions rows come; also where starts of shards are joined."""
+    monkeypatch.setattr(packing, "_MOST_STARTS", most)
+    rng = np.random.RandomState(9)
+    rows = [(i, " ".join(f"w{x}." if x % 9 == 0 else f"w{x}" for x in rng.randint(0, 500, rng.randint(0, 120)))) for i in range(300)]
+    sparse = {i: i * i * 7_654_321 - 10**12 for i, _ in rows}
+    back = {v: k for k, v in sparse.items()}
+    want = windows(packing.pack(frame(spark, rows), 64, 8000))
+    got = windows(packing.pack(frame(spark, [(sparse[i], t) for i, t in rows][::-1]).repartition(5), 64, 8000), back.get)
+    assert want == got and len({w[0] for w in want}) > 10
+    # each shard holds the documents whose bytes before them pass its multiple
+    at, place = 0, {}
+    for i, t in rows:
+        place[i] = at // 8000
+        at += len(t) + packing._ROW_BYTES
+    assert {p[0]: w[0] for w in want for p in w[5]} == place
+
+
+@pytest.mark.parametrize("most", [1 << 18, 0])
+def test_pack_spreads_rows_of_one_key(spark, monkeypatch, most):
+    """A third of the rows are one row, another third have no id; none is lost and no shard holds them all."""
+    monkeypatch.setattr(packing, "_MOST_STARTS", most)
+    rows = [(7, "same text here. " * 5)] * 200 + [(None, f"no id {i}. " * 8) for i in range(200)] + [(100 + i, f"own {i}. " * 8) for i in range(200)] + [(900, None), (901, "")]
+    got = packing.pack(frame(spark, rows), 64, 2000).collect()
+    count = defaultdict(int)
+    for r in got:
+        for p in r.pieces:
+            count[p.doc_id] += p.start == 0
+    assert count[7] == 200 and count[None] == 200 and all(count[i] == 1 for i, _ in rows[400:])
+    for key in (7, None):
+        each = defaultdict(int)
+        for r in got:
+            each[r.shard] += sum(p.doc_id == key and p.start == 0 for p in r.pieces)
+        assert max(each.values()) < 60
+    assert sum(r.n_tokens + r.n_truncated for r in got) == sum(len(words(t)) for _, t in rows)
+
+
+def test_context_tree_by_slices(monkeypatch):
+    """Code lengths don't depend on how a home is sliced."""
+    rng = np.random.RandomState(5)
+    text = [bytes(rng.choice(list(b"abc "), rng.randint(0, 60)).tolist()) for _ in range(60)]
+    buf, off = np.frombuffer(b"".join(text), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in text])))
+    keys, counts = context_tree._part_counts(buf, off, 5)
+    assert context_tree._unpack_keys(context_tree._pack_keys(keys)).tolist() == keys.tolist()
+    found = []
+    for size in (10**6, 7):
+        monkeypatch.setattr(context_tree, "_SLICE", size)
+        assert size == 10**6 or len(list(context_tree._slices(keys, 5))) > 20
+        context, sums = context_tree._second(keys, counts, 5)
+        _, pw = context_tree._mixed(*(sums[:, k] for k in range(3)))
+        total = np.zeros((256, 3, 256))
+        for k, x in enumerate((pw, sums[:, 1], sums[:, 2])):
+            np.add.at(total[:, k], (context >> np.uint64(8)).astype(int), x)
+        top = context_tree._top([{"latest": i, "sums": total[i].tobytes()} for i in range(256)])
+        found.append(context_tree.code_lengths(keys, counts, context, sums, top, 5))
+    assert np.allclose(*found) and found[0].min() > 0
+
+
 VOCAB = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
