@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +61,16 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def stored(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The rows that make() gives, stored; the tables that were saved on the way are deleted."""
+    kept = _kept.setdefault(spark.sparkContext.applicationId, set())
+    before = set(kept)
+    out = saved(make(), name)
+    for path in kept - before - {out._saved_at}:
+        _delete(spark, path)
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that saved() wrote. What was computed from them must be stored already."""
     for df in tables:

@@ -12,10 +12,14 @@ are streamed through its automaton:
    window of `min_words` words holds one, and equal windows hold the same ones.
 2. The lowest document with a fingerprint owns it. Around each fingerprint that
    documents share, the region in which a window could match goes to the shard
-   of the owner; a shard of too many documents is split into squares.
+   of the owner.
 3. A shard's suffix automaton grows in the order of document ids: each document
    is streamed for matching statistics against what earlier ones put there, and
    then adds the windows that were new. Copies cost one pass, or a lookup.
+4. A shard of more than `shard_rows` documents, which one task couldn't stream, is
+   taken by windows instead: the least document of each window's hash, which is
+   combined before the shuffle, is joined back to the windows. So a passage that a
+   third of all documents have costs as much for each of them as any other.
 """
 
 from __future__ import annotations
@@ -30,7 +34,6 @@ from . import jobs, texts
 
 U64 = np.uint64
 _EMIT_BYTES = 24 << 20
-_TOP = U64(0xFFFFFFFFFFFFFFFF)
 
 
 class SuffixAutomaton:
@@ -294,9 +297,9 @@ def _stream(least: int):
         pend, size = None, 0
 
         def work(table):
-            o, lo, hi, ids, hashes, starts = (table.column(c).to_numpy() for c in ("owner", "lo", "hi", "id", "hash", "start"))
+            o, ids, hashes, starts = (table.column(c).to_numpy() for c in ("owner", "id", "hash", "start"))
             regions = table.column("words").to_pylist()
-            edge = np.flatnonzero(np.concatenate(([True], (o[1:] != o[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]), [True]))).tolist()
+            edge = np.flatnonzero(np.concatenate(([True], o[1:] != o[:-1], [True]))).tolist()
             found = []
             for a, b in zip(edge[:-1], edge[1:]):
                 found += _stream_shard(ids[a:b], hashes[a:b], starts[a:b], regions[a:b], least)
@@ -313,8 +316,8 @@ def _stream(least: int):
             if size < 32 << 20:
                 continue
             pend = pend.combine_chunks()
-            o, lo, hi = (pend.column(c).to_numpy() for c in ("owner", "lo", "hi"))
-            other = np.flatnonzero((o != o[-1]) | (lo != lo[-1]) | (hi != hi[-1]))
+            o = pend.column("owner").to_numpy()
+            other = np.flatnonzero(o != o[-1])
             if len(other):
                 got = work(pend.slice(0, int(other[-1]) + 1))
                 if got is not None:
@@ -329,6 +332,26 @@ def _stream(least: int):
     return run
 
 
+def _windows(least: int):
+    """Hashes of all windows of the regions."""
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                raw = [x.as_py() for x in part.column(3)]
+                size = np.array([len(x) // 8 for x in raw])
+                words = np.frombuffer(b"".join(raw), U64)
+                count = np.maximum(size - least + 1, 0)
+                at = texts.ranges(np.cumsum(size) - size, count)
+                row = np.repeat(np.arange(len(size)), count)
+                ids, hashes, start = (part.column(c).to_numpy(zero_copy_only=False)[row] for c in range(3))
+                first = start + texts.ranges(np.zeros(len(size), np.int64), count)
+                yield pa.RecordBatch.from_arrays([pa.array(texts.range_hash(words, at, at + least).view(np.int64)), pa.array(ids), pa.array(hashes), pa.array(first.astype(np.int32))], ["window", "id", "hash", "first"])
+
+    return run
+
+
 def _spans(base: DataFrame, least: int, shard_rows: int) -> DataFrame:
     """(id, hash, spans: struct of first and last, which is excluded), not merged."""
     spark = base.sparkSession
@@ -337,15 +360,16 @@ def _spans(base: DataFrame, least: int, shard_rows: int) -> DataFrame:
     owned = keyed.mapInArrow(_emit(least, count), "bucket int, keys binary, ids binary, hashes binary, counts binary").groupBy("bucket").applyInArrow(_owned, _OWNED)
     owned = jobs.saved(owned, "owned")
     shared = owned.groupBy("id", "hash").agg(F.collect_list(F.struct("bucket", "keys", "owners")).alias("shared"))
-    wide = owned.select("id", F.explode(F.array_distinct("owners")).alias("owner")).distinct().groupBy("owner").count().where(F.col("count") > shard_rows)
-    wide = wide.select("owner", F.ceil(F.col("count") / shard_rows).cast("int").alias("slabs"))
+    wide = owned.select("id", F.explode(F.array_distinct("owners")).alias("owner")).distinct().groupBy("owner").count()
+    wide = jobs.saved(wide.where(F.col("count") > shard_rows).select("owner", F.lit(True).alias("wide")), "wide")
     regions = keyed.join(shared, ["id", "hash"]).select("id", "hash", "text", "shared").mapInArrow(_regions(least, count), _REGION)
-    regions = regions.join(wide, "owner", "left").withColumn("slabs", F.coalesce("slabs", F.lit(1))).withColumn("slab", F.pmod(F.xxhash64("id"), F.col("slabs")).cast("int"))
-    regions = regions.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slabs") - 1)))
-    regions = regions.select("owner", F.least("slab", "other").alias("lo"), F.greatest("slab", "other").alias("hi"), "id", "hash", "start", "words")
-    regions = regions.repartition("owner", "lo", "hi").sortWithinPartitions("owner", "lo", "hi", "id", "start")
-    found = regions.mapInArrow(_stream(least), "id long, hash long, first int, last int")
-    return found.groupBy("id", "hash").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    regions = jobs.saved(regions.join(wide, "owner", "left"), "regions")
+    narrow = regions.where("wide is null").repartition("owner").sortWithinPartitions("owner", "id", "start")
+    found = narrow.select("owner", "id", "hash", "start", "words").mapInArrow(_stream(least), "id long, hash long, first int, last int")
+    windows = regions.where("wide").select("id", "hash", "start", "words").mapInArrow(_windows(least), "window long, id long, hash long, first int")
+    lowest = windows.groupBy("window").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("window", "low")
+    again = windows.join(lowest, "window").where("id > low").select("id", "hash", "first", (F.col("first") + least).alias("last"))
+    return found.union(again).groupBy("id", "hash").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
 
 def _remove(text_at: int, length_at: int, n_cols: int):

@@ -94,8 +94,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage, from the documents table."""
+    """The rows of the last stage, from the documents table. Tables of earlier stages are deleted."""
     docs = queries.table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = jobs.saved(stage(spark, docs, sf_dir), f"stage-{name}")
+    for n, (name, stage) in enumerate(STAGES):
+        last, docs = docs, jobs.stored(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"stage-{name}")
+        if n:
+            jobs.discard(last)
     return docs
