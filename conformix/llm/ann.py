@@ -343,7 +343,8 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, list_rows: i
     reps = jobs.saved(reps, "vectors")
     lists = build_lists(reps, reps.count(), list_rows, sample_rows)
     blocks = np.maximum(1, np.ceil(lists.sizes * replicas / block_rows)).astype(np.int64)
-    asked = jobs.saved(one(_valid(queries, id_col, vector_col)).withColumn("key", F.min("id").over(Window.partitionBy("h", "v"))).select("id", "key", "v"), "queries")
+    asked = one(_valid(queries, id_col, vector_col))
+    asked = jobs.saved(asked.join(asked.groupBy("h", "v").agg(F.min("id").alias("key")), ["h", "v"]).select("id", "key", "v"), "queries")
     keyed = asked.where("id = key").select("key", "v").mapInArrow(_ask(lists, blocks, probe), "list int, block int, key long, v array<float>")
     posted = reps.select("ids", "v", F.col("ids")[0].alias("low")).mapInArrow(_post(lists, blocks, closure, replicas), "list int, block int, ids array<long>, v array<float>")
     found = keyed.groupBy("list", "block").cogroup(posted.groupBy("list", "block")).applyInArrow(_compare(k + 1, list_rows, closure, replicas, probe), _FOUND)

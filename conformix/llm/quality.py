@@ -132,15 +132,16 @@ def fit(docs: DataFrame, ratings: DataFrame, max_rows: int = 6000, id_col: str =
     """Fits the model to documents with ratings from 0 up.
 
     At most `max_rows` rated documents are used, those whose ids hash lowest, so
-    the sample is the same in each run. Rows with NULL id, text or rating are
-    left out. Raises NotEnoughLabels where fewer than two grades are left.
+    the sample is the same in each run; where ids repeat, `max_rows` bounds the
+    rows, too. Rows with NULL id, text or rating are left out. Raises NotEnoughLabels where fewer than two grades are left.
     """
     rated = jobs.picked(ratings, id=id_col, grade=grade_col).where("id is not null and grade is not null")
     rated = rated.select(F.col("id").cast("long").alias("id"), F.col("grade").cast("int").alias("grade"))
     sample = rated.orderBy(F.xxhash64("id"), "id", "grade").limit(max_rows)
     texts_ = jobs.picked(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("text is not null")
     rows = texts_.join(F.broadcast(sample), "id").select("grade", "text", F.xxhash64("id", "text").alias("h"))
-    model = rows.repartition(1).sortWithinPartitions("h").select("grade", "text").mapInArrow(_fit_rows, "weights binary, bounds binary").collect()
+    rows = rows.orderBy("h", "grade").limit(max_rows)  # where ids repeat, these are more than the sample
+    model = rows.select("grade", "text").mapInArrow(_fit_rows, "weights binary, bounds binary").collect()
     if not model:
         raise jobs.NotEnoughLabels("fewer than two different ratings")
     return Model(np.frombuffer(model[0]["weights"], np.float32), np.frombuffer(model[0]["bounds"]))

@@ -281,8 +281,8 @@ def _fit_rows(batches):
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic") -> Model:
     """Fits the field to documents labelled 0 or 1 as a whole.
 
-    At most `max_rows` labelled documents are used, those whose ids hash lowest.
-    Rows with NULL id, text or label are left out. Raises NotEnoughLabels unless
+    At most `max_rows` labelled documents are used, those whose ids hash lowest;
+    where ids repeat, `max_rows` bounds the rows, too. Rows with NULL id, text or label are left out. Raises NotEnoughLabels unless
     both labels are among the rest.
     """
     rated = jobs.picked(labels, id=id_col, toxic=toxic_col).where("id is not null and toxic is not null")
@@ -290,7 +290,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, id_col: str =
     sample = rated.orderBy(F.xxhash64("id"), "id", "toxic").limit(max_rows)
     own = jobs.picked(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("text is not null")
     rows = own.join(F.broadcast(sample), "id").select("toxic", "text", F.xxhash64("id", "text").alias("h"))
-    got = rows.repartition(1).sortWithinPartitions("h").select("toxic", "text").mapInArrow(_fit_rows, "weights binary, rest binary").collect()
+    rows = rows.orderBy("h", "toxic").limit(max_rows)  # where ids repeat, these are more than the sample
+    got = rows.select("toxic", "text").mapInArrow(_fit_rows, "weights binary, rest binary").collect()
     if not got:
         raise jobs.NotEnoughLabels("toxic and other documents are needed")
     rest = np.frombuffer(got[0]["rest"])
