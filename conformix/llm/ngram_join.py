@@ -21,8 +21,10 @@ sizes rule out are discarded before and during the product:
    than ceil(t n) columns, until nothing changes. What is left is multiplied
    slab by slab, rows sorted by size, skipping rows whose sizes differ by more
    than the factor t, and pairs below o >= t / (1 + t) (n_a + n_b) are discarded.
+   The product is sparse but for columns that much of a block has.
 
-The result is exact but for collisions of 60-bit hashes.
+The result is exact but for collisions of 60-bit hashes of n-grams, and of 48-bit
+hashes of two sets that would be linked.
 """
 
 from __future__ import annotations
@@ -42,8 +44,15 @@ U64 = np.uint64
 _SLOT_BITS = (17, 21)
 _SLICES = 16
 _NONE = np.iinfo(np.int64).min
+#: Until blocks are made, classes are known by 48 bits. Those of equal numbers are taken for
+#: one, of the smaller size; they meet all that they need to, though not each other.
+_NUMBER, _NUMBERS = 6, (1 << 48) - 1
 _EMIT_KEYS = 1_000_000
 _FLUSH_GRAMS = 2_000_000
+#: Columns of a block that one row in so many has are multiplied densely.
+_HEAVY = 10
+#: Products of the sparse part that are added up at once.
+_PRODUCTS = 4_000_000
 
 
 def _gram_sets(buf: np.ndarray, off: np.ndarray, n: int, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,9 +127,28 @@ def _levels(survey: DataFrame, bits: int) -> np.ndarray:
     return np.clip(np.floor(2 * np.log2(np.maximum(counts / usual, 1))), 0, 15).astype(np.uint8)
 
 
+def _planes(x: np.ndarray, width: int) -> bytes:
+    """The low `width` bytes of whole numbers, bytes of one place together: what is zero or alike compresses."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _from_planes(raw: bytes, width: int) -> np.ndarray:
+    wide = np.zeros((len(raw) // width, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, -1).T
+    return wide.view("<i8").ravel()
+
+
+def _ascending(x: np.ndarray) -> bytes:
+    return _planes(np.diff(x, prepend=0), _NUMBER)
+
+
+def _from_ascending(raw: bytes) -> np.ndarray:
+    return np.cumsum(_from_planes(raw, _NUMBER))
+
+
 class _Packer:
-    """Collects (key, class, size of the set) and packs them into rows by bucket: keys
-    of 32 bits, and once for each class its number, its count of keys and its size."""
+    """Collects sets' keys and packs them into rows by bucket: keys of 32 bits, and once
+    for each class its number, its count of keys and its size. Of equal sets one is sent."""
 
     names = ["bucket", "keys", "classes", "counts", "sizes"]
     schema = "bucket int, keys binary, classes binary, counts binary, sizes binary"
@@ -128,24 +156,28 @@ class _Packer:
     def __init__(self, n_buckets: int):
         self.n_buckets, self.pend, self.size = n_buckets, [], 0
 
-    def put(self, keys: np.ndarray, classes: np.ndarray, sizes: np.ndarray) -> None:
+    def put(self, keys: np.ndarray, counts: np.ndarray, classes: np.ndarray, sizes: np.ndarray) -> None:
+        """keys: of one set after the other; the rest: by set."""
         if len(keys):
-            self.pend.append((keys, classes, sizes))
+            self.pend.append((keys, counts, classes, sizes))
             self.size += len(keys)
 
     def batch(self) -> pa.RecordBatch:
-        keys, classes, sizes = (np.concatenate(x) for x in zip(*self.pend))
+        keys, counts, classes, sizes = (np.concatenate(x) for x in zip(*self.pend))
         self.pend, self.size = [], 0
-        h = texts.mix(keys)
+        _, one = np.unique(classes, return_index=True)
+        one = one[np.argsort(classes[one] & _NUMBERS, kind="stable")]
+        h = texts.mix(keys[texts.ranges((np.cumsum(counts) - counts)[one], counts[one])])
+        row, classes, sizes = np.repeat(np.arange(len(one), dtype=np.int32), counts[one]), classes[one] & _NUMBERS, sizes[one]
         part = (h % U64(self.n_buckets)).astype(np.int64)
         order = np.argsort(part.astype(np.uint16) if self.n_buckets < 1 << 16 else part, kind="stable")
-        short, classes, sizes, part = (h >> U64(32)).astype(np.uint32)[order], classes[order], sizes[order], part[order]
+        short, row, part = (h >> U64(32)).astype("<u4")[order], row[order], part[order]
         at = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
         rows = []
         for a, b in zip(at.tolist(), [*at[1:].tolist(), len(part)]):
-            own = classes[a:b]
-            first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-            rows.append((int(part[a]), short[a:b].tobytes(), own[first].tobytes(), np.diff(np.append(first, b - a)).astype(np.uint32).tobytes(), sizes[a:b][first].astype(np.uint32).tobytes()))
+            first = np.flatnonzero(np.concatenate(([True], row[a + 1 : b] != row[a : b - 1])))
+            own = row[a:b][first]
+            rows.append((int(part[a]), short[a:b].tobytes(), _ascending(classes[own]), _planes(np.diff(np.append(first, b - a)), 4), _planes(sizes[own], 4)))
         cols = list(zip(*rows))
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], self.names)
 
@@ -171,7 +203,7 @@ def _heads(n: int, t: float, levels: np.ndarray, n_buckets: int):
                 keys, goff = _gram_sets(buf, off, n, levels)
                 count = np.diff(goff)
                 take, _ = _head(count, t)
-                packer.put(keys[texts.ranges(goff[:-1], take)], np.repeat(_class_of(keys, goff), take), np.repeat(count, take))
+                packer.put(keys[texts.ranges(goff[:-1], take)], take, _class_of(keys, goff), count)
                 if packer.size >= _EMIT_KEYS:
                     yield packer.batch()
         if packer.size:
@@ -187,12 +219,12 @@ def _shared(table, t: float):
     The classes with a key are sorted by size and cut where the next is more than
     1 / t times as large, as no pair across such a gap can reach t.
     """
-    keys = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table.column("keys")]).astype(U64)
-    counts = [np.frombuffer(x.as_py(), np.uint32) for x in table.column("counts")]
-    classes = np.concatenate([np.repeat(np.frombuffer(i.as_py(), np.int64), c) for i, c in zip(table.column("classes"), counts)])
-    sizes = np.concatenate([np.repeat(np.frombuffer(i.as_py(), np.uint32), c) for i, c in zip(table.column("sizes"), counts)])
-    order = np.argsort((keys << U64(32)) | sizes)
-    keys, classes, sizes = keys[order], classes[order], sizes[order].astype(np.int64)
+    keys = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table.column("keys")]).astype(U64)
+    counts = [_from_planes(x.as_py(), 4) for x in table.column("counts")]
+    classes = np.concatenate([np.repeat(_from_ascending(i.as_py()), c) for i, c in zip(table.column("classes"), counts)])
+    sizes = np.concatenate([np.repeat(_from_planes(i.as_py(), 4), c) for i, c in zip(table.column("sizes"), counts)])
+    order = np.argsort((keys << U64(32)) | sizes.view(U64))
+    keys, classes, sizes = keys[order], classes[order], sizes[order]
     cut = np.ones(len(keys), bool)
     cut[1:] = (keys[1:] != keys[:-1]) | (sizes[1:] * t > sizes[:-1] + 1e-6)
     at = np.flatnonzero(cut)
@@ -214,13 +246,14 @@ def _tally(n_parts: int, t: float):
         new[1:] = (run_[1:] != run_[:-1]) | (owners[1:] != owners[:-1]) | (classes[1:] != classes[:-1])
         classes, sizes, owners = classes[new], sizes[new], owners[new]
         first = np.flatnonzero(np.concatenate(([True], (classes[1:] != classes[:-1]) | (owners[1:] != owners[:-1])))) if len(classes) else np.zeros(0, np.int64)
-        count, classes, owners, sizes = np.diff(np.append(first, len(classes))), classes[first], owners[first], sizes[first]
-        part = (classes.view(U64) % U64(n_parts)).astype(np.int64)
+        sizes = np.minimum.reduceat(sizes, first) if len(first) else sizes
+        count, classes, owners = np.diff(np.append(first, len(classes))), classes[first], owners[first]
+        part = classes % n_parts
         order = np.argsort(part, kind="stable")
         part = part[order]
-        edge = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))).tolist() if len(part) else []
-        columns = (classes[order], owners[order], count[order].astype(np.uint32), sizes[order].astype(np.uint32))
-        rows = [(int(part[a]), *(x[a:b].tobytes() for x in columns)) for a, b in zip(edge, [*edge[1:], len(part)])]
+        edge = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))).tolist() if len(part) else []
+        classes, owners, count, sizes = classes[order], owners[order], count[order], sizes[order]
+        rows = [(int(part[a]), _ascending(classes[a:b]), _planes(owners[a:b], _NUMBER), _planes(count[a:b], 4), _planes(sizes[a:b], 4)) for a, b in zip(edge, edge[1:])]
         cols = list(zip(*rows)) or [[]] * 5
         return pa.table([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["part", "classes", "owners", "counts", "sizes"])
 
@@ -228,7 +261,7 @@ def _tally(n_parts: int, t: float):
 
 
 def _choose(t: float):
-    """(class, owner): the owners at which a class meets all that it can be linked to.
+    """(number of a class, owner): the owners at which a class meets all that it can be linked to.
 
     A class that shares fewer keys than the bound asks has no link. Any linked
     pair shares `need` keys or more, so if each class leaves less than half of
@@ -237,11 +270,12 @@ def _choose(t: float):
     """
 
     def run(key, table):
-        classes, owners, counts, sizes = (np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column(c)]) for c, kind in (("classes", np.int64), ("owners", np.int64), ("counts", np.uint32), ("sizes", np.uint32)))
+        classes = np.concatenate([_from_ascending(x.as_py()) for x in table.column("classes")])
+        owners, counts, sizes = (np.concatenate([_from_planes(x.as_py(), width) for x in table.column(c)]) for c, width in (("owners", _NUMBER), ("counts", 4), ("sizes", 4)))
         order = np.lexsort((owners, classes))
-        classes, owners, counts, sizes = classes[order], owners[order], counts[order].astype(np.int64), sizes[order].astype(np.int64)
+        classes, owners, counts, sizes = classes[order], owners[order], counts[order], sizes[order]
         first = np.flatnonzero(np.concatenate(([True], (classes[1:] != classes[:-1]) | (owners[1:] != owners[:-1]))))
-        counts, classes, owners, sizes = np.add.reduceat(counts, first), classes[first], owners[first], sizes[first]
+        counts, classes, owners, sizes = np.add.reduceat(counts, first), classes[first], owners[first], np.minimum.reduceat(sizes, first)
         order = np.lexsort((owners, -counts, classes))
         counts, classes, owners, sizes = counts[order], classes[order], owners[order], sizes[order]
         first = np.flatnonzero(np.concatenate(([True], classes[1:] != classes[:-1])))
@@ -249,9 +283,9 @@ def _choose(t: float):
         before = np.cumsum(counts) - counts
         before -= np.repeat(before[first], length)
         total = np.repeat(np.add.reduceat(counts, first), length)
-        need = _head(sizes, t)[1]
+        need = _head(np.repeat(np.minimum.reduceat(sizes, first), length), t)[1]
         keep = (total >= need) & (before < total - (need - 1) // 2)
-        return pa.table({"class": classes[keep], "owner": owners[keep]})
+        return pa.table({"number": classes[keep], "owner": owners[keep]})
 
     return run
 
@@ -272,27 +306,48 @@ def _sets(n: int, levels: np.ndarray):
 def _overlaps(row: np.ndarray, col: np.ndarray, n: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of rows a < b with the overlap that t asks for; rows must be sorted by n.
 
-    Slabs of rows times slabs of columns; a slab of rows meets only rows whose
-    sizes are within the factor t.
+    The sparse product of the incidence matrix with its transpose, by slabs of
+    rows: each entry of a slab adds 1 for each later row of its column, as far as
+    sizes are within the factor t. Columns that at least 1 / _HEAVY of the rows
+    have, as near copies of one text do, are multiplied as dense panels instead.
     """
     m, width, height = len(n), 8192, 512
-    k = int(col.max()) + 1 if len(col) else 0
-    found = []
-    order = np.argsort(col, kind="stable")
+    order = np.lexsort((row, col))
     row, col = row[order], col[order]
-    edges = np.searchsorted(col, np.arange(0, k + width, width))
-    for lo in range(0, m, height):
+    length = np.bincount(col)
+    heavy = length * _HEAVY >= m
+    thick = heavy[col]
+    panel_row, panel_col = row[thick], _compact(col[thick])
+    k = int(panel_col[-1]) + 1 if len(panel_col) else 0
+    edges = np.searchsorted(panel_col, np.arange(0, k + width, width))
+    row, col = row[~thick], col[~thick]
+    end = np.cumsum(np.where(heavy, 0, length))
+    by_row = np.argsort(row, kind="stable")
+    slab = np.searchsorted(row[by_row], np.arange(0, m + height, height))
+    found = []
+    for s, lo in enumerate(range(0, m, height)):
         hi = min(lo + height, m)
         top = int(np.searchsorted(n, n[hi - 1] / t + 1e-9, "right"))
         acc = np.zeros((hi - lo, top - lo), np.float32)
         for c, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
-            r, x = row[a:b], col[a:b] - c * width
+            r, x = panel_row[a:b], panel_col[a:b] - c * width
             use = (r >= lo) & (r < top)
             if not use.any():
                 continue
             dense = np.zeros((top - lo, min(width, k - c * width)), np.float32)
             dense[r[use] - lo, x[use]] = 1
             acc += dense[: hi - lo] @ dense.T
+        own = by_row[slab[s] : slab[s + 1]]
+        later = end[col[own]] - own - 1
+        own, later = own[later > 0], later[later > 0]
+        upto = np.cumsum(later)
+        a = 0
+        while a < len(own):
+            b = max(int(np.searchsorted(upto, (upto[a - 1] if a else 0) + _PRODUCTS, "right")), a + 1)
+            i, j = np.repeat(row[own[a:b]], later[a:b]) - lo, row[texts.ranges(own[a:b] + 1, later[a:b])]
+            near = j < top
+            acc += np.bincount(i[near] * (top - lo) + j[near] - lo, minlength=acc.size).reshape(acc.shape)
+            a = b
         o = np.rint(acc).astype(np.int64)
         union = n[lo:hi, None] + n[None, lo:top] - o
         i, j = np.nonzero((o > 0) & (o >= t * union - 1e-6))
@@ -466,7 +521,7 @@ def _blocked(docs: DataFrame, threshold: float, n: int, block_rows: int, id_col:
         raise ValueError("threshold must be over 0 and at most 1")
     spark = docs.sparkSession
     base = jobs.picked(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null")
-    count = 4 * jobs.buckets(spark)  # groups of a few megabytes
+    count = 2 * jobs.buckets(spark)  # groups of a few megabytes
     volume = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(max(_SLOT_BITS[0], (volume >> 13).bit_length()), _SLOT_BITS[1])
     survey = jobs.saved(base.mapInArrow(_survey(n, bits), "slice int, data binary, classes binary, sizes binary"), "survey")
@@ -477,12 +532,13 @@ def _blocked(docs: DataFrame, threshold: float, n: int, block_rows: int, id_col:
 
     heads = base.mapInArrow(_heads(n, threshold, levels, count), _Packer.schema)
     tallies = heads.groupBy("bucket").applyInArrow(_tally(count, threshold), "part int, classes binary, owners binary, counts binary, sizes binary")
-    owned = jobs.saved(tallies.groupBy("part").applyInArrow(_choose(threshold), "class long, owner long"), "owners")
+    owned = jobs.saved(tallies.groupBy("part").applyInArrow(_choose(threshold), "number long, owner long"), "owners")
+    numbered = classes.select("class", "first", F.col("class").bitwiseAND(F.lit(_NUMBERS)).alias("number"))
     several = owned.groupBy("owner").count().where("count > 1").select("owner", F.ceil(F.col("count") / block_rows).cast("int").alias("slabs"))
-    placed = owned.join(several, "owner").withColumn("slab", F.pmod(F.xxhash64("class"), F.col("slabs")).cast("int"))
+    placed = owned.join(several, "owner").withColumn("slab", F.pmod(F.xxhash64("number"), F.col("slabs")).cast("int"))
     block = F.transform(F.sequence(F.lit(0), F.col("slabs") - 1), lambda j: F.struct(F.col("owner"), F.least("slab", j).alias("lo"), F.greatest("slab", j).alias("hi"), F.col("slab")))
-    placed = placed.groupBy("class").agg(F.sort_array(F.collect_set("owner")).alias("owners"), F.flatten(F.collect_list(block)).alias("blocks"))
-    about = jobs.saved(placed.join(classes.select("class", "first"), "class"), "blocks")
+    placed = placed.groupBy("number").agg(F.sort_array(F.collect_set("owner")).alias("owners"), F.flatten(F.collect_list(block)).alias("blocks"))
+    about = jobs.saved(placed.join(numbered, "number").drop("number"), "blocks")
     # few others pass the filter; they fall out of the join with `about`
     own = jobs.only(base, about.select(F.col("first").alias("id")))
     sets = own.mapInArrow(_sets(n, levels), "id long, class long, grams binary")
