@@ -16,6 +16,8 @@ from .texts import mix
 
 #: Largest hash filter over ids: 2^27 bits.
 FILTER_BITS = 27
+#: Rows and bytes of a batch between the JVM and Python, where the session doesn't set them.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4096", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 #: Paths of saved tables by application.
 _kept: dict[str, set[str]] = {}
 
@@ -94,6 +96,14 @@ def buckets(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Sets what the session leaves unset of BATCHES: Spark's own sizes suit numbers, but not texts."""
+    known = spark.conf.getAll
+    for name, value in BATCHES.items():
+        if name not in known:
+            spark.conf.set(name, value)
+
+
 class NotEnoughLabels(ValueError):
     """There is nothing to learn from: fewer than two different labels."""
 
@@ -103,6 +113,7 @@ def numbered(df: DataFrame, *wanted: str) -> tuple[DataFrame, list[str]]:
 
     Names can then neither clash nor be ambiguous; toDF(*names) gives them back.
     """
+    small_batches(df.sparkSession)
     names = df.columns
     for name in wanted:
         if name not in names:

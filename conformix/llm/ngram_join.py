@@ -47,7 +47,7 @@ _NONE = np.iinfo(np.int64).min
 #: Until blocks are made, classes are known by 48 bits. Those of equal numbers are taken for
 #: one, of the smaller size; they meet all that they need to, though not each other.
 _NUMBER, _NUMBERS = 6, (1 << 48) - 1
-_EMIT_KEYS = 1_000_000
+_EMIT_KEYS = 500_000
 _FLUSH_GRAMS = 2_000_000
 #: Columns of a block that one row in so many has are multiplied densely.
 _HEAVY = 10
@@ -311,7 +311,7 @@ def _overlaps(row: np.ndarray, col: np.ndarray, n: np.ndarray, t: float) -> tupl
     sizes are within the factor t. Columns that at least 1 / _HEAVY of the rows
     have, as near copies of one text do, are multiplied as dense panels instead.
     """
-    m, width, height = len(n), 8192, 512
+    m, width, height = len(n), 1024, 512
     order = np.lexsort((row, col))
     row, col = row[order], col[order]
     length = np.bincount(col)
@@ -348,12 +348,13 @@ def _overlaps(row: np.ndarray, col: np.ndarray, n: np.ndarray, t: float) -> tupl
             near = j < top
             acc += np.bincount(i[near] * (top - lo) + j[near] - lo, minlength=acc.size).reshape(acc.shape)
             a = b
-        o = np.rint(acc).astype(np.int64)
-        union = n[lo:hi, None] + n[None, lo:top] - o
-        i, j = np.nonzero((o > 0) & (o >= t * union - 1e-6))
-        keep = i < j
-        i, j = i[keep], j[keep]
-        found.append((i + lo, j + lo, o[i, j]))
+        # o >= t * union, as o (1 + t) >= t * (sum of both sizes); acc holds whole numbers
+        i, j = np.nonzero(acc > 0)
+        later = i < j
+        i, j = i[later], j[later]
+        o = np.rint(acc[i, j]).astype(np.int64)
+        keep = o >= t * (n[i + lo] + n[j + lo] - o) - 1e-6
+        found.append((i[keep] + lo, j[keep] + lo, o[keep]))
     return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
 
 
