@@ -44,7 +44,8 @@ from . import jobs, texts
 U64 = np.uint64
 #: Bytes of context. Seven at most, as an n-gram is held in 64 bits.
 DEPTH = 6
-_PART_BYTES = 32 << 20
+_PART_BYTES = 24 << 20
+_CHUNK_BYTES = 1 << 19
 _SLICE = 200_000
 _TABLE = 1 << 14
 
@@ -121,7 +122,7 @@ def _grouped(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def _chunks(off: np.ndarray):
     lo, n = 0, len(off) - 1
     while lo < n:
-        hi = min(max(int(np.searchsorted(off, off[lo] + texts.CHUNK_BYTES, "right")) - 1, lo + 1), n)
+        hi = min(max(int(np.searchsorted(off, off[lo] + _CHUNK_BYTES, "right")) - 1, lo + 1), n)
         yield lo, hi
         lo = hi
 
@@ -142,7 +143,7 @@ def _part_counts(buf: np.ndarray, off: np.ndarray, depth: int) -> tuple[np.ndarr
         if len(own):
             found.append(texts.distinct(own))
             size += len(found[-1][0])
-        if size > max(2_000_000, len(keys)):
+        if size > max(1_000_000, len(keys) // 2):
             keys, counts = _grouped(np.concatenate([keys, *(x[0] for x in found)]), np.concatenate([counts, *(x[1] for x in found)]))
             found, size = [], 0
     if found:
@@ -377,15 +378,20 @@ def _add_up(depth: int, n_buckets: int):
     """Sums by document. The part's n-grams are those that it asked for, in the same order."""
 
     def run(key, docs, replies):
+        ids = docs.column("id")
         buf, off = texts.text_buffer(docs.column("text"))
+        del docs
         total = np.zeros(len(off) - 1)
         if len(buf):
-            keys, _ = _part_counts(buf, off, depth)
-            order, _ = _by_bucket(keys, n_buckets)
             row = np.argsort(replies.column("bucket").to_numpy())
             raw = replies.column("bits").combine_chunks()
+            told = np.concatenate([_unpack(raw[int(i)].as_py(), np.float32) for i in row])
+            del replies, raw
+            keys, _ = _part_counts(buf, off, depth)
+            order, _ = _by_bucket(keys, n_buckets)
             bits = np.empty(len(keys), np.float32)
-            bits[order] = np.concatenate([_unpack(raw[int(i)].as_py(), np.float32) for i in row])
+            bits[order] = told
+            del order, told
             for lo, hi in _chunks(off):
                 own = _keys(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], depth)
                 order = np.argsort(own)
@@ -397,7 +403,7 @@ def _add_up(depth: int, n_buckets: int):
                 total[lo:hi] = np.diff(upto)
         size = np.diff(off)
         per = np.round(total / np.maximum(size, 1), 6)
-        return pa.table({"id": docs.column("id"), "n_bytes": pa.array(size), "code_bits": pa.array(np.round(total, 3)), "bits_per_byte": pa.array(per, mask=size == 0)})
+        return pa.table({"id": ids, "n_bytes": pa.array(size), "code_bits": pa.array(np.round(total, 3)), "bits_per_byte": pa.array(per, mask=size == 0)})
 
     return run
 
