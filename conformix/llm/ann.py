@@ -260,7 +260,7 @@ def _fit(n: int, list_rows: int, sample_rows: int):
             lists = fit_lists(x, min(-(-n // list_rows), max(1, sample_rows // 32)))
             yield pa.RecordBatch.from_arrays([pa.array([lists.centroids.tobytes()], pa.binary()), pa.array([lists.sizes.astype(np.float64) / len(x)], pa.list_(pa.float64())), pa.array([lists.radius])], ["centroids", "shares", "radius"])
 
-    return run
+    return jobs.tidy(run)
 
 
 def build_lists(base: DataFrame, n: int, list_rows: int, sample_rows: int) -> Lists:
@@ -282,7 +282,7 @@ def _post(lists: Lists, blocks: np.ndarray, closure: float, replicas: int):
             at = pa.array(row)
             yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array((low[row] % blocks[own]).astype(np.int32)), batch.column(0).take(at), batch.column(1).take(at)], ["list", "block", "ids", "v"])
 
-    return run
+    return jobs.tidy(run)
 
 
 def _ask(lists: Lists, blocks: np.ndarray, probe: float):
@@ -294,7 +294,7 @@ def _ask(lists: Lists, blocks: np.ndarray, probe: float):
             at = pa.array(row[each])
             yield pa.RecordBatch.from_arrays([pa.array(own[each].astype(np.int32)), pa.array(block.astype(np.int32)), batch.column(0).take(at), batch.column(1).take(at)], ["list", "block", "key", "v"])
 
-    return run
+    return jobs.tidy(run)
 
 
 _FOUND = "key long, distance double, ids array<long>"
@@ -309,7 +309,7 @@ def _compare(take: int, list_rows: int, closure: float, replicas: int, probe: fl
         r, j, far = _search(_vectors(left.column("v")), _vectors(right.column("v")), low, take, list_rows, closure, replicas, probe)
         return pa.table({"key": left.column("key").combine_chunks().take(pa.array(r)), "distance": pa.array(far), "ids": ids.take(pa.array(j))})
 
-    return run
+    return jobs.tidy_cogroup(run)
 
 
 def _valid(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:

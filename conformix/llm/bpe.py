@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from . import texts
+from . import jobs, texts
 
 U64 = np.uint64
 _NONE = np.int32(2**31 - 1)
@@ -286,7 +286,7 @@ def _encode(raw: bytes, text_at: int):
                 lists = pa.ListArray.from_arrays(pa.array(where, pa.int32()), pa.array(ids), mask=pa.array(missing))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(np.diff(where).astype(np.int32))], [*part.schema.names, "ids", "n"])
 
-    return run
+    return jobs.tidy(run)
 
 
 def _decode(raw: bytes, ids_at: int):
@@ -301,7 +301,7 @@ def _decode(raw: bytes, ids_at: int):
                 text = decode_arrays(lists.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(size))), vocab)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.compute.if_else(missing, pa.scalar(None, pa.string()), text)], [*part.schema.names, "text"])
 
-    return run
+    return jobs.tidy(run)
 
 
 def _plain(docs: DataFrame, new: tuple[str, ...]) -> tuple[DataFrame, list[str]]:

@@ -171,7 +171,7 @@ def _count_part(depth: int, n_buckets: int):
         rows = [(key[0].as_py(), int(bucket[a]), _pack_keys(keys[a:b]), _pack(counts[a:b].astype(np.uint32))) for a, b in _edges(bucket)]
         return _table(list(zip(*rows)) or [[]] * 4, ["part", "bucket", "grams", "counts"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()])
 
-    return run
+    return jobs.tidy_group(run)
 
 
 def _combine(depth: int, n_homes: int):
@@ -192,7 +192,7 @@ def _combine(depth: int, n_homes: int):
         rows = [(int(home[a]), key[0].as_py(), _pack_keys(keys[a:b]), _pack(counts[a:b])) for a, b in _edges(home)]
         return _table(list(zip(*rows)) or [[]] * 4, ["home", "bucket", "grams", "counts"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()])
 
-    return run
+    return jobs.tidy_group(run)
 
 
 _by_bucket_of = _by_bucket
@@ -300,7 +300,7 @@ def _summary(depth: int):
         rows = [(home, -1, context.tobytes(), sums.tobytes()), *((home, int(i), None, total[i].tobytes()) for i in some)]
         return _table(list(zip(*rows)), ["home", "latest", "contexts", "sums"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()])
 
-    return run
+    return jobs.tidy_group(run)
 
 
 def _top(rows) -> np.ndarray:
@@ -361,7 +361,7 @@ def _answer(top: np.ndarray, depth: int):
         answers = [_pack(bits[np.searchsorted(keys, _unpack_keys(x.as_py()))]) for x in table.column("grams")]
         return _table([table.column("bucket").combine_chunks(), table.column("grams").combine_chunks(), answers], ["bucket", "grams", "bits"], [pa.int32(), pa.binary(), pa.binary()])
 
-    return run
+    return jobs.tidy_cogroup(run)
 
 
 def _reply(key, asked, answers):
@@ -405,7 +405,7 @@ def _add_up(depth: int, n_buckets: int):
         per = np.round(total / np.maximum(size, 1), 6)
         return pa.table({"id": ids, "n_bytes": pa.array(size), "code_bits": pa.array(np.round(total, 3)), "bits_per_byte": pa.array(per, mask=size == 0)})
 
-    return run
+    return jobs.tidy_cogroup(run)
 
 
 def score(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -436,7 +436,7 @@ def score(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col:
     top = _top(about.where("latest >= 0").select("latest", "sums").toLocalIterator())
     contexts = about.where("latest < 0").select("home", "contexts", "sums")
     answers = sums.groupBy("home").cogroup(contexts.groupBy("home")).applyInArrow(_answer(top, depth), "bucket int, grams binary, bits binary")
-    replies = asked.select("part", "bucket", "grams").groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_reply, "part int, bucket int, bits binary")
+    replies = asked.select("part", "bucket", "grams").groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(jobs.tidy_cogroup(_reply), "part int, bucket int, bits binary")
     kind = base.schema["id"].dataType.simpleString()
     out = base.groupBy("part").cogroup(replies.groupBy("part")).applyInArrow(_add_up(depth, count), f"id {kind}, n_bytes long, code_bits double, bits_per_byte double")
     return out.withColumnRenamed("id", id_col)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -104,6 +105,46 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(name, value)
 
 
+def _release() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(run):
+    """The same function of batches; afterwards the worker, which waits for other tasks, gives its free memory back."""
+
+    def tidied(batches):
+        yield from run(batches)
+        _release()
+
+    return tidied
+
+
+def tidy_group(run):
+    """As tidy, for a function of a key and a table."""
+
+    def tidied(key, table):
+        out = run(key, table)
+        _release()
+        return out
+
+    return tidied
+
+
+def tidy_cogroup(run):
+    """As tidy, for a function of a key and two tables."""
+
+    def tidied(key, left, right):
+        out = run(key, left, right)
+        _release()
+        return out
+
+    return tidied
+
+
 class NotEnoughLabels(ValueError):
     """There is nothing to learn from: fewer than two different labels."""
 

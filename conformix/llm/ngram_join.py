@@ -95,7 +95,7 @@ def _survey(n: int, bits: int):
         if counts.any():
             yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array([x.tobytes() for x in np.split(counts, _SLICES)], pa.binary()), pa.nulls(_SLICES, pa.binary()), pa.nulls(_SLICES, pa.binary())], names)
 
-    return run
+    return jobs.tidy(run)
 
 
 def _class_of(keys: np.ndarray, goff: np.ndarray) -> np.ndarray:
@@ -209,7 +209,7 @@ def _heads(n: int, t: float, levels: np.ndarray, n_buckets: int):
         if packer.size:
             yield packer.batch()
 
-    return run
+    return jobs.tidy(run)
 
 
 def _shared(table, t: float):
@@ -257,7 +257,7 @@ def _tally(n_parts: int, t: float):
         cols = list(zip(*rows)) or [[]] * 5
         return pa.table([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["part", "classes", "owners", "counts", "sizes"])
 
-    return run
+    return jobs.tidy_group(run)
 
 
 def _choose(t: float):
@@ -287,7 +287,7 @@ def _choose(t: float):
         keep = (total >= need) & (before < total - (need - 1) // 2)
         return pa.table({"number": classes[keep], "owner": owners[keep]})
 
-    return run
+    return jobs.tidy_group(run)
 
 
 def _sets(n: int, levels: np.ndarray):
@@ -300,7 +300,7 @@ def _sets(n: int, levels: np.ndarray):
                 grams = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(goff) - 1, [None, pa.py_buffer(goff * 8), pa.py_buffer(np.ascontiguousarray(keys))]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_class_of(keys, goff)), grams], ["id", "class", "grams"])
 
-    return run
+    return jobs.tidy(run)
 
 
 def _overlaps(row: np.ndarray, col: np.ndarray, n: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -513,7 +513,7 @@ def _products(t: float, star: bool):
             if got is not None:
                 yield got
 
-    return run
+    return jobs.tidy(run)
 
 
 def _blocked(docs: DataFrame, threshold: float, n: int, block_rows: int, id_col: str, text_col: str, star: bool) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:

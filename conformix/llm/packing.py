@@ -132,7 +132,7 @@ def _pack(window: int, pad_cost: float, trunc_cost: float, cut_cost: float):
         types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])), pa.string()]
         return pa.table([pa.array(c, t) for c, t in zip(cols, types)], names=["shard", "window_no", "n_tokens", "n_padding", "n_truncated", "pieces", "text"])
 
-    return run
+    return jobs.tidy_group(run)
 
 
 #: What a document counts towards its shard besides its bytes.

@@ -141,7 +141,7 @@ def fit(docs: DataFrame, ratings: DataFrame, max_rows: int = 6000, id_col: str =
     texts_ = jobs.picked(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("text is not null")
     rows = texts_.join(F.broadcast(sample), "id").select("grade", "text", F.xxhash64("id", "text").alias("h"))
     rows = rows.orderBy("h", "grade").limit(max_rows)  # where ids repeat, these are more than the sample
-    model = rows.select("grade", "text").mapInArrow(_fit_rows, "weights binary, bounds binary").collect()
+    model = rows.select("grade", "text").mapInArrow(jobs.tidy(_fit_rows), "weights binary, bounds binary").collect()
     if not model:
         raise jobs.NotEnoughLabels("fewer than two different ratings")
     return Model(np.frombuffer(model[0]["weights"], np.float32), np.frombuffer(model[0]["bounds"]))
@@ -155,7 +155,7 @@ def _score(model: Model, text_at: int, at_least: int):
                 tails = model.tails(s)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.round(tails.sum(1), 6)), pa.array(np.round(tails[:, at_least - 1], 6))], [*part.schema.names, "e", "t"])
 
-    return run
+    return jobs.tidy(run)
 
 
 def score(docs: DataFrame, model: Model, at_least: int = 1, text_col: str = "text") -> DataFrame:

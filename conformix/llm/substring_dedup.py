@@ -170,7 +170,7 @@ def _emit(least: int, n_buckets: int):
         if pend:
             yield flush()
 
-    return run
+    return jobs.tidy(run)
 
 
 _OWNED = "id long, hash long, bucket int, keys binary, owners array<long>"
@@ -250,7 +250,7 @@ def _regions(least: int, n_buckets: int):
                 ids, hashes = (part.column(c).to_numpy(zero_copy_only=False)[row] for c in (0, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(ids), pa.array(hashes), pa.array((lo - words.first[row]).astype(np.int32)), raw], ["owner", "id", "hash", "start", "words"])
 
-    return run
+    return jobs.tidy(run)
 
 
 def _stream_shard(ids: np.ndarray, hashes: np.ndarray, starts: np.ndarray, regions: list[bytes], least: int) -> list[tuple[int, int, int, int]]:
@@ -329,7 +329,7 @@ def _stream(least: int):
             if got is not None:
                 yield got
 
-    return run
+    return jobs.tidy(run)
 
 
 def _windows(least: int):
@@ -349,7 +349,7 @@ def _windows(least: int):
                 first = start + texts.ranges(np.zeros(len(size), np.int64), count)
                 yield pa.RecordBatch.from_arrays([pa.array(texts.range_hash(words, at, at + least).view(np.int64)), pa.array(ids), pa.array(hashes), pa.array(first.astype(np.int32))], ["window", "id", "hash", "first"])
 
-    return run
+    return jobs.tidy(run)
 
 
 def _spans(base: DataFrame, least: int, shard_rows: int) -> DataFrame:
@@ -357,7 +357,7 @@ def _spans(base: DataFrame, least: int, shard_rows: int) -> DataFrame:
     spark = base.sparkSession
     count = jobs.buckets(spark)
     keyed = base.select("id", "hash", "text")
-    owned = keyed.mapInArrow(_emit(least, count), "bucket int, keys binary, ids binary, hashes binary, counts binary").groupBy("bucket").applyInArrow(_owned, _OWNED)
+    owned = keyed.mapInArrow(_emit(least, count), "bucket int, keys binary, ids binary, hashes binary, counts binary").groupBy("bucket").applyInArrow(jobs.tidy_group(_owned), _OWNED)
     owned = jobs.saved(owned, "owned")
     shared = owned.groupBy("id", "hash").agg(F.collect_list(F.struct("bucket", "keys", "owners")).alias("shared"))
     wide = owned.select("id", F.explode(F.array_distinct("owners")).alias("owner")).distinct().groupBy("owner").count()
@@ -411,7 +411,7 @@ def _remove(text_at: int, length_at: int, n_cols: int):
                     arrays[text_at] = pa.compute.if_else(touched, text, arrays[text_at].cast(pa.string()))
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(removed)], [f"c{i}" for i in range(n_cols + 1)])
 
-    return run
+    return jobs.tidy(run)
 
 
 def substring_dedup(docs: DataFrame, min_words: int = 50, shard_rows: int = 4096, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", removed_col: str = "removed_words") -> DataFrame:

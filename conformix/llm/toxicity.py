@@ -291,7 +291,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, id_col: str =
     own = jobs.picked(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("text is not null")
     rows = own.join(F.broadcast(sample), "id").select("toxic", "text", F.xxhash64("id", "text").alias("h"))
     rows = rows.orderBy("h", "toxic").limit(max_rows)  # where ids repeat, these are more than the sample
-    got = rows.select("toxic", "text").mapInArrow(_fit_rows, "weights binary, rest binary").collect()
+    got = rows.select("toxic", "text").mapInArrow(jobs.tidy(_fit_rows), "weights binary, rest binary").collect()
     if not got:
         raise jobs.NotEnoughLabels("toxic and other documents are needed")
     rest = np.frombuffer(got[0]["rest"])
@@ -318,7 +318,7 @@ def _tag(model: Model, text_at: int):
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(part) + 1)), pa.int32()), span)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s), pa.array(s >= model.cut), lists], [*part.schema.names, "s", "t", "l"])
 
-    return run
+    return jobs.tidy(run)
 
 
 def tag(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
