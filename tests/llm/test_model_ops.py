@@ -27,6 +27,19 @@ def split(spark):
     return docs, labels.where(~held), labels.where(held)
 
 
+@pytest.mark.parametrize("fit", [lambda d, r, n: quality.fit(d, quality.grades(r), n).weights, lambda d, r, n: toxicity.fit(d, r, n).weights], ids=["quality", "toxicity"])
+def test_fits_take_bounded_rows(spark, split, fit):
+    """A label whose id most rows have adds no more rows than max_rows says, and repeats give the same model."""
+    docs, train, _ = split
+    own = docs.join(train.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text")
+    assert np.array_equal(fit(own, train, 1000), fit(own.union(docs.select(F.lit(-1).cast("long"), "text")), train, 1000))
+    sample = train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(400).select("doc_id")
+    hot = own.join(sample, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id")).limit(1).crossJoin(spark.range(3000)).selectExpr("doc_id", "concat(text, ' ', id) as text")
+    many = own.union(hot)
+    first = many.join(sample, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id", "text")).limit(400)
+    assert np.array_equal(fit(many, train, 400), fit(first, train, 400))
+
+
 EDGE = [(1, None), (2, ""), (3, " \n"), (4, "one"), (None, "no id"), (5, "word " * 30_000), (5, "again"), (6, "ÄÖ ñ 日本")]
 
 

@@ -151,6 +151,46 @@ def test_rows_of_some_ids(spark, monkeypatch, bits):
     assert set(range(0, 1000, 50)) <= got and len(got) < 60
 
 
+@pytest.mark.parametrize("heavy, products", [(0, 4_000_000), (10, 50), (10**9, 1)])
+def test_product_is_that_of_the_matrix(monkeypatch, heavy, products):
+    """Sparse columns, dense panels and both, in pieces: overlaps are those of the whole matrix."""
+    monkeypatch.setattr(ngram_join, "_HEAVY", heavy)
+    monkeypatch.setattr(ngram_join, "_PRODUCTS", products)
+    rng = np.random.RandomState(3)
+    for m, t in itertools.product((1, 2, 17, 40, 700), (0.3, 0.7, 1.0)):
+        a = rng.rand(m, 30) < rng.rand(30) * rng.rand(m)[:, None] * 1.5
+        n = a.sum(1) + rng.randint(0, 3, m)
+        order = np.argsort(n, kind="stable")
+        a, n = a[order].astype(int), n[order]
+        row, col = np.nonzero(a)
+        mixed = rng.permutation(len(row))
+        i, j, o = ngram_join._overlaps(row[mixed], ngram_join._compact(col[mixed]), n, t)
+        both = a @ a.T
+        want = np.triu((both > 0) & (both >= t * (n[:, None] + n - both) - 1e-6), 1)
+        assert sorted(zip(i, j, o)) == sorted((x, y, both[x, y]) for x, y in np.argwhere(want))
+
+
+def test_packed_keys_come_back():
+    """Keys of several sets by bucket; of equal sets one is sent."""
+    rng = np.random.RandomState(5)
+    packer = ngram_join._Packer(7)
+    classes = rng.randint(-(1 << 62), 1 << 62, 40)
+    classes[20:25] = classes[:5]
+    counts = rng.randint(0, 30, 40)
+    counts[20:25] = counts[:5]
+    sets = {int(c): rng.randint(0, 1 << 62, n).astype(np.uint64) for c, n in zip(classes[:20].tolist() + classes[25:].tolist(), np.delete(counts, range(20, 25)))}
+    packer.put(np.concatenate([sets[int(c)] for c in classes]), counts, classes, counts + 1)
+    batch, want = packer.batch(), defaultdict(list)
+    for c, keys in sets.items():
+        for h in texts.mix(keys).tolist():
+            want[h % 7].append((h >> 32, c & ngram_join._NUMBERS, len(keys) + 1))
+    for r in batch.to_pylist():
+        times = ngram_join._from_planes(r["counts"], 4)
+        numbers, sizes = (np.repeat(x, times).tolist() for x in (ngram_join._from_ascending(r["classes"]), ngram_join._from_planes(r["sizes"], 4)))
+        assert sorted(zip(np.frombuffer(r["keys"], "<u4").tolist(), numbers, sizes)) == sorted(want.pop(r["bucket"]))
+    assert not want
+
+
 def brute_removal(rows, least):
     owner = {}
     for i, x in rows:
