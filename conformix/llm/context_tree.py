@@ -48,6 +48,8 @@ _PART_BYTES = 24 << 20
 _CHUNK_BYTES = 1 << 19
 _SLICE = 200_000
 _TABLE = 1 << 14
+#: Text for each of the homes that one context of two bytes is spread over.
+_SPLIT_BYTES = 64 << 30
 
 
 def _lgamma_tables() -> tuple[np.ndarray, np.ndarray]:
@@ -174,8 +176,8 @@ def _count_part(depth: int, n_buckets: int):
     return jobs.tidy_group(run)
 
 
-def _combine(depth: int, n_homes: int):
-    """Sums of a bucket over all parts, by home: that of the two latest bytes of the context."""
+def _combine(depth: int, n_homes: int, split: int):
+    """Sums of a bucket over all parts, by home: that of the two latest bytes of the context, and of the third modulo split."""
 
     def run(key, table):
         keys, counts = np.zeros(0, U64), np.zeros(0, np.int64)
@@ -187,7 +189,8 @@ def _combine(depth: int, n_homes: int):
             if size > max(1_000_000, len(keys)) or i == len(rows) - 1:
                 keys, counts = _grouped(np.concatenate([keys, *(x[0] for x in found)]), np.concatenate([counts, *(x[1] for x in found)]))
                 found, size = [], 0
-        order, home = _by_bucket_of(keys >> U64(8 * (depth - 1)), n_homes)
+        third = ((keys >> U64(8 * (depth - 2))) & U64(255)) % U64(split)
+        order, home = _by_bucket(keys >> U64(8 * (depth - 1)) | third << U64(16), n_homes)
         keys, counts = keys[order], counts[order]
         rows = [(int(home[a]), key[0].as_py(), _pack_keys(keys[a:b]), _pack(counts[a:b])) for a, b in _edges(home)]
         return _table(list(zip(*rows)) or [[]] * 4, ["home", "bucket", "grams", "counts"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()])
@@ -195,9 +198,6 @@ def _combine(depth: int, n_homes: int):
     return jobs.tidy_group(run)
 
 
-_by_bucket_of = _by_bucket
-
-
 class _Level:
     """The nodes of one depth: for each number of known bits their keys, counts and estimates."""
 
@@ -285,24 +285,41 @@ def _merged(table) -> tuple[np.ndarray, np.ndarray]:
     return _grouped(np.concatenate([_unpack_keys(x.as_py()) for x in table.column("grams")]), np.concatenate([_unpack(x.as_py(), np.int64) for x in table.column("counts")]))
 
 
-def _summary(depth: int):
-    """Of a home: its contexts of two bytes with their sums, and by latest byte the sums over those of log P_w and the counts."""
+def _summary(depth: int, n_buckets: int):
+    """What a home has of its contexts of two bytes, by bucket of the context."""
 
     def run(key, table):
         context, sums = _second(*_merged(table), depth)
-        _, log_pw = _mixed(*(sums[:, k] for k in range(3)))
-        latest = (context >> U64(8)).astype(np.int64)
-        total = np.zeros((256, 3, 256))
-        for k, x in enumerate((log_pw, sums[:, 1], sums[:, 2])):
-            np.add.at(total[:, k], latest, x)
-        some = np.unique(latest)
-        home = key[0].as_py()
-        rows = [(home, -1, context.tobytes(), sums.tobytes()), *((home, int(i), None, total[i].tobytes()) for i in some)]
-        return _table(list(zip(*rows)), ["home", "latest", "contexts", "sums"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()])
+        order, bucket = _by_bucket(context, n_buckets)
+        context, sums = context[order], sums[order]
+        rows = [(int(bucket[a]), key[0].as_py(), context[a:b].tobytes(), sums[a:b].tobytes()) for a, b in _edges(bucket)]
+        return _table(list(zip(*rows)), ["bucket", "home", "contexts", "sums"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()])
 
     return jobs.tidy_group(run)
 
 
+def _whole(key, table):
+    """Of a bucket of contexts of two bytes: to each home the sums over all homes, and by latest byte the sums over those of log P_w and the counts."""
+    raw = [np.frombuffer(x.as_py(), U64) for x in table.column("contexts")]
+    context, place = np.unique(np.concatenate(raw), return_inverse=True)
+    sums = np.zeros((len(context), 3, 256))
+    ends = np.cumsum([0, *map(len, raw)])
+    for a, b, x in zip(ends[:-1], ends[1:], table.column("sums")):
+        sums[place[a:b]] += np.frombuffer(x.as_py()).reshape(-1, 3, 256)
+    _, log_pw = _mixed(*(sums[:, k] for k in range(3)))
+    latest = (context >> U64(8)).astype(np.int64)
+    total = np.zeros((256, 3, 256))
+    for k, x in enumerate((log_pw, sums[:, 1], sums[:, 2])):
+        np.add.at(total[:, k], latest, x)
+    rows = [(home.as_py(), -1, x.tobytes(), sums[place[a:b]].tobytes()) for a, b, x, home in zip(ends[:-1], ends[1:], raw, table.column("home"))]
+    rows += [(-1, int(i), None, total[i].tobytes()) for i in np.unique(latest)]
+    return _table(list(zip(*rows)), ["home", "latest", "contexts", "sums"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()])
+
+
+def _add_doubles(parts: list[bytes]) -> bytes:
+    return np.sum([np.frombuffer(x) for x in parts], 0).tobytes()
+
+
 def _top(rows) -> np.ndarray:
     """What depths 0 and 1 make of 1 / q of depth 2: [256, 256, 3] by latest byte and heap order.
 
@@ -355,8 +372,10 @@ def _answer(top: np.ndarray, depth: int):
 
     def run(key, table, about):
         keys, counts = _merged(table)
-        context = np.frombuffer(about.column("contexts")[0].as_py(), U64)
-        sums = np.frombuffer(about.column("sums")[0].as_py()).reshape(-1, 3, 256)
+        context = np.concatenate([np.frombuffer(x.as_py(), U64) for x in about.column("contexts")])
+        sums = np.concatenate([np.frombuffer(x.as_py()).reshape(-1, 3, 256) for x in about.column("sums")])
+        order = np.argsort(context)
+        context, sums = context[order], sums[order]
         bits = code_lengths(keys, counts, context, sums, top, depth).astype(np.float32)
         answers = [_pack(bits[np.searchsorted(keys, _unpack_keys(x.as_py()))]) for x in table.column("grams")]
         return _table([table.column("bucket").combine_chunks(), table.column("grams").combine_chunks(), answers], ["bucket", "grams", "bits"], [pa.int32(), pa.binary(), pa.binary()])
@@ -426,14 +445,16 @@ def score(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col:
     base = jobs.picked(docs, id=id_col, text=text_col).select("id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts, count = max(1, -(-size // _PART_BYTES)), jobs.buckets(spark)
+    split = min(256, max(1, -(-size // _SPLIT_BYTES)))
     base = base.withColumn("part", F.pmod(F.xxhash64("id", "text"), F.lit(parts)).cast("int"))
     asked = base.select("part", "text").groupBy("part").applyInArrow(_count_part(depth, count), "part int, bucket int, grams binary, counts binary")
     asked = jobs.saved(asked, "grams")
-    sums = asked.select("bucket", "grams", "counts").groupBy("bucket").applyInArrow(_combine(depth, count), "home int, bucket int, grams binary, counts binary")
+    sums = asked.select("bucket", "grams", "counts").groupBy("bucket").applyInArrow(_combine(depth, count, split), "home int, bucket int, grams binary, counts binary")
     sums = jobs.saved(sums, "gram-sums")
-    about = jobs.saved(sums.select("home", "grams", "counts").groupBy("home").applyInArrow(_summary(depth), "home int, latest int, contexts binary, sums binary"), "gram-contexts")
-    # of each latest byte one row for each home
-    top = _top(about.where("latest >= 0").select("latest", "sums").toLocalIterator())
+    about = sums.select("home", "grams", "counts").groupBy("home").applyInArrow(_summary(depth, count), "bucket int, home int, contexts binary, sums binary")
+    about = jobs.saved(about.groupBy("bucket").applyInArrow(jobs.tidy_group(_whole), "home int, latest int, contexts binary, sums binary"), "gram-contexts")
+    top = jobs.folded(about.where("latest >= 0").select(F.col("latest").alias("slice"), F.col("sums").alias("data")), _add_doubles)
+    top = _top(top.select(F.col("slice").alias("latest"), F.col("data").alias("sums")).collect())  # of each latest byte 6 KB
     contexts = about.where("latest < 0").select("home", "contexts", "sums")
     answers = sums.groupBy("home").cogroup(contexts.groupBy("home")).applyInArrow(_answer(top, depth), "bucket int, grams binary, bits binary")
     replies = asked.select("part", "bucket", "grams").groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(jobs.tidy_cogroup(_reply), "part int, bucket int, bits binary")

@@ -286,10 +286,11 @@ def brute_code_lengths(docs, depth):
     return [sum((weighted((b"", node), {(c, node) for c in path(t, i)}, bit) - weighted((b"", node))) / math.log(2) for i, x in enumerate(t) for node, bit in decisions(x)) for t in docs]
 
 
-@pytest.mark.parametrize("depth", [3, 6, 7])
-def test_context_tree(spark, monkeypatch, depth):
-    """With parts of a few n-grams."""
+@pytest.mark.parametrize("depth, split", [(3, 1), (3, 64 << 30), (6, 50), (7, 64 << 30)])
+def test_context_tree(spark, monkeypatch, depth, split):
+    """With parts of a few n-grams, and contexts of two bytes in one home or several."""
     monkeypatch.setattr(context_tree, "_PART_BYTES", 40)
+    monkeypatch.setattr(context_tree, "_SPLIT_BYTES", split)
     rows = [(i, t) for i, t in enumerate(["the cat sat on the mat", "the cat sat on the hat", "äöü ñandú", "", "zzzzzzzzzzzz", "a", "the cat sat on the mat"])] + [(None, "no id"), (99, None)]
     got = sorted(context_tree.score(clash(frame(spark, rows)), depth).collect(), key=repr)
     want = brute_code_lengths([(t or "").encode() for _, t in rows], depth)
