@@ -153,6 +153,27 @@ def _part_counts(buf: np.ndarray, off: np.ndarray, depth: int) -> tuple[np.ndarr
     return keys, counts
 
 
+def _sorted_distinct(keys: np.ndarray) -> np.ndarray:
+    """Sorts the array in place."""
+    keys.sort()
+    return keys[np.concatenate(([True], keys[1:] != keys[:-1]))[: len(keys)]]
+
+
+def _part_keys(buf: np.ndarray, off: np.ndarray, depth: int) -> np.ndarray:
+    """The keys of _part_counts alone, in less memory."""
+    keys, found, size = np.zeros(0, U64), [], 0
+    for lo, hi in [*_chunks(off), (0, 0)]:
+        if hi:
+            found.append(_sorted_distinct(_keys(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], depth)))
+            size += len(found[-1])
+        if size > max(500_000, len(keys) // 2) or not hi:
+            found.append(keys)
+            keys = np.concatenate(found)
+            found, size = [], 0
+            keys = _sorted_distinct(keys)
+    return keys
+
+
 def _edges(x: np.ndarray) -> list[tuple[int, int]]:
     """Ranges of equal neighbours."""
     if not len(x):
@@ -406,7 +427,7 @@ def _add_up(depth: int, n_buckets: int):
             raw = replies.column("bits").combine_chunks()
             told = np.concatenate([_unpack(raw[int(i)].as_py(), np.float32) for i in row])
             del replies, raw
-            keys, _ = _part_counts(buf, off, depth)
+            keys = _part_keys(buf, off, depth)
             order, _ = _by_bucket(keys, n_buckets)
             bits = np.empty(len(keys), np.float32)
             bits[order] = told

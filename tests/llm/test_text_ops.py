@@ -416,6 +416,7 @@ def test_context_tree_by_slices(monkeypatch):
     text = [bytes(rng.choice(list(b"abc "), rng.randint(0, 60)).tolist()) for _ in range(60)]
     buf, off = np.frombuffer(b"".join(text), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in text])))
     keys, counts = context_tree._part_counts(buf, off, 5)
+    assert np.array_equal(context_tree._part_keys(buf, off, 5), keys)
     assert context_tree._unpack_keys(context_tree._pack_keys(keys)).tolist() == keys.tolist()
     found = []
     for size in (10**6, 7):
