@@ -28,6 +28,8 @@ from .ordering import boundaries, ordered
 _PARSERS = {"python": python.parse, "java": java.parse, "go": go.parse}
 
 
+#: Raw rows of a batch.
+_BATCH_ROWS = 1000
 _PROPS = "array<struct<prop:string,type:string,optional:boolean>>"
 
 
@@ -72,17 +74,20 @@ def parse(sources: DataFrame, language: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        schema = to_arrow_schema(RAW)
+        schema, rows = to_arrow_schema(RAW), []
         for batch in batches:
             lists = batch.column(2).to_pylist() if has_types else [None] * batch.num_rows
             for path, content, types in zip(batch.column(0).to_pylist(), batch.column(1), lists):
                 text = content.as_py().decode("utf-8", "replace")
                 if language == "typescript":
-                    rows = typescript.parse(path, text, {t["name"]: {p["prop"]: (p["type"], p["optional"]) for p in t["props"]} for t in types or []})
+                    rows += typescript.parse(path, text, {t["name"]: {p["prop"]: (p["type"], p["optional"]) for p in t["props"]} for t in types or []})
                 else:
-                    rows = _PARSERS[language](path, text)
-                if rows:
+                    rows += _PARSERS[language](path, text)
+                if len(rows) >= _BATCH_ROWS:
                     yield pa.RecordBatch.from_pylist(rows, schema)
+                    rows = []
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema)
 
     return sources.select("path", "content", *(["types"] if has_types else [])).mapInArrow(run, RAW)
 
