@@ -646,7 +646,8 @@ def _filled(template: str) -> Column:
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     word = lambda i: F.split_part("p_name", F.lit(" "), F.lit(i))
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("k"), (F.col("p_partkey") - F.col("p_partkey") % 2).cast("string").alias("even"), F.col("p_size").alias("s"), F.lower("p_type").alias("t"), word(1).alias("w1"), word(2).alias("w2"))
+    # a part becomes a file of a hundred times its size, and the table may be a single row group: rows are spread before
+    p = table(spark, sf_dir, "part").repartition(4 * spark.sparkContext.defaultParallelism, "p_partkey").select(F.col("p_partkey").cast("string").alias("k"), (F.col("p_partkey") - F.col("p_partkey") % 2).cast("string").alias("even"), F.col("p_size").alias("s"), F.lower("p_type").alias("t"), word(1).alias("w1"), word(2).alias("w2"))
     return p.select("*", F.initcap("w1").alias("W1x"), F.initcap("w2").alias("W2x"), F.when(F.col("s") % 2 == 0, "int").otherwise("Thing").alias("kind"))
 
 

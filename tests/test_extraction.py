@@ -4,6 +4,7 @@ from conformix.cli import parser, report_name
 from conformix.operators.extraction import docstring_params, extract
 from conformix.sources import scan
 from conformix.sources.parsers import go, java, python, typescript
+from conformix.sources.parsers.text import Source
 from conformix.sources.scan import Project
 
 PY = '''
@@ -228,3 +229,18 @@ def test_stream(spark, trees, tmp_path):
     q = arriving_features(spark, str(trees / "go"), "go").writeStream.format("memory").queryName("arrived").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {r["name"] for r in spark.table("arrived").collect()} == {"Validate", "NewConfig"}
+
+
+def test_files_of_one_row_group_are_spread(spark):
+    """A table that is one row group would otherwise be parsed by one task."""
+    from conformix.plans.queries import _files, table
+
+    sf = "/root/testdata/sf0.001"
+    assert table(spark, sf, "part").rdd.getNumPartitions() == 1
+    sizes = _files(spark, sf).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert max(sizes) * 4 < sum(sizes) == table(spark, sf, "part").count()
+
+
+def test_masks_keep_places():
+    src = Source('a("x//y", 1) // "c\n/* d\n" */ b', '"')
+    assert src.mask == 'a("    ", 1)      \n    \n     b' and src.comments == [(19, 28)]
