@@ -261,37 +261,68 @@ _PRE = f"""{_R}, q AS (SELECT x.ns, x.cls, x.ord AS base_ord, y.ord AS target_or
  FROM r x JOIN r y ON x.ns = y.ns AND x.cls = y.cls AND x.is_base AND NOT y.is_base), pre AS (SELECT *, round(n + m + s, 9) AS pre FROM q)"""
 
 
-def _by_module(spark: SparkSession, sf_dir: str, schema: str, compare) -> DataFrame:
-    """compare(base sides, target sides, class) by module and class of kinds, where both sides have features."""
+#: Pairs of distinct features that are scored at once.
+_PAIRS_AT_ONCE = 1_000_000
+
+
+def _by_module(spark: SparkSession, sf_dir: str, schema: str, score, result) -> DataFrame:
+    """Sums over all pairs by module and class of kinds, where both sides have features.
+
+    Equal features are counted by Spark and scored once. score(base sides, target sides,
+    class) gives a matrix; result(parts) makes a row of (matrix, how often each base row
+    and target column occurs), which come in blocks.
+    """
 
     def run(key, left, right):
         ns, cls = (x.as_py() for x in key)
-        rows = [compare([Side.of(r) for r in left.to_pylist()], [Side.of(r) for r in right.to_pylist()], cls)] if len(left) and len(right) else []
+        rows = []
+        if len(left) and len(right):
+            (base, n), (target, m) = (([Side.of(r) for r in t.drop_columns("n").to_pylist()], t.column("n").to_numpy()) for t in (left, right))
+            step = max(1, _PAIRS_AT_ONCE // len(target))
+            rows = [result((score(base[i : i + step], target, cls), n[i : i + step], m) for i in range(0, len(base), step))]
         return pa.table({"ns": pa.array([ns] * len(rows), pa.string()), "cls": pa.array([cls] * len(rows), pa.string()), **{k: [r[k] for r in rows] for k in (rows[0] if rows else {})}}) if rows else pa.Table.from_batches([], empty)
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     empty = to_arrow_schema(_parse_datatype_string(f"ns string, cls string, {schema}"))
-    left, right = (d.select("*", F.col("normalized_namespace").alias("ns"), names.kind_class(F.col("type")).alias("cls")).select(*[F.col(c).alias(c) for c in ("ns", "cls", *matching._NEEDED)]) for d in sides(spark, sf_dir))
+    cols = ["ns", "cls", *(c for c in matching._NEEDED if c != "ord")]
+    left, right = (d.select("*", F.col("normalized_namespace").alias("ns"), names.kind_class(F.col("type")).alias("cls")).groupBy(*[F.col(c).alias(c) for c in cols]).agg(F.count("*").alias("n")) for d in sides(spark, sf_dir))
     return left.groupBy("ns", "cls").cogroup(right.groupBy("ns", "cls")).applyInArrow(run, f"ns string, cls string, {schema}")
 
 
 @query(f"""WITH {_PRE} SELECT ns, cls, count(*) AS pairs, sum(CASE WHEN pre < 0.6 THEN 1 ELSE 0 END)::BIGINT AS early, round(avg(pre), 6) AS mean, round(max(pre), 6) AS best FROM pre GROUP BY ns, cls""")
 def pair_score_prelim(spark, sf_dir):
-    def compare(base, target, cls):
+    limits = {cls: round(EARLY_EXIT * sum(Weights().for_class(cls)), 9) for cls in ("C", "F", "M")}
+
+    def score(base, target, cls):
         s = np.round(name_scores(base, target, cls), 9)
-        early = int((s < round(EARLY_EXIT * sum(Weights().for_class(cls)), 9)).sum())
-        return {"pairs": s.size, "early": early, "mean": round(float(s.mean()), 6), "best": round(float(s.max()), 6)}
+        return s, s < limits[cls]
+
+    def result(parts):
+        pairs, early, total, best = 0, 0, 0.0, 0.0
+        for (s, low), n, m in parts:
+            pairs += int(n.sum()) * int(m.sum())
+            early += int(n @ (low @ m))
+            total += float(n @ (s @ m))
+            best = max(best, float(s.max()))
+        return {"pairs": pairs, "early": early, "mean": round(total / pairs, 6), "best": round(best, 6)}
 
-    return _by_module(spark, sf_dir, "pairs long, early long, mean double, best double", compare)
+    return _by_module(spark, sf_dir, "pairs long, early long, mean double, best double", score, result)
 
 
 @query(f"""WITH {_PRE}, z AS (SELECT *, {_RET.replace('x.rets', 'xr').replace('y.rets', 'yr')} * 0.7 + CASE WHEN xi = yi THEN 1.0 ELSE 0.0 END * 0.3 AS ret,
  0.5 * {_JW.format('xp1', 'yp1')} + CASE WHEN xt = yt THEN 0.4 ELSE 0.0 END + 0.1 AS p11, 0.5 * {_JW.format('xp1', 'yp2')} + 0.1 AS p12, 0.5 * {_JW.format('xp2', 'yp1')} + 0.1 AS p21, 0.5 * {_JW.format('xp2', 'yp2')} + 0.4 + 0.1 AS p22 FROM pre)
 SELECT ns, cls, round(avg(CASE WHEN pre <= 0.6 THEN pre ELSE pre + 0.15 * greatest(p11 + p22, p12 + p21) * 2.0 / 4.0 + 0.1 * ret END), 6)::DOUBLE AS mean FROM z GROUP BY ns, cls""")
 def pair_score_full(spark, sf_dir):
-    return _by_module(spark, sf_dir, "mean double", lambda base, target, cls: {"mean": round(float(class_scores(base, target, cls).mean()), 6)})
+    def result(parts):
+        pairs, total = 0, 0.0
+        for s, n, m in parts:
+            pairs += int(n.sum()) * int(m.sum())
+            total += float(n @ (s @ m))
+        return {"mean": round(total / pairs, 6)}
+
+    return _by_module(spark, sf_dir, "mean double", class_scores, result)
 
 
 @query("""WITH p AS (SELECT a.n_regionkey AS r, a.n_nationkey AS i, b.n_nationkey AS j, jaro_winkler_similarity(a.n_name, b.n_name) AS s FROM nation a JOIN nation b ON (b.n_regionkey = a.n_regionkey + 1 OR (a.n_regionkey = 4 AND b.n_regionkey = 0))),

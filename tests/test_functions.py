@@ -112,3 +112,27 @@ def test_weights_must_be_complete():
 def test_csv_cells(spark):
     df = spark.createDataFrame([("a",), ("a,b",), ('q"q',), ("x\ny",), (None,)], "s string").select(names.csv_cell(F.col("s")).alias("c"))
     assert [r["c"] for r in df.collect()] == ["a", '"a,b"', '"q""q"', '"x\ny"', ""]
+
+
+def test_equal_features_are_scored_once(spark, monkeypatch):
+    """Pairs are sums over distinct features; the matrices that are held don't grow with the rows."""
+    from conformix.plans import queries
+
+    sf = "/root/testdata/sf0.001"
+    part = queries.table(spark, sf, "part")
+    many = part.crossJoin(spark.range(5).select((1000 * F.col("id")).alias("more"))).withColumn("p_partkey", F.col("p_partkey") + F.col("more")).drop("more")
+    once = {n: queries.QUERIES[n](spark, sf).collect() for n in ("pair_score_prelim", "pair_score_full")}
+    seen, real = spark.sparkContext.accumulator(0), queries.name_scores
+
+    def watched(base, target, *rest):
+        seen.add(len(base) * len(target))
+        return real(base, target, *rest)
+
+    monkeypatch.setattr(queries, "table", lambda *_: many)
+    monkeypatch.setattr(queries, "name_scores", watched)
+    key = lambda r: (r["ns"], r["cls"])
+    got = sorted(queries.pair_score_prelim(spark, sf).collect(), key=key)
+    want = sorted(once["pair_score_prelim"], key=key)
+    assert [(r["pairs"], r["early"], r["mean"], r["best"]) for r in got] == [(25 * r["pairs"], 25 * r["early"], r["mean"], r["best"]) for r in want]
+    assert sorted(queries.pair_score_full(spark, sf).collect()) == sorted(once["pair_score_full"])
+    assert seen.value <= sum(r["pairs"] for r in want)
