@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..functions.similarity import Side, Weights, class_scores, jaro_winkler
+from ..functions.similarity import Names, Side, Weights, class_scores, jaro_winkler
 from .assignment import best_assignment
 
 NEAR_MISS = 0.15
@@ -24,44 +26,25 @@ def with_module(features: DataFrame) -> DataFrame:
     return features.withColumn("module", names.module_key(F.col("namespace"), F.col("normalized_namespace")))
 
 
-def _letters(names: list[str], alphabet: dict[str, int]) -> np.ndarray:
-    """How often each name has each character, rarer ones together as one."""
-    out = np.zeros((len(names), len(alphabet) + 1), np.int16)
-    for i, name in enumerate(names):
-        for c in name:
-            out[i, alphabet.get(c, len(alphabet))] += 1
-    return out
-
-
 def most_similar(names: list[str], others: list[str], above: float) -> list[tuple[str, str, float]]:
-    """(name, other, score) for each name that has a similarity over `above` with some other: the best, the first by name among equals.
-
-    Common characters bound the similarity from above, so only pairs whose bound
-    exceeds the best score so far are compared.
-    """
+    """(name, other, score) for each name that has a similarity over `above` with some other: the best, the first by name among equals."""
     others = sorted(others)
-    alphabet = {c: i for i, c in enumerate(sorted({c for x in others for c in x})[:63])}
-    b, m = _letters(others, alphabet), np.array([len(x) for x in others])
-    heads = [np.array([x[p : p + 1] for x in others]) for p in range(4)]
+    short = [i for i, x in enumerate(others) if len(x) <= Names.MAX]
+    long = [i for i, x in enumerate(others) if len(x) > Names.MAX]
+    table, places = Names([others[i] for i in short]), np.array(short, np.int64)
     found = []
-    for name, own in zip(names, _letters(names, alphabet)):
-        n = len(name)
-        common = np.minimum(b, own).sum(1)
-        bound = np.where(common > 0, (common / max(n, 1) + common / np.maximum(m, 1) + 1) / 3, 0.0)
-        same, prefix = np.ones(len(others), bool), np.zeros(len(others))
-        for p in range(min(4, n)):
-            same &= heads[p] == name[p]
-            prefix += same
-        bound = bound + np.where(bound > 0.7, 0.1 * prefix * (1 - bound), 0.0) + 1e-9
-        best, at = above, -1
-        for j in np.argsort(-bound, kind="stable"):
-            if bound[j] < best:
-                break
-            score = jaro_winkler(name, others[j])
-            if score > best or (score == best and 0 <= at and j < at):
-                best, at = score, int(j)
-        if at >= 0:
-            found.append((name, others[at], best))
+    for name in names:
+        scores = np.zeros(len(others))
+        if 0 < len(name) <= Names.MAX:
+            scores[places] = table.scores(name, max(above, 0.0))
+            rest = long
+        else:
+            rest = range(len(others))
+        for i in rest:
+            scores[i] = jaro_winkler(name, others[i])
+        at = int(scores.argmax()) if len(others) else -1
+        if at >= 0 and scores[at] > above:
+            found.append((name, others[at], float(scores[at])))
     return found
 
 
@@ -110,10 +93,6 @@ def remap_target(base: DataFrame, target: DataFrame, above: float = REMAP_ABOVE)
     return placed.withColumn("pos", F.struct("first", "ord")).drop("module").withColumnRenamed("base_module", "module")
 
 
-def _rows(table: pa.Table) -> list[dict]:
-    return sorted(table.to_pylist(), key=lambda r: (r["pos"]["first"], r["pos"]["ord"]))
-
-
 def match_lists(base: list[Side], target: list[Side], kind: str, alpha: float, weights: Weights = Weights()) -> tuple[list[tuple[int, int, float]], list[tuple[int, int, float]], list[int], list[int]]:
     """For features of one class of kinds: solid pairs (score > alpha), then of the rest
     potential pairs (score > alpha - 0.15), and what is left on both sides. Pairs are
@@ -137,19 +116,55 @@ def match_lists(base: list[Side], target: list[Side], kind: str, alpha: float, w
 
 
 _OUT = "module string, kind string, base_ord long, target_ord long, score double, first long, at long"
-
-
-def _match_module(alpha: float, weights: Weights):
-    def run(key, base, target):
-        b, t = _rows(base), _rows(target)
-        module, cls = (x.as_py() for x in key)
-        solid, potential, only_b, only_t = match_lists([Side.of(r) for r in b], [Side.of(r) for r in t], cls, alpha, weights)
-        out = [(module, kind, b[i]["ord"], t[j]["ord"], s, *b[i]["pos"].values()) for kind, pairs in (("solid", solid), ("potential", potential)) for i, j, s in pairs]
-        out += [(module, "base_only", b[i]["ord"], None, 0.0, *b[i]["pos"].values()) for i in only_b]
-        out += [(module, "target_only", None, t[j]["ord"], 0.0, *t[j]["pos"].values()) for j in only_t]
-        cols = list(zip(*out)) or [[]] * 7
-        types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
-        return pa.table([pa.array(c, ty) for c, ty in zip(cols, types)], names=["module", "kind", "base_ord", "target_ord", "score", "first", "at"])
+_OUT_TYPES = {"module": pa.string(), "kind": pa.string(), "base_ord": pa.int64(), "target_ord": pa.int64(), "score": pa.float64(), "first": pa.int64(), "at": pa.int64()}
+_OUT_ROWS = 10_000
+
+Place = tuple[int, int, int]  # ord, and first and ord of pos
+
+
+def _match_module(module: str, cls: str, base: list[tuple[Place, Side]], target: list[tuple[Place, Side]], alpha: float, weights: Weights) -> Iterator[tuple]:
+    solid, potential, only_b, only_t = match_lists([x for _, x in base], [x for _, x in target], cls, alpha, weights)
+    for kind, pairs in (("solid", solid), ("potential", potential)):
+        for i, j, score in pairs:
+            (bo, *pos), tg = base[i][0], target[j][0][0]
+            yield module, kind, bo, tg, score, *pos
+    for i in only_b:
+        yield module, "base_only", base[i][0][0], None, 0.0, *base[i][0][1:]
+    for j in only_t:
+        yield module, "target_only", None, target[j][0][0], 0.0, *target[j][0][1:]
+
+
+def _match_sorted(alpha: float, weights: Weights):
+    """Matches rows sorted by module, class of kinds, side and place; holds those of one module and class, equal features once."""
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, str], tuple[list, list]]]:
+        key, found, known = None, ([], []), {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                own = (r["module"], r["cls"])
+                if own != key:
+                    if key is not None:
+                        yield key, found
+                    key, found, known = own, ([], []), {}
+                x = Side.of(r)
+                found[r["side"]].append(((r["ord"], r["first"], r["at"]), known.setdefault(x, x)))
+        if key is not None:
+            yield key, found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed(rows: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*rows))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _OUT_TYPES.values())], names=list(_OUT_TYPES))
+
+        rows: list[tuple] = []
+        for (module, cls), (base, target) in groups(batches):
+            for row in _match_module(module, cls, base, target, alpha, weights):
+                rows.append(row)
+                if len(rows) >= _OUT_ROWS:
+                    yield packed(rows)
+                    rows = []
+        if rows:
+            yield packed(rows)
 
     return run
 
@@ -159,15 +174,17 @@ def match_features(base: DataFrame, target: DataFrame, alpha: float = 0.8, weigh
 
     Returns module, kind (solid, potential, base_only, target_only), base_ord,
     target_ord, score, and place, the order within module and kind. One shuffle
-    per side, on the module and the class of kinds: kinds of different classes
-    score 0, so each class is solved by itself, in a task of its own.
+    of both sides, by module and class of kinds: kinds of different classes
+    score 0, so each class is solved by itself. A task reads its rows sorted and
+    solves one group after the other, so many small modules cost no more than their rows.
     """
-    if "pos" not in base.columns:
-        base = base.withColumn("pos", F.struct(F.lit(0).cast("long").alias("first"), "ord"))
-    if "pos" not in target.columns:
-        target = target.withColumn("pos", F.struct(F.lit(0).cast("long").alias("first"), "ord"))
-    # fresh column ids, as both sides may come from one table
-    left, right = (d.select(*[F.col(c).alias(c) for c in ("module", "pos", *_NEEDED)], names.kind_class(F.col("type")).alias("cls")) for d in (base, target))
-    found = left.groupBy("module", "cls").cogroup(right.groupBy("module", "cls")).applyInArrow(_match_module(alpha, weights), _OUT)
+    own = F.struct(F.lit(0).cast("long").alias("first"), "ord")
+
+    def side(df: DataFrame, n: int) -> DataFrame:
+        pos = F.col("pos") if "pos" in df.columns else own
+        return df.select("module", names.kind_class(F.col("type")).alias("cls"), F.lit(n).alias("side"), pos["first"].alias("first"), pos["ord"].alias("at"), *_NEEDED)
+
+    both = side(base, 0).unionByName(side(target, 1)).repartition("module", "cls").sortWithinPartitions("module", "cls", "side", "first", "at")
+    found = both.mapInArrow(_match_sorted(alpha, weights), _OUT)
     order = Window.partitionBy("module", "kind").orderBy("first", "at")
     return found.select("module", "kind", "base_ord", "target_ord", "score", (F.row_number().over(order) - 1).cast("long").alias("place"))

@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from conformix.functions.similarity import jaro_winkler
+from conformix.functions.similarity import Names, jaro_winkler
 from conformix.operators import matching, metrics
 from conformix.operators.ordering import boundaries, ordered
 from conformix.operators.reports import match_registries, write_report
@@ -131,3 +131,43 @@ def test_order_of_rows(spark):
     assert boundaries(df.limit(0).select("file")) == []
     free = with_defaults(spark.createDataFrame([("b",), ("a",)], "normalized_name string"))
     assert [r["normalized_name"] for r in free.orderBy("ord").collect()] == ["a", "b"]
+
+
+def test_similarity_of_many_names_at_once():
+    """The same numbers as one pair at a time, for names of up to 64 characters; longer ones are compared singly."""
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abc_é") for _ in range(n))
+    others = [word(rng.randint(0, 64)) for _ in range(200)] + ["a" * 64]
+    table = Names(others)
+    for above in (0.0, 0.75):
+        for name in [word(rng.randint(1, 64)) for _ in range(40)]:
+            want = [jaro_winkler(name, x) for x in others]
+            assert table.scores(name, above).tolist() == [x if x > above else 0.0 for x in want]
+    long = ["b" * 70, "b" * 69 + "c"]
+    assert matching.most_similar(["b" * 71], long, 0.8) == [("b" * 71, "b" * 70, jaro_winkler("b" * 71, "b" * 70))]
+
+
+def test_modules_go_on_over_batches(spark):
+    """A task reads its modules one after the other; where a batch ends doesn't matter."""
+    row = lambda ord, module, name: (ord, module, module, name, "FUNCTION")
+    df = lambda rows: matching.with_module(with_defaults(spark.createDataFrame(rows, "ord long, namespace string, normalized_namespace string, normalized_name string, type string")))
+    rows = [row(i, f"m{i % 5}", f"name_{i * 37 % 101}") for i in range(50)]
+    base, target = df(rows), df([row(100 + o, m, name) for o, m, _, name, _ in rows if o % 7])
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    found = []
+    before = spark.conf.get(key)
+    try:
+        for size in ("3", "10000"):
+            spark.conf.set(key, size)
+            found.append(sorted(map(tuple, matching.match_features(base, target, 0.5).select("module", "kind", "base_ord", "place").collect()), key=str))
+    finally:
+        spark.conf.set(key, before)
+    assert found[0] == found[1] and len(found[0]) == 50
+    assert len({r[:3] for r in found[0] if r[1] == "solid"}) == sum(1 for i in range(50) if i % 7)
+
+
+def test_caches_are_small():
+    """Four workers' caches of scores must leave an executor's memory alone."""
+    from conformix.functions import similarity
+
+    assert all(f.cache_info().maxsize <= 1 << 16 for f in (similarity.jaro_winkler, similarity.param_score, similarity.params_score, similarity.return_score))
