@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from ..functions.similarity import Names, Side, Weights, class_scores, jaro_winkler
-from .assignment import best_assignment
+from .assignment import best_assignment, best_flow
 
 NEAR_MISS = 0.15
 REMAP_ABOVE = 0.8
-#: Largest score matrix of one class of kinds within a module, in cells of 8 bytes; two are held at a time.
+#: Largest score matrix of one class of kinds within a module, in cells of 8 bytes; two are held at a time. Beyond it equal features share a row or column.
 MATRIX_CELLS = 50_000_000
+_CELLS_AT_ONCE = 1_000_000
 
 _NEEDED = ["ord", "type", "normalized_name", "normalized_member_of", "normalized_namespace", "parameters", "normalized_return_types", "async"]
 
@@ -93,6 +94,15 @@ def remap_target(base: DataFrame, target: DataFrame, above: float = REMAP_ABOVE)
     return placed.withColumn("pos", F.struct("first", "ord")).drop("module").withColumnRenamed("base_module", "module")
 
 
+def _scores(base: list[Side], target: list[Side], kind: str, weights: Weights) -> np.ndarray:
+    """class_scores, by blocks of rows, so that only the result is as large as the matrix."""
+    step = max(1, _CELLS_AT_ONCE // len(target))
+    matrix = np.empty((len(base), len(target)))
+    for a in range(0, len(base), step):
+        matrix[a : a + step] = class_scores(base[a : a + step], target, kind, weights)
+    return matrix
+
+
 def match_lists(base: list[Side], target: list[Side], kind: str, alpha: float, weights: Weights = Weights()) -> tuple[list[tuple[int, int, float]], list[tuple[int, int, float]], list[int], list[int]]:
     """For features of one class of kinds: solid pairs (score > alpha), then of the rest
     potential pairs (score > alpha - 0.15), and what is left on both sides. Pairs are
@@ -102,11 +112,11 @@ def match_lists(base: list[Side], target: list[Side], kind: str, alpha: float, w
     if kind not in ("C", "F", "M") or not len(rows) or not len(cols):
         return [], [], rows.tolist(), cols.tolist()
     if len(rows) * len(cols) > MATRIX_CELLS:
-        raise ValueError(f"a module has {len(rows) * len(cols)} pairs of one kind, more than the limit of {MATRIX_CELLS}")
-    matrix = class_scores(base, target, kind, weights)
+        return _match_equals(base, target, kind, alpha, weights)
+    matrix = _scores(base, target, kind, weights)
     found = []
     for threshold in (alpha, max(0.0, alpha - NEAR_MISS)):
-        part = matrix[np.ix_(rows, cols)]
+        part = matrix if matrix.shape == (len(rows), len(cols)) else matrix[np.ix_(rows, cols)]
         at = zip(*best_assignment(part)) if part.size else ()
         pairs = [(int(rows[x]), int(cols[y]), float(part[x, y])) for x, y in at if part[x, y] > threshold]
         found.append(pairs)
@@ -115,6 +125,34 @@ def match_lists(base: list[Side], target: list[Side], kind: str, alpha: float, w
     return found[0], found[1], rows.tolist(), cols.tolist()
 
 
+def _match_equals(base: list[Side], target: list[Side], kind: str, alpha: float, weights: Weights):
+    """match_lists for modules of many equal features: the matrix has a row or column for each distinct one.
+
+    Totals of both passes are the best; which of several optimal assignments is returned, and
+    which of equal features, follows the order of rows, but not as in match_lists.
+    """
+    sides = []
+    for features in (base, target):
+        at: dict[Side, list[int]] = {}
+        for i, x in enumerate(features):
+            at.setdefault(x, []).append(i)
+        sides.append((list(at), list(at.values())))
+    (xs, left), (ys, right) = sides
+    if len(xs) * len(ys) > MATRIX_CELLS:
+        raise ValueError(f"a module has {len(xs) * len(ys)} pairs of different features of one kind, more than the limit of {MATRIX_CELLS}")
+    matrix = _scores(xs, ys, kind, weights)
+    found = []
+    for threshold in (alpha, max(0.0, alpha - NEAR_MISS)):
+        flow = best_flow(matrix, np.array([len(x) for x in left]), np.array([len(y) for y in right]))
+        pairs = []
+        for i, j, n in flow:
+            if matrix[i, j] > threshold:
+                pairs += zip(left[i][:n], right[j][:n], [float(matrix[i, j])] * n)
+                left[i], right[j] = left[i][n:], right[j][n:]
+        found.append(sorted(pairs))
+    return found[0], found[1], sorted(x for rest in left for x in rest), sorted(y for rest in right for y in rest)
+
+
 _OUT = "module string, kind string, base_ord long, target_ord long, score double, first long, at long"
 _OUT_TYPES = {"module": pa.string(), "kind": pa.string(), "base_ord": pa.int64(), "target_ord": pa.int64(), "score": pa.float64(), "first": pa.int64(), "at": pa.int64()}
 _OUT_ROWS = 10_000

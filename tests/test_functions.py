@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from conformix.functions import names, types
 from conformix.functions.similarity import Side, Weights, feature_score, jaro_winkler, type_set_score
-from conformix.operators.assignment import best_assignment
+from conformix.operators import matching
+from conformix.operators.assignment import best_assignment, best_flow
 
 NAMES = [("ThisName", "this_name"), ("thisName", "this_name"), ("this_name", "this_name"), ("HTTPResponse", "http_response"), ("kebab-case", "kebab_case"), ("runAsync", "run_async"), ("XMLParser", "xml_parser"), ("JSONReaderWorker", "json_reader_worker"), ("My_Name", "my__name"), ("_x", "_x"), ("", "")]
 
@@ -136,3 +137,32 @@ def test_equal_features_are_scored_once(spark, monkeypatch):
     assert [(r["pairs"], r["early"], r["mean"], r["best"]) for r in got] == [(25 * r["pairs"], 25 * r["early"], r["mean"], r["best"]) for r in want]
     assert sorted(queries.pair_score_full(spark, sf).collect()) == sorted(once["pair_score_full"])
     assert seen.value <= sum(r["pairs"] for r in want)
+
+
+def test_flow_is_the_best_assignment_of_equal_rows():
+    rng = np.random.default_rng(3)
+    for t in range(60):
+        n, m = rng.integers(1, 8, 2)
+        score = rng.choice([0, 0.1, 0.3, 0.75, 1], (n, m)) if t % 2 else rng.random((n, m))
+        a, b = rng.integers(1, 6, n), rng.integers(1, 6, m)
+        whole = np.repeat(np.repeat(score, a, 0), b, 1)
+        flow = best_flow(score, a, b)
+        rows, cols = (np.bincount([f[i] for f in flow], [f[2] for f in flow], len(x)) for i, x in ((0, a), (1, b)))
+        assert sum(score[i, j] * k for i, j, k in flow) == pytest.approx(whole[best_assignment(whole)].sum(), abs=1e-9)
+        assert (rows <= a).all() and (cols <= b).all() and rows.sum() == min(a.sum(), b.sum())
+
+
+def test_modules_of_equal_features_have_no_limit(monkeypatch):
+    """More pairs than a matrix may have, of a few different features: solved, with the totals of the whole matrix."""
+    rng = random.Random(5)
+    words = ["alpha", "alpine", "beta", "betas", "gamma", "gama", "delta"]
+    side = lambda n: [Side("FUNCTION", rng.choice(words), rng.choice(["", "box"]), "ns") for _ in range(n)]
+    base, target = side(40), side(35)
+    whole = matching.match_lists(base, target, "F", 0.8)
+    monkeypatch.setattr(matching, "MATRIX_CELLS", 14 * 14)
+    got = matching.match_lists(base, target, "F", 0.8)
+    total = lambda found: sum(p[2] for p in found[0])
+    assert total(got) == pytest.approx(total(whole), abs=1e-9) and [len(x) for x in got] == [len(x) for x in whole]
+    for i, n in ((0, 40), (1, 35)):
+        assert sorted([p[i] for pairs in got[:2] for p in pairs] + got[2 + i]) == list(range(n))
+    assert all(s == feature_score(base[i], target[j]) for pairs in got[:2] for i, j, s in pairs)
