@@ -171,3 +171,33 @@ def test_caches_are_small():
     from conformix.functions import similarity
 
     assert all(f.cache_info().maxsize <= 1 << 16 for f in (similarity.jaro_winkler, similarity.param_score, similarity.params_score, similarity.return_score))
+
+
+def test_written_registries_are_read_by_tasks(spark, registries, tmp_path):
+    """Files are those of the whole document at once, and ranges of bytes give its features in order, however they are cut."""
+    import json
+
+    import yaml
+
+    base, _ = registries
+    rows = [x.asDict(True) for x in base.features.orderBy("ord").collect()]
+    many = with_defaults(spark.createDataFrame([{**rows[i % len(rows)], "ord": i, "description": f"é \"{i}\"\n- original_name: x\nfeatures {{\n" + "long " * 30} for i in range(200)], base.features.schema))
+    for features in (many, many.limit(0)):
+        registry = type(base)("PYTHON", "1.0", features)
+        want = [x.asDict(True) for x in features.orderBy("ord").collect()]
+        document = {"language": "PYTHON", "version": "1.0", "features": [textproto._plain(x) for x in want]}
+        textproto.write_json(registry, tmp_path / "o.json")
+        textproto.write_yaml(registry, tmp_path / "o.yaml")
+        textproto.write_textproto(registry, tmp_path / "o.txtpb")
+        assert (tmp_path / "o.json").read_text() == json.dumps(document, indent=2)
+        assert (tmp_path / "o.yaml").read_text() == yaml.dump(document, sort_keys=False)
+        assert textproto.parse_registry((tmp_path / "o.txtpb").read_text())["features"] == want
+        key = "spark.sql.files.maxPartitionBytes"
+        before = spark.conf.get(key)
+        try:
+            spark.conf.set(key, "10000")
+            for form in ("json", "yaml", "txtpb"):
+                read = textproto.read_written(spark, f"file://{tmp_path}/o.{form}", form)
+                assert [x.asDict(True) for x in read.orderBy("ord").collect()] == want
+        finally:
+            spark.conf.set(key, before)
